@@ -22,17 +22,22 @@ from .common import SPACE_WORD, keep, parts
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-ROUNDS = 12
+ROUNDS = 8
 
 
-def permuted(x: Column, n: Column, key: Column) -> Column:
-    """Image of x under a pseudorandom permutation of 0..n-1 that ``key`` chooses (swap-or-not)."""
+def round_keys(n: Column, key: Column) -> Column:
+    """One offset in 0..n-1 for each round of ``permuted``."""
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.pmod(F.xxhash64(key, r), n))
 
-    def swap(v, r):
-        mirror = F.pmod(F.pmod(F.xxhash64(key, r), n) - v, n)
-        return F.when(F.pmod(F.xxhash64(key, r, F.greatest(v, mirror), F.lit(1)), F.lit(2)) == 1, mirror).otherwise(v)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap)
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """Image of x under a pseudorandom permutation of 0..n-1 that ``keys`` choose (swap-or-not)."""
+
+    def swap(v, k):
+        mirror = F.pmod(k - v, n)
+        return F.when(F.xxhash64(k, F.greatest(v, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(v)
+
+    return F.aggregate(keys, x.cast("long"), swap)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -65,15 +70,18 @@ def mix_plan(sources: DataFrame, block: int, shard_slots: int, seed: int) -> Dat
     s = (
         sources.filter("slots > 0").withColumn("all_slots", F.sum("slots").over(everything))
         .withColumn("first", F.sum("slots").over(Window.orderBy("skey")) - F.col("slots"))
+        .withColumn("deal", round_keys(F.col("all_slots"), F.lit(seed).cast("long")))
+        .withColumn("keys", round_keys(F.col("blocks"), F.xxhash64("skey", F.lit(seed))))
     )
     step = 4096
     runs = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step))).alias("run")).repartition("skey", "run")
-    place = permuted(F.col("first") + F.col("nth"), F.col("all_slots"), F.lit(seed).cast("long"))
+    place = permuted(F.col("first") + F.col("nth"), F.col("all_slots"), F.col("deal"))
     draws = runs.select("*", F.explode(F.sequence(F.col("run") * step, F.least(F.col("slots"), (F.col("run") + 1) * step) - 1)).alias("nth"))
-    counts = draws.select("skey", "blocks", F.floor(place / shard_slots).alias("shard")).groupBy("skey", "blocks", "shard").agg(F.count("*").alias("n"))
+    counts = draws.select("skey", F.floor(place / shard_slots).alias("shard")).groupBy("skey", "shard").agg(F.count("*").alias("n"))
     dealt = counts.withColumn("start", F.sum("n").over(Window.partitionBy("skey").orderBy("shard")) - F.col("n"))
-    slots = dealt.select("skey", "blocks", "shard", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("j"))
-    return slots.withColumn("block_no", permuted(F.pmod("j", "blocks"), F.col("blocks"), F.xxhash64("skey", F.lit(seed))))
+    dealt = dealt.join(s.select("skey", "blocks", "keys"), "skey")
+    slots = dealt.select("skey", "blocks", "keys", "shard", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("j"))
+    return slots.withColumn("block_no", permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("keys")))
 
 
 def mix_documents(docs: DataFrame, block: int = 64, shard_slots: int = 16_384, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
