@@ -105,7 +105,7 @@ def mix_documents(docs: DataFrame, block: int = 64, shard_slots: int = 16_384, s
     )
     times = mix_plan(targets, block, shard_slots, seed).groupBy("skey", "block_no").agg(F.count("*").alias("times"))
     # where each document starts in its source's stream: summed within buckets, shifted by the buckets before
-    bucketed = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts(n, 20_000))).cast("int"))
+    bucketed = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts(n, 2_500))).cast("int"))
     starts = bucketed.groupBy("skey", "bucket").agg(F.sum("size").alias("b"))
     starts = starts.withColumn("start", F.sum("b").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("b")).drop("b")
     order = Window.partitionBy("skey", "bucket").orderBy("doc_id", "size")

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import ORACLE as DECONTAMINATION_SQL
+from .decontamination import decontaminate
 from .mixing import mix_documents
+from .near_duplicates import near_duplicates
 from .sharding import shard_documents
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +25,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_mixing, op4_decontamination, op5_toxicity, op9_near_duplicates)}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": DECONTAMINATION_SQL}
