@@ -13,6 +13,8 @@ from .mixing import mix_documents
 from .near_duplicates import near_duplicates
 from .sharding import shard_documents
 from .toxicity import toxicity
+from .warc import ORACLE as WARC_SQL
+from .warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,5 +39,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_mixing, op4_decontamination, op5_toxicity, op9_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": DECONTAMINATION_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_mixing, op4_decontamination, op5_toxicity, op9_near_duplicates, op10_warc)}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": DECONTAMINATION_SQL, "op10_warc": WARC_SQL}
