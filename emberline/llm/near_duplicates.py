@@ -9,6 +9,8 @@
    where the two are in different components, and last the rest: a representative outside the component of its bucket's
    smallest id against the bucket's members outside its own component. Pairs already connected are never made,
    so a group of thousands of near copies costs about one comparison a member.
+   Before that, shingles that no other candidate holds are counted: they bound every intersection, so documents and
+   pairs that cannot reach the threshold leave, exactly, without being compared.
 4. Every candidate is verified on the full shingle sets; links join components by linking to the smaller root and
    jumping over parents until nothing changes.
 
@@ -136,6 +138,13 @@ def components(edges: DataFrame) -> DataFrame:
             return parent
 
 
+def reach(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, most): size and largest possible intersection of each set that can reach the threshold with any other."""
+    alone = sets.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = sets.select("id", F.size("set").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    return sizes.filter(F.col("most") * den >= F.col("n") * num)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: int = ROWS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
     docs = docs.select("doc_id", "text")
@@ -145,10 +154,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     reps = keep(sigs.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep")), "representatives")
     # representatives under each band key, and the smallest of each key that has several
     banded = sigs.join(reps.withColumn("doc_id", F.col("rep")), ["doc_id", *digest]).dropDuplicates(["rep"]).select("rep", F.explode("bands").alias("key"))
-    banded = keep(banded, "bands")
-    shared = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("top")).filter("centre <> top").select("key", "centre")
-    members = keep(banded.join(shared, "key"), "buckets")
+
+    def buckets(x: DataFrame) -> DataFrame:
+        shared = x.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("top")).filter("centre <> top").select("key", "centre")
+        return keep(x.join(shared, "key"), "buckets")
+
+    members = buckets(keep(banded, "bands"))
     sets = keep(sets_of(docs, members.select(F.col("rep").alias("id")).distinct(), k), "sets")
+    able = keep(reach(sets, num, den), "able")
+    members = buckets(members.drop("centre").join(able.select(F.col("id").alias("rep"), "n", "most"), "rep"))
     checked = members.filter("rep <> centre").groupBy("rep").agg(F.min("centre").alias("a")).select("a", F.col("rep").alias("b"))
     checked = keep(checked, "pairs")
     labels = components(keep(verify(checked, sets, num, den), "links"))
@@ -164,9 +178,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             pairs = apart.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
         else:
             others = labelled(members.join(apart.select("key").distinct(), "key", "left_semi"), labels, "rep")
-            others = others.select("key", F.col("rep").alias("other"), F.col("rep_comp").alias("other_comp"))
+            others = others.select("key", F.col("rep").alias("other"), F.col("rep_comp").alias("other_comp"), F.col("n").alias("m"), F.col("most").alias("other_most"))
+            # an intersection i reaches the threshold if (num + den) * i >= num * (n + m)
+            possible = F.least("most", "other_most") * (num + den) >= (F.col("n") + F.col("m")) * num
             pairs = (
-                apart.select("key", "rep", "rep_comp").join(others, "key").filter("rep_comp <> other_comp")
+                apart.select("key", "rep", "rep_comp", "n", "most").join(others, "key").filter((F.col("rep_comp") != F.col("other_comp")) & possible)
                 .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
             )
         fresh = keep(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
