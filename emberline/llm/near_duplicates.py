@@ -9,8 +9,9 @@
    where the two are in different components, and last the rest: a representative outside the component of its bucket's
    smallest id against the bucket's members outside its own component. Pairs already connected are never made,
    so a group of thousands of near copies costs about one comparison a member.
-   Before that, shingles that no other candidate holds are counted: they bound every intersection, so documents and
-   pairs that cannot reach the threshold leave, exactly, without being compared.
+   Before that, shingles that no other candidate holds are counted: they bound every intersection. Each set also has a
+   parity bitmap: every bit in which two bitmaps differ stands for a shingle that only one of the sets has. Pairs that
+   either bound rules out (both are exact) never become rows.
 4. Every candidate is verified on the full shingle sets; links join components by linking to the smaller root and
    jumping over parents until nothing changes.
 
@@ -35,6 +36,7 @@ from .shingles import _BYTE, mix, shingle_sets
 
 ROWS_PER_BAND = 5
 BROADCAST_IDS = 2_000_000
+BITMAP = 2048
 _U = np.uint64
 
 
@@ -102,7 +104,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets (id, set) of the documents in ``ids(id)``."""
+    """Full shingle sets and their parity bitmaps (id, set, bits) of the documents in ``ids(id)``."""
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -110,9 +112,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for pdf in batches:
             for i in range(0, len(pdf), 500):
                 part = pdf.iloc[i : i + 500]
-                yield pd.DataFrame({"id": part["id"], "set": [s.view(np.int64) for s in shingle_sets(part["text"], k)]})
+                sets = list(shingle_sets(part["text"], k))
+                yield pd.DataFrame({"id": part["id"], "set": [s.view(np.int64) for s in sets], "bits": [parity(s) for s in sets]})
 
-    return wanted.mapInPandas(collect, "id long, set array<long>").dropDuplicates(["id"])
+    return wanted.mapInPandas(collect, "id long, set array<long>, bits array<long>").dropDuplicates(["id"])
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Per bit whether an odd number of the set's hashes falls on it."""
+    odd = np.bincount((s % _U(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -139,9 +148,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def reach(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, n, most): size and largest possible intersection of each set that can reach the threshold with any other."""
+    """(id, n, most, bits): size and largest possible intersection of each set that can reach the threshold with any other."""
     alone = sets.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    sizes = sets.select("id", F.size("set").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    sizes = sets.select("id", F.size("set").alias("n"), "bits").join(alone, "id", "left").select("id", "n", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     return sizes.filter(F.col("most") * den >= F.col("n") * num)
 
 
@@ -173,16 +182,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     for step in ("centres", "rest"):
         tagged = labelled(labelled(members, labels, "rep"), labels, "centre")
-        apart = keep(tagged.filter("rep_comp <> centre_comp"), "apart")
+        apart = tagged.filter("rep_comp <> centre_comp")
         if step == "centres":
             pairs = apart.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
         else:
+            apart = keep(apart, "apart")
             others = labelled(members.join(apart.select("key").distinct(), "key", "left_semi"), labels, "rep")
-            others = others.select("key", F.col("rep").alias("other"), F.col("rep_comp").alias("other_comp"), F.col("n").alias("m"), F.col("most").alias("other_most"))
+            bits = able.select(F.col("id").alias("rep"), "bits")
+            others = others.join(bits, "rep").select("key", F.col("rep").alias("other"), F.col("rep_comp").alias("other_comp"), F.col("n").alias("m"), F.col("most").alias("other_most"), F.col("bits").alias("other_bits"))
             # an intersection i reaches the threshold if (num + den) * i >= num * (n + m)
             possible = F.least("most", "other_most") * (num + den) >= (F.col("n") + F.col("m")) * num
+            differ = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+            possible &= (F.col("n") + F.col("m") - differ) * (num + den) >= (F.col("n") + F.col("m")) * (2 * num)
             pairs = (
-                apart.select("key", "rep", "rep_comp", "n", "most").join(others, "key").filter((F.col("rep_comp") != F.col("other_comp")) & possible)
+                apart.join(bits, "rep").select("key", "rep", "rep_comp", "n", "most", "bits").join(others, "key").filter((F.col("rep_comp") != F.col("other_comp")) & possible)
                 .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
             )
         fresh = keep(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
