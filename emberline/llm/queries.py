@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import ORACLE as DECONTAMINATION_SQL
 from .decontamination import decontaminate
+from .fingerprints import fingerprint_documents
+from .licenses import oracle as licenses_sql
+from .licenses import scan_licenses
+from .line_dedup import ORACLE as LINES_SQL
+from .line_dedup import dedup_lines
 from .mixing import mix_documents
 from .near_duplicates import near_duplicates
 from .sharding import shard_documents
 from .toxicity import toxicity
+from .urls import filter_urls
 from .warc import ORACLE as WARC_SQL
 from .warc import archive_pages
 
@@ -43,5 +49,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_mixing, op4_decontamination, op5_toxicity, op9_near_duplicates, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": DECONTAMINATION_SQL, "op10_warc": WARC_SQL}
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_sharding, op2_mixing, op3_url_filter, op4_decontamination, op5_toxicity,
+    op6_line_dedup, op7_fingerprints, op8_licenses, op9_near_duplicates, op10_warc,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": DECONTAMINATION_SQL,
+    "op6_line_dedup": LINES_SQL,
+    "op8_licenses": licenses_sql(),
+    "op10_warc": WARC_SQL,
+}
