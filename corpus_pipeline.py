@@ -1,7 +1,55 @@
-"""A training corpus from ``documents``: toxic documents go, near duplicates go, contaminated documents go, sources are mixed, shards are packed."""
-STAGES = []
+"""A training corpus from ``documents`` in five stages, each written as Parquet and read again as the next one's input.
+
+Toxic documents go; of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays;
+documents contaminated by the benchmark go; sources are mixed to target weights, which repeats or drops documents; the rest
+is packed into shards. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from emberline.llm.common import keep, table
+from emberline.llm.decontamination import clean_documents
+from emberline.llm.mixing import mixed_documents
+from emberline.llm.near_duplicates import one_of_each
+from emberline.llm.sharding import shard_documents
+from emberline.llm.toxicity import tolerable
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tolerable(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+#: The classifier, the signatures and the packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
