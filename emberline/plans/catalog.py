@@ -1,4 +1,6 @@
 """All domain queries and their SQL, by name."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import fires, rasters, series, tables  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
