@@ -48,3 +48,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parts(rows: int, per_part: int, least: int = 8) -> int:
     """Number of partitions or buckets that grows with the rows."""
     return max(least, -(-rows // per_part))
+
+
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """Send ``rows`` rows at a time to Python: whole texts are long, and a worker should hold few of them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

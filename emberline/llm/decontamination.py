@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 13
 AUTOMATON_CHARS = 40_000_000
 
@@ -84,8 +86,11 @@ def word_hits(text: str | None, automaton) -> tuple[int, list[tuple[int, int, li
     return len(words), found
 
 
+CONTAMINATED = "__n_hit > 0 AND 20 * __n_hit >= __n_words"
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, keep_cols: list[str], spans: bool = False) -> DataFrame:
-    """Per document: n_words, hits as packed word ranges, item ids; with ``spans`` also offsets in the text."""
+    """``keep_cols`` of each document with __n_words, __n_hit, __items and, if wanted, __spans as offsets in the text."""
     spark = docs.sparkSession
     windows: dict[str, list[str]] = {}
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").distinct().toLocalIterator():
@@ -94,19 +99,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep_cols: list[str], spans: boo
                 ids.append(item)
     lists = list(automata(windows))
     sent = [spark.sparkContext.broadcast(x) for x in lists]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep_cols), "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, stop: bigint>>"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep_cols), "`__n_words` bigint, `__n_hit` bigint, `__items` array<string>, `__spans` array<struct<start: bigint, stop: bigint>>"])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n_words, n_hit, all_items, all_spans = [], [], [], []
-            for text in pdf["__text"]:
+            for text in pdf["text"]:
                 n, found = 0, []
                 for b in sent:
                     n, more = word_hits(text, _automaton(b))
                     found += more
                 if not sent:
                     n = len(normalised_words(text))
-                items, hit, ranges = set(), 0, []
+                items, ranges = set(), []
                 for first, length, ids in sorted(found, key=lambda x: x[:2]):
                     items.update(ids)
                     if ranges and first <= ranges[-1][1]:
@@ -119,31 +124,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep_cols: list[str], spans: boo
                     at = [(m.start(), m.end()) for m in _ORIGINAL_WORD.finditer(text)]
                     out = [{"start": at[a][0], "stop": at[b - 1][1]} for a, b in ranges]
                 n_words.append(n), n_hit.append(hit), all_items.append(sorted(items)), all_spans.append(out)
-            yield pdf.drop(columns="__text").assign(n_words=n_words, n_hit=n_hit, items=all_items, spans=all_spans)
+            yield pdf[keep_cols].assign(__n_words=n_words, __n_hit=n_hit, __items=all_items, __spans=all_spans)
 
-    return docs.select(*keep_cols, F.col("text").alias("__text")).mapInPandas(judge, schema)
+    return small_batches(docs).select(*dict.fromkeys([*keep_cols, "text"])).mapInPandas(judge, schema)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Merged hit ranges as code-point offsets into the original text: doc_id, start, stop."""
     hits = scan(docs, benchmark, ["doc_id"], spans=True)
-    return hits.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.stop")
+    return hits.select("doc_id", F.explode("__spans").alias("s")).select("doc_id", "s.start", "s.stop")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verdict for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     return scan(docs, benchmark, ["doc_id"]).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents whose share of hit words stays under one in twenty, with all their columns."""
-    columns = [c for c in docs.columns]
-    verdicts = scan(docs.withColumn("__body", F.col("text")), benchmark, [*(c for c in columns if c != "text"), "__body"])
-    return verdicts.filter(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).withColumnRenamed("__body", "text").select(*columns)
+    return scan(docs, benchmark, docs.columns).filter(f"NOT ({CONTAMINATED})").select(*docs.columns)
 
 
 #: The same verdicts as DuckDB SQL.

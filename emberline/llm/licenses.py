@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .decontamination import normalised_words
 
 CONTAINMENT = 0.8
@@ -122,6 +123,7 @@ def phrase_places(words: list[bytes]) -> tuple[int, int | None, int | None, set[
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    docs = small_batches(docs.select("doc_id", "text"))
     templates = docs.sparkSession.sparkContext.broadcast(token_frequencies(docs))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small_batches
 from .shingles import _BYTE, mix, shingle_sets
 
 ROWS_PER_BAND = 5
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             for doc_id, s in zip(pdf["doc_id"], shingle_sets(pdf["text"], k)):
                 ids.append(doc_id), sets.append(s)
                 size += len(s)
-                if size > 300_000 or len(sets) == 2000:
+                if size > 100_000 or len(sets) == 1000:
                     yield frame(ids, sets)
                     ids, sets, size = [], [], 0
             if ids:
@@ -110,8 +110,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i : i + 500]
+            for i in range(0, len(pdf), 100):
+                part = pdf.iloc[i : i + 100]
                 sets = list(shingle_sets(part["text"], k))
                 yield pd.DataFrame({"id": part["id"], "set": [s.view(np.int64) for s in sets], "bits": [parity(s) for s in sets]})
 
@@ -156,7 +156,7 @@ def reach(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: int = ROWS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     bands = bands_for(num / den, rows)
     sigs = keep(signatures(docs, k, bands, rows), "signatures")
     digest = ["n_shingles", "d1", "d2"]

@@ -12,7 +12,7 @@ _BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small_batches
 
 SAMPLE = 12_000
 FEATURES = 4_000
@@ -133,6 +133,7 @@ def fit_logistic(x_rows: np.ndarray, x_cols: np.ndarray, y: np.ndarray, r: np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """The classifier: sorted n-gram hashes, their weights, the intercept. Bounded by ``features``."""
+    small_batches(docs)
     rows = keep(training_rows(docs, labels, sample).repartition(16), "labelled")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = float(np.log((pos + 1) / (n - pos + 1)))
@@ -157,27 +158,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns: list[str]) -> DataFrame:
     """``columns`` of each document and its score, from the whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "`__score` double"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, w, b = sent.value
         features = Features(grams)
         for pdf in batches:
-            z = np.array([b + w[features.present(t)].sum() for t in pdf["__text"]], float)
-            yield pdf.drop(columns="__text").assign(score=1 / (1 + np.exp(-np.clip(z, -40, 40))))
+            z = np.array([b + w[features.present(t)].sum() for t in pdf["text"]], float)
+            yield pdf[columns].assign(__score=1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return docs.select(*columns, F.col("text").alias("__text")).mapInPandas(score, schema)
+    return small_batches(docs).select(*dict.fromkeys([*columns, "text"])).mapInPandas(score, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score of each document: doc_id, held_out, score, predicted."""
-    scored = with_score(docs, fit(docs, labels), ["doc_id"])
+    scored = with_score(docs, fit(docs, labels), ["doc_id"]).withColumnRenamed("__score", "score")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def tolerable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents the classifier does not reject, with all their columns."""
-    others = [c for c in docs.columns if c != "text"]
-    scored = with_score(docs.withColumn("__body", F.col("text")), fit(docs, labels), [*others, "__body"])
-    return scored.filter("score < 0.5").withColumnRenamed("__body", "text").select(*docs.columns)
+    return with_score(docs, fit(docs, labels), docs.columns).filter("__score < 0.5").select(*docs.columns)
