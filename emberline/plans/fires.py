@@ -76,11 +76,11 @@ def k11_k18_d38_bulletins(spark, d):
     return e.groupBy("day").agg(F.count("*").alias("n_fires"), n("CRITICAL").alias("n_critical"), F.count(F.when(F.col("forest"), 1)).alias("n_forest"), F.round(F.max("frp"), 2).alias("peak_frp"), F.when(n("CRITICAL") > 0, "CRITICAL").when(n("HIGH") > 0, "HIGH").otherwise("MODERATE").alias("level"))
 
 
-@query("SELECT event_id, CASE WHEN value >= 100 THEN 3 WHEN value >= 40 THEN 2 WHEN value >= 10 THEN 1 ELSE 0 END AS rank, 'fire ' || event_id || ' at ' || printf('%.1f', value) || ' MW' AS message FROM events ORDER BY 2 DESC, value DESC, event_id LIMIT 50")
+@query("SELECT event_id, CASE WHEN value >= 100 THEN 3 WHEN value >= 40 THEN 2 WHEN value >= 10 THEN 1 ELSE 0 END AS rank, 'fire ' || event_id || ' at ' || floor(value)::BIGINT || ' MW' AS message FROM events ORDER BY 2 DESC, value DESC, event_id LIMIT 50")
 def f5_h36_ranked_messages(spark, d):
     v = F.col("value")
     rank = F.when(v >= 100, 3).when(v >= 40, 2).when(v >= 10, 1).otherwise(0)
-    return read(spark, d, "events").select("event_id", rank.alias("rank"), F.format_string("fire %d at %.1f MW", F.col("event_id"), v).alias("message"), v).orderBy(F.desc("rank"), v.desc(), "event_id").limit(50).drop("value")
+    return read(spark, d, "events").select("event_id", rank.alias("rank"), F.concat(F.lit("fire "), F.col("event_id").cast("string"), F.lit(" at "), F.floor(v).cast("string"), F.lit(" MW")).alias("message"), v).orderBy(F.desc("rank"), v.desc(), "event_id").limit(50).drop("value")
 
 
 @query("SELECT count(*) AS n, round(avg(value), 6) AS mean_frp, round(max(value), 2) AS max_frp, round(sum(value), 2) AS total_frp, count(*) FILTER (hour(ts) BETWEEN 6 AND 17) AS n_day, count(*) FILTER (hour(ts) NOT BETWEEN 6 AND 17) AS n_night, round(100.0 * count(*) FILTER (event_type IN ('error', 'click')) / count(*), 4) AS pct_high FROM events WHERE value BETWEEN 1 AND 200")

@@ -49,7 +49,7 @@ def i5_components(spark, d):
     return G.components(grid(spark, d).filter(MASK))
 
 
-@query(_component_sql("v >= 0.054", _EIGHT) + " SELECT component, count(*) AS n_pixels, round(avg(v), 6) AS mean_v, round(avg(row), 6) AS centre_row, round(avg(col), 6) AS centre_col, round(max(q), 6) AS top_q, round(count(*) * 0.01, 4) AS area_ha FROM c JOIN lab ON c.id = lab.x GROUP BY component HAVING count(*) >= 5")
+@query(_component_sql("v >= 0.054", _EIGHT) + " SELECT component, count(*) AS n_pixels, round(avg(v), 6) AS mean_v, round(avg(row), 6) AS centre_row, round(avg(col), 6) AS centre_col, round(max(q), 6) AS top_q, round(count(*) * 0.01::DOUBLE, 4) AS area_ha FROM c JOIN lab ON c.id = lab.x GROUP BY component HAVING count(*) >= 5")
 def i6_i8_c24_patches(spark, d):
     aggs = [r6(F.avg("v"), "mean_v"), r6(F.avg("row"), "centre_row"), r6(F.avg("col"), "centre_col"), r6(F.max("q"), "top_q"), F.round(F.count("*") * 0.01, 4).alias("area_ha")]
     return G.patches(grid(spark, d), F.col("v") >= 0.054, 5, aggs, 8)
