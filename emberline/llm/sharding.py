@@ -90,7 +90,7 @@ def fit_into(sizes: np.ndarray, n_bins: int) -> np.ndarray:
     even = max(-(-int(sizes.sum()) // n_bins), int(sizes[0]), 1)
     slack = 0
     while (bins := best_fit_decreasing(sizes, even + slack, n_bins)) is None:
-        slack = max(1, even // 8192, slack + slack // 4)
+        slack = max(even // 8192, slack + max(1, slack // 4))
     return bins
 
 
