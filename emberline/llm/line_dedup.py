@@ -27,8 +27,16 @@ MIN_WORDS = 8
 BROADCAST_LINES = 500_000
 
 
+_BLANKS = "' \\t\\n\\u000B\\u000C\\r'"
+
+
+def stripped(line: str) -> Column:
+    return F.expr(f"trim(BOTH {_BLANKS} FROM {line})")
+
+
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of a stripped line that is not empty."""
+    return F.split(line, r"[\x20\x09-\x0D]+")
 
 
 def half_keys(words: Column, n: Column) -> Column:
@@ -40,9 +48,9 @@ def half_keys(words: Column, n: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), words of each line that has words."""
+    """doc_id, line_no (from 0), line (stripped) of each line that has words."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    return lines.select("doc_id", "line_no", stripped("line").alias("line")).filter("line <> ''")
 
 
 def verified(a: Column, b: Column) -> Column:
@@ -60,7 +68,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all occurrences with the first occurrence of their line, ids of distinct lines with an earlier neighbour)."""
     line_id = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2")]
     n = F.size("words")
-    seen = lines_of(docs).select("doc_id", "line_no", *line_id, F.when(n >= MIN_WORDS, half_keys(F.col("words"), n)).alias("halves"))
+    seen = lines_of(docs).select("doc_id", "line_no", words_of(F.col("line")).alias("words")).select("doc_id", "line_no", *line_id, F.when(n >= MIN_WORDS, half_keys(F.col("words"), n)).alias("halves"))
     distinct = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("halves").alias("halves"))
     distinct = keep(distinct, "lines")
     halves = distinct.filter("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
@@ -68,8 +76,8 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = keep(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().join(distinct.drop("halves"), ["h1", "h2"]), "neighbours")
     at = near.select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     at = F.broadcast(at) if near.count() <= BROADCAST_LINES else at
-    lines = lines_of(docs).join(at, ["doc_id", "line_no"]).dropDuplicates(["h1", "h2"])
-    lines = keep(lines.select("h1", "h2", "first", "words"), "candidates")
+    lines = lines_of(docs).join(at, ["doc_id", "line_no"]).select("h1", "h2", "first", words_of(F.col("line")).alias("words"))
+    lines = keep(lines.dropDuplicates(["h1", "h2"]), "candidates")
     size = F.size("words")
     without = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, size))).alias("key"), i.alias("pos")))
     deleted = lines.select("h1", "h2", "first", size.alias("n"), F.explode(without).alias("v")).select("h1", "h2", "first", "n", "v.key", "v.pos")
@@ -95,12 +103,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     near = seen.filter((F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.line_no") == F.col("line_no"))).join(close, ["h1", "h2"]).select("doc_id", "line_no", F.lit(1).alias("near"))
     copies = seen.filter(~((F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.line_no") == F.col("line_no")))).select("doc_id", "line_no", F.lit(0).alias("near"))
     gone = near.unionByName(copies).distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"), F.sum("near").alias("n_near"))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-    out = docs.join(gone, "doc_id", "left").withColumn("kept", F.coalesce(kept, F.array().cast("array<string>")))
+    out = docs.join(gone, "doc_id", "left").withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return out.select(
-        "doc_id", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.array_join("kept", "\n").alias("text"),
+        "doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("gone"), F.lit(0))).alias("n_kept"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce(F.when(F.col("gone").isNull(), F.col("text")).otherwise(left), F.lit("")).alias("text"),
     )
 
 
