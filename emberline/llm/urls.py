@@ -78,31 +78,33 @@ def gram_scores(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def calibrated(scored: DataFrame) -> DataFrame:
-    """One row (threshold): least sum of both error rates over ``scored(score, n_allow, n_block)``, in steps of 1/100."""
+    """One row (threshold): least sum of both error rates over ``scored(score, n_allow, n_block)``, halfway to the score below."""
     steps = scored.withColumn("s", F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "score")) * 100).cast("int")).groupBy("s")
     steps = steps.agg(F.sum("n_allow").alias("a"), F.sum("n_block").alias("b"))  # 4001 rows at most
     up, whole = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    wrong = F.coalesce(F.sum("a").over(up), F.lit(0)) / F.sum("a").over(whole) + (F.sum("b").over(whole) - F.coalesce(F.sum("b").over(up), F.lit(0))) / F.sum("b").over(whole)
-    best = steps.withColumn("wrong", F.try_divide(wrong, F.lit(1.0)))
-    return best.agg(F.coalesce(F.min(F.struct("wrong", "s"))["s"] / 100 - 0.005, F.lit(0.0)).alias("threshold"))
+    missed = F.try_divide(F.coalesce(F.sum("a").over(up), F.lit(0)), F.sum("a").over(whole))
+    passed = F.try_divide(F.sum("b").over(whole) - F.coalesce(F.sum("b").over(up), F.lit(0)), F.sum("b").over(whole))
+    middle = (F.col("s") + F.coalesce(F.lag("s").over(Window.orderBy("s")), F.col("s"))) / 200
+    best = steps.select("s", (missed + passed).alias("wrong"), middle.alias("middle")).filter("wrong is not null")  # without either class nothing is left
+    return best.agg(F.coalesce(F.min(F.struct("wrong", "s", "middle"))["middle"], F.lit(0.0)).alias("threshold"))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score."""
     host, path = url_parts(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    judged = keep(judged.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), F.concat("host", "path").alias("text")), "urls")
-    texts = judged.groupBy("text").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("n_allow"), F.count(F.when(F.col("ruled") == "block", 1)).alias("n_block"))
+    judged = keep(judged.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), F.concat("host", "path").alias("text")).withColumn("tid", F.md5(F.encode("text", "UTF-8"))), "urls")
+    texts = judged.groupBy("tid").agg(F.any_value("text").alias("text"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("n_allow"), F.count(F.when(F.col("ruled") == "block", 1)).alias("n_block"))
     held = F.crc32(F.encode("text", "UTF-8")) % 5 == 0
     texts = keep(texts.withColumn("held", held), "texts")
     counted = texts.select("text", *(F.when(F.col("held"), 0).otherwise(F.col(c)).alias(c) for c in ("n_allow", "n_block")))
     model = keep(gram_scores(counted), "model")
     both = counted.agg(((F.sum("n_allow") > 0) & (F.sum("n_block") > 0)).alias("both"))
-    pieces = texts.filter("text <> ''").select("text", F.explode(n_grams(F.col("text"), ORDER)).alias("gram"))
-    means = pieces.join(model, "gram").groupBy("text").agg(F.avg("d").alias("mean"))
-    scored = texts.join(means, "text", "left").crossJoin(F.broadcast(both)).withColumn("score", F.when(F.col("both"), F.coalesce("mean", F.lit(0.0))).otherwise(0.0))
-    scored = keep(scored.select("text", "score", "held", "n_allow", "n_block"), "scores")
+    pieces = texts.filter("text <> ''").select("tid", F.explode(n_grams(F.col("text"), ORDER)).alias("gram"))
+    means = pieces.join(model, "gram").groupBy("tid").agg(F.avg("d").alias("mean"))
+    scored = texts.join(means, "tid", "left").crossJoin(F.broadcast(both)).withColumn("score", F.when(F.col("both"), F.coalesce("mean", F.lit(0.0))).otherwise(0.0))
+    scored = keep(scored.select("tid", "score", "held", "n_allow", "n_block"), "scores")
     threshold = calibrated(scored.filter("held"))
-    ruled = judged.join(scored.select("text", "score"), "text").crossJoin(F.broadcast(threshold))  # one row
+    ruled = judged.drop("text").join(scored.select("tid", "score"), "tid").crossJoin(F.broadcast(threshold))  # one row
     verdict = F.coalesce("ruled", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block"))
     return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
