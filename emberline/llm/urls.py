@@ -80,7 +80,7 @@ def gram_scores(texts: DataFrame, order: int = ORDER) -> DataFrame:
 def calibrated(scored: DataFrame) -> DataFrame:
     """One row (threshold): least sum of both error rates over ``scored(score, n_allow, n_block)``, halfway to the score below."""
     steps = scored.withColumn("s", F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "score")) * 100).cast("int")).groupBy("s")
-    steps = steps.agg(F.sum("n_allow").alias("a"), F.sum("n_block").alias("b"))  # 4001 rows at most
+    steps = steps.agg(F.sum("n_allow").alias("a"), F.sum("n_block").alias("b")).filter("a + b > 0")  # 4001 rows at most
     up, whole = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     missed = F.try_divide(F.coalesce(F.sum("a").over(up), F.lit(0)), F.sum("a").over(whole))
     passed = F.try_divide(F.sum("b").over(whole) - F.coalesce(F.sum("b").over(up), F.lit(0)), F.sum("b").over(whole))
