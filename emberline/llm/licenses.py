@@ -55,7 +55,8 @@ def token_frequencies(docs: DataFrame) -> dict[bytes, int]:
         for pdf in batches:
             for text in pdf["text"]:
                 n.update(vocabulary.intersection(normalised_words(text)))
-        yield pd.DataFrame({"token": [t.decode("latin-1") for t in n], "n": list(n.values())})
+        if n:
+            yield pd.DataFrame({"token": [t.decode("latin-1") for t in n], "n": list(n.values())})
 
     rows = docs.select("text").mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r["token"].encode("latin-1"): r["n"] for r in rows}

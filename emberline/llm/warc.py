@@ -153,7 +153,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
                 if size >= ARCHIVE_BYTES:
                     flush()
         flush()
-        yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
+        if done:
+            yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
 
     return tagged.select("page_id", "url", "payload", "newest").mapInPandas(write, "archive string, records bigint, bytes bigint")
 
@@ -179,7 +180,8 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame | None = N
                     if size > 8 << 20:
                         yield pd.DataFrame(rows, columns=names)
                         rows, size = [], 0
-                yield pd.DataFrame(rows, columns=names)
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
     return files.select("archive", "content").mapInPandas(read, RECORDS)
 
