@@ -69,6 +69,7 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     line_id = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2")]
     n = F.size("words")
     seen = lines_of(docs).select("doc_id", "line_no", words_of(F.col("line")).alias("words")).select("doc_id", "line_no", *line_id, F.when(n >= MIN_WORDS, half_keys(F.col("words"), n)).alias("halves"))
+    seen = keep(seen, "occurrences")  # three texts' worth of splitting becomes two
     distinct = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("halves").alias("halves"))
     distinct = keep(distinct, "lines")
     halves = distinct.filter("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
@@ -79,7 +80,8 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = lines_of(docs).join(at, ["doc_id", "line_no"]).select("h1", "h2", "first", words_of(F.col("line")).alias("words"))
     lines = keep(lines.dropDuplicates(["h1", "h2"]), "candidates")
     size = F.size("words")
-    without = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, size))).alias("key"), i.alias("pos")))
+    # hashes fold over elements, so two slices hash as the line without the word between them
+    without = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.xxhash64(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, size)).alias("key"), i.alias("pos")))
     deleted = lines.select("h1", "h2", "first", size.alias("n"), F.explode(without).alias("v")).select("h1", "h2", "first", "n", "v.key", "v.pos")
     deleted = keep(deleted, "variants")
     # one word replaced: same length, same position deleted

@@ -140,6 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     if pos in (0, n):
         return np.empty(0, np.int64), np.empty(0), prior
     top = log_count_ratios(rows, features).sort_values("gram")
+    if not len(top):
+        return np.empty(0, np.int64), np.empty(0), prior
     grams, r = top["gram"].to_numpy(np.int64), top["r"].to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(grams)
 
