@@ -21,6 +21,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = sorted(catalog.ORACLE_SQL)
 
 
+@pytest.fixture(scope="module")
+def data(data):
+    return data.replace("sf0.001", "sf0.01")  # the smallest size at which the grid has no holes
+
+
 @pytest.fixture(scope="module")
 def db(data):
     c = duckdb.connect()
