@@ -69,7 +69,6 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     line_id = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2")]
     n = F.size("words")
     seen = lines_of(docs).select("doc_id", "line_no", words_of(F.col("line")).alias("words")).select("doc_id", "line_no", *line_id, F.when(n >= MIN_WORDS, half_keys(F.col("words"), n)).alias("halves"))
-    seen = keep(seen, "occurrences")  # three texts' worth of splitting becomes two
     distinct = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("halves").alias("halves"))
     distinct = keep(distinct, "lines")
     halves = distinct.filter("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
