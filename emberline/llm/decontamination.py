@@ -16,9 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,20 +58,29 @@ def automata(windows: dict[str, list[str]]) -> Iterator[list[tuple[str, list[str
         yield part
 
 
-_built: dict[int, object] = {}
+class Windows(NamedTuple):
+    """One broadcast list of windows: ``key`` is the scan and the list's number in it."""
 
+    key: tuple[str, int]
+    sent: Broadcast
 
-def _automaton(sent):
-    """Built once in each Python worker, for each broadcast list of windows."""
-    if (key := id(sent)) not in _built:
+
+_built: dict[tuple[str, int], object] = {}
+
+
+def _automaton(windows: Windows):
+    """Built once in each Python worker for each list of windows; a worker outlives scans and drops what earlier ones built."""
+    if windows.key not in _built:
         import ahocorasick
 
+        for other in [k for k in _built if k[0] != windows.key[0]]:
+            del _built[other]
         a = ahocorasick.Automaton()
-        for w, items in sent.value:
+        for w, items in windows.sent.value:
             a.add_word(w, (len(w), w.count(" ") - 1, items))
         a.make_automaton()
-        _built[key] = a
-    return _built[key]
+        _built[windows.key] = a
+    return _built[windows.key]
 
 
 def word_hits(text: str | None, automaton) -> tuple[int, list[tuple[int, int, list[str]]]]:
@@ -98,7 +110,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep_cols: list[str], spans: boo
             if item is not None and item not in (ids := windows.setdefault(w, [])):
                 ids.append(item)
     lists = list(automata(windows))
-    sent = [spark.sparkContext.broadcast(x) for x in lists]
+    scan_id = uuid.uuid4().hex
+    sent = [Windows((scan_id, i), spark.sparkContext.broadcast(x)) for i, x in enumerate(lists)]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep_cols), "`__n_words` bigint, `__n_hit` bigint, `__items` array<string>, `__spans` array<struct<start: bigint, stop: bigint>>"])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -244,6 +245,19 @@ def test_decontamination_matches_brute_force(spark):
         assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
 
 
+def test_each_scan_searches_its_own_benchmark(spark, monkeypatch):
+    for i in range(20):  # as in a reused worker: each list is freed before the next comes, often at the same address
+        sent = SimpleNamespace(key=(f"scan{i}", 0), value=[(f" only{i} ", [str(i)])])
+        sent.sent = SimpleNamespace(value=sent.value)
+        assert [ids for *_, ids in decontamination.word_hits(f"only{i} only{i - 1}", decontamination._automaton(sent))[1]] == [[str(i)]]
+    assert len(decontamination._built) == 1
+    monkeypatch.setattr(decontamination, "AUTOMATON_CHARS", 30)
+    docs = docs_of(spark, [(1, " ".join(f"only{i} here{i}" for i in range(12)), "a")])
+    bench = spark.createDataFrame([(i, f"only{i} here{i}") for i in range(12)], "item_id long, text string")
+    r = decontamination.decontaminate(docs, bench).first()
+    assert (r["n_words"], r["n_hit"], r["n_items"]) == (24, 24, 12)
+
+
 def test_spans_point_into_the_original(spark):
     item = " ".join(f"tok{i}" for i in range(13))
     text = "Prefix É, " + item.upper().replace(" ", " -- ") + ". After"
