@@ -5,6 +5,10 @@ sketches of parts can be merged by union and sketches of very unequal documents
 depends on the shingle alone, not on the document's length. Words are runs of anything but white space, A-Z
 lower-cased; a text of fewer than five words is one shingle.
 
+A sketch says little of a short text, and often nothing. So the fingerprint of a text of at most ``WHOLE`` different
+shingles also holds the rest of its hashes, each plus 2^32: two such texts are compared exactly, one such text and a
+longer one by their sketches.
+
 The query also fingerprints an edited text that borrows from the next document in descending id. Neighbours meet by a
 window over ranges of ids; each range also receives the first document of the range below, so no task holds more than
 its range. Ranges have equal width in ids.
@@ -23,6 +27,8 @@ from .common import ascii_lower, keep, parts
 
 SHINGLE = 5
 FRACTION = 0.25
+WHOLE = 64
+REST = 1 << 32
 
 
 def bound(value: Column, body) -> Column:
@@ -30,8 +36,8 @@ def bound(value: Column, body) -> Column:
     return F.flatten(F.transform(F.array(value), body))
 
 
-def sketch(text: Column, k: int = SHINGLE, fraction: float = FRACTION) -> Column:
-    """Sorted distinct kept hashes (their lower 32 bits)."""
+def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
+    """64-bit hashes of all shingles, with repeats."""
     words = F.filter(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def shingles(h: Column) -> Column:
@@ -39,30 +45,62 @@ def sketch(text: Column, k: int = SHINGLE, fraction: float = FRACTION) -> Column
         whole = F.array(F.xxhash64(h, F.size(h)))
         return F.when(F.size(h) >= k, runs).when(F.size(h) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
-    hashes = bound(F.transform(words, lambda w: F.xxhash64(w)), shingles)
-    kept = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 32) < int(fraction * (1 << 32)))
-    return F.sort_array(F.array_distinct(F.transform(kept, lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), shingles)
+
+
+def _low(hashes: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))))
+
+
+def _below(h: Column, fraction: float) -> Column:
+    return F.shiftrightunsigned(h, 32) < int(fraction * (1 << 32))
+
+
+def sketch(text: Column, k: int = SHINGLE, fraction: float = FRACTION) -> Column:
+    """Sorted distinct kept hashes (their lower 32 bits)."""
+    return _low(F.filter(shingle_hashes(text, k), lambda h: _below(h, fraction)))
+
+
+def fingerprint(text: Column, k: int = SHINGLE, fraction: float = FRACTION, whole: int = WHOLE) -> Column:
+    """Struct (kept, rest): the sketch, and the other hashes plus 2^32 of a text of at most ``whole`` shingles, else null."""
+
+    def split(hashes: Column) -> Column:
+        rest = F.transform(_low(F.filter(hashes, lambda h: ~_below(h, fraction))), lambda h: h + F.lit(REST))
+        return F.struct(_low(F.filter(hashes, lambda h: _below(h, fraction))).alias("kept"), F.when(F.size(hashes) <= whole, rest).alias("rest"))
+
+    return F.element_at(F.transform(F.array(F.array_distinct(shingle_hashes(text, k))), split), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles in all shingles of both, 0 to 1."""
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either > 0, both / either).otherwise(1.0)
+    """Share of common shingles in all shingles of both fingerprints, 0 to 1: exact for two short texts, else estimated."""
+
+    def share(x: Column, y: Column, empty) -> Column:
+        both = F.size(F.array_intersect(x, y))
+        either = F.size(x) + F.size(y) - both
+        return F.when(either > 0, both / either).otherwise(empty)
+
+    exact = share(F.concat(a["kept"], a["rest"]), F.concat(b["kept"], b["rest"]), 1.0)
+    return F.when(a["rest"].isNotNull() & b["rest"].isNotNull(), exact).otherwise(share(a["kept"], b["kept"], 0.0))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b holds; null where a's sketch is empty."""
+    """Estimated share of a's shingles that b holds, of two sketches; null where a's is empty."""
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def contained(a: Column, b: Column) -> Column:
+    """``containment`` of two fingerprints: exact for two short texts; null where nothing of a can be compared."""
+    exact = containment(F.concat(a["kept"], a["rest"]), F.concat(b["kept"], b["rest"]))
+    return F.when(a["rest"].isNotNull() & b["rest"].isNotNull(), exact).otherwise(containment(a["kept"], b["kept"]))
+
+
 def merged(sketches: DataFrame, key: str, col: str) -> DataFrame:
     """Sketch of the union of documents by ``key``: their sketches' union."""
     return sketches.select(key, F.explode(col).alias("h")).distinct().groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(col))
 
 
-def spelled(fingerprint: Column) -> Column:
-    return F.array_join(fingerprint.cast("array<string>"), ",")
+def spelled(print_: Column) -> Column:
+    return F.array_join(F.concat(print_["kept"], F.coalesce(print_["rest"], F.array().cast("array<bigint>"))).cast("array<string>"), ",")
 
 
 def fingerprint_documents(docs: DataFrame, per_range: int = 4_000) -> DataFrame:
@@ -78,7 +116,7 @@ def fingerprint_documents(docs: DataFrame, per_range: int = 4_000) -> DataFrame:
     up = Window.orderBy("zone")
     firsts = firsts.withColumn("also", F.coalesce(F.lead("zone").over(up), F.min("zone").over(Window.partitionBy())))
     firsts = keep(firsts.filter(F.col("doc_id").isNotNull()).select("doc_id", "also"), "firsts")
-    dealt = base.join(firsts, "doc_id", "left").withColumn("print", sketch(F.col("text")))
+    dealt = base.join(firsts, "doc_id", "left").withColumn("print", fingerprint(F.col("text")))
     own = F.struct("zone", F.lit(0).alias("guest"))
     guest = F.struct(F.col("also").alias("zone"), F.lit(1).alias("guest"))
     dealt = dealt.select("doc_id", "text", "print", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("doc_id", "text", "print", "at.*")
@@ -86,7 +124,7 @@ def fingerprint_documents(docs: DataFrame, per_range: int = 4_000) -> DataFrame:
     chars, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     paired = dealt.withColumn("next", F.coalesce(F.lead("text").over(order), "text")).withColumn("next_print", F.coalesce(F.lead("print").over(order), "print")).filter("guest = 0")
     edited = F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next", F.lit(1), half))
-    out = paired.select("doc_id", chars.cast("long").alias("n_chars"), edited.alias("edited"), "print", "next_print").withColumn("edited_print", sketch(F.col("edited")))
+    out = paired.select("doc_id", chars.cast("long").alias("n_chars"), edited.alias("edited"), "print", "next_print").withColumn("edited_print", fingerprint(F.col("edited")))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("print")).alias("fingerprint"), spelled(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),

@@ -382,6 +382,22 @@ def test_edited_text_and_likeness(spark, data):
     assert out["near_edited"].mean() > 0.25 and out["near_next"].mean() < 0.05
 
 
+def test_short_texts_are_compared_exactly(spark):
+    rows = [(i, " ".join(f"v{i}x{j % 15}" if j % 3 else f"w{j}" for j in range(i % 20 + 1)), "s") for i in range(200)]
+    rows += [(200, "", "s"), (201, None, "s"), (202, "same " * 300, "s"), (203, "other " * 300, "s"), (204, "one", "s"), (205, "one", "s")]
+    out = fingerprints.fingerprint_documents(docs_of(spark, rows)).toPandas().set_index("doc_id")
+    grams = lambda s: {tuple(w[j : j + 5]) for w in [words((s or "").translate(UPPER))] for j in range(max(1, len(w) - 4)) if w}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, (i, t, _) in enumerate(rows):
+        t, nxt = t or "", rows[k - 1][1] or ""
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert abs(out.loc[i]["near_next"] - share(grams(t), grams(nxt))) < 1e-9 and abs(out.loc[i]["near_edited"] - share(grams(t), grams(e))) < 1e-9, i
+        assert (out.loc[i]["fingerprint"] == "") == (not words(t))
+    assert out["fingerprint"].nunique() == len({frozenset(grams(t)) for _, t, _ in rows})
+    f = spark.createDataFrame([("a b", "a b"), ("a b", "c d"), ("", "a")], "a string, b string").select(fingerprints.contained(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b")))).collect()
+    assert [r[0] for r in f] == [1.0, 0.0, None]
+
+
 def test_sketches_merge_and_contain(spark):
     big = " ".join(f"t{i}" for i in range(8000))
     small = " ".join(f"t{i}" for i in range(1000, 1800))
