@@ -3,13 +3,13 @@
 Rules (host suffix and path prefix) decide first, the longest rule wins. The URLs they decide train two smoothed
 variable-order Markov models, one of accepted and one of rejected URLs: the probability of a character after its last
 four is a Witten-Bell mixture of the estimates after 4, 3, 2, 1 and 0 characters. A URL's score is the mean log
-ratio over its characters. The threshold is calibrated on one fifth of the decided URLs, which the counts leave out: the
+ratio over all its characters, scheme, query and fragment included; rules see host and path only. The threshold is calibrated on one fifth of the decided URLs, which the counts leave out: the
 score at which the two classes' error rates sum to the least.
 
 All counts are joins and aggregations over every URL; the models are tables, never collected. n-grams that many URLs
 share are counted before they meet the models.
 
-A null URL, or one without ``://``, has empty host and path; an empty text scores 0; with one class only the
+A null URL, or one without ``://``, has empty host and path, so no rule fits; a null or empty URL scores 0; with one class only the
 threshold is 0 and all scores are 0, so the verdict is allow; repeated rows are judged as often as they occur; an
 empty table gives an empty result; further columns are ignored.
 """
@@ -93,7 +93,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     """page_id, host, path, rule, verdict, score."""
     host, path = url_parts(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    judged = keep(judged.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), F.concat("host", "path").alias("text")).withColumn("tid", F.md5(F.encode("text", "UTF-8"))), "urls")
+    judged = keep(judged.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"), F.coalesce("url", F.lit("")).alias("text")).withColumn("tid", F.md5(F.encode("text", "UTF-8"))), "urls")
     texts = judged.groupBy("tid").agg(F.any_value("text").alias("text"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("n_allow"), F.count(F.when(F.col("ruled") == "block", 1)).alias("n_block"))
     held = F.crc32(F.encode("text", "UTF-8")) % 5 == 0
     texts = keep(texts.withColumn("held", held), "texts")

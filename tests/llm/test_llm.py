@@ -212,6 +212,14 @@ def test_method_separates_hosts_and_odd_input(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_query_fragment_and_bare_urls_are_judged(spark):
+    rows = [(i, f"http://site{i % 9}.org/fr/{i % 7}?page={i}") for i in range(400)] + [(400 + i, f"http://site{i % 9}.net/{i % 7}?casino=pills{i}#casino") for i in range(400)]
+    rows += [(800, "http://site3.info/5?page=31"), (801, "http://site3.info/5?casino=pills31#casino"), (802, "site3.info/5?page=31"), (803, "site3.info/5?casino=pills31#casino"), (804, "http://site3.info/5")]
+    out = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [out[i]["verdict"] for i in (800, 801, 802, 803)] == ["allow", "block", "allow", "block"]
+    assert len({out[i]["score"] for i in range(800, 805)}) == 5 and all(out[i]["rule"] is None for i in range(800, 805))
+
+
 # 4 decontamination
 
 
