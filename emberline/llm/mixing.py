@@ -130,11 +130,14 @@ def mix_documents(docs: DataFrame, block: int = 64, shard_slots: int = 16_384, s
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, with all their columns: each as often as the mix takes it on average.
 
-    ``taken / size`` is rounded up or down by a pseudorandom draw from the id, so the expected words of a source stay
-    those of the mix; documents drawn 0 times, and those without words, are not in it. No document comes more than CAP times.
+    ``taken / size`` is rounded up or down by a pseudorandom draw, so the expected words of a source stay those of the
+    mix; documents drawn 0 times, and those without words, are not in it. No document comes more than CAP times. Rows are
+    told apart by id (which may be null), text and source; rows equal in all three share their mean.
     """
-    taken = mix_documents(docs, **how)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(F.max(F.col("taken") / F.col("size")) + F.first(draw)).cast("int")
-    copies = taken.filter("taken > 0").groupBy("doc_id").agg(F.least(F.lit(CAP), times).alias("copies")).filter("copies > 0")
-    return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text"), F.xxhash64("source"))
+    rows = docs.withColumn("__row", key)
+    taken = mix_documents(rows, id_col="__row", **how).withColumnRenamed("doc_id", "__row")
+    draw = F.pmod(F.xxhash64("__row", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
+    times = F.floor(F.sum("taken") / F.sum("size") + F.first(draw)).cast("int")
+    copies = taken.filter("size > 0").groupBy("__row").agg(F.least(F.lit(CAP), times).alias("copies")).filter("copies > 0")
+    return rows.join(copies, "__row").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")

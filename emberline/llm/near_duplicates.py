@@ -209,6 +209,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """One document of each near-duplicate group, with all columns; documents without words all stay."""
-    keepers = near_duplicates(docs, **how).filter("kept").select("doc_id").distinct()
-    return docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each near-duplicate group, with all columns; rows without words all stay.
+
+    Rows are numbered in order of id and text (null ids last) and judged by that number, so null and repeated ids lose
+    nothing but copies.
+    """
+    order = F.col("doc_id").asc_nulls_last(), F.xxhash64("text")
+    rows = keep(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    keepers = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **how).filter("kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(keepers, "__row", "left_semi").select(*docs.columns)

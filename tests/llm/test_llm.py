@@ -599,3 +599,22 @@ def test_pipeline_on_an_empty_table(spark, data, none):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.keep(stage(spark, docs, data), f"empty-{name}")
         assert docs.count() == 0
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark, data):
+    import corpus_pipeline
+
+    text = lambda i: " ".join(f"d{i}w{j}" for j in range(70))
+    rows = [(None, text(0), "a"), (None, text(1), "a"), (None, text(1), "a"), (5, text(2), "a"), (5, text(3), "a"), (5, text(3) + " end", "a"), (6, text(4), "a"), (None, text(4), "a")]
+    rows += [(None, "", "a"), (None, None, "a"), (7, "", "a")]
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    tell = lambda df: sorted((r["doc_id"] or 0, (r["text"] or "").split(" ")[0], (r["text"] or "")[-3:] == "end") for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert len(tell(stages["toxicity"](spark, docs, data))) == len(tell(stages["decontamination"](spark, docs, data))) == len(rows)
+    once = stages["near_dedup"](spark, docs, data)
+    got = [(i, t) for i, t, _ in tell(once)]
+    assert got == [(0, ""), (0, ""), (0, "d0w0"), (0, "d1w0"), (5, "d2w0"), (5, "d3w0"), (6, "d4w0"), (7, "")]
+    # one source alone is taken whole once, up to the blocks' rounding
+    mixed = {(i, t) for i, t, _ in tell(stages["mixing"](spark, docs.union(docs), data))}
+    assert mixed == {(i or 0, (t or "").split(" ")[0]) for i, t, _ in rows if t}
+    assert len(tell(docs)) == sum(r["n"] for r in stages["sharding"](spark, docs, data).groupBy("shard").agg(F.count("*").alias("n")).collect())
