@@ -5,8 +5,8 @@ with the largest id is a ``response`` record, the others are ``revisit`` records
 of about ``ARCHIVE_BYTES`` under names that no other attempt uses, and report them in a manifest; only archives of
 attempts that Spark committed are in it, so a lost executor leaves files that nobody reads.
 
-Reading: archives come through Spark's ``binaryFile`` source, so any store that Spark reads will do. A member is taken
-if it inflates and the record's length and digest hold. After a failed check the reader looks for the next gzip member
+Reading: archives come through Spark's ``binaryFile`` source, so any store that Spark reads will do. A record is taken
+if its length and digest hold, and all such records of a member, be they one or many, if the member inflates. After a failed check the reader looks for the next gzip member
 or plain ``WARC/1.`` version line from which a whole record can be read, goes on there, and logs the bytes between as a
 gap.
 
@@ -96,25 +96,41 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), at - len(z.unused_data)) if z.eof else None
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(start, stop, headers, payload) of each record in order; headers are None for a gap of unreadable bytes."""
+def salvage(data: bytes, packed: bool = True) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """(start, stop, headers, payload) of each record in order; headers are None for a gap of unreadable bytes.
+
+    Records of a gzip member, and unread stretches beside them, have the member's start and stop. Members are looked for
+    only if ``packed``.
+    """
     at, bad = 0, None
     while at < len(data):
         stop, got = at, None
-        if data[at : at + 3] == b"\x1f\x8b\x08":
+        if packed and data[at : at + 3] == b"\x1f\x8b\x08":
             if plain := inflate(data, at):
-                stop, got = plain[1], parse_record(plain[0])
+                gaps = 0
+                for _, _, headers, payload in salvage(plain[0], packed=False):
+                    if headers is None and stop == at:  # gaps before the first record
+                        gaps += 1
+                        continue
+                    if stop == at:
+                        if bad is not None:
+                            yield bad, at, None, b""
+                            bad = None
+                        stop = plain[1]
+                        for _ in range(gaps):
+                            yield at, stop, None, b""
+                    yield at, stop, headers, payload
         elif got := parse_record(data, at):
             stop = got[2]
-        if got:
             if bad is not None:
                 yield bad, at, None, b""
                 bad = None
             yield at, stop, got[0], got[1]
+        if stop > at:
             at = stop
             continue
         bad = at if bad is None else bad
-        after = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
+        after = [x for x in (data.find(b"\x1f\x8b\x08", at + 1) if packed else -1, data.find(b"WARC/1.", at + 1)) if x >= 0]
         at = min(after, default=len(data))
     if bad is not None:
         yield bad, len(data), None, b""

@@ -558,6 +558,16 @@ def test_salvage_recovers_around_damage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_reads_members_of_several_records():
+    recs = [warc.page_record(i, "u", bytes([65 + i]) * 500, warc.base32_sha1(bytes([65 + i]) * 500), None) for i in range(6)]
+    broken = recs[1].replace(b"B" * 500, b"B" * 499 + b"x")
+    first, second, third = warc.member(broken + recs[0] + broken + recs[2]), warc.member(b"".join(recs[3:])), warc.member(broken)
+    ends = np.cumsum([2, len(first), len(second), len(third)]).tolist()
+    got = [(s, e, h and h["warc-record-id"]) for s, e, h, _ in warc.salvage(b"??" + first + second + third)]
+    page = "<urn:page:{}>".format
+    assert got == [(0, 2, None), *((ends[0], ends[1], x) for x in (None, page(0), None, page(2))), *((ends[1], ends[2], page(i)) for i in (3, 4, 5)), (ends[2], ends[3], None)]
+
+
 # registered SQL and the pipeline
 
 
