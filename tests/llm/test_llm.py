@@ -240,9 +240,9 @@ def brute_hits(text, items):
 def test_decontamination_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     pick = lambda n: " ".join(rng.choice(list("abcdef"), n))
-    items = [(i, pick(int(n))) for i, n in enumerate(rng.integers(1, 30, 12))] + [(50, ""), (51, None), (52, "É a-b C"), (2, None)]
+    items = [(i, pick(int(n))) for i, n in enumerate(rng.integers(1, 30, 12))] + [(50, ""), (51, None), (52, "É a-b C"), (2, None)]  # item 2 has two rows
     rows = [(i, pick(int(n)), "s") for i, n in enumerate(rng.integers(0, 200, 60))]
-    rows += [(100 + i, f"x {t or ''}! y".replace(" ", ",\n "), "s") for i, t in items] + [(99, None, "s"), (98, LONG, "s")]
+    rows += [(100 + i, f"x {t or ''}! y".replace(" ", ",\n "), "s") for i, (_, t) in enumerate(items)] + [(99, None, "s"), (98, LONG, "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = {r["doc_id"]: r for r in decontamination.decontaminate(docs_of(spark, rows), bench).collect()}
     for i, t, _ in rows:
@@ -315,19 +315,20 @@ def test_toxicity_odd_input(spark, odd, none):
 
 
 def brute_lines(rows):
-    seen, keep = {}, {}
-    order = sorted(((i, k, tuple(words(x))) for i, t, _ in rows if t is not None for k, x in enumerate(t.split("\n"))), key=lambda x: (x[0], x[1]))
+    """Whether each line (row, line number) stays; rows in order of id, null first, rows of one id in any order."""
+    seen, keep = set(), {}
     firsts = []
-    for i, k, w in order:
-        if not w:
-            keep[i, k] = True
-        elif w in seen:
-            keep[i, k] = False
-        else:
-            near = len(w) >= 8 and any(len(v) >= 8 and apart(v, w) for v in firsts)
-            seen[w] = True
-            firsts.append(w)
-            keep[i, k] = not near
+    for r, (_, t, _) in sorted(enumerate(rows), key=lambda x: -1 if x[1][0] is None else x[1][0]):
+        for k, x in enumerate((t or "").split("\n")):
+            w = tuple(words(x))
+            if not w:
+                keep[r, k] = True
+            elif w in seen:
+                keep[r, k] = False
+            else:
+                keep[r, k] = not (len(w) >= 8 and any(len(v) >= 8 and apart(v, w) for v in firsts))
+                seen.add(w)
+                firsts.append(w)
     return keep
 
 
@@ -337,7 +338,8 @@ def apart(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) == 1
     a, b = sorted((a, b), key=len)
-    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return b[:i] + b[i + 1 :] == a
 
 
 def test_lines_match_brute_force(spark):
@@ -362,7 +364,26 @@ def test_lines_match_brute_force(spark):
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
     for i, t, _ in rows:
         want = [x for k, x in enumerate(t.split("\n")) if keep[i, k]]
-        assert out[i]["text"] == "\n".join(want) and out[i]["n_kept"] == len(want), i
+        assert out[i]["n_lines"] == len(t.split("\n")) and out[i]["text"] == "\n".join(want) and out[i]["n_kept"] == len(want), i
+
+
+def test_long_lines_nulls_and_repeated_ids(spark):
+    long = LONG.split(" ")
+    at = lambda i, *w: " ".join([*long[:i], *w, *long[i + 1 :]])
+    common = "this is the notice that stands everywhere\n"
+    rows = [(1, LONG, "s"), (3, at(40_000, "other"), "s"), (4, at(7), "s"), (5, at(59_999, long[59_999], "more"), "s"), (6, at(3, "a") + " b", "s")]
+    rows += [(None, common + "no id here", "s"), (None, "also no id\n\n" + common, "s"), (2, common + "one text", "s"), (2, "wholly different words\t here ", "s")]
+    rows += [(7, "one  text\nwholly different words here\n \nno id\there", "s"), (8, common * 3000, "s")]
+    keep, out = brute_lines(rows), defaultdict(list)
+    for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect():
+        out[r["doc_id"]].append(r["text"])
+    want = defaultdict(list)
+    for r, (i, t, _) in enumerate(rows):
+        want[i].append("\n".join(x for k, x in enumerate(t.split("\n")) if keep[r, k]))
+    assert [len(want[i][0]) for i in (1, 3, 4, 5)] == [len(LONG), 0, 0, 0] and want[7] == [" "] and len(want[6][0]) > 1000
+    # of the two rows without id either may come first
+    assert sum(common.strip() in t for t in out.pop(None)) == 1 and want.pop(None)
+    assert {i: sorted(x) for i, x in out.items()} == {i: sorted(x) for i, x in want.items()}
 
 
 def test_lines_odd_input(odd, none):
