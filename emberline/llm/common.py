@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Words as runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words as runs of a-z, 0-9 and everything beyond ASCII, after A-Z is lower-cased.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Spark's setting that removes the shuffles of a query once it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,7 +64,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     Once the table is written, the shuffles that led to it are of no more use and go.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with setting(spark, CLEANUP, "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,7 +87,38 @@ def parts(rows: int, per_part: int, least: int = 8) -> int:
     return max(least, -(-rows // per_part))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if a column has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def judged(docs: DataFrame, columns: list[str], made: str, setup: Callable[[], Callable[[list], tuple[list, ...]]], text: str = "text") -> DataFrame:
+    """``columns`` of each row beside the columns ``made`` (a DDL schema) that Python gives for its text.
+
+    Once a task, ``setup()`` returns a function from a list of texts to one list a column. The other columns pass as Arrow
+    arrays, so ids of any size, nulls and types stay as they are.
+    """
+    new = StructType.fromDDL(made)
+    types = [(f.name, to_arrow_type(f.dataType)) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = setup()
+        for batch in batches:
+            kept = batch.columns[:-1]
+            lists = judge(batch.column(len(kept)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, (_, t) in zip(lists, types))], names=[*columns, *(n for n, _ in types)])
+
+    schema = StructType([*(docs.schema[c] for c in columns), *new.fields])
+    return small_batches(docs).select(*columns, F.col(text).alias(unused(docs, "text_"))).mapInArrow(run, schema)
+
+
 def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """Send ``rows`` rows at a time to Python: whole texts are long, and a worker should hold few of them."""
+    """Send ``rows`` rows at a time to Python: whole texts are long, and a worker should hold few of them.
+
+    Spark reads this setting when the returned frame runs, so it stays set in the session.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df

@@ -5,11 +5,13 @@ item as a whole. Text and windows are normalised to words between single spaces,
 is a match of whole words. A text is scanned once, whole; matches are mapped back to word positions and, for the
 spans, to offsets in the original text.
 
-The windows travel to the tasks as one list of at most ``AUTOMATON_CHARS`` characters; a larger benchmark is cut
-into several automata that scan in turn, and their hits are joined.
+Spark makes the windows distinct; they travel to the tasks as lists of at most ``AUTOMATON_CHARS`` characters, so a larger
+benchmark is cut into several automata that scan in turn, and their hits are joined. Beyond ``BENCHMARK_CHARS`` in all a
+scan is refused, and the benchmark's parts are scanned one after the other.
 
-Null and empty texts have no words; null and empty items have no window; repeated items count once by id; repeated
-documents are judged as often as they occur; empty tables give empty or clean results; further columns are ignored.
+Null and empty texts have no words; very long texts are scanned whole; null and empty items have no window, nor have items
+without id; an id with several rows is one item; repeated documents are judged as often as they occur; empty tables give
+empty or clean results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +22,15 @@ import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import drop, judged, keep, unused
 
 WINDOW = 13
 AUTOMATON_CHARS = 40_000_000
+BENCHMARK_CHARS = 10 * AUTOMATON_CHARS
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in _KEEP or 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -98,67 +100,78 @@ def word_hits(text: str | None, automaton) -> tuple[int, list[tuple[int, int, li
     return len(words), found
 
 
-CONTAMINATED = "__n_hit > 0 AND 20 * __n_hit >= __n_words"
+def windows_in(benchmark: DataFrame) -> DataFrame:
+    """window, items (distinct ids as text): the distinct windows of all items."""
 
+    def setup():
+        return lambda texts: ([windows_of(normalised_words(t)) for t in texts],)
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep_cols: list[str], spans: bool = False) -> DataFrame:
-    """``keep_cols`` of each document with __n_words, __n_hit, __items and, if wanted, __spans as offsets in the text."""
+    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    windows = judged(items, ["item"], "windows array<string>", setup)
+    return windows.select("item", F.explode("windows").alias("window")).groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, keep_cols: list[str], spans: bool = False) -> tuple[DataFrame, str]:
+    """``keep_cols`` of each document and a struct (n_words, n_hit, items, spans); its name is returned too.
+
+    The benchmark's distinct windows go to the driver and the workers; more than ``BENCHMARK_CHARS`` are refused.
+    """
     spark = docs.sparkSession
-    windows: dict[str, list[str]] = {}
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").distinct().toLocalIterator():
-        for w in windows_of(normalised_words(text)):
-            if item is not None and item not in (ids := windows.setdefault(w, [])):
-                ids.append(item)
-    lists = list(automata(windows))
+    found = keep(windows_in(benchmark), "windows")
+    chars = found.agg(F.coalesce(F.sum(F.length("window")), F.lit(0))).first()[0]
+    if chars > BENCHMARK_CHARS:
+        raise ValueError(f"{chars} characters of windows: scan the benchmark in parts of {BENCHMARK_CHARS}")
+    lists = list(automata({r["window"]: r["items"] for r in found.toLocalIterator()}))
+    drop(found)
     scan_id = uuid.uuid4().hex
     sent = [Windows((scan_id, i), spark.sparkContext.broadcast(x)) for i, x in enumerate(lists)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep_cols), "`__n_words` bigint, `__n_hit` bigint, `__items` array<string>, `__spans` array<struct<start: bigint, stop: bigint>>"])
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n_words, n_hit, all_items, all_spans = [], [], [], []
-            for text in pdf["text"]:
-                n, found = 0, []
-                for b in sent:
-                    n, more = word_hits(text, _automaton(b))
-                    found += more
-                if not sent:
-                    n = len(normalised_words(text))
-                items, ranges = set(), []
-                for first, length, ids in sorted(found, key=lambda x: x[:2]):
-                    items.update(ids)
-                    if ranges and first <= ranges[-1][1]:
-                        ranges[-1][1] = max(ranges[-1][1], first + length)
-                    else:
-                        ranges.append([first, first + length])
-                hit = sum(b - a for a, b in ranges)
-                out = []
-                if spans and ranges:
-                    at = [(m.start(), m.end()) for m in _ORIGINAL_WORD.finditer(text)]
-                    out = [{"start": at[a][0], "stop": at[b - 1][1]} for a, b in ranges]
-                n_words.append(n), n_hit.append(hit), all_items.append(sorted(items)), all_spans.append(out)
-            yield pdf[keep_cols].assign(__n_words=n_words, __n_hit=n_hit, __items=all_items, __spans=all_spans)
-
-    return small_batches(docs).select(*dict.fromkeys([*keep_cols, "text"])).mapInPandas(judge, schema)
+
+    def judge(text: str | None) -> dict:
+        n, found = len(normalised_words(text)) if not sent else 0, []
+        for b in sent:
+            n, more = word_hits(text, _automaton(b))
+            found += more
+        items, ranges = set(), []
+        for first, length, ids in sorted(found, key=lambda x: x[:2]):
+            items.update(ids)
+            if ranges and first <= ranges[-1][1]:
+                ranges[-1][1] = max(ranges[-1][1], first + length)
+            else:
+                ranges.append([first, first + length])
+        out = []
+        if spans and ranges:
+            at = [(m.start(), m.end()) for m in _ORIGINAL_WORD.finditer(text)]
+            out = [{"start": at[a][0], "stop": at[b - 1][1]} for a, b in ranges]
+        return {"n_words": n, "n_hit": sum(b - a for a, b in ranges), "items": sorted(items), "spans": out}
+
+    name = unused(docs, "scan")
+    made = f"{name} struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: bigint, stop: bigint>>>"
+    return judged(docs, keep_cols, made, lambda: lambda texts: ([judge(t) for t in texts],)), name
+
+
+def contaminated(scan_: str) -> Column:
+    return F.expr(f"{scan_}.n_hit > 0 AND 20 * {scan_}.n_hit >= {scan_}.n_words")
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Merged hit ranges as code-point offsets into the original text: doc_id, start, stop."""
-    hits = scan(docs, benchmark, ["doc_id"], spans=True)
-    return hits.select("doc_id", F.explode("__spans").alias("s")).select("doc_id", "s.start", "s.stop")
+    hits, x = scan(docs, benchmark, ["doc_id"], spans=True)
+    return hits.select("doc_id", F.explode(f"{x}.spans").alias("s")).select("doc_id", "s.start", "s.stop")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verdict for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return scan(docs, benchmark, ["doc_id"]).select(
-        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"),
+    hits, x = scan(docs, benchmark, ["doc_id"])
+    return hits.select(
+        "doc_id", f"{x}.n_words", f"{x}.n_hit", F.size(f"{x}.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(f"{x}.items", ","), 256).alias("items_sha256"), contaminated(x).alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents whose share of hit words stays under one in twenty, with all their columns."""
-    return scan(docs, benchmark, docs.columns).filter(f"NOT ({CONTAMINATED})").select(*docs.columns)
+    hits, x = scan(docs, benchmark, docs.columns)
+    return hits.filter(~contaminated(x)).select(*docs.columns)
 
 
 #: The same verdicts as DuckDB SQL.

@@ -3,29 +3,31 @@
 A-Z is lower-cased and words are runs of ``ALNUM_WORD``. Base labels come from phrases whose words stand consecutively.
 The join finds every block (paragraph: text between empty lines) whose words hold at least ``CONTAINMENT`` of a
 template's distinct words: tokens are ordered by their frequency over all documents, rarest first; a block is a
-candidate only if it holds a token of the template's prefix (one of the first |T| - need + 1) and is long enough; from the
-first common token on, the pair is given up as soon as what is left in either list cannot reach the need. These filters
-are exact; what they let through is counted fully. Templates are a short fixed list, so they travel to the tasks.
+candidate only if it holds a token of the template's prefix (one of the first |T| - need + 1, found through an inverted
+index) and is long enough; from the first common token on, the pair is given up as soon as what is left in either list
+cannot reach the need. These filters are exact; what they let through is counted fully. Templates are a parameter: rows
+(label, text), ``TEMPLATES`` where none are given. They travel to the tasks, so their size is checked (``TEMPLATE_CHARS``).
 
 score is 1 where a phrase stands, else the best containment of the blocks found, else 0. Null and empty texts have no
-words, no labels and score 0; repeated rows are scanned as often as they occur; an empty table gives an empty result;
-further columns are ignored.
+words, no labels and score 0; very long texts are scanned whole; repeated rows are scanned as often as they occur; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import judged, small_batches
 from .decontamination import normalised_words
 
 CONTAINMENT = 0.8
+TEMPLATE_CHARS = 50_000_000
 #: Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Standard notices of common licences.
@@ -42,13 +44,13 @@ TEMPLATES = (
 )
 
 
-def template_sets() -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(normalised_words(text))) for label, text in TEMPLATES]
+def template_sets(templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
+    return [(label, t) for label, text in templates if (t := frozenset(normalised_words(text)))]
 
 
-def token_frequencies(docs: DataFrame) -> dict[bytes, int]:
-    """Documents that hold each template token, over all documents; the tokens are a fixed few."""
-    vocabulary = frozenset().union(*(t for _, t in template_sets()))
+def token_frequencies(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> dict[bytes, int]:
+    """Documents that hold each template token, over all documents; the tokens are those of the templates, so bounded."""
+    vocabulary = frozenset().union(*(t for _, t in template_sets(templates)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
@@ -63,33 +65,32 @@ def token_frequencies(docs: DataFrame) -> dict[bytes, int]:
 
 
 class Templates:
-    """Templates with tokens in global order, and the tokens of their prefixes."""
+    """Templates with tokens in global order under an inverted index of their prefixes."""
 
-    def __init__(self, frequency: dict[bytes, int]) -> None:
+    def __init__(self, templates: Sequence[tuple[str, str]], frequency: dict[bytes, int]) -> None:
         self.rank = lambda t: (frequency.get(t, 0), t)
-        self.all = []
-        for label, tokens in template_sets():
+        self.all: list[tuple[str, list[bytes], int]] = []
+        self.under: dict[bytes, list[int]] = {}
+        for label, tokens in template_sets(templates):
             need = math.ceil(CONTAINMENT * len(tokens) - 1e-9)
             ordered = sorted(tokens, key=self.rank)
-            self.all.append((label, ordered, need, frozenset(ordered[: len(ordered) - need + 1])))
-        self.vocabulary = frozenset().union(*(o for _, o, _, _ in self.all))
-        self.prefixes = frozenset().union(*(p for *_, p in self.all))
+            for t in ordered[: len(ordered) - need + 1]:
+                self.under.setdefault(t, []).append(len(self.all))
+            self.all.append((label, ordered, need))
+        self.vocabulary = frozenset().union(*(o for _, o, _ in self.all))
 
     def found(self, text: str | None, words: list[bytes]) -> dict[str, float]:
         """Best containment per label of the blocks that meet the threshold."""
         out: dict[str, float] = {}
-        if self.prefixes.isdisjoint(words):
+        if self.under.keys().isdisjoint(words):
             return out
         for block in text.split("\n\n"):
             held = self.vocabulary.intersection(normalised_words(block))
-            if self.prefixes.isdisjoint(held):
-                continue
-            b = sorted(held, key=self.rank)
-            for label, t, need, prefix in self.all:
-                if len(b) >= need and not prefix.isdisjoint(held):
-                    n = overlap(t, b, need, self.rank)
-                    if n >= need:
-                        out[label] = max(out.get(label, 0.0), n / len(t))
+            candidates = {i for t in held for i in self.under.get(t, ())}
+            b = sorted(held, key=self.rank) if candidates else []
+            for label, t, need in (self.all[i] for i in candidates):
+                if len(b) >= need and (n := overlap(t, b, need, self.rank)) >= need:
+                    out[label] = max(out.get(label, 0.0), n / len(t))
         return out
 
 
@@ -122,27 +123,30 @@ def phrase_places(words: list[bytes]) -> tuple[int, int | None, int | None, set[
     return n, min(starts, default=None), max(starts, default=None), labels
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    if sum(len(text) for _, text in templates) > TEMPLATE_CHARS:
+        raise ValueError(f"templates of more than {TEMPLATE_CHARS} characters: scan with one part of them at a time")
     docs = small_batches(docs.select("doc_id", "text"))
-    templates = docs.sparkSession.sparkContext.broadcast(token_frequencies(docs))
+    frequency = docs.sparkSession.sparkContext.broadcast(token_frequencies(docs, templates))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Templates(templates.value)
-        for pdf in batches:
+    def setup():
+        known = Templates(templates, frequency.value)
+
+        def scan(texts: list) -> tuple[list]:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in texts:
                 words = normalised_words(text)
                 n, first, last, base = phrase_places(words)
                 more = known.found(text, words)
                 score = 1.0 if n else max(more.values(), default=0.0)
-                rows.append((doc_id, len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(base | more.keys())), score))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
-            yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+                rows.append({"n_words": len(words), "n_base": n, "first_word": first, "last_word": last, "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | more.keys())), "score": score})
+            return (rows,)
+
+        return scan
 
-    return docs.select("doc_id", "text").mapInPandas(
-        scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    )
+    made = "found struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: string, labels: string, score: double>"
+    return judged(docs, ["doc_id"], made, setup).select("doc_id", "found.*")
 
 
 def oracle() -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import drop, keep
 
 MIN_WORDS = 8
-BROADCAST_DOCS = 200_000
+BROADCAST_LINES = 200_000
 LINE = ["h1", "h2"]
 
 
@@ -77,7 +77,7 @@ def candidate_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("half")
     near = halves.join(shared, "half", "left_semi").select(*LINE).distinct().join(distinct.drop("halves"), LINE)
     wanted = keep(near.groupBy("first.doc_id", "first.rid").agg(F.collect_list(F.struct(*LINE, "first")).alias("wanted")), "wanted")
-    texts, small = documents_of(docs), wanted.count() <= BROADCAST_DOCS
+    texts, small = documents_of(docs), (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
     found = texts.join((F.broadcast(wanted) if small else wanted).withColumnRenamed("doc_id", "of").withColumnRenamed("rid", "at"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("rid") == F.col("at")))
     found = found.withColumn("lines", F.split("text", "\n")).select(F.explode(F.transform("wanted", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["first"].alias("first"), F.get("lines", x["first"]["line_no"]).alias("line")))).alias("x"))
     out = keep(found.select("x.*").withColumn("line", F.trim(one_space(F.col("line")))).dropDuplicates(LINE), "candidates")

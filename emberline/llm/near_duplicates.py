@@ -17,26 +17,27 @@
 
 The number of bands makes the chance to miss a pair at the threshold less than one in a million.
 
-Null and empty texts have no shingles and are linked with nothing; repeated rows are documents with equal sets; an
-empty table gives an empty result; further columns are ignored.
+Null and empty texts have no shingles and are linked with nothing; repeated rows are documents with equal sets; of rows
+that share an id but not the text, that of the smallest digest is compared; a row without id joins the group of its equal
+copies with one, else stands alone; very long texts are hashed whole; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import drop, judged, keep, unused
 from .shingles import _BYTE, mix, shingle_sets
 
 ROWS_PER_BAND = 5
 BROADCAST_IDS = 2_000_000
 BITMAP = 2048
+SALTS = 16
 _U = np.uint64
 
 
@@ -75,47 +76,49 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(key + np.arange(1, v.shape[1] + 1, dtype=np.uint64) * _U(0x2545F4914F6CDD1D)).view(np.int64)
 
 
+def digest_of(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell shingle sets apart."""
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + _U(99))).view(np.int64)) if len(s) else 0
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (digest of the set), bands."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, sets, size = [], [], 0
-            for doc_id, s in zip(pdf["doc_id"], shingle_sets(pdf["text"], k)):
-                ids.append(doc_id), sets.append(s)
+    def setup():
+        def sign(texts: list) -> tuple[list, ...]:
+            out, sets, size = [], [], 0
+            for s in shingle_sets(texts, k):
+                sets.append(s)
                 size += len(s)
-                if size > 100_000 or len(sets) == 1000:
-                    yield frame(ids, sets)
-                    ids, sets, size = [], [], 0
-            if ids:
-                yield frame(ids, sets)
+                if size > 100_000:
+                    out += described(sets)
+                    sets, size = [], 0
+            return tuple(map(list, zip(*out, *described(sets)))) if texts else ([], [], [], [])
 
-    def frame(ids, sets) -> pd.DataFrame:
-        keys = band_keys(super_minhash(sets, bands * rows), rows)
-        return pd.DataFrame({
-            "doc_id": pd.array(ids, "Int64"),
-            "n_shingles": [len(s) for s in sets],
-            "d1": [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets],
-            "d2": [int(np.bitwise_xor.reduce(mix(s + _U(99))).view(np.int64)) if len(s) else 0 for s in sets],
-            "bands": [key if len(s) else key[:0] for key, s in zip(keys, sets)],
-        })
+        return sign
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    def described(sets: list[np.ndarray]) -> list[tuple]:
+        keys = band_keys(super_minhash(sets, bands * rows), rows) if sets else []
+        return [(len(s), *digest_of(s), key if len(s) else key[:0]) for s, key in zip(sets, keys)]
+
+    return judged(docs, ["doc_id"], "n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>", setup)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets and their parity bitmaps (id, set, bits) of the documents in ``ids(id)``."""
+    """Full shingle sets and their parity bitmaps (id, set, bits) of the documents in ``ids(id, e1, e2)``, with these digests."""
     few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
+
+    def setup():
+        def collect(texts: list) -> tuple[list, ...]:
+            sets = list(shingle_sets(texts, k))
+            digests = [digest_of(s) for s in sets]
+            return [s.view(np.int64) for s in sets], [parity(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests]
 
-    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 100):
-                part = pdf.iloc[i : i + 100]
-                sets = list(shingle_sets(part["text"], k))
-                yield pd.DataFrame({"id": part["id"], "set": [s.view(np.int64) for s in sets], "bits": [parity(s) for s in sets]})
+        return collect
 
-    return wanted.mapInPandas(collect, "id long, set array<long>, bits array<long>").dropDuplicates(["id"])
+    found = judged(wanted, ["id", "e1", "e2"], "set array<bigint>, bits array<bigint>, d1 bigint, d2 bigint", setup)
+    return found.filter("d1 = e1 and d2 = e2").select("id", "set", "bits").dropDuplicates(["id"])
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -142,8 +145,10 @@ def components(edges: DataFrame) -> DataFrame:
         linked = parent.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("up"))
         up = parent.select(F.col("id").alias("up"), F.col("comp").alias("upper"))
         step = keep(linked.join(up, "up").select("id", "old", F.least("up", "upper").alias("comp")), "parents")
+        drop(parent)
         parent = step.select("id", "comp")
         if not step.filter("old <> comp").limit(1).count():
+            drop(both)
             return parent
 
 
@@ -156,24 +161,27 @@ def reach(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: int = ROWS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
-    docs = small_batches(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     bands = bands_for(num / den, rows)
     sigs = keep(signatures(docs, k, bands, rows), "signatures")
     digest = ["n_shingles", "d1", "d2"]
-    reps = keep(sigs.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep")), "representatives")
-    # representatives under each band key, and the smallest of each key that has several
-    banded = sigs.join(reps.withColumn("doc_id", F.col("rep")), ["doc_id", *digest]).dropDuplicates(["rep"]).select("rep", F.explode("bands").alias("key"))
+    reps = keep(sigs.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "representatives")
+    # one set an id, also where rows share the id; then representatives under each band key, and the smallest of each key that has several
+    nodes = reps.filter("rep is not null").groupBy("rep").agg(F.min(F.struct(*digest)).alias("d")).select("rep", "d.*")
+    banded = sigs.join(nodes.withColumn("doc_id", F.col("rep")), ["doc_id", *digest]).dropDuplicates(["rep"]).select("rep", "d1", "d2", F.explode("bands").alias("key"))
 
     def buckets(x: DataFrame) -> DataFrame:
         shared = x.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("top")).filter("centre <> top").select("key", "centre")
         return keep(x.join(shared, "key"), "buckets")
 
-    members = buckets(keep(banded, "bands"))
-    sets = keep(sets_of(docs, members.select(F.col("rep").alias("id")).distinct(), k), "sets")
+    spread = keep(banded, "bands")
+    found = buckets(spread)
+    sets = keep(sets_of(docs, found.select(F.col("rep").alias("id"), F.col("d1").alias("e1"), F.col("d2").alias("e2")).distinct(), k), "sets")
     able = keep(reach(sets, num, den), "able")
-    members = buckets(members.drop("centre").join(able.select(F.col("id").alias("rep"), "n", "most"), "rep"))
-    checked = members.filter("rep <> centre").groupBy("rep").agg(F.min("centre").alias("a")).select("a", F.col("rep").alias("b"))
-    checked = keep(checked, "pairs")
+    members = buckets(found.drop("centre", "d1", "d2").join(able.select(F.col("id").alias("rep"), "n", "most"), "rep"))
+    drop(spread, found)
+    first = keep(members.filter("rep <> centre").groupBy("rep").agg(F.min("centre").alias("a")).select("a", F.col("rep").alias("b")), "pairs")
+    used, checked = [members, sets, able, first], first
     labels = components(keep(verify(checked, sets, num, den), "links"))
 
     def labelled(x: DataFrame, labels: DataFrame, col: str) -> DataFrame:
@@ -187,6 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             pairs = apart.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
         else:
             apart = keep(apart, "apart")
+            used.append(apart)
             others = labelled(members.join(apart.select("key").distinct(), "key", "left_semi"), labels, "rep")
             bits = able.select(F.col("id").alias("rep"), "bits")
             others = others.join(bits, "rep").select("key", F.col("rep").alias("other"), F.col("rep_comp").alias("other_comp"), F.col("n").alias("m"), F.col("most").alias("other_most"), F.col("bits").alias("other_bits"))
@@ -200,10 +209,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             )
         fresh = keep(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         links = keep(verify(fresh, sets, num, den), "links")
+        used += [fresh, links]
         checked = checked.unionByName(fresh)
         if links.limit(1).count():
             labels = components(links.unionByName(labels.filter("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))))
-    out = labelled(sigs.select("doc_id", *digest).join(reps, digest, "left"), labels, "rep")
+    drop(*used)
+    # only sets with copies are looked up, each under SALTS keys, so the copies of one text spread over as many tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    copied = reps.filter("copies > 1").select(*digest, "rep", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    out = sigs.select("doc_id", *digest, salt.alias("salt")).join(copied, [*digest, "salt"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = labelled(out, labels, "rep")
     found = F.coalesce("rep_comp", "doc_id")
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
@@ -214,7 +229,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Rows are numbered in order of id and text (null ids last) and judged by that number, so null and repeated ids lose
     nothing but copies.
     """
-    order = F.col("doc_id").asc_nulls_last(), F.xxhash64("text")
-    rows = keep(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    keepers = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **how).filter("kept").select(F.col("doc_id").alias("__row"))
-    return rows.join(keepers, "__row", "left_semi").select(*docs.columns)
+    order, row = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text")), unused(docs, "row")
+    rows = keep(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    keepers = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).filter("kept").select(F.col("doc_id").alias(row))
+    return rows.join(keepers, row, "left_semi").select(*docs.columns)

@@ -10,7 +10,8 @@
 4. Every whole text is scored: presence of each feature times its weight, squashed to 0..1.
 
 Null and empty texts score the intercept; equal texts score the same; without labels, or with one class only, the
-score is the smoothed share of label 1 (0.5 without rows); repeated rows are scored as often as they occur.
+score is the smoothed share of label 1 (0.5 without rows); repeated rows are scored as often as they occur; very long texts
+are scored whole; labels without document, id or value are left out; of several labels of an id the largest holds.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import judged, keep, small_batches, unused
 
 SAMPLE = 12_000
 FEATURES = 4_000
@@ -157,28 +158,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     return grams, w, b
 
 
-def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns: list[str]) -> DataFrame:
-    """``columns`` of each document and its score, from the whole text."""
+def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns: list[str]) -> tuple[DataFrame, str]:
+    """``columns`` of each document and its score, from the whole text; the score's name is returned too."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "`__score` double"])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def setup():
         grams, w, b = sent.value
         features = Features(grams)
-        for pdf in batches:
-            z = np.array([b + w[features.present(t)].sum() for t in pdf["text"]], float)
-            yield pdf[columns].assign(__score=1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return small_batches(docs).select(*dict.fromkeys([*columns, "text"])).mapInPandas(score, schema)
+        def score(texts: list) -> tuple[list]:
+            z = np.array([b + w[features.present(t)].sum() for t in texts], float)
+            return ((1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist(),)
+
+        return score
+
+    name = unused(docs, "score")
+    return judged(docs, columns, f"{name} double", setup), name
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score of each document: doc_id, held_out, score, predicted."""
-    scored = with_score(docs, fit(docs, labels), ["doc_id"]).withColumnRenamed("__score", "score")
+    scored, name = with_score(docs, fit(docs, labels), ["doc_id"])
+    score = F.col(name)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def tolerable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents the classifier does not reject, with all their columns."""
-    return with_score(docs, fit(docs, labels), docs.columns).filter("__score < 0.5").select(*docs.columns)
+    scored, name = with_score(docs, fit(docs, labels), docs.columns)
+    return scored.filter(F.col(name) < 0.5).select(*docs.columns)

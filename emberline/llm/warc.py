@@ -5,13 +5,14 @@ with the largest id is a ``response`` record, the others are ``revisit`` records
 of about ``ARCHIVE_BYTES`` under names that no other attempt uses, and report them in a manifest; only archives of
 attempts that Spark committed are in it, so a lost executor leaves files that nobody reads.
 
-Reading: archives come through Spark's ``binaryFile`` source, so any store that Spark reads will do. A record is taken
-if its length and digest hold, and all such records of a member, be they one or many, if the member inflates. After a failed check the reader looks for the next gzip member
-or plain ``WARC/1.`` version line from which a whole record can be read, goes on there, and logs the bytes between as a
-gap.
-
-A null payload is written as an empty one; repeated rows are written as often as they occur; an empty table gives no
-archives and an empty result; further columns are ignored.
+Reading: Spark lists the archives and deals them out; tasks read them by blocks, so a task holds one record or one gzip
+member at a time, however large the archive. A record is taken if its length and digest hold, and all such records of a
+member, be they one or many, if the member inflates. After a failed check the reader looks for the next gzip member or
+plain ``WARC/1.`` version line from which a whole record can be read, goes on there, and logs the bytes between as a gap.
+
+A null payload is written as an empty one; a page without id revisits the newest equal one that has an id, and its record
+names no page; rows that share the largest id of a payload are all responses; repeated rows are written as often as they
+occur; an empty table gives no archives and an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import CLEANUP, new_path, setting, small_batches
 
 ARCHIVE_BYTES = 16 << 20
+HEADER_BYTES = 1 << 20  # longer headers make no record
+GZIP_HEADER = 16 << 10  # nor does a member from which nothing comes by then
+SALTS = 16
 RECORDS = "kind string, archive string, start bigint, stop bigint, record_type string, record_id string, target_uri string, payload_length bigint, payload_digest string, refers_to string, payload binary"
 _VERSION = re.compile(rb"WARC/1\.\d\r\n")
 
@@ -47,11 +51,11 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
     uri = re.sub(r"[\r\n]+", " ", url or "")
     headers = [
         ("WARC-Type", "response" if original is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Target-URI", uri),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Payload-Length", str(len(payload))),
@@ -61,54 +65,92 @@ def page_record(page_id: int, url: str | None, payload: bytes, digest: str, orig
     return record_bytes(headers, payload if original is None else b"")
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
+class Bytes:
+    """Random access to bytes in memory, or in a file by blocks: nothing but the record at hand is read whole."""
+
+    BLOCK = 1 << 20
+    MAGIC = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+
+    def __init__(self, data: bytes | None = None, file=None) -> None:
+        self.data, self.file = data, file
+        self.size = len(data) if file is None else file.size()
+        self.at, self.block = 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        if self.file is None:
+            return self.data[at : at + n]
+        if n > self.BLOCK:
+            return self.file.read_at(n, at)
+        if not (self.at <= at and at + n <= self.at + len(self.block)):
+            self.at, self.block = at, self.file.read_at(min(self.BLOCK, self.size - at), at) if at < self.size else b""
+        return self.block[at - self.at : at - self.at + n]
+
+    def candidate(self, at: int, packed: bool) -> int:
+        """Start of the next gzip member (if ``packed``) or version line from ``at`` on, else the end."""
+        step = 256
+        while at < self.size:
+            part = self.read(at, step)
+            step = min(8 * step, self.BLOCK)
+            for m in self.MAGIC.finditer(part):
+                if packed or m.group() != b"\x1f\x8b\x08":
+                    return at + m.start()
+            at += max(len(part) - 6, 1)  # a mark may lie across two blocks
+        return self.size
+
+
+def parse_record(data: Bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     """Headers, payload and end of the whole, checked record that starts at ``at``; else None."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0 or not _VERSION.match(data, at):
+    head = data.read(at, HEADER_BYTES)
+    end = head.find(b"\r\n\r\n")
+    if end < 0 or not _VERSION.match(head):
         return None
     headers = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    for line in head[:end].split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")
         if not colon:
             return None
         headers[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
     if not headers.get("content-length", "").isdigit():
         return None
-    stop = end + 4 + int(headers["content-length"])
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    start = at + end + 4
+    stop = start + int(headers["content-length"])
+    if data.read(stop, 4) != b"\r\n\r\n":
         return None
-    payload = data[end + 4 : stop]
+    payload = data.read(start, stop - start)
     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
     if headers.get("warc-type") == "response" and digest and base32_sha1(payload) != digest:
         return None
     return headers, payload, stop + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
+def inflate(data: Bytes, at: int) -> tuple[bytes, int] | None:
     """Plain bytes and end of the whole gzip member that starts at ``at``."""
-    z, out = zlib.decompressobj(31), []
+    z, out, step, start = zlib.decompressobj(31), [], 256, at
     try:
-        while not z.eof and at < len(data):
-            out.append(z.decompress(data[at : at + 65536]))
-            at = min(at + 65536, len(data))
+        while not z.eof and at < data.size:
+            part = data.read(at, step)
+            out.append(z.decompress(part))
+            at, step = at + len(part), 65536 if out[-1] else 4096
+            if at - start > GZIP_HEADER and not any(out):
+                return None
     except zlib.error:
         return None
     return (b"".join(out), at - len(z.unused_data)) if z.eof else None
 
 
-def salvage(data: bytes, packed: bool = True) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+def salvage(data: Bytes, packed: bool = True) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     """(start, stop, headers, payload) of each record in order; headers are None for a gap of unreadable bytes.
 
     Records of a gzip member, and unread stretches beside them, have the member's start and stop. Members are looked for
     only if ``packed``.
     """
     at, bad = 0, None
-    while at < len(data):
+    while at < data.size:
         stop, got = at, None
-        if packed and data[at : at + 3] == b"\x1f\x8b\x08":
+        if packed and data.read(at, 3) == b"\x1f\x8b\x08":
             if plain := inflate(data, at):
                 gaps = 0
-                for _, _, headers, payload in salvage(plain[0], packed=False):
+                for _, _, headers, payload in salvage(Bytes(plain[0]), packed=False):
                     if headers is None and stop == at:  # gaps before the first record
                         gaps += 1
                         continue
@@ -130,21 +172,23 @@ def salvage(data: bytes, packed: bool = True) -> Iterator[tuple[int, int, dict[s
             at = stop
             continue
         bad = at if bad is None else bad
-        after = [x for x in (data.find(b"\x1f\x8b\x08", at + 1) if packed else -1, data.find(b"WARC/1.", at + 1)) if x >= 0]
-        at = min(after, default=len(data))
+        at = data.candidate(at + 1, packed)
     if bad is not None:
-        yield bad, len(data), None, b""
+        yield bad, data.size, None, b""
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages(page_id, url, payload binary)`` as archives under ``path``; returns the manifest (archive, records, bytes)."""
-    digest = pages.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n"))
-    newest = digest.filter(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies"))
-    # only rows with an older copy need the join; those are told by their digest
-    plan = digest.join(newest.filter("copies > 1"), ["sha", "n"]).filter("page_id <> newest").select("page_id", "newest").distinct()
-    tagged = pages.join(plan, "page_id", "left")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Write ``pages(page_id long, url, payload binary)`` as archives under ``path``; returns the manifest (archive, records, bytes)."""
+    pages = pages.select("page_id", "url", "payload", F.sha1("payload").alias("sha"))
+    digest = pages.select("page_id", "sha", F.octet_length("payload").alias("n"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")).filter(F.col("n") >= min_bytes)
+    newest = digest.groupBy("sha", "n").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).filter("copies > 1")
+    # each payload with copies is looked up under SALTS keys, so the copies of one spread over as many tasks
+    newest = newest.select("sha", "n", "newest", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    plan = digest.join(newest, ["sha", "n", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("newest"))).select(F.col("page_id").alias("id"), F.col("sha").alias("of"), "newest").distinct()
+    # payloads travel by id, and only where older copies are many
+    tagged = pages.join(plan, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of")), "left")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
         from pyspark import TaskContext
 
@@ -157,49 +201,55 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
                 name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
                 with fs.open_output_stream(f"{folder}/{name}", compression=None) as f:
                     f.write(b"".join(buffer))
-                done.append((name, records, size))
+                done.append({"archive": name, "records": records, "bytes": size})
                 buffer, size, records = [], 0, 0
 
-        for pdf in batches:
-            for page_id, url, payload, newest in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["newest"]):
-                payload = bytes(payload or b"")
-                m = member(page_record(page_id, url, payload, base32_sha1(payload), None if pd.isna(newest) else int(newest)))
+        for batch in batches:
+            for row in batch.to_pylist():
+                payload = row["payload"] or b""
+                m = member(page_record(row["page_id"], row["url"], payload, base32_sha1(payload), row["newest"]))
                 buffer.append(m)
                 size, records = size + len(m), records + 1
                 if size >= ARCHIVE_BYTES:
                     flush()
         flush()
         if done:
-            yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
+            yield pa.RecordBatch.from_pylist(done)
 
-    return tagged.select("page_id", "url", "payload", "newest").mapInPandas(write, "archive string, records bigint, bytes bigint")
+    return small_batches(tagged.select("page_id", "url", "payload", "newest")).mapInArrow(write, "archive string, records bigint, bytes bigint")
 
 
-def read_archives(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Records and gaps of all archives under ``path``, or of those in the manifest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).withColumn("archive", F.regexp_extract("path", r"([^/]+)$", 1))
+def read_archives(spark: SparkSession, path: str, manifest: DataFrame | None = None, payloads: bool = True) -> DataFrame:
+    """Records and gaps of all archives under ``path``, or of those in the manifest, with payloads or null in their place."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"))
     if manifest is not None:
         files = files.join(manifest.select("archive"), "archive", "left_semi")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
         names = [x.split()[0] for x in RECORDS.split(", ")]
-        for pdf in batches:
-            for name, content in zip(pdf["archive"], pdf["content"]):
+        types = pa.schema([(n, pa.int64() if n in ("start", "stop", "payload_length") else pa.binary() if n == "payload" else pa.string()) for n in names])
+        batch_of = lambda rows: pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=types)
+        for batch in batches:
+            for file in batch.to_pylist():
+                fs, at = pyarrow.fs.FileSystem.from_uri(file["path"])
                 rows, size = [], 0
-                for start, stop, h, payload in salvage(bytes(content)):
-                    if h is None:
-                        rows.append(("gap", name, start, stop, *[None] * 7))
-                    else:
-                        length = h.get("warc-payload-length", str(len(payload)))
-                        rows.append(("record", name, start, stop, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), int(length) if length.isdigit() else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to"), payload))
-                        size += len(payload)
-                    if size > 8 << 20:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, size = [], 0
+                with fs.open_input_file(at) as opened:
+                    for start, stop, h, payload in salvage(Bytes(file=opened)):
+                        if h is None:
+                            rows.append(("gap", file["archive"], start, stop, *[None] * 7))
+                        else:
+                            length = h.get("warc-payload-length", str(len(payload)))
+                            rows.append(("record", file["archive"], start, stop, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), int(length) if length.isdigit() else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to"), payload if payloads else None))
+                            size += len(payload) if payloads else 200
+                        if size > 8 << 20:
+                            yield batch_of(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield batch_of(rows)
 
-    return files.select("archive", "content").mapInPandas(read, RECORDS)
+    return files.select("path", "archive").mapInArrow(read, RECORDS)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -208,9 +258,10 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     path, manifest = new_path(spark, "warc"), new_path(spark, "manifest")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     _make_folder(spark, path)
-    write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")), path).write.parquet(manifest)
-    records = read_archives(spark, path, spark.read.parquet(manifest)).drop("payload").filter("kind = 'record'")
-    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
+    with setting(spark, CLEANUP, "true"):
+        write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")), path).write.parquet(manifest)
+    records = read_archives(spark, path, spark.read.parquet(manifest), payloads=False).filter("kind = 'record'")
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) AS bigint)")
     return records.select(
         page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"),

@@ -154,6 +154,13 @@ def test_mix_meets_targets_and_repeats(spark, data):
         assert abs(g["taken"].sum() - want[s]) <= 0.02 * want[s] + 3 * 64
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, "w " * 50, "big") for i in range(400)] + [(1000 + i, "v " * (i + 1), f"small{i}") for i in range(9)] + [(2000, "x " * 200, "mid")]
+    out = mixing.mix_documents(docs_of(spark, rows)).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "t", "source"]), on="doc_id")
+    for s, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 0.02 * g["target"].iloc[0] + 1 and (g["taken"] <= 3 * g["size"]).all(), s
+
+
 def test_mixing_odd_input(odd, none):
     out = mixing.mix_documents(odd).toPandas()
     assert len(out) == len(ODD) and (out[out["size"] == 0]["taken"] == 0).all() and (out["taken"] <= 3 * out["size"]).all()
@@ -568,15 +575,15 @@ def test_salvage_recovers_around_damage():
     parts = [warc.member(recs[0]), warc.member(recs[1]), recs[2], warc.member(recs[3]), recs[4], warc.member(recs[5])]
     starts = np.cumsum([0, *map(len, parts)])
     whole = b"".join(parts)
-    assert [h["warc-record-id"] for _, _, h, _ in warc.salvage(whole)] == [f"<urn:page:{i}>" for i in range(6)]
+    assert [h["warc-record-id"] for _, _, h, _ in warc.salvage(warc.Bytes(whole))] == [f"<urn:page:{i}>" for i in range(6)]
     bad = bytearray(whole)
     bad[starts[1] + 20] ^= 0xFF  # a member that no longer inflates
     bad[starts[4] + len(recs[4]) - 50] ^= 1  # a payload that no longer matches its digest
-    got = list(warc.salvage(b"junk" + bytes(bad) + b"\x1f\x8b\x08"))
+    got = list(warc.salvage(warc.Bytes(b"junk" + bytes(bad) + b"\x1f\x8b\x08")))
     assert [h["warc-record-id"] for _, _, h, _ in got if h] == [f"<urn:page:{i}>" for i in (0, 2, 3, 5)]
     gaps = [(s, e) for s, e, h, _ in got if h is None]
     assert gaps == [(0, 4), (4 + starts[1], 4 + starts[2]), (4 + starts[4], 4 + starts[5]), (4 + len(whole), 7 + len(whole))]
-    assert list(warc.salvage(b"")) == []
+    assert list(warc.salvage(warc.Bytes(b""))) == []
 
 
 def test_salvage_reads_members_of_several_records():
@@ -584,11 +591,49 @@ def test_salvage_reads_members_of_several_records():
     broken = recs[1].replace(b"B" * 500, b"B" * 499 + b"x")
     first, second, third = warc.member(broken + recs[0] + broken + recs[2]), warc.member(b"".join(recs[3:])), warc.member(broken)
     ends = np.cumsum([2, len(first), len(second), len(third)]).tolist()
-    got = [(s, e, h and h["warc-record-id"]) for s, e, h, _ in warc.salvage(b"??" + first + second + third)]
+    got = [(s, e, h and h["warc-record-id"]) for s, e, h, _ in warc.salvage(warc.Bytes(b"??" + first + second + third))]
     page = "<urn:page:{}>".format
     assert got == [(0, 2, None), *((ends[0], ends[1], x) for x in (None, page(0), None, page(2))), *((ends[1], ends[2], page(i)) for i in (3, 4, 5)), (ends[2], ends[3], None)]
 
 
+def test_salvage_by_blocks_and_in_linear_time(spark, tmp_path, monkeypatch):
+    import time
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(warc.Bytes, "BLOCK", 700)
+    recs = [warc.page_record(i, "u", bytes([65 + i]) * 500, warc.base32_sha1(bytes([65 + i]) * 500), None) for i in range(6)]
+    data = b"junk" * 400 + recs[0] + warc.member(b"".join(recs[1:4])) + b"WARC/1." * 300 + recs[4] + b"x" * 1395 + recs[5]
+    (tmp_path / "a.warc").write_bytes(data)
+    monkeypatch.setattr(warc, "HEADER_BYTES", 600)
+    by_block = list(warc.salvage(warc.Bytes(file=pa.OSFile(str(tmp_path / "a.warc")))))
+    assert by_block == list(warc.salvage(warc.Bytes(data))) and sum(h is not None for *_, h, _ in by_block) == 6
+    monkeypatch.undo()
+    out = warc.read_archives(spark, f"file://{tmp_path}").toPandas()
+    assert out["kind"].value_counts().to_dict() == {"record": 6, "gap": 3} and len(out["payload"].dropna().iloc[0]) == 500
+    began = time.time()
+    assert [h for *_, h, _ in warc.salvage(warc.Bytes(b"\x1f\x8b\x08" * 200_000))] == [None]
+    assert time.time() - began < 20
+
+
+def test_large_and_missing_ids_stay_as_they_are(spark):
+    big = (1 << 60) + 1
+    rows = [(big, "a b c d e f g", "s"), (None, "h i j k", "s"), (big + 1, "l m n", "s"), (None, "a b c d e f g", "s")]
+    docs, ids = docs_of(spark, rows), [big, big + 1]
+    bench, labels = spark.createDataFrame([(1, "a b")], "item_id long, text string"), both_empty(spark)[1]
+    for out in (decontamination.decontaminate(docs, bench), toxicity.toxicity(docs, labels), licenses.scan_licenses(docs), near_duplicates.near_duplicates(docs), line_dedup.dedup_lines(docs), fingerprints.fingerprint_documents(docs), mixing.mix_documents(docs), sharding.shard_documents(docs)):
+        got = [r["doc_id"] for r in out.collect()]
+        assert sorted(i for i in got if i is not None) == ids and len(got) == 4
+    groups = {(r["doc_id"], r["component_id"]) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert groups == {(big, big), (big + 1, big + 1), (None, big), (None, None)}
+    clash = docs.withColumn("scan", F.lit(1)).withColumn("scan_", F.lit(2)).withColumn("row", F.lit(3)).withColumn("text_", F.lit(4)).withColumn("copy", F.lit(5)).withColumn("copies", F.lit(6))
+    for out in (decontamination.clean_documents(clash, bench), toxicity.tolerable(clash, labels), near_duplicates.one_of_each(clash), mixing.mixed_documents(clash)):
+        assert out.columns == clash.columns and all(tuple(r)[-6:] == (1, 2, 3, 4, 5, 6) for r in out.collect())
+    pages = spark.createDataFrame([(big, "u", "x"), (big + 2, "u", "x"), (None, "u", "x"), (None, "u", "y"), (None, "u", "y")], "page_id long, url string, html string")
+    out = sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect())
+    assert out == [(0, "response", None), (0, "response", None), (0, "revisit", big + 2), (big, "revisit", big + 2), (big + 2, "response", None)]
+
+
 # registered SQL and the pipeline
 
 
