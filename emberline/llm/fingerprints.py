@@ -10,12 +10,12 @@ shingles also holds the rest of its hashes, each plus 2^32: two such texts are c
 longer one by their sketches.
 
 The query also fingerprints an edited text that borrows from the next document in descending id. Neighbours meet by a
-window over ranges of ids; each range also receives the first document of the range below, so no task holds more than
-its range. Ranges have equal width in ids.
+window over ranges of ids, cut at quantiles; each range also receives the first document of the range below, so no task
+holds more than its range.
 
-A null text is empty; texts without words have an empty fingerprint, likeness 1 to each other and 0 to all others;
-of repeated ids the rows follow each other; a single document is its own next one; an empty table gives an empty
-result; further columns are ignored.
+A null text is empty; texts without words have an empty fingerprint, likeness 1 to each other and 0 to all others; very
+long texts are read whole; rows of one id follow each other in the order of a hash of their texts, and rows without id come
+last in that order; a single document is its own next one; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ SHINGLE = 5
 FRACTION = 0.25
 WHOLE = 64
 REST = 1 << 32
+QUANTILES = 256
 
 
 def bound(value: Column, body) -> Column:
@@ -103,24 +104,48 @@ def spelled(print_: Column) -> Column:
     return F.array_join(F.concat(print_["kept"], F.coalesce(print_["rest"], F.array().cast("array<bigint>"))).cast("array<string>"), ",")
 
 
+def zones(docs: DataFrame, per_range: int) -> Column:
+    """Number of the range of a row, rising with ``doc_id``, below 0 without one; each range holds about ``per_range`` rows.
+
+    Ids are cut at up to ``QUANTILES`` quantiles and between two of them into ranges of equal width. Rows without id are
+    ordered by the hash of their text.
+    """
+    n, nulls = docs.agg(F.count("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    cuts = min(QUANTILES, parts(n, per_range, 1))
+    share = F.array(*(F.lit(i / cuts) for i in range(cuts + 1)))
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", share, 10_000)).first()[0] or [0, 0]))
+    bounds = bounds if len(bounds) > 1 else [bounds[0], bounds[0] + 1]
+    fine = parts(n, per_range * (len(bounds) - 1), 1)
+    doc_id = F.col("doc_id")
+
+    def pick(lo: int, hi: int) -> Column:
+        """Search for the last bound at or below the id, as nested conditions."""
+        if hi - lo == 1:
+            within = F.floor((doc_id - bounds[lo]) * F.lit(float(fine)) / float(bounds[hi] - bounds[lo]))
+            return F.lit(lo * fine).cast("long") + F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1))
+        mid = (lo + hi) // 2
+        return F.when(doc_id < bounds[mid], pick(lo, mid)).otherwise(pick(mid, hi))
+
+    buckets = parts(nulls, per_range, 1)
+    without = F.least(F.floor((F.xxhash64("text") / float(1 << 64) + 0.5) * buckets), F.lit(buckets - 1)) - buckets
+    return F.when(doc_id.isNull(), without).otherwise(pick(0, len(bounds) - 1)).cast("long")
+
+
 def fingerprint_documents(docs: DataFrame, per_range: int = 4_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // parts(n, per_range, 1)))
-    zone = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long")
-    base = base.withColumn("zone", zone)
-    # the first document (largest id) of each range also goes to the range above it; that of the topmost to the lowest
-    firsts = base.groupBy("zone").agg(F.max("doc_id").alias("doc_id"))
+    base = base.withColumn("zone", zones(base, per_range))
+    # the first row of each range also goes to the range above it; that of the topmost to the lowest
+    rank = F.struct(F.coalesce("doc_id", F.lit(0)).cast("long").alias("a"), F.xxhash64("text").alias("b"))
+    firsts = base.groupBy("zone").agg(F.max(rank).alias("first"))
     up = Window.orderBy("zone")
-    firsts = firsts.withColumn("also", F.coalesce(F.lead("zone").over(up), F.min("zone").over(Window.partitionBy())))
-    firsts = keep(firsts.filter(F.col("doc_id").isNotNull()).select("doc_id", "also"), "firsts")
-    dealt = base.join(firsts, "doc_id", "left").withColumn("print", fingerprint(F.col("text")))
+    firsts = keep(firsts.select("zone", "first", F.coalesce(F.lead("zone").over(up), F.min("zone").over(Window.partitionBy())).alias("also")), "firsts")
+    dealt = base.withColumn("rank", rank).join(firsts, "zone").withColumn("print", fingerprint(F.col("text")))
     own = F.struct("zone", F.lit(0).alias("guest"))
     guest = F.struct(F.col("also").alias("zone"), F.lit(1).alias("guest"))
-    dealt = dealt.select("doc_id", "text", "print", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("doc_id", "text", "print", "at.*")
-    order = Window.partitionBy("zone").orderBy("guest", F.col("doc_id").desc(), F.xxhash64("text"))
+    at = F.explode(F.when(F.col("rank") == F.col("first"), F.array(own, guest)).otherwise(F.array(own)))
+    dealt = dealt.select("doc_id", "text", "print", "rank", at.alias("at")).select("doc_id", "text", "print", "rank", "at.*")
+    order = Window.partitionBy("zone").orderBy("guest", F.desc("rank"))
     chars, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     paired = dealt.withColumn("next", F.coalesce(F.lead("text").over(order), "text")).withColumn("next_print", F.coalesce(F.lead("print").over(order), "print")).filter("guest = 0")
     edited = F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next", F.lit(1), half))

@@ -227,6 +227,46 @@ def test_query_fragment_and_bare_urls_are_judged(spark):
     assert len({out[i]["score"] for i in range(800, 805)}) == 5 and all(out[i]["rule"] is None for i in range(800, 805))
 
 
+def test_threshold_and_verdicts_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    word = lambda k: "".join(rng.choice(list("abcde" if k else "defgh"), 5))
+    rows = [(i, f"http://{word(0)}.org/fr/{word(0)}") for i in range(150)] + [(200 + i, f"http://{word(1)}.net/{word(1)}") for i in range(150)]
+    rows += [(400 + i, f"http://{word(i % 2)}.info/{word(i % 2)}") for i in range(60)] + [(500, rows[0][1]), (501, rows[0][1])]
+    out = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    n = defaultdict(lambda: [0, 0])
+    for i, u in rows:
+        n[u][0] += out[i]["rule"] == "org/fr/"
+        n[u][1] += out[i]["rule"] == "net/"
+    held = {u for u in n if zlib.crc32(u.encode()) % 5 == 0}
+    counts, seen = [defaultdict(int), defaultdict(int)], [defaultdict(set), defaultdict(set)]
+    for u, by in n.items():
+        p = urls.START * 4 + u + urls.END
+        for i in range(4, len(p)):
+            for k in range(5):
+                for c in (0, 1):
+                    if by[c] and u not in held:
+                        counts[c][p[i - k : i + 1]] += by[c]
+                        seen[c][p[i - k : i]].add(p[i])
+
+    def prob(c, g):
+        if not g:
+            return 1 / urls.ALPHABET
+        total, kinds, q = sum(counts[c][g[:-1] + x] for x in seen[c][g[:-1]]), len(seen[c][g[:-1]]), prob(c, g[1:])
+        return (counts[c][g] + kinds * q) / (total + kinds) if kinds else q
+
+    score = {}
+    for u in n:
+        p = urls.START * 4 + u + urls.END
+        score[u] = float(np.mean([np.log(prob(0, p[i - 4 : i + 1]) / prob(1, p[i - 4 : i + 1])) for i in range(4, len(p))]))
+    assert all(abs(out[i]["score"] - score[u]) < 1e-9 for i, u in rows)
+    steps = sorted({round(score[u] * 100) for u in held if sum(n[u])})
+    wrong = lambda s: sum(n[u][0] for u in held if round(score[u] * 100) < s) / sum(n[u][0] for u in held) + sum(n[u][1] for u in held if round(score[u] * 100) >= s) / sum(n[u][1] for u in held)
+    best = min(steps, key=lambda s: (wrong(s), s))
+    threshold = (best + max([s for s in steps if s < best], default=best)) / 200
+    for i, u in rows:
+        assert out[i]["verdict"] == ({"org/fr/": "allow", "net/": "block"}.get(out[i]["rule"]) or ("allow" if score[u] >= threshold else "block"))
+
+
 # 4 decontamination
 
 
@@ -305,6 +345,45 @@ def test_held_out_accuracy(spark, data):
     assert auc > 0.93
 
 
+def test_ratios_fit_and_scores_match_loops(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVE", 1.0)
+    rng = np.random.default_rng(11)
+    vile = lambda i: i % 3 == 0
+    texts = {i: " ".join(rng.choice(["calm", "river", "Meadow", "stone", *(["grimsh", "vorlak"] if vile(i) else [])], 12)) for i in range(90)}
+    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
+    labels = spark.createDataFrame([(i, 0, int(vile(i))) for i in texts if i < 80], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels, 10_000)
+    train = [i for i in texts if i < 80 and zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r["text"] for r in rows.collect()) == sorted(texts[i] for i in train)
+
+    def gram(s):
+        h = np.uint32(7)
+        for ch in s:
+            h = np.uint32((int(h) ^ ord(ch)) * int(toxicity._M1) & 0xFFFFFFFF)
+            h ^= h >> np.uint32(15)
+        return int(h) * int(toxicity._M2) & 0xFFFFFFFF
+
+    grams_of = lambda t: {gram(t.lower()[i : i + n]) for n in (4, 5, 6) for i in range(len(t) - n + 1)}
+    held = {i: grams_of(t) for i, t in texts.items()}
+    pos = sum(vile(i) for i in train)
+    n = {g: [sum(g in held[i] for i in train if vile(i) == bool(y)) for y in (0, 1)] for g in set().union(*(held[i] for i in train))}
+    ratio = {g: np.log((b + 1) / (pos + 2)) - np.log((a + 1) / (len(train) - pos + 2)) for g, (a, b) in n.items() if a + b >= 3}
+    top = sorted(ratio, key=lambda g: (-abs(ratio[g]) * np.sqrt(sum(n[g])), g))[:50]
+    got = toxicity.log_count_ratios(rows, 50)
+    assert got["gram"].tolist() == top and np.allclose(got["r"], [ratio[g] for g in top])
+    grams, w, b = toxicity.fit(docs, labels, features=50)
+    assert grams.tolist() == sorted(top)
+    # at the optimum no weight's gradient is left: presence times ratio, scaled to at most 1, and the penalty
+    x = np.array([[g in held[i] for g in grams.tolist()] for i in train]) * (np.array([ratio[g] for g in grams.tolist()]) / max(abs(ratio[g]) for g in top))
+    scaled = w / (np.array([ratio[g] for g in grams.tolist()]) / max(abs(ratio[g]) for g in top))
+    p = 1 / (1 + np.exp(-(x @ scaled + b)))
+    assert np.abs(x.T @ (p - [vile(i) for i in train]) / len(train) + 1e-5 * scaled).max() < 1e-5
+    out, name = toxicity.with_score(docs, (grams, w, b), ["doc_id"])
+    for r in out.collect():
+        z = b + sum(w[k] for k, g in enumerate(grams.tolist()) if g in held[r["doc_id"]])
+        assert abs(r[name] - 1 / (1 + np.exp(-z))) < 1e-9 and (r[name] >= 0.5) == vile(r["doc_id"])
+
+
 def test_toxicity_odd_input(spark, odd, none):
     _, labels = both_empty(spark)
     out = toxicity.toxicity(odd, labels).toPandas()
@@ -445,6 +524,36 @@ def test_sketches_merge_and_contain(spark):
     assert c == 1.0 and abs(len(union[1]) / 7996 - fingerprints.FRACTION) < 0.03
 
 
+def test_next_documents_over_uneven_nulls_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    ids = [*range(1000, 1400), 5, 10**17, *(10**12 + 7 * int(x) for x in rng.integers(0, 10**6, 300)), *[None] * 40, *[1001] * 5]
+    rows = [(i, " ".join(f"t{n}x{j}" for j in range(9)), "s") for n, i in enumerate(ids)]
+    out = fingerprints.fingerprint_documents(docs_of(spark, rows), per_range=11).toPandas()
+    sha = {(-1 if pd.isna(r.doc_id) else int(r.doc_id)): r.edited_sha256 for r in out.itertuples()}
+    cut = lambda t, nxt: hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
+    single = sorted(((i, t) for i, t, _ in rows if i not in (None, 1001)), reverse=True)
+    for (i, t), (k, nxt) in zip(single, single[1:]):
+        assert sha[i] == cut(t, nxt) or (i, k) == (1002, 1000)
+    # each text without id, and of the repeated id, is followed by another row, and the last by the first of all
+    loose = [t for i, t, _ in rows if i in (None, 1001)]
+    last = {cut(t, single[0][1]) for t in loose}
+    got = out[out["doc_id"].isna() | (out["doc_id"] == 1001)]["edited_sha256"].tolist()
+    near = {cut(t, u) for t in loose for u in [*loose, single[-1][1], dict(single)[1000]] if t != u}
+    assert len(got) == 46 and len(last & set(got)) == 1 and set(got) <= near | last
+    assert len({r["zone"] for r in docs_of(spark, rows).select(fingerprints.zones(docs_of(spark, rows), 11).alias("zone")).collect()}) > 50
+
+
+def test_fingerprint_values_match_brute_force(spark):
+    texts = ["a b c d e f g", "A  B c d e F g h " * 40, "one", "", "x y z w"]
+    for t in texts:
+        w = words(t.translate(UPPER))
+        runs = [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else []
+        shingles = spark.createDataFrame([(r,) for r in runs] or [(w,)], "w array<string>").select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+        hashed = [r[0] & (2**64 - 1) for r in shingles.select(F.xxhash64(*(F.get("h", i) for i in range(5))) if runs else F.xxhash64("h", F.size("h"))).collect()] if w else []
+        low = {h & 0xFFFFFFFF for h in hashed if h >> 32 < 2**30}
+        assert spark.range(1).select(fingerprints.sketch(F.lit(t))).first()[0] == sorted(low)
+
+
 def test_fingerprints_odd_input(odd, none):
     out = fingerprints.fingerprint_documents(odd).toPandas()
     assert len(out) == len(ODD) and out[out["doc_id"].isin([6, 7])]["fingerprint"].nunique() == 1
