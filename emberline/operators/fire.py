@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fwi_class
 
 START = {"ffmc": 85.0, "dmc": 6.0, "dc": 15.0}
-#: Effective day lengths for DMC and day-length factors for DC, January to December (northern hemisphere).
-DMC_DAY_LENGTH = (6.5, 7.5, 9.0, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8.0, 7.0, 6.0)
+#: Effective day lengths for DMC (about 24 degrees north) and day-length factors for DC, January to December.
+DMC_DAY_LENGTH = (6.4, 7.5, 9.0, 10.4, 11.4, 11.4, 11.4, 10.2, 9.0, 7.7, 6.8, 6.2)
 DC_FACTOR = (-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6)
 
 
@@ -32,7 +32,8 @@ def next_ffmc(temp: float, rh: float, wind: float, rain: float, last: float) ->
     elif m < wet:
         x = (100 - rh) / 100
         m = wet - (wet - m) * 10 ** (-(0.424 * (1 - x**1.7) + 0.0694 * math.sqrt(wind) * (1 - x**8)) * speed)
-    return max(0.0, min(101.0, 59.5 * (250 - m) / (147.2 + m)))
+    m = max(0.0, min(m, 250.0))
+    return 59.5 * (250 - m) / (147.2 + m)
 
 
 def next_dmc(temp: float, rh: float, rain: float, month: int, last: float) -> float:
@@ -50,11 +51,11 @@ def next_dc(temp: float, rain: float, month: int, last: float) -> float:
     if rain > 2.8:
         q = 800 * math.exp(-last / 400) + 3.937 * (0.83 * rain - 1.27)
         last = max(0.0, 400 * math.log(800 / q))
-    return last + max(0.0, 0.36 * (max(temp, -2.8) + 2.8) + DC_FACTOR[month - 1]) / 2
+    return max(0.0, last + (0.36 * (temp + 2.8) + DC_FACTOR[month - 1] if temp >= -2.8 else 0.0) / 2)
 
 
 def step_codes(codes: tuple[float, float, float], temp: float, rh: float, wind: float, rain: float, month: int) -> tuple[float, float, float]:
-    rh = min(100.0, max(0.0, rh))
+    rh, wind, rain = min(100.0, max(0.0, rh)), max(0.0, wind), max(0.0, rain)
     return next_ffmc(temp, rh, wind, rain, codes[0]), next_dmc(temp, rh, rain, month, codes[1]), next_dc(temp, rain, month, codes[2])
 
 
@@ -82,7 +83,7 @@ def fire_weather(weather: DataFrame, key: str = "station") -> DataFrame:
 def with_indices(codes: DataFrame) -> DataFrame:
     """ISI, BUI, FWI and danger class from the codes."""
     m = 147.2 * (101 - F.col("ffmc")) / (59.5 + F.col("ffmc"))
-    isi = 0.208 * F.exp(0.05039 * F.col("wind_kmh")) * 91.9 * F.exp(-0.1386 * m) * (1 + F.pow(m, 5.31) / 4.93e7)
+    isi = 0.208 * F.exp(0.05039 * F.greatest(F.col("wind_kmh"), F.lit(0.0))) * 91.9 * F.exp(-0.1386 * m) * (1 + F.pow(m, 5.31) / 4.93e7)
     p, d = F.col("dmc"), F.col("dc")
     base = p + 0.4 * d
     bui = F.when(base <= 0, 0.0).when(p <= 0.4 * d, 0.8 * p * d / base).otherwise(p - (1 - 0.8 * d / base) * (0.92 + F.pow(0.0114 * p, 1.7)))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _shared_folder(spark) -> str:
+def shared_folder(spark) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -19,7 +21,7 @@ def _shared_folder(spark) -> str:
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the folder all executors share."""
-    path = f"{_shared_folder(df.sparkSession)}/emberline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/emberline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ def alert_filter(
         (min_score, lambda v: score >= v), (min_area, lambda v: F.col("area_ha") >= v), (since, lambda v: F.col("detection_date") >= F.lit(v)),
         (until, lambda v: F.col("detection_date") <= F.lit(v)), (sar, lambda v: F.coalesce("sar_boost_applied", F.lit(False)) == v), (min_cusum, lambda v: F.col("cusum_zone_score") >= v),
     ):
-        if given is not None:
+        if given is not None and given != 0 or given is False:  # a least value of 0 is no condition
             conds.append(cond(given))
     if bbox is not None:
         box = [float(x) for x in bbox.split(",")]
@@ -84,3 +84,28 @@ def threshold_sweep(df: DataFrame, score: str, truth: Column, thresholds: list[f
     )
     tp = F.col("tp")
     return c.withColumn("f1", F.round(F.when(2 * tp + F.col("fp") + F.col("fn") > 0, 2 * tp / (2 * tp + F.col("fp") + F.col("fn"))).otherwise(0.0), 6))
+
+
+def average_precision(df: DataFrame, score: str, y: str, buckets: int = 1000) -> DataFrame:
+    """Sum of precision times gain in recall over falling scores; equal scores are one step.
+
+    Rows are counted by score first; scores are then cumulated within buckets of their range and shifted by the buckets above.
+    """
+    s = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
+    ends = s.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    s = s.crossJoin(F.broadcast(ends)).withColumn("b", F.floor((F.col("hi") - F.col("s")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) * buckets))
+    up = Window.orderBy("b")
+    above = s.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bp"))  # a row a bucket
+    above = above.select("b", (F.sum("bn").over(up) - F.col("bn")).alias("n0"), (F.sum("bp").over(up) - F.col("bp")).alias("p0"))
+    w = Window.partitionBy("b").orderBy(F.desc("s"))
+    r = s.withColumn("k", F.sum("n").over(w)).withColumn("tp", F.sum("pos").over(w)).join(above, "b")
+    k = F.col("k") + F.col("n0")
+    return r.agg(F.round(F.sum(F.col("pos") * (F.col("tp") + F.col("p0")) / k) / F.sum("pos"), 6).alias("average_precision"), F.max(k).alias("rows"))
+
+
+def numbered(df: DataFrame, group: str, bucket: str, *order: str) -> DataFrame:
+    """Add ``nth`` (from 1) within each group by (bucket, order): counted in the buckets and shifted by those before."""
+    counts = df.groupBy(group, bucket).agg(F.count("*").alias("__n"))
+    starts = counts.select(group, bucket, (F.sum("__n").over(Window.partitionBy(group).orderBy(bucket)) - F.col("__n")).alias("__start"))
+    within = df.withColumn("__nth", F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)))
+    return within.join(starts, [group, bucket]).withColumn("nth", F.col("__start") + F.col("__nth")).drop("__start", "__nth")

@@ -87,20 +87,20 @@ def merge_ranges(df: DataFrame, key: str, start: str, end: str, gap_days: int =
     return marked.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
-def nearest_asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, days: int, value: str) -> DataFrame:
-    """Left rows with the right row of the key nearest in time within ``days``; of equally near ones the later.
+def nearest_asof(left: DataFrame, right: DataFrame, row: str, key: str, left_at: str, right_at: str, days: int, value: str) -> DataFrame:
+    """Left rows with the right row of the key nearest in time within ``days``; of equally near ones the later. ``row`` tells left rows apart.
 
     Rows meet on the key and a bucket of ``days``; each left row looks into three buckets, so no key's history is
     crossed with itself.
     """
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days).cast("int")
-    probes = left.withColumn("__id", F.monotonically_increasing_id()).withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bucket(left_at) + i)))
+    probes = left.withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bucket(left_at) + i)))
     found = right.select(F.col(key).alias("__k"), F.col(right_at).alias("__at"), F.col(value).alias("__v"), bucket(right_at).alias("__b2"))
     gap = F.datediff("__at", left_at)
     hit = probes.join(found, (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__b2")) & (F.abs(gap) <= days))
-    best = hit.groupBy("__id").agg(F.min(F.struct(F.abs(gap).alias("gap"), (gap < 0).alias("earlier"), F.col("__v").alias("v"))).alias("m"))
+    best = hit.groupBy(row).agg(F.min(F.struct(F.abs(gap).alias("gap"), (gap < 0).alias("earlier"), F.col("__v").alias("v"))).alias("m"))
     kept = probes.filter(F.col("__b") == bucket(left_at)).drop("__b")
-    return kept.join(best, "__id", "left").select(*left.columns, F.col("m.gap").alias("gap_days"), F.col("m.v").alias(value))
+    return kept.join(best, row, "left").select(*left.columns, F.col("m.gap").alias("gap_days"), F.col("m.v").alias(value))
 
 
 def temporal_stack(df: DataFrame, key: str, fired: Column, p: Column, min_fires: int = 2) -> DataFrame:

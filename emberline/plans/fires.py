@@ -38,15 +38,15 @@ def h33_weather_proxy(spark, d):
     return w.select("station", "date", r6(S.fire_weather_proxy(F.col("temp_c"), F.col("rh_pct"), F.col("precip_mm")), "proxy"))
 
 
-LINKS_SQL = """s AS (SELECT DISTINCT l_suppkey AS tile, l_shipdate::DATE AS scene FROM lineitem WHERE l_linenumber = 1 AND l_suppkey < 30), f AS (SELECT o_orderkey AS fire_id, o_custkey % 30 AS tile, o_orderdate::DATE AS day, o_totalprice / 1000 AS frp, o_orderkey % 900 AS dist FROM orders),
+LINKS_SQL = """s AS (SELECT DISTINCT l_suppkey AS tile, l_shipdate::DATE AS scene FROM lineitem), f AS (SELECT o_orderkey AS fire_id, o_custkey % 1000 AS tile, o_orderdate::DATE AS day, o_totalprice / 1000 AS frp, o_orderkey % 900 AS dist FROM orders),
 c AS (SELECT s.tile, scene, fire_id, day, frp, dist, scene - day AS gap, dist < 150 AS hit FROM s JOIN f ON s.tile = f.tile AND f.day BETWEEN scene - 60 AND scene)"""
 
 
 def _links(spark, d):
     from ..operators.spatial import range_hits
 
-    s = read(spark, d, "lineitem").filter("l_linenumber = 1 and l_suppkey < 30").select(F.col("l_suppkey").alias("tile"), F.to_date("l_shipdate").alias("scene")).distinct()
-    f = read(spark, d, "orders").select(F.col("o_orderkey").alias("fire_id"), (F.col("o_custkey") % 30).alias("tile"), F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") / 1000).alias("frp"), (F.col("o_orderkey") % 900).alias("dist"))
+    s = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("tile"), F.to_date("l_shipdate").alias("scene")).distinct()
+    f = read(spark, d, "orders").select(F.col("o_orderkey").alias("fire_id"), (F.col("o_custkey") % 1000).alias("tile"), F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") / 1000).alias("frp"), (F.col("o_orderkey") % 900).alias("dist"))
     c = range_hits(s, f, ["tile"], "scene", "day", 60, 0)
     return c.withColumn("gap", F.datediff("scene", "day")).withColumn("hit", F.col("dist") < 150)
 
@@ -96,12 +96,10 @@ def j13_d32_threshold_sweep(spark, d):
     return reports.threshold_sweep(w, "score", F.col("label") == 0, [i / 10 for i in range(1, 10)])
 
 
-@query("WITH w AS (SELECT vec_id, label, ((vec_id * 7919) % 1000) / 1000.0::DOUBLE AS score FROM embeddings), c AS (SELECT score, sum((label = 0)::INT) OVER (ORDER BY score DESC, vec_id) AS tp, row_number() OVER (ORDER BY score DESC, vec_id) AS n, label FROM w) SELECT round(sum(CASE WHEN label = 0 THEN tp / n ELSE 0 END) / count(*) FILTER (label = 0), 6) AS average_precision, max(n) AS rows FROM c")
+@query("WITH w AS (SELECT label, ((vec_id * 7919) % 1000) / 1000.0::DOUBLE AS score FROM embeddings), c AS (SELECT score, count(*) AS n, count(*) FILTER (label = 0) AS pos FROM w GROUP BY score), r AS (SELECT pos, sum(pos) OVER o AS tp, sum(n) OVER o AS k FROM c WINDOW o AS (ORDER BY score DESC)) SELECT round(sum(pos * tp / k) / sum(pos), 6) AS average_precision, max(k)::BIGINT AS rows FROM r")
 def l11_average_precision(spark, d):
-    w = read(spark, d, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), (F.col("vec_id") * 7919 % 1000 / 1000).alias("score"))
-    o = Window.orderBy(F.desc("score"), "vec_id")
-    c = w.withColumn("tp", F.sum("y").over(o)).withColumn("n", F.row_number().over(o))
-    return c.agg(r6(F.sum(F.when(F.col("y") == 1, F.col("tp") / F.col("n")).otherwise(0.0)) / F.sum("y"), "average_precision"), F.max("n").cast("long").alias("rows"))
+    w = read(spark, d, "embeddings").select((F.col("label") == 0).cast("int").alias("y"), (F.col("vec_id") * 7919 % 1000 / 1000).alias("score"))
+    return reports.average_precision(w, "score", "y")
 
 
 @query("WITH b AS (SELECT l_orderkey // 64 AS block, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS pos FROM lineitem GROUP BY ALL), s AS (SELECT *, CASE WHEN (block * 2654435761) % 100 < 15 THEN 'test' WHEN (block * 2654435761) % 100 < 30 THEN 'val' ELSE 'train' END AS split FROM b) SELECT split, count(*) AS blocks, sum(n)::BIGINT AS n, sum(pos)::BIGINT AS pos, round(sum(n) / (2.0 * sum(pos)), 6) AS weight_pos FROM s GROUP BY split")
@@ -114,10 +112,10 @@ def l4_l6_l20_block_split(spark, d):
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY (l_orderkey * 48271 + l_partkey) % 100003, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) AS n FROM lineitem), p AS (SELECT count(*) AS pos FROM lineitem WHERE l_returnflag = 'R') SELECT l_returnflag, count(*) AS n, sum(l_quantity)::BIGINT AS q FROM r, p WHERE l_returnflag = 'R' OR r.n <= p.pos // 4 GROUP BY l_returnflag")
 def l5_undersampling(spark, d):
-    li = read(spark, d, "lineitem")
+    li = read(spark, d, "lineitem").withColumn("h", (F.col("l_orderkey") * 48271 + F.col("l_partkey")) % 100003)
     pos = li.filter("l_returnflag = 'R'").agg(F.count("*").alias("pos"))
-    w = Window.partitionBy("l_returnflag").orderBy((F.col("l_orderkey") * 48271 + F.col("l_partkey")) % 100003, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    r = li.withColumn("n", F.row_number().over(w)).crossJoin(F.broadcast(pos)).filter((F.col("l_returnflag") == "R") | (F.col("n") <= F.floor(F.col("pos") / 4)))
+    r = reports.numbered(li, "l_returnflag", "h", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    r = r.crossJoin(F.broadcast(pos)).filter((F.col("l_returnflag") == "R") | (F.col("nth") <= F.floor(F.col("pos") / 4)))
     return r.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"))
 
 
@@ -136,11 +134,13 @@ def l17_c21_label_upsert(spark, d):
     return reports.top_per_group(known, "alert_id", 1, F.desc("turn"), "label").drop("rank")
 
 
-@query("WITH a AS (SELECT user_id AS pixel, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE value >= 50) SELECT pixel, event_type AS best_type, CASE WHEN r = 1 THEN 'TP' ELSE 'FP_contra' END AS label, count(*) AS n FROM a WHERE r <= 3 GROUP BY ALL")
+@query("WITH a AS (SELECT user_id AS pixel, event_type, first_value(event_type) OVER w AS best, row_number() OVER w AS r FROM events WHERE value >= 50 WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id)) SELECT pixel, event_type AS type, CASE WHEN r = 1 THEN 'TP' WHEN event_type = best THEN 'FP' ELSE 'FP_contra' END AS label, count(*) AS n FROM a GROUP BY ALL")
 def l2_event_labels(spark, d):
+    """Only a pixel's strongest window is right; others of its kind are wrong in time, those of another kind contradict it."""
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    a = read(spark, d, "events").filter("value >= 50").withColumn("r", F.row_number().over(w)).filter("r <= 3")
-    return a.groupBy(F.col("user_id").alias("pixel"), F.col("event_type").alias("best_type"), F.when(F.col("r") == 1, "TP").otherwise("FP_contra").alias("label")).agg(F.count("*").alias("n"))
+    a = read(spark, d, "events").filter("value >= 50").withColumn("r", F.row_number().over(w)).withColumn("best", F.first("event_type").over(w))
+    label = F.when(F.col("r") == 1, "TP").when(F.col("event_type") == F.col("best"), "FP").otherwise("FP_contra")
+    return a.groupBy(F.col("user_id").alias("pixel"), F.col("event_type").alias("type"), label.alias("label")).agg(F.count("*").alias("n"))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import fire, grid as G, spatial
-from .registry import GRID, grid, query, r6, read, windows
+from .registry import GRID, grid, half_up, query, r6, read, windows
 
 MASK = "v >= 0.052"
 
@@ -72,10 +72,11 @@ def i17_i19_tiles(spark, d):
     return G.tile_ids(grid(spark, d), 16, 4).groupBy("tile_row", "tile_col").agg(F.count("*").alias("cells"), r6(F.avg("v"), "mean_v"))
 
 
-@query(f"WITH {GRID}, t AS (SELECT row, col, v, unnest(range(greatest(0, ceil((row - 15) / 12.0)::BIGINT), row // 12 + 1)) AS tr FROM grid), u AS (SELECT *, unnest(range(greatest(0, ceil((col - 15) / 12.0)::BIGINT), col // 12 + 1)) AS tc FROM t) SELECT row, col, round(avg(v * (1 + 0.1 * ((tr + tc) % 3))), 6) AS blended, count(*) AS hits FROM u GROUP BY row, col")
+@query(f"WITH {GRID}, t AS (SELECT row, col, v, unnest(range(greatest(0, ceil((row - 15) / 12.0)::BIGINT), row // 12 + 1)) AS tr FROM grid), u AS (SELECT *, unnest(range(greatest(0, ceil((col - 15) / 12.0)::BIGINT), col // 12 + 1)) AS tc FROM t) SELECT row, col, floor(any_value(v) * sum(10 + (tr + tc) % 3)::DOUBLE / (10 * count(*)) * 1e6 + 0.5) / 1e6 AS blended, count(*) AS hits FROM u GROUP BY row, col")
 def i18_overlap_blend(spark, d):
-    t = G.tile_ids(grid(spark, d), 16, 4).withColumn("p", F.col("v") * (1 + 0.1 * ((F.col("tile_row") + F.col("tile_col")) % 3)))
-    return t.groupBy("row", "col").agg(r6(F.avg("p"), "blended"), F.count("*").alias("hits"))
+    """A tile's prediction is the cell's value times 1, 1.1 or 1.2, by tile; weights are summed as whole tenths."""
+    t = G.tile_ids(grid(spark, d), 16, 4).withColumn("p", 10 + (F.col("tile_row") + F.col("tile_col")) % 3)
+    return t.groupBy("row", "col").agg(half_up(F.any_value("v") * F.sum("p") / (10 * F.count("*")), "blended"), F.count("*").alias("hits"))
 
 
 @query(f"WITH {GRID}, m AS (SELECT row AS r, col AS c FROM grid WHERE v >= 0.075) SELECT row, col, round(sqrt(min((row - r) * (row - r) + (col - c) * (col - c))), 6) AS distance FROM grid LEFT JOIN m ON (row - r) * (row - r) + (col - c) * (col - c) <= 25 GROUP BY row, col")
@@ -142,8 +143,8 @@ def h12_ring_area(spark, d):
     return _regions(spark, d).select("n_nationkey", F.round(S.ring_area(F.col("ring")), 6).alias("area"))
 
 
-#: Alert patches are blocks of cells by l_suppkey, true patches by l_linenumber and quantity; both are sets of cells.
-_SETS_SQL = """a AS (SELECT DISTINCT l_suppkey AS a_id, (l_orderkey % 12)::INT AS row, (l_partkey % 12)::INT AS col FROM lineitem WHERE l_suppkey < 60 AND l_quantity < 12),
+#: Alert patches are the cells of each l_suppkey under a mask of the quantity, true patches those under a stricter mask.
+_SETS_SQL = """a AS (SELECT DISTINCT l_suppkey AS a_id, (l_orderkey % 12)::INT AS row, (l_partkey % 12)::INT AS col FROM lineitem WHERE l_quantity < 12),
 b AS (SELECT DISTINCT (l_suppkey * 7 + l_linenumber) % 40 AS b_id, (l_orderkey % 12)::INT AS row, (l_partkey % 12)::INT AS col FROM lineitem WHERE l_quantity < 5),
 sh AS (SELECT a_id, b_id, count(*) AS shared FROM a JOIN b ON a.row = b.row AND a.col = b.col GROUP BY ALL), sa AS (SELECT a_id, count(*) AS n FROM a GROUP BY 1), sb AS (SELECT b_id, count(*) AS m FROM b GROUP BY 1),
 pairs AS (SELECT a_id, b_id, shared, shared / (n + m - shared) AS iou, shared / least(n, m) AS overlap FROM sh JOIN sa USING (a_id) JOIN sb USING (b_id))"""
@@ -152,7 +153,7 @@ pairs AS (SELECT a_id, b_id, shared, shared / (n + m - shared) AS iou, shared /
 def _sets(spark, d):
     li = read(spark, d, "lineitem")
     at = [(F.col("l_orderkey") % 12).cast("int").alias("row"), (F.col("l_partkey") % 12).cast("int").alias("col")]
-    a = li.filter("l_suppkey < 60 and l_quantity < 12").select(F.col("l_suppkey").alias("a_id"), *at).distinct()
+    a = li.filter("l_quantity < 12").select(F.col("l_suppkey").alias("a_id"), *at).distinct()
     b = li.filter("l_quantity < 5").select(((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 40).alias("b_id"), *at).distinct()
     return a, b
 
@@ -185,11 +186,11 @@ def c7_greedy_matches(spark, d):
 
 
 def _points(spark, d):
-    e = windows(spark, d).filter("event_id % 10 = 0")
-    return e.select("event_id", (F.col("pixel") + F.col("event_id") % 7 / 10).alias("x"), (F.col("event_id") % 997 / 10).alias("y"), "value", "date")
+    e = windows(spark, d)
+    return e.select("event_id", (F.col("pixel") + F.col("event_id") % 7 / 10).alias("x"), (F.col("event_id") * 7919 % 99991 / 10).alias("y"), "value", "date", "event_type")
 
 
-_POINTS = "pts AS (SELECT event_id, user_id + (event_id % 7) / 10.0::DOUBLE AS x, (event_id % 997) / 10.0::DOUBLE AS y, value FROM events WHERE event_id % 10 = 0)"
+_POINTS = "pts AS (SELECT event_id, user_id + (event_id % 7) / 10.0::DOUBLE AS x, (event_id * 7919 % 99991) / 10.0::DOUBLE AS y, value, event_type FROM events)"
 
 
 @query(f"""WITH RECURSIVE {_POINTS}, near AS (SELECT a.event_id AS a, b.event_id AS b FROM pts a JOIN pts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 6.25), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4),
@@ -200,10 +201,10 @@ def i21_density_clusters(spark, d):
     return spatial.density_clusters(_points(spark, d).select("event_id", "x", "y"), "event_id", 2.5, 4)
 
 
-@query(f"WITH {_POINTS}, o AS (SELECT x, y FROM pts WHERE event_id % 50 = 0) SELECT p.event_id, round(min(sqrt((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y))), 6) AS distance FROM pts p JOIN o ON (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) <= 25 GROUP BY p.event_id")
+@query(f"WITH {_POINTS}, o AS (SELECT x, y FROM pts WHERE event_type = 'error') SELECT p.event_id, round(min(sqrt((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y))), 6) AS distance FROM pts p JOIN o ON (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) <= 25 GROUP BY p.event_id")
 def c9_nearest_distance(spark, d):
     p = _points(spark, d)
-    return spatial.nearest_within(p.select("event_id", "x", "y"), p.filter("event_id % 50 = 0"), "event_id", 5.0).select("event_id", r6(F.col("distance"), "distance"))
+    return spatial.nearest_within(p.select("event_id", "x", "y"), p.filter("event_type = 'error'").select("x", "y"), "event_id", 5.0).select("event_id", r6(F.col("distance"), "distance"))
 
 
 @query()

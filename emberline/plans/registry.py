@@ -86,5 +86,10 @@ GRID = """grid AS (SELECT row, col, d / n / 100 AS v, q / n AS q, n FROM (SELECT
  sum(round(l_discount * 100)::BIGINT)::DOUBLE AS d, sum(l_quantity::BIGINT)::DOUBLE AS q, count(*) AS n FROM lineitem GROUP BY ALL))"""
 
 
+def half_up(c, name: str):
+    """Six decimals by whole-number rounding, which both engines do alike on equal doubles."""
+    return (F.floor(c * 1e6 + 0.5) / 1e6).alias(name)
+
+
 def r6(c, name: str):
     return F.round(c, 6).alias(name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import scorers as K
 from ..operators import spatial, temporal
-from .registry import HISTORY, WINDOWS, history, query, r6, windows
+from .registry import HISTORY, WINDOWS, half_up, history, query, r6, read, windows
 
 #: Monthly means and deviation of the stand-in series (flat in winter, high in the monsoon).
 MEANS = [0.45, 0.42, 0.38, 0.34, 0.33, 0.40, 0.52, 0.58, 0.60, 0.57, 0.52, 0.48]
@@ -38,7 +38,7 @@ s0 AS (SELECT *, {_doy_sql("dayofyear(date_before)")} AS m0, {_doy_sql("dayofyea
 s1 AS (SELECT *, greatest(0.0, -(trees - trees_before - least(0.0, m1 - m0))) AS loss, (trees - greatest(trees_before, m1)) / {STD} AS z, (trees - m1) / {STD} AS pz FROM s0),
 s2 AS (SELECT *, least((0.7 * {_l("loss", "0.05 + 0.10 * trees_before", "25 + 20 * greatest(0.0, (0.30 - trees_before) / 0.30)")} + 0.3 * {_l("loss / greatest(trees_before, 0.05)", "0.30", "8")})
   * (1 + greatest(0.0, -z) / 4 * {_l("loss", "0.08", "40")}), 1.0) AS ev FROM s1),
-s3 AS (SELECT *, least(round(ev, 3) + least(CASE WHEN pz < -1.96 THEN 0.30 * {_l("-pz", "1.96", "5")} ELSE 0.0 END, 0.35), 1.0) AS tree,
+s3 AS (SELECT *, least(round(ev, 3) + least(CASE WHEN pz < -1.96 THEN 0.30 * {_l("-pz", "1.96", "5")} ELSE 0.0 END + CASE WHEN id % 11 > 0 THEN 0.20 * {_l("id % 11 / 25.0::DOUBLE", "0.22", "25")} ELSE 0.0 END, 0.35), 1.0) AS tree,
   {_l("greatest(0.0, crops - crops_before)", "0.08 + 0.10 * crops_before", "25")} * (1 - {_l("crops_before", "0.30", "20")}) * {_l("crops", "0.35", "20")} AS crop,
   {_l("greatest(0.0, built - built_before)", "0.06 + 0.10 * built_before", "30")} * (1 - {_l("built_before", "0.20", "20")}) * {_l("built", "0.30", "25")} AS bt FROM s2),
 s4 AS (SELECT *, greatest(tree, crop, bt) AS best FROM s3),
@@ -51,7 +51,7 @@ def scored_pairs(spark, d) -> DataFrame:
     m0, m1 = (K.baseline(F.dayofyear(c), MEANS) for c in ("date_before", "date"))
     p = p.withColumn("m0", m0).withColumn("m1", m1)
     kinds = ("trees", "crops", "built")
-    out = K.threat_scores({k: F.col(f"{k}_before") for k in kinds}, {k: F.col(k) for k in kinds}, F.col("m0"), F.col("m1"), F.lit(STD), F.col("cloud"), F.lit(0.0))
+    out = K.threat_scores({k: F.col(f"{k}_before") for k in kinds}, {k: F.col(k) for k in kinds}, F.col("m0"), F.col("m1"), F.lit(STD), F.col("cloud"), F.col("id") % 11 / 25)
     return p.withColumns({k: out[k] for k in ("score", "threat", "label")})
 
 
@@ -73,11 +73,11 @@ def d8_score_by_year_and_month(spark, d):
     return x.toDF("year", *(f"m{m}" for m in range(1, 13)))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT id, gap::BIGINT AS gap, round(trees - trees_before, 6) AS d_trees, round(least({_l('-(trees - trees_before)', '0.12', '18')} * (1 + greatest(0.0, -((trees - trees_before) / {STD})) / 4), 1.0) * greatest(0.0, 1 - cloud), 6) AS score FROM pairs")
+@query(f"WITH {PAIRS_SQL} SELECT id, gap::BIGINT AS gap, floor((trees - trees_before) * 1e6 + 0.5) / 1e6 AS d_trees, floor(least({_l('-(trees - trees_before)', '0.12', '18')} * (1 + greatest(0.0, -((trees - trees_before) / {STD})) / 4), 1.0) * greatest(0.0, 1 - cloud) * 1e6 + 0.5) / 1e6 AS score FROM pairs")
 def k1_plain_scores(spark, d):
     p = temporal.consecutive_pairs(history(spark, d), "point_id", ["date", "id"], "date", ["trees", "crops", "built"])
     delta = F.col("trees") - F.col("trees_before")
-    return p.select("id", F.col("gap").cast("long").alias("gap"), r6(delta, "d_trees"), r6(K.plain_score(delta, delta / STD, F.col("cloud")), "score"))
+    return p.select("id", F.col("gap").cast("long").alias("gap"), half_up(delta, "d_trees"), half_up(K.plain_score(delta, delta / STD, F.col("cloud")), "score"))
 
 
 @query(f"""WITH {WINDOWS}, n AS (SELECT *, row_number() OVER w AS k FROM win WINDOW w AS (PARTITION BY pixel ORDER BY ts, event_id)),
@@ -174,14 +174,14 @@ def e19_coverage_gaps(spark, d):
     return g.withColumn("days", F.datediff("date", "prev").cast("long")).filter("days > 365").select("point_id", F.col("prev").alias("gap_start"), F.col("date").alias("gap_end"), "days")
 
 
-@query(f"""WITH {HISTORY}, y AS (SELECT point_id, year(date) AS y, avg(trees) AS v FROM hist GROUP BY ALL), s AS (SELECT *, array_agg(v) OVER w AS seq, count(*) OVER w AS n, lead(v) OVER (PARTITION BY point_id ORDER BY y) AS target FROM y
+@query("""WITH y AS (SELECT o_custkey AS point_id, year(o_orderdate) AS y, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*) / 50000000 AS v FROM orders GROUP BY ALL), s AS (SELECT *, array_agg(v) OVER w AS seq, count(*) OVER w AS n, lead(v) OVER (PARTITION BY point_id ORDER BY y) AS target FROM y
  WINDOW w AS (PARTITION BY point_id ORDER BY y ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT point_id, y::INT AS year, round(seq[1], 6) AS s0, round(seq[2], 6) AS s1, round(seq[3], 6) AS s2, round(target, 6) AS target FROM s WHERE n = 3 AND target IS NOT NULL""")
+SELECT point_id, y::INT AS year, floor(seq[1] * 1e6 + 0.5) / 1e6 AS s0, floor(seq[2] * 1e6 + 0.5) / 1e6 AS s1, floor(seq[3] * 1e6 + 0.5) / 1e6 AS s2, floor(target * 1e6 + 0.5) / 1e6 AS target FROM s WHERE n = 3 AND target IS NOT NULL""")
 def e23_sequences(spark, d):
-    y = history(spark, d).groupBy("point_id", F.year("date").alias("year")).agg(F.avg("trees").alias("v"))
+    y = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("point_id"), F.year("o_orderdate").alias("year")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*") / 50000000).alias("v"))
     w = Window.partitionBy("point_id").orderBy("year")
     s = y.withColumn("seq", F.collect_list("v").over(w.rowsBetween(-2, 0))).withColumn("target", F.lead("v").over(w)).filter((F.size("seq") == 3) & F.col("target").isNotNull())
-    return s.select("point_id", "year", *(r6(F.col("seq")[i], f"s{i}") for i in range(3)), r6(F.col("target"), "target"))
+    return s.select("point_id", "year", *(half_up(F.col("seq")[i], f"s{i}") for i in range(3)), half_up(F.col("target"), "target"))
 
 
 @query(f"""WITH {HISTORY}, r AS (SELECT point_id, date - 30 AS s, date + 30 AS e FROM hist), m AS (SELECT *, max(e) OVER (PARTITION BY point_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
@@ -197,7 +197,8 @@ s AS (SELECT *, t - least(0, min(t) OVER (PARTITION BY pixel ORDER BY ts, event_
 SELECT pixel, round(top, 6) AS max_cusum, round(top / max(top) OVER (), 6) AS score FROM m""")
 def j5_cusum(spark, d):
     m = temporal.cusum(windows(spark, d), "pixel", ["ts", "event_id"], -F.col("delta") - 0.05).groupBy("pixel").agg(F.max("cusum").alias("top"))
-    return m.select("pixel", r6(F.col("top"), "max_cusum"), r6(F.col("top") / F.max("top").over(Window.partitionBy()), "score"))
+    most = m.agg(F.max("top").alias("most"))  # one row
+    return m.crossJoin(F.broadcast(most)).select("pixel", r6(F.col("top"), "max_cusum"), r6(F.col("top") / F.col("most"), "score"))
 
 
 @query(f"""WITH {WINDOWS}, b AS (SELECT pixel, (date - DATE '2024-01-01') // 2 AS f, median(value) AS v FROM win GROUP BY ALL), m AS (SELECT pixel, avg(v) FILTER (f < 10) AS base FROM b GROUP BY pixel)
@@ -247,32 +248,32 @@ def j12_auto_threshold(spark, d):
 
 
 #: Right rows are one value a customer and day, so ties do not depend on row order.
-ASOF_SQL = f"""{HISTORY}, l AS (SELECT id, point_id, date AS at FROM hist WHERE id % 3 = 0), r AS (SELECT point_id, date, round(avg(trees), 9) AS v FROM hist WHERE id % 3 = 1 GROUP BY ALL),
+ASOF_SQL = f"""{HISTORY}, l AS (SELECT id, point_id, date AS at FROM hist WHERE id % 2 = 0), r AS (SELECT point_id, date, round(avg(trees), 9) AS v FROM hist WHERE id % 2 = 1 GROUP BY ALL),
 j AS (SELECT l.id, abs(r.date - l.at) AS gap, r.date < l.at AS earlier, v FROM l JOIN r ON l.point_id = r.point_id AND abs(r.date - l.at) <= 30)"""
 
 
 @query(f"WITH {ASOF_SQL}, b AS (SELECT id, min(gap) AS gap, arg_min(v, gap * 2 + earlier::INT) AS v FROM j GROUP BY id) SELECT l.id, b.gap::BIGINT AS gap_days, round(b.v, 6) AS v FROM l LEFT JOIN b USING (id)")
 def c11_c12_nearest_asof(spark, d):
     h = history(spark, d)
-    left = h.filter("id % 3 = 0").select("id", "point_id", F.col("date").alias("at"))
-    right = h.filter("id % 3 = 1").groupBy("point_id", "date").agg(F.round(F.avg("trees"), 9).alias("v"))
-    x = temporal.nearest_asof(left, right, "point_id", "at", "date", 30, "v")
+    left = h.filter("id % 2 = 0").select("id", "point_id", F.col("date").alias("at"))
+    right = h.filter("id % 2 = 1").groupBy("point_id", "date").agg(F.round(F.avg("trees"), 9).alias("v"))
+    x = temporal.nearest_asof(left, right, "id", "point_id", "at", "date", 30, "v")
     return x.select("id", F.col("gap_days").cast("long").alias("gap_days"), r6(F.col("v"), "v"))
 
 
-@query(f"WITH {HISTORY}, l AS (SELECT id, point_id, date AS at FROM hist WHERE id % 3 = 0), r AS (SELECT point_id, date AS seen, trees FROM hist WHERE id % 3 = 1) SELECT l.id, count(*) AS n, round(max(r.trees), 6) AS top FROM l JOIN r ON l.point_id = r.point_id AND r.seen BETWEEN l.at - 60 AND l.at GROUP BY l.id")
+@query(f"WITH {HISTORY}, l AS (SELECT id, point_id, date AS at FROM hist WHERE id % 2 = 0), r AS (SELECT point_id, date AS seen, trees FROM hist WHERE id % 2 = 1) SELECT l.id, count(*) AS n, round(max(r.trees), 6) AS top FROM l JOIN r ON l.point_id = r.point_id AND r.seen BETWEEN l.at - 60 AND l.at GROUP BY l.id")
 def c8_range_join(spark, d):
     h = history(spark, d)
-    left = h.filter("id % 3 = 0").select("id", "point_id", F.col("date").alias("at"))
-    right = h.filter("id % 3 = 1").select("point_id", F.col("date").alias("seen"), "trees")
+    left = h.filter("id % 2 = 0").select("id", "point_id", F.col("date").alias("at"))
+    right = h.filter("id % 2 = 1").select("point_id", F.col("date").alias("seen"), "trees")
     return spatial.range_hits(left, right, ["point_id"], "at", "seen", 60, 0).groupBy("id").agg(F.count("*").alias("n"), r6(F.max("trees"), "top"))
 
 
-@query(f"""WITH {HISTORY}, l AS (SELECT id, point_id, date AS at FROM hist WHERE id % 3 = 0), r AS (SELECT point_id, date AS seen FROM hist WHERE id % 3 = 1) SELECT id, l."at" AS "at" FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.point_id = l.point_id AND r.seen BETWEEN l."at" - 30 AND l."at" + 30)""")
+@query(f"""WITH {HISTORY}, l AS (SELECT id, point_id, date AS at FROM hist WHERE id % 2 = 0), r AS (SELECT point_id, date AS seen FROM hist WHERE id % 2 = 1) SELECT id, l."at" AS "at" FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.point_id = l.point_id AND r.seen BETWEEN l."at" - 30 AND l."at" + 30)""")
 def c10_c29_no_event_near(spark, d):
     h = history(spark, d)
-    left = h.filter("id % 3 = 0").select("id", "point_id", F.col("date").alias("at"))
-    right = h.filter("id % 3 = 1").select("point_id", F.col("date").alias("seen"))
+    left = h.filter("id % 2 = 0").select("id", "point_id", F.col("date").alias("at"))
+    right = h.filter("id % 2 = 1").select("point_id", F.col("date").alias("seen"))
     return left.select("id", "at").join(spatial.range_hits(left, right, ["point_id"], "at", "seen", 30, 30).select("id").distinct(), "id", "left_anti")
 
 
@@ -293,11 +294,11 @@ def c19_c33_year_over_year(spark, d):
     return m.join(before, ["point_id", "year", "month"]).select("point_id", "year", "month", r6(F.col("v") - F.col("u"), "change"))
 
 
-@query(f"WITH {WINDOWS} SELECT h.pixel, n.event_id IS NOT NULL AS fresh, h.event_id FROM win h LEFT JOIN (SELECT pixel, date, min(event_id) AS event_id FROM win WHERE event_type = 'signup' GROUP BY ALL) n ON h.pixel = n.pixel AND h.date = n.date WHERE h.event_type = 'click' AND n.event_id IS NULL UNION ALL SELECT pixel, true, event_id FROM win WHERE event_type = 'signup'")
+@query(f"WITH {WINDOWS} SELECT h.pixel, n.event_id IS NOT NULL AS fresh, h.event_id FROM win h LEFT JOIN (SELECT pixel, date, min(event_id) AS event_id FROM win WHERE event_type = 'signup' GROUP BY ALL) n ON h.pixel = n.pixel AND h.date = n.date WHERE h.event_type <> 'signup' AND n.event_id IS NULL UNION ALL SELECT pixel, true, event_id FROM win WHERE event_type = 'signup'")
 def c27_g2_newer_rows_win(spark, d):
     w = windows(spark, d)
     new = w.filter("event_type = 'signup'")
-    old = w.filter("event_type = 'click'").join(new.select("pixel", "date").distinct(), ["pixel", "date"], "left_anti")
+    old = w.filter("event_type <> 'signup'").join(new.select("pixel", "date").distinct(), ["pixel", "date"], "left_anti")
     return old.select("pixel", F.lit(False).alias("fresh"), "event_id").unionByName(new.select("pixel", F.lit(True).alias("fresh"), "event_id"))
 
 

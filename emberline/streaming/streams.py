@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fire import START, step_codes, with_indices
+from ..operators.grid import shared_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema, glob: str, files_per_trigger: int = 1) -> DataFrame:
@@ -61,7 +62,16 @@ def new_days_only(days: DataFrame, state: DataFrame, key: str, at: str) -> DataF
 
 
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there and return its in-memory result; for small results and tests."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over all that is there into a Parquet table of the shared folder, and read it.
+
+    Appended rows are added to the table; a complete result replaces it.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/emberline/{name}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/table")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table"))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
