@@ -14,11 +14,12 @@ GAIN_ORDER = ("crops", "bare", "built", "shrub_scrub", "grass")
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Held within bounds; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def logistic(x: Column, midpoint: Column | float, steepness: Column | float) -> Column:
-    """1 / (1 + exp(-k (x - m))), with the exponent held within +-60."""
+    """1 / (1 + exp(-k (x - m))), with the exponent held within +-60; null for null."""
     m = midpoint if isinstance(midpoint, Column) else F.lit(float(midpoint))
     k = steepness if isinstance(steepness, Column) else F.lit(float(steepness))
     return 1 / (1 + F.exp(-clip(k * (x - m), -60.0, 60.0)))
@@ -186,3 +187,12 @@ def burn_age(days: Column) -> dict[str, Column]:
 
 def fire_weather_proxy(temp_c: Column, rh: Column, precip: Column) -> Column:
     return clip(100 - rh / 2 + (temp_c - 20) / 5 - 2 * precip, 0.0, 100.0)
+
+
+def wind(u: Column, v: Column) -> tuple[Column, Column]:
+    """Speed, and the direction the wind comes from in degrees from north."""
+    return F.sqrt(u * u + v * v), F.pmod(270 - F.degrees(F.atan2(v, u)), F.lit(360.0))
+
+
+def decibels(power: Column) -> Column:
+    return 10 * F.log10(power)

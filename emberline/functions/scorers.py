@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import clip, doy_value, logistic, score_label
+from .scalars import doy_value, logistic, score_label
 
 THREATS = ("CANOPY_LOSS", "CROP_ENCROACHMENT", "BUILT_ENCROACHMENT")
 
@@ -20,12 +20,16 @@ def seasonal_drop(before: Column, after: Column, mean0: Column, mean1: Column) -
     return F.greatest(F.lit(0.0), -(after - before - F.least(F.lit(0.0), mean1 - mean0)))
 
 
+def drop_parts(drop: Column, before: Column) -> tuple[Column, Column]:
+    """Evidence of a drop by its size and by its share of what was there."""
+    steep = 25 + 20 * F.greatest(F.lit(0.0), (0.30 - before) / 0.30)
+    return logistic(drop, 0.05 + 0.10 * before, steep), logistic(drop / F.greatest(before, F.lit(0.05)), 0.30, 8)
+
+
 def loss_evidence(before: Column, after: Column, mean0: Column, mean1: Column, std: Column) -> tuple[Column, Column]:
     """Evidence of tree loss before clouds, 0 to 1, and the z-score of what is left."""
     drop = seasonal_drop(before, after, mean0, mean1)
-    steep = 25 + 20 * F.greatest(F.lit(0.0), (0.30 - before) / 0.30)
-    absolute = logistic(drop, 0.05 + 0.10 * before, steep)
-    relative = logistic(drop / F.greatest(before, F.lit(0.05)), 0.30, 8)
+    absolute, relative = drop_parts(drop, before)
     z = (after - F.greatest(before, mean1)) / F.greatest(std, F.lit(0.05))
     raw = 0.7 * absolute + 0.3 * relative
     return F.least(raw * (1 + F.greatest(F.lit(0.0), -z) / 4 * logistic(drop, 0.08, 40)), F.lit(1.0)), z
@@ -58,17 +62,3 @@ def threat_scores(
 
 def baseline(doy: Column, means: list[float]) -> Column:
     return doy_value(doy, means)
-
-
-#: Weights of the patch evidences.
-PATCH_WEIGHTS = {"ndvi": 3.5, "class_z": 3.0, "trees": 3.0, "bare": 2.5, "conversion": 1.5, "vh": 1.5, "cusum": 0.8}
-
-
-def patch_score(evidence: dict[str, Column], cap: float = 0.95) -> Column:
-    """Weighted mean of the evidences that are present, scaled by how many agree, capped; null without evidence."""
-    present = [F.when(evidence[k].isNotNull(), F.lit(w)).otherwise(0.0) for k, w in PATCH_WEIGHTS.items() if k in evidence]
-    total = sum((F.coalesce(evidence[k] * w, F.lit(0.0)) for k, w in PATCH_WEIGHTS.items() if k in evidence), F.lit(0.0))
-    agreeing = sum((F.when(evidence[k] >= 0.5, 1).otherwise(0) for k in PATCH_WEIGHTS if k in evidence), F.lit(0))
-    weight = sum(present, F.lit(0.0))
-    factor = F.when(agreeing >= 3, 1.25).when(agreeing == 2, 1.0).otherwise(0.85)
-    return F.when(weight > 0, clip(total / weight * factor, 0.0, cap))

@@ -1,6 +1,6 @@
 """All domain queries and their SQL, by name."""
 
-from . import fires, rasters, series, streams, tables  # noqa: F401
+from . import fires, pixels, rasters, series, streams, tables  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
