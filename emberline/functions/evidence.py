@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import clip, logistic
 
 #: Least evidence thresholds of the patch scorer.
 THRESHOLDS = {"ndvi_z": -2.0, "ndvi": 0.15, "tree_drop": 0.12, "bare_rise": 0.08, "crop_rise": 0.10, "built_rise": 0.05, "vh": 2.0, "cusum": 0.50}
+#: Weights of the patch scorer's evidence.
+WEIGHTS = {"ndvi": 3.5, "trees_z": 3.0, "drop": 3.0, "bare": 2.5, "conversion": 1.5, "vh": 1.5, "cusum": 0.8}
 #: Mean and spread of a band's natural change by season.
 SEASONAL_NORMS = {
     "dry_cool": {"trees": (-0.18, 0.10), "grass": (-0.08, 0.07), "crops": (0.07, 0.09), "bare": (0.12, 0.09), "shrub_scrub": (-0.06, 0.07), "water": (0.00, 0.04), "built": (0.00, 0.03), "flooded_veg": (-0.03, 0.05)},
@@ -39,35 +41,40 @@ def drop_evidence(before: Column, after: Column, mean: Column, std: Column, clou
     return F.least(lifted, F.lit(1.0)) * (1 - logistic(cloud, 0.60, 15))
 
 
-def patch_confidence(p: dict[str, Column], dry: Column, t: dict[str, float] = THRESHOLDS) -> Column:
-    """Weighted evidence of a patch, 0 to 0.95, by the signals that are there; 0 without any.
+def with_patch_confidence(df: DataFrame, p: dict[str, Column], dry: Column, t: dict[str, float] = THRESHOLDS) -> DataFrame:
+    """Add ``confidence``: weighted evidence of a patch, 0 to 0.95, by the signals that are there; 0 without any.
 
     ``p`` holds ndvi_z, dndvi, dw_z, trees_delta, drop (evidence of ``drop_evidence`` or null), bare, crops, built, vh, cusum.
+    Evidence and means are columns of their own for a while, so each is computed once.
     """
     ndvi = F.when(p["ndvi_z"].isNotNull(), F.when(~(dry & (p["ndvi_z"] > -0.5)), logistic(-p["ndvi_z"], -t["ndvi_z"], 1.5)))
     ndvi = F.when(p["ndvi_z"].isNull(), F.when(~(dry & (p["dndvi"] > -0.05)), logistic(p["dndvi"], t["ndvi"], 8))).otherwise(ndvi)
-    trees_z = F.when(~(dry & (p["dw_z"] > -0.5)), logistic(-p["dw_z"], -t["ndvi_z"], 1.5))
-    drop = F.coalesce(p["drop"], logistic(-p["trees_delta"], t["tree_drop"], 15))
-    bare = logistic(p["bare"], t["bare_rise"], 15) * F.when(p["trees_delta"] <= -0.04, 1.0).otherwise(0.4)
     rise = F.greatest(F.coalesce(p["crops"] / t["crop_rise"], F.lit(0.0)), F.coalesce(p["built"] / t["built_rise"], F.lit(0.0)))
-    conversion = F.when((p["crops"].isNotNull() | p["built"].isNotNull()) & (p["trees_delta"] < -t["tree_drop"] * 0.4), logistic(rise, 1.0, 2))
-    vh = logistic(-p["vh"], F.when(dry, t["vh"]).otherwise(t["vh"] * 0.75), 0.8) * F.when(dry, 0.6).otherwise(0.5)
-    cusum = logistic(p["cusum"], F.when(dry, t["cusum"]).otherwise(t["cusum"] * 0.80), 4) * F.when(dry, 0.5).otherwise(0.7)
-    seasonal, instant, radar = [(ndvi, 3.5), (trees_z, 3.0)], [(drop, 3.0), (bare, 2.5), (conversion, 1.5)], [(vh, 1.5), (cusum, 0.8)]
-
-    def mean(signals: list[tuple[Column, float]], otherwise: float | None = None) -> Column:
-        add = lambda a, b: a + b
-        weight = reduce(add, (F.when(e.isNotNull(), w).otherwise(0.0) for e, w in signals))
-        total = reduce(add, (F.coalesce(e * w, F.lit(0.0)) for e, w in signals))
-        return F.when(weight > 0, total / weight).otherwise(F.lit(otherwise))
-
-    s, i, r = mean(seasonal), mean(instant), mean(radar)
-    agreement = F.when(s.isNull() | i.isNull(), 1.0).when((s >= 0.60) & (i >= 0.60), 1.25).when((s >= 0.55) | (i >= 0.55), 1.0).otherwise(0.85)
-    agreement = F.when(r >= 0.58, F.least(agreement * 1.15, F.lit(1.50))).otherwise(agreement)
+    evidence = {
+        "ndvi": ndvi,
+        "trees_z": F.when(~(dry & (p["dw_z"] > -0.5)), logistic(-p["dw_z"], -t["ndvi_z"], 1.5)),
+        "drop": F.coalesce(p["drop"], logistic(-p["trees_delta"], t["tree_drop"], 15)),
+        "bare": logistic(p["bare"], t["bare_rise"], 15) * F.when(p["trees_delta"] <= -0.04, 1.0).otherwise(0.4),
+        "conversion": F.when((p["crops"].isNotNull() | p["built"].isNotNull()) & (p["trees_delta"] < -t["tree_drop"] * 0.4), logistic(rise, 1.0, 2)),
+        "vh": logistic(-p["vh"], F.when(dry, t["vh"]).otherwise(t["vh"] * 0.75), 0.8) * F.when(dry, 0.6).otherwise(0.5),
+        "cusum": logistic(p["cusum"], F.when(dry, t["cusum"]).otherwise(t["cusum"] * 0.80), 4) * F.when(dry, 0.5).otherwise(0.7),
+    }
     greener = F.when(~dry & (p["trees_delta"] < -0.08) & (p["ndvi_z"] > 0.3), 0.55).otherwise(1.0)
-    rougher = F.when((p["vh"] > 2.0) & (mean(seasonal + instant, 0.5) > 0.55), 0.75).otherwise(1.0)
-    confidence = mean(seasonal + instant + radar) * agreement * F.least(greener, rougher)
-    return F.coalesce(clip(confidence, 0.0, 0.95), F.lit(0.0))
+    x = df.withColumns({f"__{k}": e for k, e in evidence.items()} | {"__greener": greener, "__rougher": F.coalesce(p["vh"] > 2.0, F.lit(False))})
+
+    def mean(otherwise: float | None, *signals: str) -> Column:
+        add, e = lambda a, b: a + b, {k: F.col(f"__{k}") for k in signals}
+        weight = reduce(add, (F.when(c.isNotNull(), WEIGHTS[k]).otherwise(0.0) for k, c in e.items()))
+        return F.when(weight > 0, reduce(add, (F.coalesce(c * WEIGHTS[k], F.lit(0.0)) for k, c in e.items())) / weight).otherwise(F.lit(otherwise))
+
+    seasonal, instant, radar = ("ndvi", "trees_z"), ("drop", "bare", "conversion"), ("vh", "cusum")
+    x = x.withColumns({"__s": mean(None, *seasonal), "__i": mean(None, *instant), "__r": mean(None, *radar), "__o": mean(0.5, *seasonal, *instant), "__all": mean(None, *seasonal, *instant, *radar)})
+    s, i, r = F.col("__s"), F.col("__i"), F.col("__r")
+    agreement = F.when(s.isNull() | i.isNull(), 1.0).when((s >= 0.60) & (i >= 0.60), 1.25).when((s >= 0.55) | (i >= 0.55), 1.0).otherwise(0.85)
+    x = x.withColumn("__agreement", agreement)
+    agreement = F.when(r >= 0.58, F.least(F.col("__agreement") * 1.15, F.lit(1.50))).otherwise(F.col("__agreement"))
+    penalty = F.least(F.col("__greener"), F.when(F.col("__rougher") & (F.col("__o") > 0.55), 0.75).otherwise(1.0))
+    return x.select(*df.columns, F.coalesce(clip(F.col("__all") * agreement * penalty, 0.0, 0.95), F.lit(0.0)).alias("confidence"))
 
 
 def tiers(ndvi: Column, yearly: Column, nbr: Column, vh: Column, cusum: Column, tree_drop: Column, conversion: Column, dw_z: Column) -> Column:

@@ -196,3 +196,8 @@ def wind(u: Column, v: Column) -> tuple[Column, Column]:
 
 def decibels(power: Column) -> Column:
     return 10 * F.log10(power)
+
+
+def tolerant_date(s: Column) -> Column:
+    """A date in any of the spellings 2024-01-31, 20240131 and 31/01/2024; null for others."""
+    return F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd", "yyyyMMdd", "dd/MM/yyyy"))).cast("date")

@@ -220,7 +220,7 @@ def scored_patches(spark, d) -> DataFrame:
         "ndvi_z": F.when(k % 4 != 0, t * 8), "dndvi": -t, "dw_z": F.when(k % 3 != 0, _c("d_crops") * 8), "trees_delta": td, "drop": drop, "bare": F.when(k % 5 != 0, _c("d_bare")),
         "crops": F.when(k % 7 != 0, _c("d_crops")), "built": F.when(k % 7 != 1, _c("d_built")), "vh": F.when(k % 2 == 0, _c("d_grass") * 8), "cusum": F.when(k % 11 > 2, k % 11 / 10),
     }
-    return p.withColumn("confidence", E.patch_confidence(evidence, S.is_dry_season(F.month("date"))))
+    return E.with_patch_confidence(p, evidence, S.is_dry_season(F.month("date")))
 
 
 @query(f"WITH {_SCORE} SELECT pixel, n, k, {_h('confidence')} AS confidence FROM scored")
