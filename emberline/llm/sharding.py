@@ -5,14 +5,16 @@ driver ever holds all groups:
 
 1. groups smaller than 1/``fine`` of a shard's capacity are dealt over many tasks; each task packs its own,
    largest first, into packs of that size, always taking the tightest pack that still has room;
-2. the packs and the larger groups, at most about ``2 * fine`` per shard plus one open pack per task, are
-   packed the same way into the shards. Their number does not depend on the number of rows.
+2. the packs and the larger groups, at most about ``2 * fine`` per shard plus one open pack per task (a task for
+   ``per_task`` groups), are packed the same way into the shards on the driver: 16 bytes each, of which ``ITEMS`` are the
+   most; beyond it ``per_task`` must grow.
 
 A group that is larger than a shard cannot be packed whole; its rows are dealt by id into pieces of about an
 eighth of a shard, and the pieces are packed.
 
 Nulls and odd input: a null text counts no bytes and all null texts form a group; repeated rows are packed as
-often as they occur; an empty table gives an empty result; further columns are ignored.
+often as they occur; a very long text is a group like any other; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import keep, parts
 
 ROW_OVERHEAD = 8
+ITEMS = 5_000_000
 
 
 class RemainingTree:
@@ -118,11 +121,14 @@ def pack(units: DataFrame, n_shards: int | None = None, capacity: int | None = N
         "packs",
     )
     # bounded: 2 * fine packs a shard, an open one a task, and fine large units a shard
-    items = (
+    items = keep(
         packed.groupBy("pack").agg(F.sum("bytes").alias("bytes")).select(F.lit(0).alias("large"), F.col("pack").alias("item"), "bytes")
-        .unionByName(units.filter(F.col("bytes") >= small_room).select(F.lit(1).alias("large"), F.col("unit").alias("item"), "bytes"))
-        .toPandas().sort_values(["bytes", "large", "item"], ascending=[False, True, True])
+        .unionByName(units.filter(F.col("bytes") >= small_room).select(F.lit(1).alias("large"), F.col("unit").alias("item"), "bytes")),
+        "items",
     )
+    if (found := items.count()) > ITEMS:
+        raise ValueError(f"{found} packs and large groups: raise per_task")
+    items = items.toPandas().sort_values(["bytes", "large", "item"], ascending=[False, True, True])
     sizes = items["bytes"].to_numpy(np.int64)
     items["shard"] = fit_into(sizes, n_shards) if capacity is None else best_fit_decreasing(sizes, capacity)
     place = spark.createDataFrame(items[["large", "item", "shard"]].astype({"shard": "int32", "item": "int64"}), "large int, item long, shard int")
