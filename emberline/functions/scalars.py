@@ -150,7 +150,7 @@ def ring_area(ring: Column) -> Column:
     """Shoelace area of an array of structs (x, y), open or closed."""
     after = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
     cross = F.zip_with(ring, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
+    return F.when(F.size(ring) > 0, F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2).otherwise(0.0)
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -201,3 +201,34 @@ def decibels(power: Column) -> Column:
 def tolerant_date(s: Column) -> Column:
     """A date in any of the spellings 2024-01-31, 20240131 and 31/01/2024; null for others."""
     return F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd", "yyyyMMdd", "dd/MM/yyyy"))).cast("date")
+
+
+def clipped(ring: Column, left: Column, low: Column, right: Column, high: Column) -> Column:
+    """Ring (array of structs x, y) clipped to a box, one side after the other; empty where nothing is left."""
+
+    def side(points: Column, axis: str, other: str, bound: Column, keep_above: bool) -> Column:
+        inside = lambda p: p[axis] >= bound if keep_above else p[axis] <= bound
+        before = F.concat(F.slice(points, F.size(points), F.lit(1)), F.slice(points, F.lit(1), F.size(points) - 1))
+
+        def step(q: Column, p: Column) -> Column:
+            cut = q[other] + (p[other] - q[other]) * (bound - q[axis]) / F.nullif(p[axis] - q[axis], F.lit(0.0))
+            at = F.struct(bound.alias("x"), cut.alias("y")) if axis == "x" else F.struct(cut.alias("x"), bound.alias("y"))
+            crossing = F.when(inside(p) != inside(q), F.array(at)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+            return F.concat(crossing, F.when(inside(p), F.array(p)).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
+
+        out = F.flatten(F.zip_with(before, points, step))
+        return F.when(F.size(points) > 0, out).otherwise(points)
+
+    def of(*how):
+        return lambda r: side(r, *how)
+
+    for axis, other, bound, above in (("x", "y", left, True), ("x", "y", right, False), ("y", "x", low, True), ("y", "x", high, False)):
+        # bound once, so that the sides do not multiply
+        ring = F.element_at(F.transform(F.array(ring), of(axis, other, bound, above)), 1)
+    return ring
+
+
+def wkt_ring(text: Column) -> Column:
+    """Outer ring of a POLYGON in well-known text as an array of structs (x, y)."""
+    inner = F.regexp_extract(text, r"\(\(([^)]*)\)", 1)
+    return F.transform(F.split(inner, r"\s*,\s*"), lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("y")))

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+TILE = 64
+
+
 def shared_folder(spark) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -66,8 +69,11 @@ def components(cells: DataFrame, connectivity: int = 4, width: int = 1 << 20) ->
     spans = runs.groupBy("row", "__r").agg(F.min("col").alias("lo"), F.max("col").alias("hi")).withColumn("id", F.col("row").cast("long") * width + F.col("lo"))
     spans = persist_table(spans, "spans")
     reach = 1 if connectivity == 8 else 0
-    above = spans.select((F.col("row") + 1).alias("row"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("b"))
-    edges = spans.join(above, "row").filter((F.col("lo") <= F.col("hi2") + reach) & (F.col("lo2") <= F.col("hi") + reach)).select(F.col("id").alias("a"), "b")
+    # runs meet on the row and a tile of columns, so a wide row is not crossed with itself
+    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(lo / TILE), F.floor(hi / TILE)))
+    above = spans.select((F.col("row") + 1).alias("row"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("b"), tiles(F.col("lo"), F.col("hi")).alias("tile"))
+    below = spans.withColumn("tile", tiles(F.col("lo") - reach, F.col("hi") + reach))
+    edges = below.join(above, ["row", "tile"]).filter((F.col("lo") <= F.col("hi2") + reach) & (F.col("lo2") <= F.col("hi") + reach)).select(F.col("id").alias("a"), "b")
     label = min_labels(edges)
     out = spans.join(label, "id", "left").select("row", F.explode(F.sequence("lo", "hi")).alias("col"), F.coalesce("comp", "id").alias("component"))
     return out

@@ -1,6 +1,6 @@
 """All domain queries and their SQL, by name."""
 
-from . import fires, passes, pixels, rasters, series, streams, tables  # noqa: F401
+from . import fires, lake, passes, pixels, rasters, regions, series, streams, tables, training  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

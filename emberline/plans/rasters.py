@@ -61,7 +61,7 @@ def i7_hysteresis(spark, d):
     return G.hysteresis(grid(spark, d), "v", 0.07).select("row", "col", "component", r6(F.col("v"), "v"))
 
 
-@query(f"""WITH {GRID}, p AS (SELECT a.row, a.col, {', '.join(f"coalesce((SELECT any_value(b.v) FROM grid b WHERE b.row = least(63, greatest(0, a.row + {i})) AND b.col = least(63, greatest(0, a.col + {j}))), NULL) AS z{(i + 1) * 3 + j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1))} FROM grid a),
+@query(f"""WITH {GRID}, p AS (SELECT a.row, a.col, {', '.join(f"coalesce((SELECT any_value(b.v) FROM grid b WHERE b.row = least((SELECT max(row) FROM grid), greatest(0, a.row + {i})) AND b.col = least(63, greatest(0, a.col + {j}))), NULL) AS z{(i + 1) * 3 + j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1))} FROM grid a),
 g AS (SELECT row, col, ((z2 + 2 * z5 + z8) - (z0 + 2 * z3 + z6)) / 0.08 AS dx, ((z6 + 2 * z7 + z8) - (z0 + 2 * z1 + z2)) / 0.08 AS dy FROM p) SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 5) AS slope FROM g""")
 def i13_slope(spark, d):
     return G.horn(grid(spark, d), "v", 0.01).select("row", "col", F.round("slope", 5).alias("slope"))
@@ -98,7 +98,7 @@ def i16_i25_blocks(spark, d):
     return grid(spark, d).groupBy(r.alias("block_row"), c.alias("block_col")).agg(r6(F.avg("v"), "mean_v"), r6(F.max("q"), "top_q"), F.count("*").alias("n")).withColumn("half", F.when(F.col("block_row") < 11, "n").otherwise("s"))
 
 
-@query(f"WITH {GRID}, f AS (SELECT row, col FROM grid WHERE v >= 0.08), s AS (SELECT row + dr AS row, col + dc AS col FROM f, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) WHERE dr * dr + dc * dc <= 4) SELECT DISTINCT row::INT AS row, col::INT AS col FROM s WHERE row BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63")
+@query(f"WITH {GRID}, f AS (SELECT row, col FROM grid WHERE v >= 0.08), s AS (SELECT row + dr AS row, col + dc AS col FROM f, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) WHERE dr * dr + dc * dc <= 4) SELECT DISTINCT row::INT AS row, col::INT AS col FROM s WHERE (row, col) IN (SELECT (row, col) FROM grid)")
 def i12_disc_burn_in(spark, d):
     g = grid(spark, d)
     return G.nearest_set(g.select("row", "col"), g.filter("v >= 0.08"), 2).filter("distance is not null").select("row", "col")
@@ -164,10 +164,10 @@ def c6_h15_best_iou(spark, d):
     return spatial.best_matches(spatial.cell_overlaps(a, b, "a_id", "b_id"), "a_id", "b_id", 0.1).select("a_id", "b_id", "shared", r6(F.col("iou"), "iou"))
 
 
-@query(f"WITH {_SETS_SQL} SELECT DISTINCT a_id FROM a WHERE a_id NOT IN (SELECT a_id FROM pairs WHERE iou >= 0.2)")
+@query(f"WITH {_SETS_SQL} SELECT DISTINCT a_id FROM a WHERE a_id NOT IN (SELECT a_id FROM pairs WHERE iou >= 0.65)")
 def g5_unmatched(spark, d):
     a, b = _sets(spark, d)
-    return a.select("a_id").distinct().join(spatial.cell_overlaps(a, b, "a_id", "b_id").filter("iou >= 0.2").select("a_id"), "a_id", "left_anti")
+    return a.select("a_id").distinct().join(spatial.cell_overlaps(a, b, "a_id", "b_id").filter("iou >= 0.65").select("a_id"), "a_id", "left_anti")
 
 
 @query(f"WITH {_SETS_SQL}, x AS (SELECT a1.a_id AS newer, a2.a_id AS older, count(*) AS shared FROM a a1 JOIN a a2 ON a1.row = a2.row AND a1.col = a2.col AND a1.a_id > a2.a_id AND a1.a_id % 2 <> a2.a_id % 2 GROUP BY ALL) SELECT newer, min(older) AS older FROM x JOIN sa s ON newer = s.a_id JOIN sa t ON older = t.a_id WHERE shared / least(s.n, t.n) >= 0.3 GROUP BY newer")

@@ -74,15 +74,15 @@ ALERTS = """alerts AS (SELECT o_orderkey AS id, o_orderpriority AS change_type,
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 64 x 64 grid from ``lineitem``: v (mean discount), q (mean quantity), n; sums of whole numbers, so exact."""
+    """A grid from ``lineitem``, a row for 240 orders and 64 columns: v (mean discount), q (mean quantity), n; sums of whole numbers, so exact."""
     li = read(spark, sf_dir, "lineitem")
-    cells = li.groupBy((F.col("l_orderkey") % 64).cast("int").alias("row"), (F.col("l_partkey") % 64).cast("int").alias("col")).agg(
+    cells = li.groupBy(F.floor(F.col("l_orderkey") / 240).cast("int").alias("row"), (F.col("l_partkey") % 64).cast("int").alias("col")).agg(
         F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("d"), F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n")
     )
     return cells.select("row", "col", (F.col("d") / F.col("n") / 100).alias("v"), (F.col("q") / F.col("n")).alias("q"), "n")
 
 
-GRID = """grid AS (SELECT row, col, d / n / 100 AS v, q / n AS q, n FROM (SELECT (l_orderkey % 64)::INT AS row, (l_partkey % 64)::INT AS col,
+GRID = """grid AS (SELECT row, col, d / n / 100 AS v, q / n AS q, n FROM (SELECT (l_orderkey // 240)::INT AS row, (l_partkey % 64)::INT AS col,
  sum(round(l_discount * 100)::BIGINT)::DOUBLE AS d, sum(l_quantity::BIGINT)::DOUBLE AS q, count(*) AS n FROM lineitem GROUP BY ALL))"""
 
 

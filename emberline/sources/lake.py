@@ -104,13 +104,19 @@ def read_daily_weather(spark: SparkSession, path: str) -> DataFrame:
     return x.select("date", "temp_c", F.greatest(F.lit(0.0), F.least(F.lit(100.0), "rh_pct")).alias("rh_pct"), (F.col("wind_ms") * 3.6).alias("wind_kmh"), "precip_mm")
 
 
-def nearest_grid_weather(grid: DataFrame, stations: DataFrame) -> DataFrame:
-    """Each station with the values of the nearest grid point; kelvin and metres are converted. Both are small tables."""
-    d = F.pow(F.col("lat") - F.col("s_lat"), 2) + F.pow(F.col("lon") - F.col("s_lon"), 2)
+def grid_candidates(grid: DataFrame, stations: DataFrame) -> DataFrame:
+    """Grid points within a degree of each station: all columns and the squared distance ``d2``."""
     near = grid.withColumn("cell", F.struct(F.floor("lat"), F.floor("lon")))
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     s = stations.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step)).withColumn("cell", F.struct(F.floor("s_lat") + F.col("dy"), F.floor("s_lon") + F.col("dx")))
-    best = s.join(near, "cell").groupBy("station").agg(F.min_by(F.struct("temp", "precip"), d).alias("v"))
+    d2 = F.pow(F.col("lat") - F.col("s_lat"), 2) + F.pow(F.col("lon") - F.col("s_lon"), 2)
+    hit = s.join(near, "cell").withColumn("d2", d2)
+    return hit.filter((F.abs(F.col("lat") - F.col("s_lat")) <= 1) & (F.abs(F.col("lon") - F.col("s_lon")) <= 1)).drop("dx", "dy", "cell")
+
+
+def nearest_grid_weather(grid: DataFrame, stations: DataFrame) -> DataFrame:
+    """Each station with the values of the nearest grid point; kelvin and metres are converted."""
+    best = grid_candidates(grid, stations).groupBy("station").agg(F.min(F.struct("d2", "temp", "precip")).alias("v"))
     t = F.col("v.temp")
     return best.select("station", F.when(t > 100, t - 273.15).otherwise(t).alias("temp_c"), (F.col("v.precip") * 1000).alias("precip_mm"))
 
@@ -128,12 +134,56 @@ def parse_log(spark: SparkSession, path: str) -> DataFrame:
     return x.filter("status <> ''")
 
 
-def window_files(spark: SparkSession, path: str) -> DataFrame:
-    """Pixel tables with region and dates taken from the file name ``<region>_<before>_<after>``."""
-    name = F.col("_metadata.file_name")
-    g = lambda i: F.regexp_extract(name, r"^(.+)_(\d{8})_(\d{8})", i)
+def window_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Pixel tables with region and dates taken from the name ``<region>_<before>_<after>`` of the file or its folder."""
+    g = lambda i: F.regexp_extract("_metadata.file_path", r"([^/_]+)_(\d{8})_(\d{8})", i)
     return spark.read.parquet(path).select("*", g(1).alias("region"), F.to_date(g(2), "yyyyMMdd").alias("date_before"), F.to_date(g(3), "yyyyMMdd").alias("date_after"))
 
 
 def named_bands(df: DataFrame, bands: str, names: list[str]) -> DataFrame:
     return df.select(*(c for c in df.columns if c != bands), *(F.col(bands)[i].alias(n) for i, n in enumerate(names)))
+
+
+def chunks_of(sources: DataFrame, start: dt.date, end: dt.date, days: int) -> DataFrame:
+    """Chunks (source, start, end) of ``days`` days of each of ``sources(source, first)``, from its first day on."""
+    s = sources.withColumn("from", F.greatest(F.col("first"), F.lit(start))).filter(F.col("from") <= F.lit(end))
+    c = s.select("source", F.explode(F.sequence("from", F.lit(end), F.make_interval(days=F.lit(days)))).alias("start"))
+    return c.withColumn("end", F.least(F.date_add("start", days - 1), F.lit(end)))
+
+
+def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Features one a line: properties (map), ring (array of x, y structs of the outer boundary)."""
+    f = spark.read.schema("properties map<string, string>, geometry struct<coordinates: array<array<array<double>>>>").json(path)
+    return f.select("properties", F.transform(F.col("geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+
+
+def regions_named(regions: DataFrame, name: str, wanted: list[str]) -> DataFrame:
+    """Regions whose name is one of those wanted, in any case."""
+    return regions.filter(F.lower(F.trim(name)).isin(*(w.strip().lower() for w in wanted)))
+
+
+def write_manifest(chips: DataFrame, path: str, split: str) -> None:
+    """The manifest as CSV with a header, a folder a split."""
+    chips.write.mode("overwrite").option("header", True).partitionBy(split).csv(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Chips of a manifest with polarity and number from their names ``chip_<polarity>_<number>``."""
+    g = lambda i: F.regexp_extract("chip", r"^chip_(pos|neg)_(\d+)$", i)
+    return spark.read.option("header", True).csv(path).select("*", g(1).alias("polarity"), F.expr("try_cast(regexp_extract(chip, '_([0-9]+)$', 1) AS bigint)").alias("number"))
+
+
+def bbox_mean_weather(grid: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Mean of the grid points inside the box (west, south, east, north) per lead time; kelvin is converted."""
+    t = F.avg("temp")
+    inside = grid.filter(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+    return inside.groupBy("lead_h").agg(F.count("*").alias("points"), F.when(t > 100, t - 273.15).otherwise(t).alias("temp_c"), F.avg("precip").alias("precip"))
+
+
+def save_models(models: DataFrame, path: str) -> None:
+    """Models one JSON object a line."""
+    models.write.mode("overwrite").json(path)
+
+
+def load_models(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

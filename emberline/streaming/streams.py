@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,7 +68,7 @@ def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     Appended rows are added to the table; a complete result replaces it.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/emberline/{name}"
+    folder = f"{shared_folder(spark)}/emberline/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{folder}/table")
