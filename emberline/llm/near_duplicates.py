@@ -7,11 +7,12 @@
 3. Representatives that share a band key are candidates. No task lists all pairs of a bucket: first each
    representative is held against the smallest of its buckets' smallest ids, then against the smallest id of each bucket
    where the two are in different components, and last the rest: a representative outside the component of its bucket's
-   smallest id against the bucket's members outside its own component. Pairs already connected are never made,
-   so a group of thousands of near copies costs about one comparison a member.
-   Before that, shingles that no other candidate holds are counted: they bound every intersection. Each set also has a
-   parity bitmap: every bit in which two bitmaps differ stands for a shingle that only one of the sets has. Pairs that
-   either bound rules out (both are exact) never become rows.
+   smallest id meets members of such buckets outside its own component, not by the bucket but by a shingle of both
+   prefixes, rarest first. That misses no pair at the threshold, and texts that share a template below it do not meet.
+   Pairs already connected are never made, so a group of thousands of near copies costs about one comparison a member.
+   Before that, shingles that no other candidate holds are counted: they bound every intersection. So does the place of
+   the shingle two prefixes share, and a parity bitmap of each set: every bit in which two bitmaps differ stands for a
+   shingle that only one of the sets has. All bounds are exact; pairs they rule out are not verified.
 4. Every candidate is verified on the full shingle sets; links join components by linking to the smaller root and
    jumping over parents until nothing changes.
 
@@ -159,6 +160,22 @@ def reach(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sizes.filter(F.col("most") * den >= F.col("n") * num)
 
 
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, h, at): the shingles h of each set's prefix that other sets hold too, and their places ``at`` from 1.
+
+    Every set lists its shingles in one order, rarest first, those that no other set holds foremost. Two sets that reach
+    the threshold share a shingle of their prefixes, the first n - ceil(num / den * n) + 1 of the list.
+    """
+    words = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("h"))
+    common = words.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    held = words.join(common, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("held"))
+    lone = F.col("n") - F.size("held")
+    length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1 - F.col("lone")
+    first = held.withColumn("lone", lone).withColumn("length", length).filter("length > 0")
+    listed = first.select("id", "n", "lone", F.posexplode(F.slice("held", F.lit(1), F.col("length"))).alias("at", "w"))
+    return listed.select("id", "n", F.col("w.h").alias("h"), (F.col("at") + F.col("lone") + 1).alias("at"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: int = ROWS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id)."""
     docs = docs.select("doc_id", "text")
@@ -194,19 +211,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if step == "centres":
             pairs = apart.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
         else:
-            apart = keep(apart, "apart")
-            used.append(apart)
-            others = labelled(members.join(apart.select("key").distinct(), "key", "left_semi"), labels, "rep")
-            bits = able.select(F.col("id").alias("rep"), "bits")
-            others = others.join(bits, "rep").select("key", F.col("rep").alias("other"), F.col("rep_comp").alias("other_comp"), F.col("n").alias("m"), F.col("most").alias("other_most"), F.col("bits").alias("other_bits"))
-            # an intersection i reaches the threshold if (num + den) * i >= num * (n + m)
-            possible = F.least("most", "other_most") * (num + den) >= (F.col("n") + F.col("m")) * num
-            differ = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-            possible &= (F.col("n") + F.col("m") - differ) * (num + den) >= (F.col("n") + F.col("m")) * (2 * num)
-            pairs = (
-                apart.join(bits, "rep").select("key", "rep", "rep_comp", "n", "most", "bits").join(others, "key").filter((F.col("rep_comp") != F.col("other_comp")) & possible)
-                .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-            )
+            apart = keep(apart.select("key", "rep").distinct(), "apart")
+            inside = members.join(apart.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("id")).distinct()
+            shared = keep(prefixes(sets.join(inside, "id", "left_semi"), num, den), "prefixes")
+            used += [apart, shared]
+            one = shared.join(apart.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+            one, two = (labelled(x.withColumnRenamed("id", c).withColumnRenamed("n", f"{c}_n").withColumnRenamed("at", f"{c}_at"), labels, c) for x, c in ((one, "x"), (shared, "y")))
+            # an intersection i reaches the threshold if (num + den) * i >= num * (n + m); the first shared shingle bounds it
+            bound = (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) * (num + den) >= (F.col("x_n") + F.col("y_n")) * num
+            met = one.join(two, "h").filter((F.col("x_comp") != F.col("y_comp")) & bound).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            bits = lambda c: able.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+            differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+            total = F.col("a_n") + F.col("b_n")
+            pairs = met.join(bits("a"), "a").join(bits("b"), "b").filter((total - differ) * (num + den) >= total * (2 * num)).select("a", "b")
         fresh = keep(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         links = keep(verify(fresh, sets, num, den), "links")
         used += [fresh, links]

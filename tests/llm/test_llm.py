@@ -633,6 +633,21 @@ def test_groups_match_brute_force(spark, k, num):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_a_shared_template_links_only_near_copies(spark):
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(240)]
+    rows = []
+    for g in range(40):  # groups share much of a template, below the threshold; their members are near copies
+        own = [f"g{g}w{i}" for i in range(int(rng.integers(25, 60)))]
+        for _ in range(int(rng.integers(1, 4))):
+            w = [*template, *own]
+            w[int(rng.integers(len(w)))] = f"e{int(rng.integers(10_000))}"
+            rows.append((len(rows), " ".join(w), "s"))
+    want = brute_groups(rows, 3, 85, 100)
+    out = near_duplicates.near_duplicates(docs_of(spark, rows), k=3, num=85, den=100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want and len({c for _, c in want.values()}) > 10
+
+
 def test_super_minhash_estimates_and_bounds():
     rng = np.random.default_rng(6)
     errors = []
