@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grid import shared_folder
 from ..sources import lake
-from .registry import query, read
+from .registry import query, r6, read
 
 
 def _folder(spark) -> str:
@@ -148,3 +148,31 @@ def a9_a10_window_files(spark, d):
     path, v = _folder(spark), F.col("value")
     read(spark, d, "events").select("event_id", F.array(v, v / 2).alias("bands")).write.parquet(f"{path}/guna_20240105_20240120.parquet")
     return lake.named_bands(lake.window_tables(spark, f"{path}/guna_20240105_20240120.parquet"), "bands", ["trees", "crops"])
+
+
+_DAYS = "w AS (SELECT o_orderdate::DATE AS date, min(o_orderkey) AS k FROM orders GROUP BY 1)"
+
+
+@query(f"WITH {_DAYS} SELECT date, round(k % 350 / 10 - 2, 6) AS temp_c, least(100, k % 107)::DOUBLE AS rh_pct, round(k % 40 * 3.6::DOUBLE, 6) AS wind_kmh, CASE WHEN k % 4 = 0 THEN round(k % 90 / 10, 6) END AS precip_mm FROM w")
+def a12_weather_json(spark, d):
+    """Daily weather as JSON with a map of days per variable, one file a year, scanned into rows a day."""
+    path, k = _folder(spark), F.col("k")
+    days = read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.min("o_orderkey").alias("k"))
+    values = {"T2M": k % 350 / 10 - 2, "RH2M": (k % 107).cast("double"), "WS10M": (k % 40).cast("double"), "PRECTOTCORR": F.when(k % 4 == 0, k % 90 / 10).otherwise(-999.0)}
+    maps = (F.map_from_entries(F.collect_list(F.struct(F.date_format("date", "yyyyMMdd"), v))).alias(n) for n, v in values.items())
+    years = days.groupBy(F.year("date").alias("year")).agg(F.struct(F.struct(*maps).alias("parameter")).alias("properties"))
+    years.write.partitionBy("year").json(path)
+    x = lake.read_daily_weather(spark, path)
+    return x.select("date", *(r6(F.col(c), c) for c in ("temp_c", "rh_pct", "wind_kmh", "precip_mm")))
+
+
+@query("SELECT 'tile ' || s_suppkey AS name, 5::BIGINT AS points, (s_suppkey % 90)::DOUBLE AS west, (s_suppkey % 45)::DOUBLE AS south, (s_suppkey % 90 + 4)::DOUBLE AS east, (s_suppkey % 45 + 4)::DOUBLE AS north FROM supplier")
+def a16_placemarks(spark, d):
+    """Boxes written as KML placemarks and scanned again."""
+    path, k = _folder(spark), F.col("s_suppkey")
+    p = lambda i, j: F.concat_ws(",", (k % 90 + i).cast("string"), (k % 45 + j).cast("string"), F.lit("0"))
+    ring = F.struct(F.concat_ws(" ", p(0, 0), p(4, 0), p(4, 4), p(0, 4), p(0, 0)).alias("coordinates"))
+    boxes = read(spark, d, "supplier").select(F.concat(F.lit("tile "), k.cast("string")).alias("name"), F.struct(ring.alias("LinearRing")).alias("b"))
+    boxes.select("name", F.struct(F.col("b").alias("outerBoundaryIs")).alias("Polygon")).write.format("xml").option("rootTag", "kml").option("rowTag", "Placemark").save(path)
+    r, x, y = lake.read_placemarks(spark, path), F.transform("ring", lambda q: q["x"]), F.transform("ring", lambda q: q["y"])
+    return r.select("name", F.size("ring").cast("long").alias("points"), F.array_min(x).alias("west"), F.array_min(y).alias("south"), F.array_max(x).alias("east"), F.array_max(y).alias("north"))
