@@ -190,14 +190,14 @@ def d34_cover_by_class(spark, d):
     return a.withColumn("pct", half_up(100.0 * F.col("n") / total, "pct")).join(mode, "class", "left").select("class", "n", (F.col("n") * 0.01).alias("area_ha"), "pct", F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
-@query(f"""WITH {BOXES} SELECT id, round(111320 * cos(radians(y - 90)), 4) AS metres_lon, floor(x * 1000 / 30)::BIGINT AS col, floor((180000 - y * 1000) / 30)::BIGINT AS row, round(16 * 111320 * (111320 * cos(radians(y - 90))) / 10000, 2) AS area_ha,
+@query(f"""WITH {BOXES} SELECT id, round(111320 * cos(radians(y % 180 - 90)), 4) AS metres_lon, floor(x * 1000 / 30)::BIGINT AS col, floor((180000 - y * 1000) / 30)::BIGINT AS row, round(16 * 111320 * (111320 * cos(radians(y % 180 - 90))) / 10000, 2) AS area_ha,
 4 AS n_points, x AS first_x, 16.0::DOUBLE AS area FROM bx""")
 def h10_h11_h16_local_metres(spark, d):
     """Metres in a degree, rows and columns by an affine inverse, areas, and rings read from well-known text."""
     x, y = F.col("x"), F.col("y")
     text = F.concat(F.lit("POLYGON (("), F.array_join(F.array(*(F.concat_ws(" ", (x + i).cast("string"), (y + j).cast("string")) for i, j in ((0, 0), (4, 0), (4, 4), (0, 4)))), ", "), F.lit("))"))
     b = boxes(spark, d).withColumn("ring", S.wkt_ring(text))
-    metres = 111320 * F.cos(F.radians(y - 90))
+    metres = 111320 * F.cos(F.radians(y % 180 - 90))
     return b.select(
         "id", F.round(metres, 4).alias("metres_lon"), F.floor(x * 1000 / 30).alias("col"), F.floor((180000 - y * 1000) / 30).alias("row"), F.round(16 * 111320 * metres / 10000, 2).alias("area_ha"),
         F.size("ring").alias("n_points"), F.col("ring")[0]["x"].alias("first_x"), F.round(S.ring_area(F.col("ring")), 6).alias("area"),

@@ -217,7 +217,7 @@ def h17_h19_h31_fire_classes(spark, d):
     return e.select("event_id", S.frp_bin(v).alias("frp_bin"), S.frp_severity(v).alias("severity"), S.combined_severity(F.col("event_id") % 60, v).alias("combined"), S.utc_to_ist(F.hour("ts") * 100 + F.minute("ts")).alias("ist"), season.alias("season"))
 
 
-@query("WITH v AS (SELECT id, sin(id)::DOUBLE AS a, cos(id)::DOUBLE AS b FROM (SELECT l_orderkey AS id FROM lineitem GROUP BY 1)) SELECT id, round(greatest(-1, least(1, (abs(a) - abs(b)) / (abs(a) + abs(b) + 1e-6))), 6) AS nd, round(-(a*a * ln(a*a + 1e-8) + b*b * ln(b*b + 1e-8)), 6) AS entropy, round(2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(a - b) / 2), 2) + cos(radians(b)) * cos(radians(a)) * pow(sin(radians(b - a) / 2), 2)))), 3) AS metres FROM v")
+@query("WITH v AS (SELECT id, sin(id)::DOUBLE AS a, cos(id)::DOUBLE AS b FROM (SELECT l_orderkey AS id FROM lineitem GROUP BY 1)) SELECT id, round(greatest(-1, least(1, (abs(a) - abs(b)) / (abs(a) + abs(b) + 1e-6))), 6) AS nd, round(-(a*a * ln(a*a + 1e-8) + b*b * ln(b*b + 1e-8)), 6) + 0.0 AS entropy, round(2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(a - b) / 2), 2) + cos(radians(b)) * cos(radians(a)) * pow(sin(radians(b - a) / 2), 2)))), 3) AS metres FROM v")
 def h1_h3_h9_indices(spark, d):
     v = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")).distinct().withColumn("a", F.sin("id")).withColumn("b", F.cos("id"))
     a, b = F.col("a"), F.col("b")
