@@ -29,6 +29,15 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(*tables: DataFrame) -> None:
+    """Delete tables of ``persist_table`` that nothing will read again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName() == "emberline":
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def focal(cells: DataFrame, col: str, radius: int, out: str, tile: str | None = None) -> DataFrame:
     """Sum over the (2r+1) square around each cell, missing cells count 0: rows first, then columns."""
     by = [tile] if tile else []
@@ -88,8 +97,10 @@ def min_labels(edges: DataFrame) -> DataFrame:
         linked = parent.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("up"))
         up = parent.select(F.col("id").alias("up"), F.col("comp").alias("upper"))
         step = persist_table(linked.join(up, "up").select("id", "old", F.least("up", "upper").alias("comp")), "parents")
+        remove_tables(parent)
         parent = step.select("id", "comp")
         if not step.filter("old <> comp").limit(1).count():
+            remove_tables(both)
             return parent
 
 
