@@ -17,19 +17,69 @@ def weather(spark, d):
     return o.select("station", "date", (k % 350 / 10 - 2).alias("temp_c"), (k % 107).cast("double").alias("rh_pct"), (k % 40).cast("double").alias("wind_kmh"), F.when(k % 4 == 0, k % 90 / 10).otherwise(0.0).alias("precip_mm"))
 
 
-@query()
+#: The recurrence as SQL: one step a row number, the codes before it joined with the day's weather.
+INDEX_SQL = """WITH RECURSIVE o AS (SELECT o_orderpriority AS station, o_orderdate::DATE AS date, min(o_orderkey) AS k FROM orders GROUP BY ALL),
+w AS (SELECT station, date, row_number() OVER (PARTITION BY station ORDER BY date) AS i, year(date) <> coalesce(year(lag(date) OVER (PARTITION BY station ORDER BY date)), year(date)) AS fresh,
+ (k % 350) / 10::DOUBLE - 2 AS t, (k % 107)::DOUBLE AS humid, least(100, k % 107)::DOUBLE AS h, (k % 40)::DOUBLE AS v, CASE WHEN k % 4 = 0 THEN (k % 90) / 10::DOUBLE ELSE 0::DOUBLE END AS p,
+ ([6.4, 7.5, 9.0, 10.4, 11.4, 11.4, 11.4, 10.2, 9.0, 7.7, 6.8, 6.2]::DOUBLE[])[month(date)] AS day_length, ([-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6]::DOUBLE[])[month(date)] AS factor FROM o),
+codes AS (
+ SELECT station, 0::BIGINT AS i, 85::DOUBLE AS ffmc, 6::DOUBLE AS dmc, 15::DOUBLE AS dc FROM (SELECT DISTINCT station FROM w)
+ UNION ALL
+ SELECT station, i, 59.5::DOUBLE * (250 - m3) / (147.2::DOUBLE + m3), b2 + CASE WHEN t > -1.1 THEN 1.894::DOUBLE * (t + 1.1::DOUBLE) * (100 - h) * day_length * 1e-4 ELSE 0 END,
+  greatest(0, c2 + CASE WHEN t >= -2.8 THEN 0.36::DOUBLE * (t + 2.8::DOUBLE) + factor ELSE 0 END / 2)
+ FROM (SELECT *, greatest(0, least(250, CASE
+   WHEN m2 > dry THEN dry + (m2 - dry) * pow(10, -(0.424::DOUBLE * (1 - pow(h / 100, 1.7)) + 0.0694::DOUBLE * sqrt(v) * (1 - pow(h / 100, 8))) * speed)
+   WHEN m2 < wet THEN wet - (wet - m2) * pow(10, -(0.424::DOUBLE * (1 - pow((100 - h) / 100, 1.7)) + 0.0694::DOUBLE * sqrt(v) * (1 - pow((100 - h) / 100, 8))) * speed) ELSE m2 END)) AS m3
+  FROM (SELECT *, CASE WHEN p > 0.5 THEN least(250, m + 42.5::DOUBLE * (p - 0.5::DOUBLE) * exp(-100 / (251 - m)) * (1 - exp(-6.93::DOUBLE / (p - 0.5::DOUBLE))) + CASE WHEN m > 150 THEN 0.0015::DOUBLE * (m - 150) * (m - 150) * sqrt(p - 0.5::DOUBLE) ELSE 0 END) ELSE m END AS m2,
+    0.942::DOUBLE * pow(h, 0.679) + 11 * exp((h - 100) / 10) + 0.18::DOUBLE * (21.1::DOUBLE - t) * (1 - exp(-0.115::DOUBLE * h)) AS dry,
+    0.618::DOUBLE * pow(h, 0.753) + 10 * exp((h - 100) / 10) + 0.18::DOUBLE * (21.1::DOUBLE - t) * (1 - exp(-0.115::DOUBLE * h)) AS wet, 0.581::DOUBLE * exp(0.0365::DOUBLE * t) AS speed,
+    CASE WHEN p > 1.5 THEN greatest(0, 244.72::DOUBLE - 43.43::DOUBLE * ln(20 + exp(5.6348::DOUBLE - b / 43.43::DOUBLE) + 1000 * (0.92::DOUBLE * p - 1.27::DOUBLE) / (48.77::DOUBLE + (0.92::DOUBLE * p - 1.27::DOUBLE) * (
+     CASE WHEN b <= 33 THEN 100 / (0.5::DOUBLE + 0.3::DOUBLE * b) WHEN b <= 65 THEN 14 - 1.3::DOUBLE * ln(b) ELSE 6.2::DOUBLE * ln(b) - 17.2::DOUBLE END)) - 20)) ELSE b END AS b2,
+    CASE WHEN p > 2.8 THEN greatest(0, 400 * ln(800 / (800 * exp(-c / 400) + 3.937::DOUBLE * (0.83::DOUBLE * p - 1.27::DOUBLE)))) ELSE c END AS c2
+   FROM (SELECT *, 147.2::DOUBLE * (101 - a) / (59.5::DOUBLE + a) AS m FROM (SELECT w.*, CASE WHEN fresh THEN round(ffmc, 1) ELSE ffmc END AS a, CASE WHEN fresh THEN round(dmc, 1) ELSE dmc END AS b, CASE WHEN fresh THEN round(dc, 1) ELSE dc END AS c
+    FROM codes JOIN w ON w.station = codes.station AND w.i = codes.i + 1))))),
+steps AS (SELECT w.station, w.date, t, humid, v, p, ffmc, dmc, dc, 147.2::DOUBLE * (101 - ffmc) / (59.5::DOUBLE + ffmc) AS m, dmc + 0.4::DOUBLE * dc AS base FROM codes JOIN w USING (station, i)),
+spread AS (SELECT *, 0.208::DOUBLE * exp(0.05039::DOUBLE * v) * 91.9::DOUBLE * exp(-0.1386::DOUBLE * m) * (1 + pow(m, 5.31) / 4.93e7) AS isi,
+ greatest(0, CASE WHEN base <= 0 THEN 0 WHEN dmc <= 0.4::DOUBLE * dc THEN 0.8::DOUBLE * dmc * dc / base ELSE dmc - (1 - 0.8::DOUBLE * dc / base) * (0.92::DOUBLE + pow(0.0114::DOUBLE * dmc, 1.7)) END) AS bui FROM steps),
+rated AS (SELECT *, 0.1::DOUBLE * isi * CASE WHEN bui <= 80 THEN 0.626::DOUBLE * pow(bui, 0.809) + 2 ELSE 1000 / (25 + 108.64::DOUBLE * exp(-0.023::DOUBLE * bui)) END AS b FROM spread),
+exact AS (SELECT *, CASE WHEN b > 1 THEN exp(2.72::DOUBLE * pow(0.434::DOUBLE * ln(b), 0.647)) ELSE b END AS f FROM rated),
+idx AS (SELECT station, date, t, humid, v, p, f, round(ffmc, 3) AS ffmc, round(dmc, 3) AS dmc, round(dc, 3) AS dc, round(isi, 3) AS isi, round(bui, 3) AS bui, round(f, 3) AS fwi, CASE WHEN f < 5 THEN 'Low' WHEN f < 11.2 THEN 'Moderate' WHEN f < 21.3 THEN 'High' WHEN f < 38 THEN 'Very High' ELSE 'Extreme' END AS danger_class FROM exact)"""
+INDEX_COLUMNS = "station, date, ffmc, dmc, dc, isi, bui, fwi, danger_class"
+
+
+@query(INDEX_SQL + f" SELECT {INDEX_COLUMNS} FROM idx")
 def j10_fire_weather(spark, d):
-    """The daily recurrence per station; tested against published worked values and a loop."""
+    """The daily recurrence per station; also tested against published worked values and a loop."""
     x = fire.fire_weather(weather(spark, d))
     return x.select("station", "date", *(F.round(c, 3).alias(c) for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi")), "danger_class")
 
 
-@query()
+@query(INDEX_SQL + """ SELECT station, year(date) AS year, (array_agg(date ORDER BY fwi DESC, date DESC))[1] AS peak_day, max(fwi) AS peak, count(*) AS days, round(avg((f >= 21.3)::INT), 6) AS danger_share,
+ count(*) FILTER (danger_class = 'Extreme') AS n_extreme, round(100 * avg((danger_class = 'Low')::INT), 6) AS low_pct FROM idx GROUP BY station, year(date)""")
 def d37_f4_danger_days(spark, d):
-    """Top days and danger shares per station from the index."""
+    """A year's peak with its day, and how its days share out over the danger classes."""
     x = fire.fire_weather(weather(spark, d))
-    peak = x.groupBy("station", F.year("date").alias("year")).agg(F.max_by("date", "fwi").alias("peak_day"), F.round(F.max("fwi"), 3).alias("peak"), r6(F.avg((F.col("fwi") >= 21.3).cast("int")), "danger_share"))
-    return peak
+    order = F.struct(F.round("fwi", 3), "date")
+    return x.groupBy("station", F.year("date").cast("long").alias("year")).agg(
+        F.max_by("date", order).alias("peak_day"), F.max(F.round("fwi", 3)).alias("peak"), F.count("*").alias("days"), r6(F.avg((F.col("fwi") >= 21.3).cast("int")), "danger_share"),
+        F.count_if(F.col("danger_class") == "Extreme").alias("n_extreme"), r6(100 * F.avg((F.col("danger_class") == "Low").cast("int")), "low_pct"),
+    )
+
+
+@query(INDEX_SQL + """ SELECT station, month(date) AS month, count(*) AS days, round(avg(t), 6) AS temp_c, round(avg(humid), 6) AS rh_pct, round(avg(v), 6) AS wind_kmh, round(sum(p) / count(DISTINCT year(date)), 6) AS precip_mm, round(avg(f), 5) AS fwi FROM idx GROUP BY station, month(date)""")
+def d37_monthly_weather(spark, d):
+    """A station's climatology: means by month, rain as the mean monthly sum."""
+    x = fire.fire_weather(weather(spark, d))
+    return x.groupBy("station", F.month("date").cast("long").alias("month")).agg(
+        F.count("*").alias("days"), *(r6(F.avg(c), c) for c in ("temp_c", "rh_pct", "wind_kmh")), r6(F.sum("precip_mm") / F.countDistinct(F.year("date")), "precip_mm"), F.round(F.avg("fwi"), 5).alias("fwi"))
+
+
+@query(INDEX_SQL + " SELECT station, date, fwi, danger_class, row_number() OVER (PARTITION BY station ORDER BY fwi DESC, date) AS place FROM idx QUALIFY place <= 20")
+def f4_worst_days(spark, d):
+    """The twenty days of the highest index a station; equal days by date."""
+    x = fire.fire_weather(weather(spark, d)).select("station", "date", F.round("fwi", 3).alias("fwi"), "danger_class")
+    place = F.row_number().over(Window.partitionBy("station").orderBy(F.desc("fwi"), "date")).cast("long")
+    return x.withColumn("place", place).filter("place <= 20")
 
 
 @query("WITH w AS (SELECT min(o_orderkey) AS k, o_orderpriority AS station, o_orderdate::DATE AS date FROM orders GROUP BY 2, 3) SELECT station, date, round(greatest(0, least(100, 100 - (k % 107) / 2 + ((k % 350) / 10 - 2 - 20) / 5 - 2 * CASE WHEN k % 4 = 0 THEN (k % 90) / 10 ELSE 0 END)), 6) AS proxy FROM w")

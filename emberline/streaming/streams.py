@@ -76,3 +76,10 @@ def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
         writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table"))
     writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def drained_again(stream: DataFrame, folder: str) -> DataFrame:
+    """Append what has arrived since the last call with this ``folder``, where state and table stay, and read the table."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.format("parquet").option("path", f"{folder}/table").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
