@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import StructType
 
 TILE = 64
 
@@ -38,33 +42,99 @@ def remove_tables(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def focal(cells: DataFrame, col: str, radius: int, out: str, tile: str | None = None) -> DataFrame:
-    """Sum over the (2r+1) square around each cell, missing cells count 0: rows first, then columns."""
-    by = [tile] if tile else []
-    rows = cells.withColumn("__s", F.sum(col).over(Window.partitionBy(*by, "row").orderBy("col").rangeBetween(-radius, radius)))
-    return rows.withColumn(out, F.sum("__s").over(Window.partitionBy(*by, "col").orderBy("row").rangeBetween(-radius, radius))).drop("__s")
+Arrays = dict[str, np.ndarray]
+
+
+def tiled(cells: DataFrame, halo: int, kernel: Callable[[np.ndarray, Arrays], Arrays], columns: list[str], made: str, tile: int | None = None) -> DataFrame:
+    """``cells`` with the columns ``made`` (DDL) that ``kernel`` computes on square tiles with ``halo`` cells around them.
+
+    One exchange deals the cells; a cell near a border goes to two or four tiles. The kernel gets which cells are there and
+    the named columns as arrays of (tile + 2 halo) squared cells (nulls and missing cells as 0), so no task holds more at a
+    time, and gives arrays of that shape, right for the tile's own cells, which alone are returned.
+    """
+    tile = tile or TILE
+    new, size = StructType.fromDDL(made), tile + 2 * halo
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    dealt = cells.withColumn("__tr", near("row")).withColumn("__tc", near("col"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["row"].to_numpy() - (key[0] * tile - halo), pdf["col"].to_numpy() - (key[1] * tile - halo)
+        there, arrays = np.zeros((size, size), bool), {}
+        there[r, c] = True
+        for name in columns:
+            arrays[name] = np.zeros((size, size))
+            arrays[name][r, c] = pdf[name].fillna(0).to_numpy(float)
+        got = kernel(there, arrays)
+        own = (r >= halo) & (r < halo + tile) & (c >= halo) & (c < halo + tile)
+        out = pdf[own].drop(columns=["__tr", "__tc"])
+        return out.assign(**{f.name: got[f.name][r[own], c[own]] for f in new.fields})
+
+    return dealt.groupBy("__tr", "__tc").applyInPandas(run, StructType([*cells.schema.fields, *new.fields]))
+
+
+def moved(a: np.ndarray, down: int, right: int) -> np.ndarray:
+    """The array whose cells hold what lies ``down`` rows below and ``right`` columns beside them, 0 beyond the border."""
+    out = np.zeros_like(a)
+    rows, cols = a.shape
+    out[max(0, -down) : rows - max(0, down), max(0, -right) : cols - max(0, right)] = a[max(0, down) : rows + min(0, down), max(0, right) : cols + min(0, right)]
+    return out
+
+
+def box(a: np.ndarray, radius: int) -> np.ndarray:
+    """Sum over the (2r+1) square around each cell: along rows, then down columns."""
+    steps = range(-radius, radius + 1)
+    across = reduce(np.add, (moved(a, 0, i) for i in steps))
+    return reduce(np.add, (moved(across, i, 0) for i in steps))
+
+
+def grown(m: np.ndarray) -> np.ndarray:
+    return box(m.astype(int), 1) > 0
+
+
+def shrunk(m: np.ndarray) -> np.ndarray:
+    return box(m.astype(int), 1) == 9
+
+
+def focal(cells: DataFrame, col: str, radius: int, out: str) -> DataFrame:
+    """Sum over the (2r+1) square around each cell; missing cells count 0."""
+    return tiled(cells, radius, lambda _, x: {out: box(x[col], radius)}, [col], f"{out} double")
 
 
 def focal_mean(cells: DataFrame, col: str, k: int, out: str) -> DataFrame:
-    """Mean with zero padding: always divided by k squared. On a dense grid."""
-    return focal(cells, col, k // 2, out).withColumn(out, F.col(out) / (k * k))
+    """Mean with zero padding: always divided by k squared."""
+    return tiled(cells, k // 2, lambda _, x: {out: box(x[col], k // 2) / k**2}, [col], f"{out} double")
+
+
+def focal_table(cells: DataFrame, col: str, alert: str, sizes: tuple[int, ...] = (3, 5, 7)) -> DataFrame:
+    """``mean<k>`` and ``std<k>`` for each k, and ``neighbours``, the alert cells beside each cell: one exchange for all."""
+
+    def kernel(_, x: Arrays) -> Arrays:
+        out = {"neighbours": box(x[alert], 1) - x[alert]}
+        for k in sizes:
+            mean = box(x[col], k // 2) / k**2
+            out |= {f"mean{k}": mean, f"std{k}": np.sqrt(np.maximum(box(x[col] ** 2, k // 2) / k**2 - mean**2, 0))}
+        return out
+
+    made = ", ".join(f"mean{k} double, std{k} double" for k in sizes)
+    return tiled(cells, max(sizes) // 2, kernel, [col, alert], f"{made}, neighbours long")
 
 
 def dilate(cells: DataFrame, mask: str, out: str) -> DataFrame:
-    return focal(cells.withColumn("__m", F.col(mask).cast("int")), "__m", 1, "__n").withColumn(out, F.col("__n") > 0).drop("__m", "__n")
+    return tiled(cells, 1, lambda _, x: {out: grown(x[mask])}, [mask], f"{out} boolean")
 
 
 def erode(cells: DataFrame, mask: str, out: str) -> DataFrame:
     """3 x 3 erosion; what lies beyond the grid counts as unset."""
-    return focal(cells.withColumn("__m", F.col(mask).cast("int")), "__m", 1, "__n").withColumn(out, F.col("__n") == 9).drop("__m", "__n")
+    return tiled(cells, 1, lambda _, x: {out: shrunk(x[mask])}, [mask], f"{out} boolean")
 
 
 def opened(cells: DataFrame, mask: str, out: str) -> DataFrame:
-    return dilate(erode(cells, mask, "__e"), "__e", out).drop("__e")
+    return tiled(cells, 2, lambda there, x: {out: grown(shrunk(x[mask]) & there)}, [mask], f"{out} boolean")
 
 
 def closed(cells: DataFrame, mask: str, out: str) -> DataFrame:
-    return erode(dilate(cells, mask, "__d"), "__d", out).drop("__d")
+    """Cells that are not there stay unset in between."""
+    return tiled(cells, 2, lambda there, x: {out: shrunk(grown(x[mask]) & there)}, [mask], f"{out} boolean")
 
 
 def components(cells: DataFrame, connectivity: int = 4, width: int = 1 << 20) -> DataFrame:
@@ -119,14 +189,98 @@ def hysteresis(cells: DataFrame, score: str, threshold: float, min_pixels: int =
 
 
 def horn(cells: DataFrame, z: str, size: float) -> DataFrame:
-    """Slope (degrees) and aspect by the 3 x 3 Horn gradient; edges repeat their own row or column."""
-    across, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    g = cells.withColumn("w", F.coalesce(F.lag(z).over(across), z)).withColumn("e", F.coalesce(F.lead(z).over(across), z)).withColumn("c", F.col(z))
-    for n in ("w", "c", "e"):
-        g = g.withColumn(f"n{n}", F.coalesce(F.lag(n).over(down), n)).withColumn(f"s{n}", F.coalesce(F.lead(n).over(down), n))
-    dx = ((F.col("ne") + 2 * F.col("e") + F.col("se")) - (F.col("nw") + 2 * F.col("w") + F.col("sw"))) / (8 * size)
-    dy = ((F.col("sw") + 2 * F.col("sc") + F.col("se")) - (F.col("nw") + 2 * F.col("nc") + F.col("ne"))) / (8 * size)
-    return g.select(*cells.columns, F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"), F.pmod(F.degrees(F.atan2(dy, -dx)) + 360.0, F.lit(360.0)).alias("aspect"))
+    """Slope and aspect (degrees) by the 3 x 3 Horn gradient; at edges and gaps a cell's own row or column is repeated."""
+
+    def kernel(there: np.ndarray, x: Arrays) -> Arrays:
+        def beside(a: np.ndarray, down: int, right: int) -> np.ndarray:
+            return np.where(moved(there, down, right), moved(a, down, right), a)
+
+        line = {"w": beside(x[z], 0, -1), "c": x[z], "e": beside(x[z], 0, 1)}
+        n, s = ({k: beside(v, i, 0) for k, v in line.items()} for i in (-1, 1))
+        dx = ((n["e"] + 2 * line["e"] + s["e"]) - (n["w"] + 2 * line["w"] + s["w"])) / (8 * size)
+        dy = ((s["w"] + 2 * s["c"] + s["e"]) - (n["w"] + 2 * n["c"] + n["e"])) / (8 * size)
+        return {"slope": np.degrees(np.arctan(np.sqrt(dx * dx + dy * dy))), "aspect": (np.degrees(np.arctan2(dy, -dx)) + 360.0) % 360.0}
+
+    return tiled(cells, 1, kernel, [z], "slope double, aspect double")
+
+
+#: Sides of a cell in the order in which an outline runs (the cell on its right hand, rows counted downwards), by the cell
+#: beyond, and that beyond and ahead: (row, column) steps.
+SIDES = (((-1, 0), (-1, 1)), ((0, 1), (1, 1)), ((1, 0), (1, -1)), ((0, -1), (-1, -1)))
+_START = ((0, 0), (0, 1), (1, 1), (1, 0))
+
+
+def outline_edges(cells: DataFrame, labels: DataFrame, connectivity: int = 4, width: int = 1 << 20) -> DataFrame:
+    """Unit edges around labelled cells: component, id, next (the edge that follows), start (x, y) and whether it turns there.
+
+    An edge knows its successor from the cells around it. Where two cells touch at a corner only, outlines stay with their
+    own cell (4) or cross over (8). Needs no search: every cell tells its eight neighbours that it is set.
+    """
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    bit = {at: 1 << n for n, at in enumerate(around)}
+    told = cells.select("row", "col").distinct().select(F.explode(F.array(*(
+        F.struct((F.col("row") - i).alias("row"), (F.col("col") - j).alias("col"), F.lit(bit[i, j]).alias("b")) for i, j in around
+    ))).alias("x")).select("x.*").groupBy("row", "col").agg(F.sum("b").alias("set"))
+    known = labels.join(told, ["row", "col"])
+    is_set = lambda at: F.col("set").bitwiseAND(F.lit(bit[at])) != 0
+    key = lambda at, side: ((F.col("row") + at[0]).cast("long") * width + F.col("col") + at[1]) * 4 + side
+    edges = []
+    for k, (beyond, corner) in enumerate(SIDES):
+        ahead = SIDES[(k + 1) % 4][0]
+        over = is_set(corner) if connectivity == 8 else is_set(corner) & is_set(ahead)
+        follows = F.when(over, key(corner, (k + 3) % 4)).when(is_set(ahead), key(ahead, k)).otherwise(key((0, 0), (k + 1) % 4))
+        at = F.struct((F.col("col") + _START[k][1]).alias("x"), (F.col("row") + _START[k][0]).alias("y"))
+        edges.append(F.when(~is_set(beyond), F.struct(key((0, 0), k).alias("id"), follows.alias("next"), F.lit(k).alias("side"), at.alias("start"))))
+    edges = known.select("component", F.explode(F.array_compact(F.array(*edges))).alias("e"))
+    return edges.select("component", "e.id", "e.next", "e.side", "e.start")
+
+
+def ring_places(edges: DataFrame) -> DataFrame:
+    """For each edge its ring (the smallest id on it) and its place after that edge, by doubling the steps looked ahead.
+
+    After k rounds an edge knows the smallest id among the 2^k edges from it on and how far away that is; nothing changes
+    once every edge has met its ring's smallest. Each round is one join, written to the shared folder.
+    """
+    state = persist_table(edges.select("id", "next", F.col("id").alias("low"), F.lit(0).cast("long").alias("off")), "rings")
+    step = 1
+    while True:
+        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"), (F.col("off") + step).alias("off2"))
+        better = F.col("low2") < F.col("low")
+        joined = state.join(ahead, "next").select(
+            "id", F.col("next2").alias("next"), F.least("low", "low2").alias("low"), F.when(better, F.col("off2")).otherwise(F.col("off")).alias("off"), better.alias("changed"))
+        new = persist_table(joined, "rings")
+        remove_tables(state)
+        state, step = new.drop("changed"), step * 2
+        if not new.filter("changed").limit(1).count():
+            # an edge is as many places after the smallest as the ring has edges less the steps to it
+            size = state.groupBy("low").agg(F.count("*").alias("__n"))
+            return state.join(size, "low").select("id", F.col("low").alias("ring"), F.pmod(F.col("__n") - F.col("off"), F.col("__n")).alias("place"), F.col("__n").alias("n_edges"))
+
+
+def rings(cells: DataFrame, labels: DataFrame, connectivity: int = 4) -> DataFrame:
+    """Closed outlines of labelled cells: component, ring, n_edges, area (below 0 for a hole), corners (array of x, y).
+
+    Areas are exact sums over edges. Only corners are gathered into a row; an outline is one value of the result.
+    """
+    edges = persist_table(outline_edges(cells, labels, connectivity), "edges")
+    placed = edges.join(ring_places(edges), "id")
+    end = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 0), (0, 1), (-1, 0), (0, -1))))[F.col("side")]
+    cross = F.col("start.x") * (F.col("start.y") + end["y"]) - F.col("start.y") * (F.col("start.x") + end["x"])
+    before = edges.select(F.col("next").alias("id"), F.col("side").alias("side_before"))
+    corner = F.when(F.col("side") != F.col("side_before"), F.struct("place", "start"))
+    out = placed.join(before, "id").groupBy("component", "ring").agg(F.first("n_edges").alias("n_edges"), (F.sum(cross) / 2).alias("area"), F.sort_array(F.collect_list(corner)).alias("c"))
+    return out.select("component", "ring", "n_edges", "area", F.transform("c", lambda c: c["start"]).alias("corners"))
+
+
+def polygons(cells: DataFrame, connectivity: int = 4, min_pixels: int = 1) -> DataFrame:
+    """Polygons of the components of set cells: component, n_pixels, edges, area, n_corners, outer and holes (arrays of rings)."""
+    labels = persist_table(components(cells.select("row", "col"), connectivity), "labels")
+    size = labels.groupBy("component").agg(F.count("*").alias("n_pixels")).filter(F.col("n_pixels") >= min_pixels)
+    labels = labels.join(size.select("component"), "component", "left_semi")
+    by_ring = F.sort_array(F.collect_list(F.struct("ring", "area", "corners")))
+    out = rings(cells, labels, connectivity).groupBy("component").agg(F.sum("n_edges").alias("edges"), F.sum("area").alias("area"), F.sum(F.size("corners")).alias("n_corners"), by_ring.alias("r"))
+    part = lambda keep: F.transform(F.filter("r", keep), lambda x: x["corners"])
+    return out.join(size, "component").select("component", "n_pixels", "edges", "area", "n_corners", part(lambda x: x["area"] > 0).alias("outer"), part(lambda x: x["area"] < 0).alias("holes"))
 
 
 def tile_ids(cells: DataFrame, tile: int, overlap: int) -> DataFrame:
@@ -139,11 +293,101 @@ def tile_ids(cells: DataFrame, tile: int, overlap: int) -> DataFrame:
     return cells.withColumn("tile_row", F.explode(starts("row"))).withColumn("tile_col", F.explode(starts("col")))
 
 
+def lowest_parabolas(at: np.ndarray, height: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """min over i of (where - at[i])^2 + height[i] for rising ``at`` and ``where``, by the lower envelope: linear time."""
+    kept: list[int] = []
+    starts: list[float] = []
+    for i, (x, h) in enumerate(zip(at.tolist(), height.tolist())):
+        start = -np.inf
+        while kept:
+            j = kept[-1]
+            start = ((h + x * x) - (float(height[j]) + float(at[j]) ** 2)) / (2.0 * (x - float(at[j])))
+            if start > starts[-1]:
+                break
+            kept.pop()
+            starts.pop()
+            start = -np.inf
+        kept.append(i)
+        starts.append(start)
+    best = np.array(kept)[np.searchsorted(starts, where, side="right") - 1]
+    return (where - at[best]) ** 2 + height[best]
+
+
+def distance_to_set(cells: DataFrame, marked: DataFrame) -> DataFrame:
+    """Exact distance from each cell to the nearest marked cell however far; null if nothing is marked.
+
+    Separable: along each row the nearest mark to either side, by two scans; then down each column the lowest of the parabolas
+    that its rows open. The cost is linear in the cells and does not depend on the distance; a task holds a row or a column.
+    """
+    m = marked.select("row", "col").distinct().withColumn("__m", F.col("col"))
+    # where a marked row has no cell, its marks still reach along the row, so such rows are filled
+    low, high = cells.agg(F.min("col"), F.max("col")).first()
+    filled = m.select("row").distinct().select("row", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("col")) if low is not None else m.select("row", "col")
+    both = cells.withColumn("__own", F.lit(True)).join(filled, ["row", "col"], "full").join(m, ["row", "col"], "full")
+    across = Window.partitionBy("row").orderBy("col")
+    left = F.last("__m", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.first("__m", ignorenulls=True).over(across.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumn("__g", F.least(F.abs(F.col("col") - left), F.abs(F.col("col") - right)).cast("long")).drop("__m")
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        opens = pdf[pdf["__g"].notna()]
+        row = pdf["row"].to_numpy(np.int64)
+        if len(opens):
+            d2 = lowest_parabolas(opens["row"].to_numpy(np.int64), opens["__g"].to_numpy(np.int64) ** 2, row)
+            pdf = pdf.assign(distance=np.sqrt(d2.astype(float)))
+        else:
+            pdf = pdf.assign(distance=None)
+        return pdf[pdf["__own"].notna()].drop(columns=["__g", "__own"])
+
+    return near.groupBy("col").applyInPandas(down, StructType([*cells.schema.fields, *StructType.fromDDL("distance double").fields]))
+
+
 def nearest_set(cells: DataFrame, marked: DataFrame, radius: int) -> DataFrame:
-    """Distance from each cell to the nearest marked cell within ``radius`` cells; null beyond."""
+    """Distance from each cell to the nearest marked cell within ``radius`` cells; null beyond. For small radii, as of discs."""
     offsets = F.sequence(F.lit(-radius), F.lit(radius))
     spread = marked.select("row", "col").distinct().select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(offsets).alias("dr")).select("r0", "c0", "dr", F.explode(offsets).alias("dc"))
     spread = spread.filter(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= radius * radius)
     best = spread.select((F.col("r0") + F.col("dr")).alias("row"), (F.col("c0") + F.col("dc")).alias("col"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
     best = best.groupBy("row", "col").agg(F.sqrt(F.min("d2")).alias("distance"))
     return cells.join(best, ["row", "col"], "left")
+
+
+def target_grid(spark, rows: int, cols: int) -> DataFrame:
+    return spark.range(rows * cols).select(F.expr(f"cast(id div {cols} as int)").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
+
+
+def resample_nearest(cells: DataFrame, value: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """Each cell of the target grid with the value of the source cell that holds its centre; null where that is missing."""
+    at = lambda c, n, m: F.expr(f"cast(((2 * {c} + 1) * {n}) div (2 * {m}) as int)")
+    want = target_grid(cells.sparkSession, *target).withColumns({"__r": at("row", source[0], target[0]), "__c": at("col", source[1], target[1])})
+    have = cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), value)
+    return want.join(have, ["__r", "__c"], "left").select("row", "col", value)
+
+
+def resample_bilinear(cells: DataFrame, value: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """Each cell of the target grid from the four source cells around its centre, weighted; at borders cells repeat.
+
+    Weights are whole numbers (their sum 4 h w), so equal inputs give equal results on any engine; missing and null cells
+    leave the weights of the others, null if none is there.
+    """
+
+    def corners(c: str, n: int, m: int) -> tuple[Column, Column]:
+        offset = f"((2 * {c} + 1) * {n} - {m})"
+        low, part = F.expr(f"cast(floor({offset} / {2 * m}.0D) as int)"), F.expr(f"pmod({offset}, {2 * m})")
+        clamp = lambda i: F.greatest(F.lit(0), F.least(F.lit(n - 1), i))
+        two = F.array(F.struct(clamp(low).alias("i"), (2 * m - part).alias("w")), F.struct(clamp(low + 1).alias("i"), part.alias("w")))
+        return F.explode(two)
+
+    want = target_grid(cells.sparkSession, *target).withColumn("__a", corners("row", source[0], target[0])).withColumn("__b", corners("col", source[1], target[1]))
+    want = want.select("row", "col", F.col("__a.i").alias("__r"), F.col("__b.i").alias("__c"), (F.col("__a.w").cast("long") * F.col("__b.w")).alias("__w")).filter("__w > 0")
+    have = cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v"))
+    both, there = want.join(have, ["__r", "__c"], "left"), F.col("__v").isNotNull()
+    return both.groupBy("row", "col").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum(F.when(there, F.col("__w")))).alias(value))
+
+
+def resample_mode(cells: DataFrame, value: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """Each cell of a coarser grid with the commonest value of the source cells whose centres it holds, the smallest of equals."""
+    at = lambda c, n, m: F.expr(f"cast(((2 * {c} + 1) * {m}) div (2 * {n}) as int)")
+    counts = cells.filter(F.col(value).isNotNull()).groupBy(at("row", source[0], target[0]).alias("row"), at("col", source[1], target[1]).alias("col"), value).agg(F.count("*").alias("n"))
+    return counts.groupBy("row", "col").agg(F.min(F.struct((-F.col("n")).alias("n"), value))[value].alias(value))

@@ -7,32 +7,43 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import fire, grid as G, spatial
-from .registry import GRID, grid, half_up, query, r6, read, windows
+from ..operators.quantiles import with_quantiles
+from .registry import GRID, RASTER, grid, half_up, query, r6, raster, read, side, windows
 
 MASK = "v >= 0.052"
 
 
-def _near(r: int) -> str:
-    return f"(SELECT a.row, a.col, a.v, sum(b.v) AS s, count(*) FILTER (b.v >= 0.052) AS n FROM grid a JOIN grid b ON b.row BETWEEN a.row - {r} AND a.row + {r} AND b.col BETWEEN a.col - {r} AND a.col + {r} GROUP BY ALL)"
+def _near(r: int, source: str = "rast", value: str = "v") -> str:
+    """Sums over squares, by cells that tell their neighbours."""
+    return f"(SELECT row, col, sum(v) AS s, sum(v * v) AS ss, count(*) FILTER (m) AS n FROM (SELECT row + unnest(range(-{r}, {r + 1})) AS row, col, {value} AS v, m FROM (SELECT row, col + unnest(range(-{r}, {r + 1})) AS col, {value}, m FROM {source})) GROUP BY ALL)"
 
 
-@query(f"WITH {GRID}, a AS {_near(1)}, b AS {_near(2)} SELECT a.row, a.col, round(a.s / 9, 6) AS mean3, round(b.s / 25, 6) AS mean5, a.v >= 0.06 OR (a.s / 9 >= 0.052 AND b.s / 25 >= 0.05) AS detected, least(8, a.n - (a.v >= 0.052)::INT)::BIGINT AS neighbours FROM a JOIN b ON a.row = b.row AND a.col = b.col")
+_MASKED = f"{RASTER}, r AS (SELECT *, v >= 0.052 AS m FROM rast)"
+
+
+@query(f"""WITH {_MASKED}, a AS {_near(1, "r")}, b AS {_near(2, "r")}, c AS {_near(3, "r")} SELECT row, col, round(a.s / 9, 6) AS mean3, round(b.s / 25, 6) AS mean5, round(c.s / 49, 6) AS mean7,
+ round(sqrt(greatest(a.ss / 9 - pow(a.s / 9, 2), 0)), 6) AS std3, round(sqrt(greatest(c.ss / 49 - pow(c.s / 49, 2), 0)), 6) AS std7,
+ v >= 0.06 OR (a.s / 9 >= 0.052 AND b.s / 25 >= 0.05) AS detected, least(8, a.n - m::INT)::BIGINT AS neighbours FROM r JOIN a USING (row, col) JOIN b USING (row, col) JOIN c USING (row, col)""")
 def i1_i2_focal(spark, d):
-    g = G.focal_mean(G.focal_mean(grid(spark, d), "v", 3, "mean3"), "v", 5, "mean5").withColumn("m", F.expr(MASK).cast("int"))
-    g = G.focal(g, "m", 1, "n")
-    return g.select("row", "col", r6(F.col("mean3"), "mean3"), r6(F.col("mean5"), "mean5"), ((F.col("v") >= 0.06) | ((F.col("mean3") >= 0.052) & (F.col("mean5") >= 0.05))).alias("detected"), F.least(F.lit(8), F.col("n") - F.col("m")).alias("neighbours"))
+    g = G.focal_table(raster(spark, d).withColumn("m", F.expr(MASK)), "v", "m")
+    return g.select("row", "col", *(r6(F.col(c), c) for c in ("mean3", "mean5", "mean7", "std3", "std7")), ((F.col("v") >= 0.06) | ((F.col("mean3") >= 0.052) & (F.col("mean5") >= 0.05))).alias("detected"), F.least(F.lit(8), "neighbours").cast("long").alias("neighbours"))
+
 
+def _around(source: str, test: str) -> str:
+    return f"(SELECT g.row, g.col, {test} AS m FROM rast g LEFT JOIN (SELECT row + unnest([-1, 0, 1]) AS row, col, m FROM (SELECT row, col + unnest([-1, 0, 1]) AS col, m FROM {source})) x USING (row, col) GROUP BY g.row, g.col)"
 
-_MORPH = """m AS (SELECT row, col, v >= {t} AS m FROM grid), er AS (SELECT a.row, a.col, count(*) FILTER (b.m) = 9 AS m FROM m a JOIN m b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL),
-op AS (SELECT a.row, a.col, count(*) FILTER (b.m) > 0 AS m FROM er a JOIN er b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL),
-di AS (SELECT a.row, a.col, count(*) FILTER (b.m) > 0 AS m FROM m a JOIN m b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL),
-cl AS (SELECT a.row, a.col, count(*) FILTER (b.m) = 9 AS m FROM di a JOIN di b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL)"""
 
+_MORPH = f"m AS (SELECT row, col, v >= {{t}} AS m FROM rast), er AS {_around('m', 'count(*) FILTER (m) = 9')}, op AS {_around('er', 'count(*) FILTER (m) > 0')}, di AS {_around('m', 'count(*) FILTER (m) > 0')}, cl AS {_around('di', 'count(*) FILTER (m) = 9')}"
 
-@query(f"WITH {GRID}, {_MORPH.format(t=0.042)} SELECT op.row, op.col, op.m AS opened, cl.m AS closed FROM op JOIN cl ON op.row = cl.row AND op.col = cl.col")
+
+@query(f"WITH {RASTER}, {_MORPH.format(t=0.03)} SELECT op.row, op.col, op.m AS opened, cl.m AS closed FROM op JOIN cl USING (row, col)")
 def i3_i4_morphology(spark, d):
-    g = grid(spark, d).withColumn("m", F.col("v") >= 0.042)
-    return G.closed(G.opened(g, "m", "opened"), "m", "closed").select("row", "col", "opened", "closed")
+    def kernel(there, x):
+        m = x["m"] > 0
+        return {"opened": G.grown(G.shrunk(m) & there), "closed": G.shrunk(G.grown(m) & there)}
+
+    g = raster(spark, d).select("row", "col", (F.col("v") >= 0.03).alias("m"))
+    return G.tiled(g, 2, kernel, ["m"], "opened boolean, closed boolean").select("row", "col", "opened", "closed")
 
 
 def _component_sql(mask: str, adjacent: str) -> str:
@@ -55,16 +66,25 @@ def i6_i8_c24_patches(spark, d):
     return G.patches(grid(spark, d), F.col("v") >= 0.054, 5, aggs, 8)
 
 
-@query()
+def _labels(cells: str, adjacent: str) -> str:
+    """Smallest id reachable for each cell of ``cells`` (row, col, id)."""
+    return f"""e AS (SELECT a.id AS x, b.id AS y FROM {cells} a JOIN {cells} b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND {adjacent}),
+reach AS (SELECT id AS x, id AS root FROM {cells} UNION SELECT e.y, r.root FROM reach r JOIN e ON e.x = r.x WHERE r.root < e.y), lab AS (SELECT x AS id, min(root) AS component FROM reach GROUP BY x)"""
+
+
+@query(f"""WITH RECURSIVE {RASTER}, m AS (SELECT row, col, v * v * v * v * 10000 >= 0.32 AS m FROM rast), di AS {_around("m", "count(*) FILTER (m) > 0")}, cl AS {_around("di", "count(*) FILTER (m) = 9")},
+c AS (SELECT row, col, v * v * v * v * 10000 AS v, (row * 1048576 + col)::BIGINT AS id FROM cl JOIN rast USING (row, col) WHERE m), {_labels("c", _FOUR)} SELECT row, col, component, round(v, 6) AS v FROM c JOIN lab USING (id) QUALIFY count(*) OVER (PARTITION BY component) >= 5 AND max(v) OVER (PARTITION BY component) >= 0.64""")
 def i7_hysteresis(spark, d):
-    """Seed, close, drop small, keep what reaches the threshold; tested against a loop."""
-    return G.hysteresis(grid(spark, d), "v", 0.07).select("row", "col", "component", r6(F.col("v"), "v"))
+    """Seed at half the threshold, close, drop small, keep what reaches the threshold."""
+    v = F.col("v")
+    return G.hysteresis(raster(spark, d).withColumn("v", v * v * v * v * 10000), "v", 0.64).select("row", "col", "component", r6(v, "v"))
 
 
-@query(f"""WITH {GRID}, p AS (SELECT a.row, a.col, {', '.join(f"coalesce((SELECT any_value(b.v) FROM grid b WHERE b.row = least((SELECT max(row) FROM grid), greatest(0, a.row + {i})) AND b.col = least(63, greatest(0, a.col + {j}))), NULL) AS z{(i + 1) * 3 + j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1))} FROM grid a),
-g AS (SELECT row, col, ((z2 + 2 * z5 + z8) - (z0 + 2 * z3 + z6)) / 0.08 AS dx, ((z6 + 2 * z7 + z8) - (z0 + 2 * z1 + z2)) / 0.08 AS dy FROM p) SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 5) AS slope FROM g""")
+@query(f"""WITH {RASTER}, g AS (SELECT row, col, round(v * 1000) AS z FROM rast), l AS (SELECT g.row, g.col, coalesce(w.z, g.z) AS w, g.z AS c, coalesce(e.z, g.z) AS e FROM g LEFT JOIN g w ON w.row = g.row AND w.col = g.col - 1 LEFT JOIN g e ON e.row = g.row AND e.col = g.col + 1),
+p AS (SELECT l.row, l.col, l.w, l.e, coalesce(n.w, l.w) AS nw, coalesce(n.c, l.c) AS nc, coalesce(n.e, l.e) AS ne, coalesce(s.w, l.w) AS sw, coalesce(s.c, l.c) AS sc, coalesce(s.e, l.e) AS se FROM l LEFT JOIN l n ON n.row = l.row - 1 AND n.col = l.col LEFT JOIN l s ON s.row = l.row + 1 AND s.col = l.col),
+q AS (SELECT row, col, ((ne + 2 * e + se) - (nw + 2 * w + sw)) / 240.0::DOUBLE AS dx, ((sw + 2 * sc + se) - (nw + 2 * nc + ne)) / 240.0::DOUBLE AS dy FROM p) SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 5) AS slope, round((degrees(atan2(dy, -dx)) + 360) % 360, 5) AS aspect FROM q""")
 def i13_slope(spark, d):
-    return G.horn(grid(spark, d), "v", 0.01).select("row", "col", F.round("slope", 5).alias("slope"))
+    return G.horn(raster(spark, d).select("row", "col", F.round(F.col("v") * 1000).alias("z")), "z", 30.0).select("row", "col", F.round("slope", 5).alias("slope"), F.round("aspect", 5).alias("aspect"))
 
 
 @query(f"WITH {GRID}, t AS (SELECT row, col, v, n, unnest(range(greatest(0, ceil((row - 15) / 12.0)::BIGINT), row // 12 + 1)) AS tile_row FROM grid), u AS (SELECT *, unnest(range(greatest(0, ceil((col - 15) / 12.0)::BIGINT), col // 12 + 1)) AS tile_col FROM t) SELECT tile_row::INT AS tile_row, tile_col::INT AS tile_col, count(*) AS cells, round(avg(v), 6) AS mean_v FROM u GROUP BY ALL")
@@ -79,17 +99,17 @@ def i18_overlap_blend(spark, d):
     return t.groupBy("row", "col").agg(half_up(F.any_value("v") * F.sum("p") / (10 * F.count("*")), "blended"), F.count("*").alias("hits"))
 
 
-@query(f"WITH {GRID}, m AS (SELECT row AS r, col AS c FROM grid WHERE v >= 0.075) SELECT row, col, round(sqrt(min((row - r) * (row - r) + (col - c) * (col - c))), 6) AS distance FROM grid LEFT JOIN m ON (row - r) * (row - r) + (col - c) * (col - c) <= 25 GROUP BY row, col")
+@query(f"WITH {RASTER}, m AS (SELECT row AS r, col AS c FROM rast WHERE q >= 49) SELECT row, col, round(sqrt(min((row - r) * (row - r) + (col - c) * (col - c))), 6) AS distance FROM rast, m GROUP BY row, col")
 def i9_distance(spark, d):
-    g = grid(spark, d)
-    return G.nearest_set(g, g.filter("v >= 0.075"), 5).select("row", "col", r6(F.col("distance"), "distance"))
+    """Cells to the nearest cell of the highest quantities, which are few and far."""
+    g = raster(spark, d)
+    return G.distance_to_set(g.select("row", "col"), g.filter("q >= 49")).select("row", "col", r6(F.col("distance"), "distance"))
 
 
-@query(f"WITH {GRID}, p AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM grid WHERE v > 0) SELECT row, col, round(greatest(0, least(1, (v - lo) / (hi - lo))), 6) AS stretched FROM grid, p")
+@query(f"WITH {RASTER}, p AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM rast WHERE v > 0) SELECT row, col, round(greatest(0, least(1, (v - lo) / (hi - lo))), 6) AS stretched FROM rast, p")
 def i20_percentile_stretch(spark, d):
-    g = grid(spark, d)
-    p = g.filter("v > 0").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    return g.crossJoin(F.broadcast(p)).select("row", "col", r6(S.clip((F.col("v") - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0]), 0.0, 1.0), "stretched"))
+    g = with_quantiles(raster(spark, d), "v", {"lo": 0.02, "hi": 0.98}, F.col("v") > 0)
+    return g.select("row", "col", r6(S.clip((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")), 0.0, 1.0), "stretched"))
 
 
 @query(f"WITH {GRID} SELECT row // 3 AS block_row, col // 3 AS block_col, round(avg(v), 6) AS mean_v, round(max(q), 6) AS top_q, count(*) AS n, CASE WHEN row // 3 < 11 THEN 'n' ELSE 's' END AS half FROM grid GROUP BY ALL")
@@ -98,6 +118,32 @@ def i16_i25_blocks(spark, d):
     return grid(spark, d).groupBy(r.alias("block_row"), c.alias("block_col")).agg(r6(F.avg("v"), "mean_v"), r6(F.max("q"), "top_q"), F.count("*").alias("n")).withColumn("half", F.when(F.col("block_row") < 11, "n").otherwise("s"))
 
 
+_TARGET = "(SELECT s * 3 // 5 AS h, s * 2 // 7 AS w FROM side)"
+
+
+def _target(spark, d) -> tuple[tuple[int, int], tuple[int, int]]:
+    s = side(spark, d)
+    return (s, s), (s * 3 // 5, s * 2 // 7)
+
+
+@query(f"WITH {RASTER}, t AS (SELECT unnest(range(h)) AS row, h, w FROM {_TARGET}), u AS (SELECT row, unnest(range(w)) AS col, h, w FROM t) SELECT u.row::INT AS row, u.col::INT AS col, v FROM u, side LEFT JOIN rast ON rast.row = ((2 * u.row + 1) * s) // (2 * h) AND rast.col = ((2 * u.col + 1) * s) // (2 * w)")
+def i16_nearest(spark, d):
+    return G.resample_nearest(raster(spark, d), "v", *_target(spark, d))
+
+
+@query(f"""WITH {RASTER}, t AS (SELECT unnest(range(h)) AS row, h, w FROM {_TARGET}), u AS (SELECT row, unnest(range(w)) AS col, h, w, s FROM t, side), o AS (SELECT *, (2 * row + 1) * s - h AS orow, (2 * col + 1) * s - w AS ocol FROM u),
+k AS (SELECT *, floor(orow / (2.0::DOUBLE * h))::BIGINT AS lr, floor(ocol / (2.0::DOUBLE * w))::BIGINT AS lc FROM o),
+a AS (SELECT row, col, s, greatest(0, least(s - 1, lr + i)) AS r, greatest(0, least(s - 1, lc + j)) AS c, (CASE i WHEN 0 THEN 2 * h * (lr + 1) - orow ELSE orow - 2 * h * lr END) * (CASE j WHEN 0 THEN 2 * w * (lc + 1) - ocol ELSE ocol - 2 * w * lc END) AS wt FROM k, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT a.row::INT AS row, a.col::INT AS col, round(sum(wt * v) / sum(wt) FILTER (v IS NOT NULL), 6) AS v FROM a LEFT JOIN rast ON rast.row = r AND rast.col = c WHERE wt > 0 GROUP BY a.row, a.col""")
+def i16_bilinear(spark, d):
+    return G.resample_bilinear(raster(spark, d), "v", *_target(spark, d)).select("row", "col", r6(F.col("v"), "v"))
+
+
+@query(f"WITH {RASTER}, k AS (SELECT ((2 * row + 1) * h) // (2 * s) AS row, ((2 * col + 1) * w) // (2 * s) AS col, n % 5 AS kind FROM rast, side, {_TARGET}), c AS (SELECT row, col, kind, count(*) AS n FROM k GROUP BY ALL) SELECT row::INT AS row, col::INT AS col, arg_min(kind, (-n, kind)) AS kind FROM c GROUP BY row, col")
+def i16_mode(spark, d):
+    return G.resample_mode(raster(spark, d).withColumn("kind", F.col("n") % 5), "kind", *_target(spark, d))
+
+
 @query(f"WITH {GRID}, f AS (SELECT row, col FROM grid WHERE v >= 0.08), s AS (SELECT row + dr AS row, col + dc AS col FROM f, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) WHERE dr * dr + dc * dc <= 4) SELECT DISTINCT row::INT AS row, col::INT AS col FROM s WHERE (row, col) IN (SELECT (row, col) FROM grid)")
 def i12_disc_burn_in(spark, d):
     g = grid(spark, d)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import grid as G
 from ..operators import spatial
-from .rasters import _EIGHT, _INSIDE, _REGION_SQL, _component_sql, _regions
-from .registry import ALERTS, GRID, alerts, grid, half_up, query, r6, read
+from .rasters import _FOUR, _INSIDE, _REGION_SQL, _labels, _regions
+from .registry import ALERTS, GRID, RASTER, alerts, grid, half_up, query, r6, raster, read
 
 
 def boxes(spark, d) -> DataFrame:
@@ -136,18 +136,22 @@ def i11_polygon_burn_in(spark, d):
     return hit.groupBy("row", "col").agg(F.max(F.col("n_nationkey") % 9 / 10).alias("burned"))
 
 
-@query(_component_sql("v >= 0.054", _EIGHT) + """, cl AS (SELECT row, col, component FROM c JOIN lab ON c.id = lab.x), s AS (SELECT a.component, a.row, a.col, 4 - count(b.row) AS open FROM cl a LEFT JOIN cl b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY ALL)
-SELECT component, count(*) AS n_pixels, sum(open)::BIGINT AS edges, min(row)::INT AS top, min(col)::INT AS "left", max(row)::INT AS bottom, max(col)::INT AS "right", CASE WHEN count(*) < 5 THEN 'small' WHEN count(*) < 20 THEN 'medium' ELSE 'large' END AS size FROM s GROUP BY component HAVING count(*) >= 2""")
+@query(f"""WITH RECURSIVE {RASTER}, c AS (SELECT row, col, (row * 1048576 + col)::BIGINT AS id FROM rast WHERE v >= 0.055), {_labels("c", _FOUR)}, cl AS (SELECT row, col, component FROM c JOIN lab USING (id)),
+n AS (SELECT a.component, a.row, a.col, max(b.row = a.row - 1 AND b.col = a.col) AS n, max(b.row = a.row + 1 AND b.col = a.col) AS s, max(b.row = a.row AND b.col = a.col - 1) AS w, max(b.row = a.row AND b.col = a.col + 1) AS e,
+ max(b.row = a.row - 1 AND b.col = a.col - 1) AS nw, max(b.row = a.row - 1 AND b.col = a.col + 1) AS ne, max(b.row = a.row + 1 AND b.col = a.col - 1) AS sw, max(b.row = a.row + 1 AND b.col = a.col + 1) AS se
+ FROM cl a JOIN c b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL),
+k AS (SELECT component, count(*) AS n_pixels, sum(4 - n::INT - s::INT - w::INT - e::INT)::BIGINT AS edges, sum(s::INT + e::INT)::BIGINT AS pairs, sum((s AND e AND se)::INT)::BIGINT AS quads,
+ sum((NOT n AND NOT w)::INT + (NOT n AND NOT e)::INT + (NOT s AND NOT w)::INT + (NOT s AND NOT e)::INT + (n AND w AND NOT nw)::INT + (n AND e AND NOT ne)::INT + (s AND w AND NOT sw)::INT + (s AND e AND NOT se)::INT)::BIGINT AS n_corners,
+ min(row)::INT AS top, min(col)::INT AS "left", max(row)::INT AS bottom, max(col)::INT AS "right" FROM n GROUP BY component HAVING count(*) >= 2)
+SELECT component, n_pixels, edges, n_corners, 1 AS n_outer, 1 - (n_pixels - pairs + quads) AS n_holes, n_pixels::DOUBLE AS area, top, "left", bottom, "right", CASE WHEN n_pixels < 5 THEN 'small' WHEN n_pixels < 20 THEN 'medium' ELSE 'large' END AS size FROM k""")
 def i10_d28_b21_polygons(spark, d):
-    """Patches as outlines: their unit edges, box and size bucket, from two pixels on."""
-    kept = grid(spark, d).filter("v >= 0.054").select("row", "col")
-    lab = kept.join(G.components(kept, 8), ["row", "col"])
-    sides = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))))
-    beside = lab.select((F.col("row")).alias("r"), F.col("col").alias("c"), "component", F.explode(sides).alias("s")).select("r", "c", "component", (F.col("r") + F.col("s.i")).alias("row"), (F.col("c") + F.col("s.j")).alias("col"))
-    open_ = beside.join(kept, ["row", "col"], "left_anti").groupBy("component").agg(F.count("*").alias("edges"))
-    n = F.col("n_pixels")
-    p = lab.groupBy("component").agg(F.count("*").alias("n_pixels"), F.min("row").alias("top"), F.min("col").alias("left"), F.max("row").alias("bottom"), F.max("col").alias("right")).filter(n >= 2)
-    return p.join(open_, "component").withColumn("size", F.when(n < 5, "small").when(n < 20, "medium").otherwise("large"))
+    """Patches of two pixels or more as polygons with holes; box, holes and corners are read from their rings."""
+    p, n = G.polygons(raster(spark, d).filter("v >= 0.055").select("row", "col"), 4, 2), F.col("n_pixels")
+    ring = lambda c: F.transform(F.flatten("outer"), lambda q: q[c])
+    return p.select(
+        "component", "n_pixels", "edges", "n_corners", F.size("outer").alias("n_outer"), F.size("holes").cast("long").alias("n_holes"), F.col("area").cast("double").alias("area"), F.array_min(ring("y")).alias("top"), F.array_min(ring("x")).alias("left"),
+        (F.array_max(ring("y")) - 1).alias("bottom"), (F.array_max(ring("x")) - 1).alias("right"), F.when(n < 5, "small").when(n < 20, "medium").otherwise("large").alias("size"),
+    )
 
 
 @query(f"""WITH {GRID}, {_REGION_SQL}, t AS (SELECT row, col, v, 1 AS tile FROM grid WHERE row < 40 UNION ALL SELECT row, col, v + 1, 2 FROM grid WHERE row >= 24), m AS (SELECT row, col, arg_min(v, tile) AS v FROM t GROUP BY ALL) SELECT row, col, v FROM m WHERE EXISTS (SELECT 1 FROM nat WHERE {_INSIDE})""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,25 @@ GRID = """grid AS (SELECT row, col, d / n / 100 AS v, q / n AS q, n FROM (SELECT
  sum(round(l_discount * 100)::BIGINT)::DOUBLE AS d, sum(l_quantity::BIGINT)::DOUBLE AS q, count(*) AS n FROM lineitem GROUP BY ALL))"""
 
 
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Rows and columns of ``raster``."""
+    return isqrt(read(spark, sf_dir, "lineitem").count() // 4)
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square raster from ``lineitem`` with a cell for about four rows, which grows in both directions; a few cells are missing."""
+    n = side(spark, sf_dir)
+    cells = read(spark, sf_dir, "lineitem").groupBy(((F.col("l_orderkey") * 31 + F.col("l_linenumber")) % n).cast("int").alias("row"), ((F.col("l_partkey") * 17 + F.col("l_suppkey")) % n).cast("int").alias("col")).agg(
+        F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("d"), F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n")
+    )
+    return cells.select("row", "col", (F.col("d") / F.col("n") / 100).alias("v"), (F.col("q") / F.col("n")).alias("q"), "n")
+
+
+RASTER = """side AS (SELECT floor(sqrt(count(*) // 4))::BIGINT AS s FROM lineitem), rast AS (SELECT row, col, d / n / 100 AS v, q / n AS q, n FROM (
+ SELECT ((l_orderkey * 31 + l_linenumber) % (SELECT s FROM side))::INT AS row, ((l_partkey * 17 + l_suppkey) % (SELECT s FROM side))::INT AS col,
+ sum(round(l_discount * 100)::BIGINT)::DOUBLE AS d, sum(l_quantity::BIGINT)::DOUBLE AS q, count(*) AS n FROM lineitem GROUP BY ALL))"""
+
+
 def half_up(c, name: str):
     """Six decimals by whole-number rounding, which both engines do alike on equal doubles."""
     return (F.floor(c * 1e6 + 0.5) / 1e6).alias(name)

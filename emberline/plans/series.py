@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import scorers as K
 from ..operators import spatial, temporal
+from ..operators.grid import persist_table
+from ..operators.quantiles import exact_quantiles
 from .registry import HISTORY, WINDOWS, half_up, history, query, r6, read, windows
 
 #: Monthly means and deviation of the stand-in series (flat in winter, high in the monsoon).
@@ -243,8 +245,8 @@ def j11_temporal_stack(spark, d):
 
 @query(f"WITH {STACK_SQL} SELECT round(greatest(0.5, quantile_cont(stacked_score, 0.8)), 6) AS threshold, count(*) AS n FROM stack WHERE stacked_score > 0")
 def j12_auto_threshold(spark, d):
-    s = temporal.temporal_stack(windows(spark, d), "pixel", F.col("fired"), F.col("p")).filter("stacked_score > 0")
-    return s.agg(r6(F.greatest(F.lit(0.5), F.percentile("stacked_score", 0.8)), "threshold"), F.count("*").alias("n"))
+    s = persist_table(temporal.temporal_stack(windows(spark, d), "pixel", F.col("fired"), F.col("p")).filter("stacked_score > 0"), "scores")
+    return exact_quantiles(s, "stacked_score", {"p80": 0.8}).select(r6(F.greatest(F.lit(0.5), "p80"), "threshold"), "n")
 
 
 #: Right rows are one value a customer and day, so ties do not depend on row order.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import reports as R
-from .registry import ALERTS, GRID, WINDOWS, alerts, grid, half_up, query, r6, read, windows
+from ..operators.quantiles import exact_quantiles
+from .registry import ALERTS, GRID, RASTER, WINDOWS, alerts, grid, half_up, query, r6, raster, read, windows
 
 
 @query(f"WITH {ALERTS} SELECT id, round(coalesce(stacked_score, confidence), 6) AS score, area_ha FROM alerts WHERE change_type = '1-URGENT' AND coalesce(stacked_score, confidence) >= 0.3 AND area_ha >= 1 AND detection_date BETWEEN '1996-01-01' AND '1999-12-31' AND coalesce(sar_boost_applied, false) = false AND cusum_zone_score >= 0.2 AND centroid_lon BETWEEN -100 AND 100 AND centroid_lat BETWEEN -60 AND 60")
@@ -87,7 +88,10 @@ def d17_d19_d21_frequency_and_trend(spark, d):
 def d15_d25_d27_profiles(spark, d):
     c = F.col("cloud")
     b = F.when(c < 0.1, "clear").when(c < 0.3, "light").when(c < 0.6, "broken").otherwise("overcast").alias("cloud_bin")
-    return windows(spark, d).groupBy("event_type", b).agg(F.count("*").alias("n"), r6(F.avg("delta"), "mean"), r6(F.stddev_pop("delta"), "std"), r6(F.median("delta"), "median"), r6(F.percentile("delta", 0.1), "p10"), r6(F.percentile("delta", 0.9), "p90"))
+    w = windows(spark, d).withColumn("cloud_bin", b)
+    q = exact_quantiles(w, "delta", {"median": 0.5, "p10": 0.1, "p90": 0.9}, ["event_type", "cloud_bin"]).drop("n")
+    means = w.groupBy("event_type", "cloud_bin").agg(F.count("*").alias("n"), r6(F.avg("delta"), "mean"), r6(F.stddev_pop("delta"), "std"))
+    return means.join(q, ["event_type", "cloud_bin"]).withColumns({c: F.round(c, 6) for c in ("median", "p10", "p90")})
 
 
 @query(f"WITH {WINDOWS}, t AS (SELECT unnest([0.05, 0.15, 0.3]::DOUBLE[]) AS threshold) SELECT threshold, date, count(*) FILTER (delta <= -threshold) AS n_loss, count(*) FILTER (abs(delta) >= threshold) AS n_change FROM win, t GROUP BY ROLLUP (threshold, date)")
@@ -237,7 +241,16 @@ def h42_tiles_of_boxes(spark, d):
     return t.withColumn("tx", span("x")).withColumn("ty", span("y")).select("id", "tx", "ty")
 
 
-@query(f"WITH {GRID} SELECT count(*) AS cells, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.95), 6) AS p95, count(*) FILTER (v >= 0.06) AS n_above, round(corr(v, q), 5) AS corr FROM grid")
+@query(f"""WITH {RASTER}, t AS (SELECT *, n % 8 * 45 + 10 AS aspect, q AS slope FROM rast) SELECT count(*) AS cells, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90,
+ round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, count(*) FILTER (v >= 0.06) AS n_above, round(corr(v, q), 5) AS corr,
+ {", ".join(f"round(100 * avg((slope >= {t})::INT), 6) AS slope_{t}_pct" for t in (15, 30, 45))}, {", ".join(f"count(*) FILTER (floor((aspect + 22.5) / 45) % 8 = {i}) AS facing_{i}" for i in range(8))} FROM t""")
 def d23_d35_d51_grid_stats(spark, d):
-    g = grid(spark, d)
-    return g.agg(F.count("*").alias("cells"), r6(F.min("v"), "low"), r6(F.max("v"), "high"), r6(F.avg("v"), "mean"), r6(F.stddev_pop("v"), "std"), r6(F.percentile("v", 0.1), "p10"), r6(F.percentile("v", 0.95), "p95"), F.count(F.when(F.col("v") >= 0.06, 1)).alias("n_above"), F.round(F.corr("v", "q"), 5).alias("corr"))
+    """A raster's distribution in one row: moments, exact percentiles, shares of steep slopes, aspects by octant (0: north)."""
+    g = raster(spark, d).withColumns({"slope": F.col("q"), "aspect": F.col("n") % 8 * 45 + 10})
+    facing = F.floor((F.col("aspect") + 22.5) / 45) % 8
+    one = g.agg(
+        F.count("*").alias("cells"), r6(F.min("v"), "low"), r6(F.max("v"), "high"), r6(F.avg("v"), "mean"), r6(F.stddev_pop("v"), "std"), F.count(F.when(F.col("v") >= 0.06, 1)).alias("n_above"), F.round(F.corr("v", "q"), 5).alias("corr"),
+        *(r6(100 * F.avg((F.col("slope") >= t).cast("int")), f"slope_{t}_pct") for t in (15, 30, 45)), *(F.count_if(facing == i).alias(f"facing_{i}") for i in range(8)),
+    )
+    q = exact_quantiles(g, "v", {"p10": 0.1, "p90": 0.9, "p95": 0.95, "p99": 0.99}).drop("n")
+    return one.crossJoin(F.broadcast(q.select(*(F.round(c, 6).alias(c) for c in q.columns))))
