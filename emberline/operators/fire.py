@@ -1,4 +1,4 @@
-"""Fire operators: the daily fire-weather index, links of fires to scars, perimeters over time, bulletins."""
+"""Fire operators: the daily fire-weather index, links of fires to scars, bulletins."""
 
 from __future__ import annotations
 
@@ -94,19 +94,6 @@ def with_indices(codes: DataFrame) -> DataFrame:
     return out.withColumn("fwi", fwi).withColumn("danger_class", fwi_class(F.col("fwi")))
 
 
-def spread(perimeters: DataFrame, event: str, at: str, area: str, perimeter: str) -> DataFrame:
-    """Change from one perimeter of an event to the next: hours, growth, mean rate of spread; steps back in time go."""
-    w = Window.partitionBy(event).orderBy(at)
-    prev = lambda c: F.lag(c).over(w)
-    hours = (F.unix_timestamp(F.col(at).cast("timestamp")) - F.unix_timestamp(prev(at).cast("timestamp"))) / 3600.0
-    out = perimeters.withColumn("dt_h", hours).withColumn("__a", prev(area)).withColumn("__p", prev(perimeter)).filter(F.col("dt_h") > 0)
-    rate = F.when(F.col("__p") > 0, (F.col(area) - F.col("__a")) / (F.col("__p") * F.col("dt_h"))).otherwise(0.0)
-    return out.select(
-        event, at, F.round("dt_h", 2).alias("dt_h"), F.round(F.col(area) - F.col("__a"), 4).alias("area_change"),
-        F.round(rate, 5).alias("cros"), F.round(F.abs(F.col(perimeter) - F.col("__p")) / 2, 3).alias("line_length"),
-    )
-
-
 def best_causal_fire(candidates: DataFrame, scene: str, hit: str, date: str, frp: str, distance: str) -> DataFrame:
     """One fire a scene: direct hits by date and falling power, else the nearest."""
     order = [

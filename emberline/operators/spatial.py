@@ -1,13 +1,14 @@
-"""Spatial joins by grid cells: points in polygons, overlaps of cell sets, nearest points, density clusters, hulls."""
+"""Spatial joins by grid cells: points in polygons, overlaps of cell sets, nearest points, density clusters."""
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_ring
-from .grid import min_labels, persist_table
+from .grid import min_labels, persist_table, remove_tables
 
 
 def cell(c: Column, size: float) -> Column:
@@ -52,27 +53,54 @@ def best_matches(pairs: DataFrame, key: str, other: str, least: float) -> DataFr
 
 
 def greedy_matches(pairs: DataFrame, key: str, other: str, score: str, least: float) -> DataFrame:
-    """One-to-one matches: keys by falling score take the unmatched partner of the largest IoU.
+    """One-to-one matches: keys by falling score (then by key) take the unmatched partner of the largest IoU (then the smallest).
 
-    The order matters only inside a connected group of candidates, so the groups are matched independently.
+    In rounds: a pair is taken once the partner is the key's best left and the key is the first of all that are left in the
+    partner's order. Nobody before the key can want the partner then, so the sequential choice would be the same; the first
+    key of all is such a pair, so each round takes some. Rounds are grouped aggregates and joins; none holds a connected group.
     """
-    good = pairs.filter(F.col("iou") >= least)
-    edges = good.select((F.col(key).cast("long") * 2).alias("a"), (F.col(other).cast("long") * 2 + 1).alias("b"))
-    label = min_labels(edges)
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        rows = []
-        for k, g in sorted(pdf.groupby(key), key=lambda x: (-x[1][score].iloc[0], x[0])):
-            g = g[~g[other].isin(taken)].sort_values(["iou", other], ascending=[False, True])
-            if len(g):
-                taken.add(g[other].iloc[0])
-                rows.append(g.iloc[0])
-        return pd.DataFrame(rows, columns=pdf.columns)[[key, other, score, "iou"]]
-
-    tagged = good.withColumn("id", F.col(key).cast("long") * 2).join(label, "id").drop("id").select("comp", key, other, score, "iou")
-    kinds = ", ".join(f"{c} {t}" for c, t in tagged.select(key, other, score, "iou").dtypes)
-    return tagged.groupBy("comp").applyInPandas(match, kinds)
+    left = persist_table(pairs.filter(F.col("iou") >= least).select(key, other, score, "iou"), "pairs")
+    taken = []
+    while left.limit(1).count():
+        best = left.groupBy(key).agg(F.max(F.struct("iou", (-F.col(other)).alias("o"), other, score)).alias("b")).select(key, f"b.{other}", f"b.{score}", "b.iou")
+        first = left.groupBy(other).agg(F.max(F.struct(score, (-F.col(key)).alias("k"), key)).alias("f")).select(F.col(other).alias("__o"), F.col(f"f.{key}").alias("__k"))
+        new = persist_table(best.join(first, (F.col(other) == F.col("__o")) & (F.col(key) == F.col("__k"))).select(key, other, score, "iou"), "matches")
+        rest = persist_table(left.join(new.select(key), key, "left_anti").join(new.select(other), other, "left_anti").select(key, other, score, "iou"), "pairs")
+        remove_tables(left)
+        left, taken = rest, [*taken, new]
+    return reduce(DataFrame.unionByName, taken, left)
+
+
+def overlap_candidates(sets: DataFrame, key: str, least: float) -> DataFrame:
+    """Pairs of cell sets (small, large) that may share ``least`` of the smaller one: no pair that does is missing.
+
+    If sets of n and m >= n cells share at least ceil(least n), then any n - ceil(least n) + 1 cells of the smaller hold one of
+    the larger. Each set is searched by its rarest cells only: those up to the frequency at which they are enough, found
+    from counts a frequency, so that no set is ordered in one task. Common cells, where most pairs would meet, stay out.
+    """
+    often = sets.groupBy("row", "col").agg(F.count("*").alias("f"))
+    tagged = sets.select(key, "row", "col").join(often, ["row", "col"])
+    by_often = tagged.groupBy(key, "f").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(key).orderBy("f")
+    size = F.sum("n").over(Window.partitionBy(key))
+    by_often = by_often.withColumns({"size": size, "upto": F.sum("n").over(upto)})
+    enough = by_often.filter(F.col("upto") >= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).groupBy(key, "size").agg(F.min("f").alias("cut"))
+    known = persist_table(tagged.join(enough, key), "sets")
+    probe = known.filter("f <= cut").select(F.col(key).alias("small"), F.col("size").alias("n"), "row", "col")
+    index = known.select(F.col(key).alias("large"), F.col("size").alias("m"), "row", "col")
+    return probe.join(index, ["row", "col"]).filter("n < m or (n = m and small < large)").select("small", "large", "n", "m").distinct()
+
+
+def overlapping_sets(sets: DataFrame, key: str, least: float, among: Column | None = None) -> DataFrame:
+    """Pairs (small, large) of cell sets that share at least ``least`` of the smaller one: shared, n, m, overlap.
+
+    ``among`` may restrict the candidates by small and large.
+    """
+    pairs = overlap_candidates(sets, key, least)
+    pairs = pairs.filter(among) if among is not None else pairs
+    one, two = sets.select(F.col(key).alias("small"), "row", "col"), sets.select(F.col(key).alias("large"), "row", "col")
+    shared = pairs.join(one, "small").join(two, ["large", "row", "col"]).groupBy("small", "large", "n", "m").agg(F.count("*").alias("shared"))
+    return shared.withColumn("overlap", F.col("shared") / F.col("n")).filter(F.col("overlap") >= least)
 
 
 def nearest_within(points: DataFrame, others: DataFrame, key: str, radius: float, same_side: list[str] | None = None) -> DataFrame:
@@ -112,37 +140,6 @@ def _within(points: DataFrame, key: str, eps: float) -> DataFrame:
     return p.join(o, ["cx", "cy"]).filter(d2 <= eps * eps).select("a", "b")
 
 
-def hulls(points: DataFrame, by: list[str]) -> DataFrame:
-    """Convex hull of each group: number of corners, area, perimeter, centroid (mean of the corners).
-
-    Points shrink first to those that can be corners (for each x the lowest and highest y), then one small
-    group meets in a task.
-    """
-    extremes = points.groupBy(*by, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    corners = extremes.select(*by, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
-
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(pdf["x"], pdf["y"])))
-
-        def half(ps):
-            out: list = []
-            for p in ps:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out
-
-        ring = half(pts)[:-1] + half(pts[::-1])[:-1] if len(pts) > 2 else pts
-        nxt = ring[1:] + ring[:1]
-        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, nxt))) / 2
-        edge = sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in zip(ring, nxt))
-        n = len(ring)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), n, area, edge, sum(p[0] for p in ring) / n, sum(p[1] for p in ring) / n]])
-
-    kinds = dict(points.dtypes)
-    return corners.groupBy(*by).applyInPandas(hull, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n_corners long, area double, perimeter double, centre_x double, centre_y double")
-
-
 def range_hits(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, before: int, after: int) -> DataFrame:
     """Pairs with right_at in [left_at - before, left_at + after] days: met on keys and day buckets, then exactly filtered."""
     width = before + after + 1

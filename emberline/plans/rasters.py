@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import fire, grid as G, spatial
+from ..operators import grid as G
+from ..operators import hulls, spatial
+from ..operators.grid import persist_table
 from ..operators.quantiles import with_quantiles
 from .registry import GRID, RASTER, grid, half_up, query, r6, raster, read, side, windows
 
@@ -189,18 +193,21 @@ def h12_ring_area(spark, d):
     return _regions(spark, d).select("n_nationkey", F.round(S.ring_area(F.col("ring")), 6).alias("area"))
 
 
-#: Alert patches are the cells of each l_suppkey under a mask of the quantity, true patches those under a stricter mask.
-_SETS_SQL = """a AS (SELECT DISTINCT l_suppkey AS a_id, (l_orderkey % 12)::INT AS row, (l_partkey % 12)::INT AS col FROM lineitem WHERE l_quantity < 12),
-b AS (SELECT DISTINCT (l_suppkey * 7 + l_linenumber) % 40 AS b_id, (l_orderkey % 12)::INT AS row, (l_partkey % 12)::INT AS col FROM lineitem WHERE l_quantity < 5),
+#: Alert patches are cells around each supplier's place under a mask of the quantity, true patches those under a stricter
+#: mask, one row off. Places spread over a square that grows with the suppliers, so patches meet their neighbours only.
+_SETS_SQL = """z AS (SELECT 6 * floor(sqrt(count(*)))::BIGINT AS s FROM supplier),
+a AS (SELECT DISTINCT l_suppkey AS a_id, l_suppkey * 7919 % s + l_orderkey % 12 AS row, l_suppkey * 104729 % 99991 % s + l_partkey % 12 AS col FROM lineitem, z WHERE l_quantity < 12),
+b AS (SELECT DISTINCT l_suppkey AS b_id, l_suppkey * 7919 % s + l_orderkey % 11 + 1 AS row, l_suppkey * 104729 % 99991 % s + l_partkey % 12 AS col FROM lineitem, z WHERE l_quantity < 5),
 sh AS (SELECT a_id, b_id, count(*) AS shared FROM a JOIN b ON a.row = b.row AND a.col = b.col GROUP BY ALL), sa AS (SELECT a_id, count(*) AS n FROM a GROUP BY 1), sb AS (SELECT b_id, count(*) AS m FROM b GROUP BY 1),
 pairs AS (SELECT a_id, b_id, shared, shared / (n + m - shared) AS iou, shared / least(n, m) AS overlap FROM sh JOIN sa USING (a_id) JOIN sb USING (b_id))"""
 
 
 def _sets(spark, d):
-    li = read(spark, d, "lineitem")
-    at = [(F.col("l_orderkey") % 12).cast("int").alias("row"), (F.col("l_partkey") % 12).cast("int").alias("col")]
-    a = li.filter("l_quantity < 12").select(F.col("l_suppkey").alias("a_id"), *at).distinct()
-    b = li.filter("l_quantity < 5").select(((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 40).alias("b_id"), *at).distinct()
+    li, s = read(spark, d, "lineitem"), 6 * isqrt(read(spark, d, "supplier").count())
+    k = F.col("l_suppkey")
+    row, col = k * 7919 % s, k * 104729 % 99991 % s + F.col("l_partkey") % 12
+    a = li.filter("l_quantity < 12").select(k.alias("a_id"), (row + F.col("l_orderkey") % 12).alias("row"), col.alias("col")).distinct()
+    b = li.filter("l_quantity < 5").select(k.alias("b_id"), (row + F.col("l_orderkey") % 11 + 1).alias("row"), col.alias("col")).distinct()
     return a, b
 
 
@@ -210,25 +217,29 @@ def c6_h15_best_iou(spark, d):
     return spatial.best_matches(spatial.cell_overlaps(a, b, "a_id", "b_id"), "a_id", "b_id", 0.1).select("a_id", "b_id", "shared", r6(F.col("iou"), "iou"))
 
 
-@query(f"WITH {_SETS_SQL} SELECT DISTINCT a_id FROM a WHERE a_id NOT IN (SELECT a_id FROM pairs WHERE iou >= 0.65)")
+@query(f"WITH {_SETS_SQL} SELECT DISTINCT a_id FROM a WHERE a_id NOT IN (SELECT a_id FROM pairs WHERE iou >= 0.24)")
 def g5_unmatched(spark, d):
     a, b = _sets(spark, d)
-    return a.select("a_id").distinct().join(spatial.cell_overlaps(a, b, "a_id", "b_id").filter("iou >= 0.65").select("a_id"), "a_id", "left_anti")
+    return a.select("a_id").distinct().join(spatial.cell_overlaps(a, b, "a_id", "b_id").filter("iou >= 0.24").select("a_id"), "a_id", "left_anti")
 
 
 @query(f"WITH {_SETS_SQL}, x AS (SELECT a1.a_id AS newer, a2.a_id AS older, count(*) AS shared FROM a a1 JOIN a a2 ON a1.row = a2.row AND a1.col = a2.col AND a1.a_id > a2.a_id AND a1.a_id % 2 <> a2.a_id % 2 GROUP BY ALL) SELECT newer, min(older) AS older FROM x JOIN sa s ON newer = s.a_id JOIN sa t ON older = t.a_id WHERE shared / least(s.n, t.n) >= 0.3 GROUP BY newer")
 def c5_link_overlaps(spark, d):
+    """Patches of different versions that share 0.3 of the smaller one: each links to the oldest that it overlaps."""
     a, _ = _sets(spark, d)
-    pairs = spatial.cell_overlaps(a.withColumnRenamed("a_id", "newer"), a.withColumnRenamed("a_id", "older"), "newer", "older")
-    return pairs.filter("newer > older and newer % 2 <> older % 2 and overlap >= 0.3").groupBy("newer").agg(F.min("older").alias("older"))
+    pairs = spatial.overlapping_sets(a, "a_id", 0.3, F.expr("small % 2 <> large % 2"))
+    return pairs.groupBy(F.greatest("small", "large").alias("newer")).agg(F.min(F.least("small", "large")).alias("older"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SETS_SQL}, good AS (SELECT a_id, b_id, iou, (a_id * 37 % 101) / 101 AS score FROM pairs WHERE iou >= 0.02), turn AS (SELECT a_id, row_number() OVER (ORDER BY any_value(score) DESC, a_id) AS i FROM good GROUP BY a_id),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS a_id, []::BIGINT[] AS taken, NULL::BIGINT AS b_id UNION ALL
+ SELECT i, a_id, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick FROM (SELECT turn.i, turn.a_id, r.taken, (SELECT arg_max(g.b_id, (g.iou, -g.b_id)) FROM good g WHERE g.a_id = turn.a_id AND NOT list_contains(r.taken, g.b_id)) AS pick FROM r JOIN turn ON turn.i = r.i + 1))
+SELECT r.a_id, r.b_id, round(iou, 6) AS iou FROM r JOIN good ON good.a_id = r.a_id AND good.b_id = r.b_id""")
 def c7_greedy_matches(spark, d):
-    """One-to-one by falling score inside candidate groups; tested against a loop."""
+    """One-to-one by falling score; the SQL goes key by key."""
     a, b = _sets(spark, d)
     pairs = spatial.cell_overlaps(a, b, "a_id", "b_id").withColumn("score", (F.col("a_id") * 37 % 101) / 101)
-    return spatial.greedy_matches(pairs, "a_id", "b_id", "score", 0.1).select("a_id", "b_id", r6(F.col("iou"), "iou"))
+    return spatial.greedy_matches(pairs, "a_id", "b_id", "score", 0.02).select("a_id", "b_id", r6(F.col("iou"), "iou"))
 
 
 def _points(spark, d):
@@ -253,9 +264,19 @@ def c9_nearest_distance(spark, d):
     return spatial.nearest_within(p.select("event_id", "x", "y"), p.filter("event_type = 'error'").select("x", "y"), "event_id", 5.0).select("event_id", r6(F.col("distance"), "distance"))
 
 
+def _detections(spark, d):
+    """Detections of a few fires over weeks: places in steps of 375 m around a drifting centre."""
+    e = windows(spark, d)
+    week, k = F.floor(F.datediff("date", F.lit("2024-01-01").cast("date")) / 7), F.col("event_id")
+    step = lambda m, n: (k * m % 9973 % n) * 0.0034
+    return e.select(
+        (F.col("pixel") % 5).alias("fire"), F.date_add(F.lit("2024-01-01").cast("date"), (week * 7).cast("int")).alias("seen"), (80.1 + F.col("pixel") % 5 * 0.3 + week * 0.01 + step(7919, 19)).alias("lon"), (24.0 + step(104729, 17)).alias("lat"), "value",
+    )
+
+
 @query()
 def i22_e15_perimeters_and_spread(spark, d):
-    """Hulls per event and day, then growth between them; hull and spread are tested against a loop."""
-    p = _points(spark, d).withColumn("event", (F.col("x") / 30).cast("long"))
-    h = spatial.hulls(p.select("event", "date", "x", "y"), ["event", "date"])
-    return fire.spread(h, "event", "date", "area", "perimeter")
+    """Concave perimeters a fire and week, and how they spread; hulls are tested against all circumcircles, spread against a loop."""
+    p = persist_table(hulls.measured(hulls.concave_hulls(_detections(spark, d), ["fire", "seen"], "lon", "lat", "value", 0.0005, 0.006)), "perimeters")
+    s = hulls.spread(p, "fire", "seen")
+    return p.select("fire", "seen", "n_pixels", F.size("rings").alias("n_rings"), *(F.round(c, 4).alias(c) for c in ("mean_frp", "area_km2", "perimeter_km")), *(F.round(c, 5).alias(c) for c in ("centre_lon", "centre_lat"))).join(s, ["fire", "seen"], "left")

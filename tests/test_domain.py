@@ -152,15 +152,6 @@ def test_greedy_matching_equals_the_loop(spark):
     assert got == want
 
 
-def test_hulls_and_spread(spark):
-    rows = [("e", d, float(x), float(y)) for d, s in ((1, 2), (2, 4)) for x in range(s + 1) for y in range(s + 1)]
-    h = spatial.hulls(spark.createDataFrame(rows, "event string, day int, x double, y double"), ["event", "day"]).orderBy("day").collect()
-    assert [(r["n_corners"], r["area"], r["perimeter"]) for r in h] == [(4, 4.0, 8.0), (4, 16.0, 16.0)]
-    p = spark.createDataFrame([("e", dt.datetime(2024, 1, 1), 4.0, 8.0), ("e", dt.datetime(2024, 1, 1, 12), 16.0, 16.0)], "event string, at timestamp, area double, perimeter double")
-    r = fire.spread(p, "event", "at", "area", "perimeter").first()
-    assert (r["dt_h"], r["area_change"], r["cros"], r["line_length"]) == (12.0, 12.0, 0.125, 4.0)
-
-
 def test_scorer_follows_its_formulas(spark):
     logistic = lambda x, m, k: 1 / (1 + math.exp(-k * (x - m)))
     cases = [(0.6, 0.2, 0.45, 0.45, 0.1, 0.0), (0.2, 0.6, 0.4, 0.5, 0.1, 0.2), (0.1, 0.05, 0.4, 0.3, 0.02, 0.7), (0.0, 0.0, 0.3, 0.3, 0.2, 0.0)]
@@ -319,15 +310,7 @@ def test_fire_weather_series_equals_a_loop(spark, data):
     assert all(abs(r["peak"] - peak[r["station"], r["year"]]) < 1.1e-3 and abs(r["danger_share"] - np.mean(days[r["station"], r["year"]])) < 1.1e-3 for r in top)
 
 
-def test_hulls_equal_a_search_and_z_scores_equal_numpy(spark, data):
-    rng = np.random.default_rng(13)
-    pts = [("e", float(x), float(y)) for x, y in rng.integers(0, 40, (60, 2))]
-    h = spatial.hulls(spark.createDataFrame(pts, "event string, x double, y double"), ["event"]).first()
-    p = sorted({q[1:] for q in pts})
-    # an edge of the hull has all points on its left
-    left = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    edges = [(a, b) for a in p for b in p if a != b and all(left(a, b, c) > 0 or (left(a, b, c) == 0 and min(a, b) <= c <= max(a, b)) for c in p)]
-    assert h["n_corners"] == len(edges) and abs(h["area"] - sum(a[0] * b[1] - b[0] * a[1] for a, b in edges) / 2) < 1e-6
+def test_z_scores_equal_numpy(spark, data):
     got = {r["id"]: r for r in catalog.QUERIES["j1_j2_harmonic_models"](spark, data).collect()}
     hist = spark.read.parquet(f"{data}/orders.parquet").toPandas()
     checked = 0
