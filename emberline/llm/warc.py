@@ -5,10 +5,11 @@ with the largest id is a ``response`` record, the others are ``revisit`` records
 of about ``ARCHIVE_BYTES`` under names that no other attempt uses, and report them in a manifest; only archives of
 attempts that Spark committed are in it, so a lost executor leaves files that nobody reads.
 
-Reading: Spark lists the archives and deals them out; tasks read them by blocks, so a task holds one record or one gzip
-member at a time, however large the archive. A record is taken if its length and digest hold, and all such records of a
-member, be they one or many, if the member inflates. After a failed check the reader looks for the next gzip member or
-plain ``WARC/1.`` version line from which a whole record can be read, goes on there, and logs the bytes between as a gap.
+Reading: Spark lists the archives and deals them out; tasks read them by blocks and inflate members as they go, so a task
+holds one record at a time, however large the archive or the member. Headers may have any length. A record is taken if its
+length holds and its digest, where it has one. A gzip member that is damaged or cut gives the records before the damage. After a
+failed check the reader looks for the next gzip member or plain ``WARC/1.`` version line from which a whole record can be
+read, goes on there, and logs the bytes between as a gap. The archives of a manifest must give as many records as were written.
 
 A null payload is written as an empty one; a page without id revisits the newest equal one that has an id, and its record
 names no page; rows that share the largest id of a payload are all responses; repeated rows are written as often as they
@@ -18,6 +19,7 @@ occur; an empty table gives no archives and an empty result; further columns are
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 from .common import CLEANUP, new_path, setting, small_batches
 
 ARCHIVE_BYTES = 16 << 20
-HEADER_BYTES = 1 << 20  # longer headers make no record
-GZIP_HEADER = 16 << 10  # nor does a member from which nothing comes by then
+GZIP_HEADER = 16 << 10  # a member from which nothing comes by then is none
+WHOLE_BYTES = 8 << 20  # members that inflate to more are inflated twice, the second time record by record
 SALTS = 16
 RECORDS = "kind string, archive string, start bigint, stop bigint, record_type string, record_id string, target_uri string, payload_length bigint, payload_digest string, refers_to string, payload binary"
 _VERSION = re.compile(rb"WARC/1\.\d\r\n")
+_FIELD = re.compile(rb"[!-9;-~]+[ \t]*:")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -85,34 +88,112 @@ class Bytes:
             self.at, self.block = at, self.file.read_at(min(self.BLOCK, self.size - at), at) if at < self.size else b""
         return self.block[at - self.at : at - self.at + n]
 
+    def has(self, at: int) -> bool:
+        return at < self.size
+
+    def forget(self, at: int) -> None:
+        """Nothing before ``at`` will be read again."""
+
     def candidate(self, at: int, packed: bool) -> int:
         """Start of the next gzip member (if ``packed``) or version line from ``at`` on, else the end."""
         step = 256
-        while at < self.size:
+        while self.has(at):
             part = self.read(at, step)
             step = min(8 * step, self.BLOCK)
             for m in self.MAGIC.finditer(part):
                 if packed or m.group() != b"\x1f\x8b\x08":
                     return at + m.start()
+            if not self.has(at + len(part)):
+                break
             at += max(len(part) - 6, 1)  # a mark may lie across two blocks
         return self.size
 
 
-def parse_record(data: Bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, payload and end of the whole, checked record that starts at ``at``; else None."""
-    head = data.read(at, HEADER_BYTES)
-    end = head.find(b"\r\n\r\n")
-    if end < 0 or not _VERSION.match(head):
+class Inflated(Bytes):
+    """The plain bytes of a gzip member, inflated as they are asked for and forgotten once they are read.
+
+    Of a damaged member all that comes out before the damage is there. ``size`` is right once the end is reached.
+    """
+
+    def __init__(self, data: Bytes, at: int, step: int = 1 << 16) -> None:
+        self.source, self.at, self.step, self.z = data, at, step, zlib.decompressobj(31)
+        self.base, self.plain, self.ended, self.sound = 0, bytearray(), False, False
+        self.marks = [(0, at)]  # plain bytes there once the packed ones up to a place were read
+
+    @property
+    def size(self) -> int:
+        return self.base + len(self.plain)
+
+    def _pull(self) -> None:
+        part, before = self.source.read(self.at, self.step), self.z.copy()
+        try:
+            self.plain += self.z.decompress(part)
+        except zlib.error:
+            self.ended = True
+            with contextlib.suppress(zlib.error):  # byte by byte up to the damage
+                while out := before.decompress(part, 1):
+                    self.plain += out
+                    part = before.unconsumed_tail
+            return
+        self.at += len(part)
+        self.sound = self.z.eof
+        self.ended = self.z.eof or not part or not self.source.has(self.at)
+        self.at -= len(self.z.unused_data)
+        self.marks.append((self.size, self.at))
+
+    def has(self, at: int) -> bool:
+        while self.size <= at and not self.ended:
+            self._pull()
+        return at < self.size
+
+    def read(self, at: int, n: int) -> bytes:
+        self.has(at + n - 1)
+        return bytes(self.plain[at - self.base : at - self.base + n])
+
+    def forget(self, at: int) -> None:
+        del self.plain[: at - self.base]
+        self.base = at
+        while len(self.marks) > 1 and self.marks[1][0] <= at:
+            del self.marks[0]
+
+
+def header(data: Bytes, at: int) -> tuple[dict[str, str], int] | None:
+    """Fields of the header that starts at ``at``, and where its payload starts; None at the first line that is no field.
+
+    Only ``WARC-Concurrent-To`` may occur twice, as the format has it.
+    """
+    head = bytearray(data.read(at, 4096))
+    found = _VERSION.match(head)
+    if not found:
         return None
-    headers = {}
-    for line in head[:end].split(b"\r\n")[1:]:
-        k, colon, v = line.partition(b":")
-        if not colon:
+    headers, line, seen = {}, found.end(), found.end()
+    while True:
+        end = head.find(b"\r\n", seen)
+        if end < 0:
+            seen = max(line, len(head) - 1)
+            more = data.read(at + len(head), min(max(4096, len(head)), data.BLOCK))
+            if not more:
+                return None
+            head += more
+            continue
+        if end == line:
+            return headers, at + end + 2
+        name = _FIELD.match(head, line, end)
+        if not name:
             return None
-        headers[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdigit():
+        field = head[line : name.end() - 1].decode().strip().lower()
+        if field in headers and field != "warc-concurrent-to":
+            return None
+        headers[field] = head[name.end() : end].decode("utf-8", "replace").strip()
+        line = seen = end + 2
+
+
+def parse_record(data: Bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
+    """Headers, payload and end of the whole, checked record that starts at ``at``; else None."""
+    found = header(data, at)
+    if not found or not found[0].get("content-length", "").isdigit():
         return None
-    start = at + end + 4
+    headers, start = found
     stop = start + int(headers["content-length"])
     if data.read(stop, 4) != b"\r\n\r\n":
         return None
@@ -123,45 +204,57 @@ def parse_record(data: Bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]
     return headers, payload, stop + 4
 
 
-def inflate(data: Bytes, at: int) -> tuple[bytes, int] | None:
-    """Plain bytes and end of the whole gzip member that starts at ``at``."""
-    z, out, step, start = zlib.decompressobj(31), [], 256, at
-    try:
-        while not z.eof and at < data.size:
-            part = data.read(at, step)
-            out.append(z.decompress(part))
-            at, step = at + len(part), 65536 if out[-1] else 4096
-            if at - start > GZIP_HEADER and not any(out):
-                return None
-    except zlib.error:
-        return None
-    return (b"".join(out), at - len(z.unused_data)) if z.eof else None
+def inflate(data: Bytes, at: int) -> tuple[Bytes, int] | None:
+    """What the gzip member that starts at ``at`` holds, and its end (-1: damaged or cut); None if nothing comes out.
+
+    A member is read to its end first, to know that it is sound; its plain bytes are kept if they are few.
+    """
+    z, out, size, step, start = zlib.decompressobj(31), [], 0, 256, at
+    while not z.eof and data.has(at):
+        part = data.read(at, step)
+        try:
+            plain = z.decompress(part)
+        except zlib.error:
+            break
+        size += len(plain)
+        out = [*out, plain] if size <= WHOLE_BYTES else []
+        at, step = at + len(part), 65536 if plain else 4096
+        if at - start > GZIP_HEADER and not size:
+            return None
+    if z.eof:
+        return (Bytes(b"".join(out)) if size <= WHOLE_BYTES else Inflated(data, start)), at - len(z.unused_data)
+    return (Inflated(data, start, 1024), -1) if size else None
 
 
 def salvage(data: Bytes, packed: bool = True) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     """(start, stop, headers, payload) of each record in order; headers are None for a gap of unreadable bytes.
 
-    Records of a gzip member, and unread stretches beside them, have the member's start and stop. Members are looked for
-    only if ``packed``.
+    Records of a gzip member, and unread stretches beside them, have the member's start and stop; those of a damaged one stop
+    at most a kilobyte before their last packed byte, and the gap goes on from there. Members are looked for only if ``packed``.
     """
     at, bad = 0, None
-    while at < data.size:
+    while data.has(at):
         stop, got = at, None
         if packed and data.read(at, 3) == b"\x1f\x8b\x08":
             if plain := inflate(data, at):
+                inner, end = plain
                 gaps = 0
-                for _, _, headers, payload in salvage(Bytes(plain[0]), packed=False):
-                    if headers is None and stop == at:  # gaps before the first record
+                for _, last, headers, payload in salvage(inner, packed=False):
+                    if headers is None and (stop == at or end < 0):  # gaps before the first record, or perhaps at the damage
                         gaps += 1
                         continue
-                    if stop == at:
-                        if bad is not None:
-                            yield bad, at, None, b""
-                            bad = None
-                        stop = plain[1]
-                        for _ in range(gaps):
-                            yield at, stop, None, b""
+                    if stop == at and bad is not None:
+                        yield bad, at, None, b""
+                        bad = None
+                    stop = end if end >= 0 else max(at + 1, *(p for n, p in inner.marks if n < last))
+                    for _ in range(gaps):
+                        yield at, stop, None, b""
+                    gaps = 0
                     yield at, stop, headers, payload
+                if end < 0 and stop > at:
+                    at = data.candidate(stop, packed)
+                    bad = stop if at > stop else None
+                    continue
         elif got := parse_record(data, at):
             stop = got[2]
             if bad is not None:
@@ -170,10 +263,11 @@ def salvage(data: Bytes, packed: bool = True) -> Iterator[tuple[int, int, dict[s
             yield at, stop, got[0], got[1]
         if stop > at:
             at = stop
+            data.forget(at)
             continue
         bad = at if bad is None else bad
         at = data.candidate(at + 1, packed)
-    if bad is not None:
+    if bad is not None and bad < data.size:
         yield bad, data.size, None, b""
 
 
@@ -220,10 +314,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
 
 
 def read_archives(spark: SparkSession, path: str, manifest: DataFrame | None = None, payloads: bool = True) -> DataFrame:
-    """Records and gaps of all archives under ``path``, or of those in the manifest, with payloads or null in their place."""
+    """Records and gaps of all archives under ``path``, or of those in the manifest, with payloads or null in their place.
+
+    An archive of the manifest with another number of records than were written raises an error.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"))
     if manifest is not None:
-        files = files.join(manifest.select("archive"), "archive", "left_semi")
+        files = files.join(manifest.groupBy("archive").agg(F.sum("records").alias("records")), "archive")
+    else:
+        files = files.withColumn("records", F.lit(None).cast("long"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
@@ -234,7 +333,7 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame | None = N
         for batch in batches:
             for file in batch.to_pylist():
                 fs, at = pyarrow.fs.FileSystem.from_uri(file["path"])
-                rows, size = [], 0
+                rows, size, whole = [], 0, 0
                 with fs.open_input_file(at) as opened:
                     for start, stop, h, payload in salvage(Bytes(file=opened)):
                         if h is None:
@@ -243,13 +342,16 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame | None = N
                             length = h.get("warc-payload-length", str(len(payload)))
                             rows.append(("record", file["archive"], start, stop, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), int(length) if length.isdigit() else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to"), payload if payloads else None))
                             size += len(payload) if payloads else 200
+                            whole += 1
                         if size > 8 << 20:
                             yield batch_of(rows)
                             rows, size = [], 0
                 if rows:
                     yield batch_of(rows)
+                if file["records"] not in (None, whole):
+                    raise ValueError(f"{file['archive']} holds {whole} of {file['records']} records")
 
-    return files.select("path", "archive").mapInArrow(read, RECORDS)
+    return files.select("path", "archive", "records").mapInArrow(read, RECORDS)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
