@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from functools import reduce
+
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grid import persist_table
+from .temporal import temporal_stack
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight`` = total / (2 n_class); the classes are few, so their counts are broadcast."""
@@ -45,3 +50,75 @@ def forest_classes(df: DataFrame, key: str, features: list[str], label: str, tre
     x = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(x)
     forest = RandomForestClassifier(featuresCol="__x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=6, seed=seed)
     return forest.fit(x.filter("split = 'train'")).transform(x).select(key, label, F.col("prediction").alias("predicted"), "split")
+
+
+def fold_of(key: str, folds: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
+
+
+def boosted_classes(df: DataFrame, key: str, features: list[str], label: str, iterations: int = 8, seed: int = 7) -> DataFrame:
+    """key, label, predicted, probabilities (by class, summing to 1), split: boosted trees against the rest for each class.
+
+    Fitted with class weights on a hash-chosen 80 %, scored on all rows. The trees' margins pass the logistic function that
+    they were fitted for, which makes them comparable between classes; of equal classes the smallest is predicted. Classes are
+    few: they are listed on the driver.
+    """
+    x = class_weights(df, label).withColumn("split", F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < 20, "test").otherwise("train"))
+    x = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(x)
+    classes = sorted(r[0] for r in x.filter("split = 'train'").select(label).distinct().collect())
+    out = x.withColumn("__p", F.array().cast("array<double>"))
+    for c in classes:
+        one = x.filter("split = 'train'").withColumn("__y", (F.col(label) == c).cast("double"))
+        model = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", maxIter=iterations, maxDepth=4, seed=seed).fit(one)
+        out = model.transform(out).withColumn("__p", F.concat("__p", F.array(vector_to_array("probability")[1]))).drop("rawPrediction", "probability", "prediction")
+    total = F.aggregate("__p", F.lit(0.0), lambda a, v: a + v)
+    out = out.withColumn("probabilities", F.transform("__p", lambda v: v / total))
+    best = F.array_position("__p", F.array_max("__p")).cast("int")
+    return out.select(key, label, F.element_at(F.array(*map(F.lit, classes)), best).alias("predicted"), "probabilities", "split")
+
+
+def out_of_fold(x: DataFrame, fold: str, members: dict, label: str, folds: int, keep: list[str]) -> DataFrame:
+    """Each row's probability by each member, fitted on the other folds only: ``keep`` and a column a member."""
+    parts = []
+    for i in range(folds):
+        scored = x.filter(F.col(fold) == i)
+        for name, make in members.items():
+            model = make().fit(x.filter(F.col(fold) != i))
+            scored = model.transform(scored).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        parts.append(scored.select(*keep, *members))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def balanced_accuracy(p: str, label: str) -> Column:
+    hit = lambda y, right: F.try_divide(F.count_if((F.col(label) == y) & right), F.count_if(F.col(label) == y))
+    return (hit(1, F.col(p) > 0.5) + hit(0, F.col(p) <= 0.5)) / 2
+
+
+def stacked_ensemble(df: DataFrame, key: str, features: list[str], label: str, folds: int = 3, least: float = 0.1, seed: int = 7) -> DataFrame:
+    """key, label, fold, one column a member, weighted, votes, stacked: probabilities that no model gave for a row it had seen.
+
+    Members (a logistic regression, a forest, boosted trees) are fitted out of fold. ``weighted`` is their mean by balanced
+    accuracy, at least ``least`` each; ``votes`` the share of members above one half; ``stacked`` a logistic regression on
+    the members' probabilities, itself fitted on the other folds.
+    """
+    x = class_weights(df.select(key, *features, label), label).withColumn("fold", fold_of(key, folds, seed))
+    x = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(x)
+    common = {"featuresCol": "__x", "labelCol": label, "weightCol": "weight"}
+    members = {
+        "logistic": lambda: LogisticRegression(**common, maxIter=30), "forest": lambda: RandomForestClassifier(**common, numTrees=10, maxDepth=5, seed=seed),
+        "boosted": lambda: GBTClassifier(**common, maxIter=6, maxDepth=3, seed=seed),
+    }
+    base = persist_table(out_of_fold(x, "fold", members, label, folds, [key, label, "weight", "fold"]), "members")
+    metric = base.agg(*(F.greatest(F.coalesce(balanced_accuracy(m, label), F.lit(0.5)), F.lit(least)).alias(m) for m in members)).first()
+    total = sum(metric)
+    weighted = sum((F.col(m) * (metric[m] / total) for m in list(members)[1:]), F.col("logistic") * (metric["logistic"] / total))
+    votes = sum(((F.col(m) > 0.5).cast("int") for m in list(members)[1:]), (F.col("logistic") > 0.5).cast("int")) / len(members)
+    second = VectorAssembler(inputCols=[*members], outputCol="__x").transform(base)
+    stacked = out_of_fold(second, "fold", {"stacked": lambda: LogisticRegression(**common, maxIter=30)}, label, folds, [key, label, "fold", *members])
+    return stacked.select(key, label, "fold", *members, weighted.alias("weighted"), votes.alias("votes"), "stacked")
+
+
+def stacked_windows(df: DataFrame, key: str, pixel: str, features: list[str], label: str, threshold: float = 0.5) -> DataFrame:
+    """Multi-window inference: each window scored by the boosted filter, then the windows of a pixel stacked over time."""
+    scored = df.select(key, pixel).join(boosted_filter(df, key, features, label), key)
+    return temporal_stack(scored, pixel, F.col("probability") >= threshold, F.col("probability"))

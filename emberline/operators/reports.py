@@ -86,8 +86,8 @@ def threshold_sweep(df: DataFrame, score: str, truth: Column, thresholds: list[f
     return c.withColumn("f1", F.round(F.when(2 * tp + F.col("fp") + F.col("fn") > 0, 2 * tp / (2 * tp + F.col("fp") + F.col("fn"))).otherwise(0.0), 6))
 
 
-def average_precision(df: DataFrame, score: str, y: str, buckets: int = 1000) -> DataFrame:
-    """Sum of precision times gain in recall over falling scores; equal scores are one step.
+def precision_recall(df: DataFrame, score: str, y: str, buckets: int = 1000) -> DataFrame:
+    """The curve over falling scores: s (threshold), pos (of equal scores), tp and k (right and all at or above it).
 
     Rows are counted by score first; scores are then cumulated within buckets of their range and shifted by the buckets above.
     """
@@ -99,8 +99,30 @@ def average_precision(df: DataFrame, score: str, y: str, buckets: int = 1000) ->
     above = above.select("b", (F.sum("bn").over(up) - F.col("bn")).alias("n0"), (F.sum("bp").over(up) - F.col("bp")).alias("p0"))
     w = Window.partitionBy("b").orderBy(F.desc("s"))
     r = s.withColumn("k", F.sum("n").over(w)).withColumn("tp", F.sum("pos").over(w)).join(above, "b")
-    k = F.col("k") + F.col("n0")
-    return r.agg(F.round(F.sum(F.col("pos") * (F.col("tp") + F.col("p0")) / k) / F.sum("pos"), 6).alias("average_precision"), F.max(k).alias("rows"))
+    return r.select("s", "pos", (F.col("tp") + F.col("p0")).alias("tp"), (F.col("k") + F.col("n0")).alias("k"))
+
+
+def average_precision(df: DataFrame, score: str, y: str, buckets: int = 1000) -> DataFrame:
+    """Sum of precision times gain in recall over falling scores; equal scores are one step."""
+    r = precision_recall(df, score, y, buckets)
+    return r.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos"), 6).alias("average_precision"), F.max("k").alias("rows"))
+
+
+def thresholds(df: DataFrame, score: str, y: str, precision: float = 0.8) -> DataFrame:
+    """One row: average precision, the threshold of the best F1 (the highest of equals) with its confusion, precision, recall
+    and balanced accuracy, and the lowest threshold whose precision is at least ``precision`` (null if none) with its recall."""
+    r = precision_recall(df, score, y)
+    one = r.agg(F.sum("pos").alias("all_pos"), F.max("k").alias("rows"), (F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos")).alias("average_precision"))
+    r = r.crossJoin(F.broadcast(one)).withColumns({"f1": 2 * F.col("tp") / (F.col("k") + F.col("all_pos")), "p": F.col("tp") / F.col("k"), "r": F.col("tp") / F.col("all_pos")})
+    best = F.max(F.struct("f1", F.col("s").alias("threshold"), "tp", "k", "p", "r")).alias("b")
+    safe = F.min(F.when(F.col("p") >= precision, F.struct(F.col("s").alias("threshold"), "r"))).alias("q")
+    out = r.groupBy("all_pos", "rows", "average_precision").agg(best, safe)
+    fp, fn = F.col("b.k") - F.col("b.tp"), F.col("all_pos") - F.col("b.tp")
+    tn = F.col("rows") - F.col("all_pos") - fp
+    return out.select(
+        "rows", "average_precision", "b.threshold", "b.f1", F.col("b.p").alias("precision"), F.col("b.r").alias("recall"), F.col("b.tp").alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"),
+        ((F.col("b.r") + F.try_divide(tn, tn + fp)) / 2).alias("balanced_accuracy"), F.col("q.threshold").alias("safe_threshold"), F.col("q.r").alias("safe_recall"),
+    )
 
 
 def numbered(df: DataFrame, group: str, bucket: str, *order: str) -> DataFrame:

@@ -114,3 +114,21 @@ def temporal_stack(df: DataFrame, key: str, fired: Column, p: Column, min_fires:
     agg = agg.withColumn("consistency", F.when(F.col("mean_p") > 0.01, 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sqrt(var) / F.col("mean_p")))).otherwise(1.0))
     score = F.when(F.col("n_fires") >= min_fires, F.col("s1") * F.sqrt("consistency")).otherwise(0.0)
     return agg.withColumn("stacked_score", score).drop("s1", "s2")
+
+
+def latest_before(rows: DataFrame, events: DataFrame, key: str, at: str, event_at: str, out: str) -> DataFrame:
+    """``rows`` with the date of the key's latest event strictly before ``at``, null without one.
+
+    As-of over years: events of the row's own year are found by a window a key and year, those of earlier years by the last
+    event of each year, carried forward. So a key's window holds a year of it, and a row a year of the rest.
+    """
+    day, year = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")), F.year
+    e = events.select(key, F.col(event_at).cast("date").alias("__e")).distinct()
+    both = rows.withColumns({"__e": F.lit(None).cast("date"), "__d": day(at), "__y": year(at)})
+    both = both.unionByName(e.select(key, "__e", day("__e").alias("__d"), year("__e").alias("__y")).withColumn("__event", F.lit(True)), allowMissingColumns=True)
+    inside = F.max("__e").over(Window.partitionBy(key, "__y").orderBy("__d").rangeBetween(Window.unboundedPreceding, -1))
+    years = both.groupBy(key, "__y").agg(F.max("__e").alias("__last"))
+    before = F.max("__last").over(Window.partitionBy(key).orderBy("__y").rowsBetween(Window.unboundedPreceding, -1))
+    years = years.select(F.col(key).alias("__k"), F.col("__y").alias("__ky"), before.alias("__before"))
+    found = both.withColumn("__in", inside).filter("__event is null").join(years, F.col(key).eqNullSafe(F.col("__k")) & F.col("__y").eqNullSafe(F.col("__ky")), "left")
+    return found.select(*rows.columns, F.coalesce("__in", "__before").alias(out))
