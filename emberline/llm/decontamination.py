@@ -5,9 +5,10 @@ item as a whole. Text and windows are normalised to words between single spaces,
 is a match of whole words. A text is scanned once, whole; matches are mapped back to word positions and, for the
 spans, to offsets in the original text.
 
-Spark makes the windows distinct; they travel to the tasks as lists of at most ``AUTOMATON_CHARS`` characters, so a larger
-benchmark is cut into several automata that scan in turn, and their hits are joined. Beyond ``BENCHMARK_CHARS`` in all a
-scan is refused, and the benchmark's parts are scanned one after the other.
+Spark makes the windows distinct. An automaton takes about 46 bytes a character of its windows in every Python worker, so it
+holds at most ``AUTOMATON_CHARS`` of them. A larger benchmark is scanned in as many passes over the texts as it takes, one
+automaton after the other: driver and workers hold one list at a time, passes leave the places of their hits only, and these
+meet by row before the verdict. So benchmarks of any size are scanned whole, with the same result.
 
 Null and empty texts have no words; very long texts are scanned whole; null and empty items have no window, nor have items
 without id; an id with several rows is one item; repeated documents are judged as often as they occur; empty tables give
@@ -19,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 from typing import NamedTuple
 
 from pyspark import Broadcast
@@ -29,8 +31,7 @@ from pyspark.sql import functions as F
 from .common import drop, judged, keep, unused
 
 WINDOW = 13
-AUTOMATON_CHARS = 40_000_000
-BENCHMARK_CHARS = 10 * AUTOMATON_CHARS
+AUTOMATON_CHARS = 8_000_000
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in _KEEP or 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -47,10 +48,10 @@ def windows_of(words: list[bytes], length: int = WINDOW) -> list[str]:
     return [f" {b' '.join(words[i : i + length]).decode('latin-1')} " for i in range(n)]
 
 
-def automata(windows: dict[str, list[str]]) -> Iterator[list[tuple[str, list[str]]]]:
-    """Windows in lists of bounded total length."""
+def automata(windows: Iterable[tuple[str, list[str]]]) -> Iterator[list[tuple[str, list[str]]]]:
+    """Windows and their items in lists of bounded total length."""
     part, chars = [], 0
-    for w, items in sorted(windows.items()):
+    for w, items in windows:
         if part and chars + len(w) > AUTOMATON_CHARS:
             yield part
             part, chars = [], 0
@@ -71,12 +72,11 @@ _built: dict[tuple[str, int], object] = {}
 
 
 def _automaton(windows: Windows):
-    """Built once in each Python worker for each list of windows; a worker outlives scans and drops what earlier ones built."""
+    """Built once in each Python worker for a list of windows; a worker outlives passes and drops what earlier ones built."""
     if windows.key not in _built:
         import ahocorasick
 
-        for other in [k for k in _built if k[0] != windows.key[0]]:
-            del _built[other]
+        _built.clear()
         a = ahocorasick.Automaton()
         for w, items in windows.sent.value:
             a.add_word(w, (len(w), w.count(" ") - 1, items))
@@ -111,42 +111,65 @@ def windows_in(benchmark: DataFrame) -> DataFrame:
     return windows.select("item", F.explode("windows").alias("window")).groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep_cols: list[str], spans: bool = False) -> tuple[DataFrame, str]:
-    """``keep_cols`` of each document and a struct (n_words, n_hit, items, spans); its name is returned too.
+def verdict(text: str | None, n_words: int, found: list[tuple[int, int, list[str]]], spans: bool) -> dict:
+    """The struct of ``scan`` for a text and the windows found in it, in any order."""
+    items, ranges = set(), []
+    for first, length, ids in sorted(found, key=lambda x: x[:2]):
+        items.update(ids)
+        if ranges and first <= ranges[-1][1]:
+            ranges[-1][1] = max(ranges[-1][1], first + length)
+        else:
+            ranges.append([first, first + length])
+    out = []
+    if spans and ranges:
+        at = [(m.start(), m.end()) for m in _ORIGINAL_WORD.finditer(text)]
+        out = [{"start": at[a][0], "stop": at[b - 1][1]} for a, b in ranges]
+    return {"n_words": n_words, "n_hit": sum(b - a for a, b in ranges), "items": sorted(items), "spans": out}
+
+
+_PLACES = "array<struct<first: bigint, length: bigint, items: array<string>>>"
+
+
+def places_in(texts: DataFrame, row: str, lists: Iterable[list[tuple[str, list[str]]]]) -> DataFrame:
+    """``row`` and ``places``, the windows of all lists found in its text, for rows with any: one pass over the texts a list."""
+    spark, scan_id, out = texts.sparkSession, uuid.uuid4().hex, None
+    for i, windows in enumerate(lists):
+        sent = Windows((scan_id, i), spark.sparkContext.broadcast(windows))
+
+        def places(text: str | None, sent: Windows) -> list[dict]:
+            return [{"first": a, "length": n, "items": ids} for a, n, ids in word_hits(text, _automaton(sent))[1]]
 
-    The benchmark's distinct windows go to the driver and the workers; more than ``BENCHMARK_CHARS`` are refused.
-    """
-    spark = docs.sparkSession
+        found = judged(texts, [row], f"places {_PLACES}", lambda sent=sent: lambda texts: ([places(t, sent) for t in texts],))
+        found = keep(found.filter("size(places) > 0"), "places")
+        sent.sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy(row).agg(F.flatten(F.collect_list("places")).alias("places"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, keep_cols: list[str], spans: bool = False) -> tuple[DataFrame, str]:
+    """``keep_cols`` of each document and a struct (n_words, n_hit, items, spans); its name is returned too."""
+    spark, name = docs.sparkSession, unused(docs, "scan")
+    made = f"{name} struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: bigint, stop: bigint>>>"
     found = keep(windows_in(benchmark), "windows")
-    chars = found.agg(F.coalesce(F.sum(F.length("window")), F.lit(0))).first()[0]
-    if chars > BENCHMARK_CHARS:
-        raise ValueError(f"{chars} characters of windows: scan the benchmark in parts of {BENCHMARK_CHARS}")
-    lists = list(automata({r["window"]: r["items"] for r in found.toLocalIterator()}))
+    lists = automata((r["window"], r["items"]) for r in found.toLocalIterator())
+    first = [*islice(lists, 2)]
+    if len(first) < 2:
+        drop(found)
+        sent = [Windows((uuid.uuid4().hex, 0), spark.sparkContext.broadcast(x)) for x in first]
+
+        def judge(text: str | None) -> dict:
+            n, hits = word_hits(text, _automaton(sent[0])) if sent else (len(normalised_words(text)), [])
+            return verdict(text, n, hits, spans)
+
+        return judged(docs, keep_cols, made, lambda: lambda texts: ([judge(t) for t in texts],)), name
+    row, both = unused(docs, "row"), unused(docs, "both")
+    texts = keep(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
+    places = places_in(texts, row, chain(first, lists))
     drop(found)
-    scan_id = uuid.uuid4().hex
-    sent = [Windows((scan_id, i), spark.sparkContext.broadcast(x)) for i, x in enumerate(lists)]
-
-    def judge(text: str | None) -> dict:
-        n, found = len(normalised_words(text)) if not sent else 0, []
-        for b in sent:
-            n, more = word_hits(text, _automaton(b))
-            found += more
-        items, ranges = set(), []
-        for first, length, ids in sorted(found, key=lambda x: x[:2]):
-            items.update(ids)
-            if ranges and first <= ranges[-1][1]:
-                ranges[-1][1] = max(ranges[-1][1], first + length)
-            else:
-                ranges.append([first, first + length])
-        out = []
-        if spans and ranges:
-            at = [(m.start(), m.end()) for m in _ORIGINAL_WORD.finditer(text)]
-            out = [{"start": at[a][0], "stop": at[b - 1][1]} for a, b in ranges]
-        return {"n_words": n, "n_hit": sum(b - a for a, b in ranges), "items": sorted(items), "spans": out}
-
-    name = unused(docs, "scan")
-    made = f"{name} struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: bigint, stop: bigint>>>"
-    return judged(docs, keep_cols, made, lambda: lambda texts: ([judge(t) for t in texts],)), name
+    met = texts.join(places.withColumnRenamed(row, f"{row}of").withColumnRenamed("places", f"{row}places"), F.col(row) == F.col(f"{row}of"), "left")
+    met = met.withColumn(both, F.struct(F.col("text").alias("text"), F.col(f"{row}places").alias("places")))
+    last = lambda x: verdict(x["text"], len(normalised_words(x["text"])), [(p["first"], p["length"], p["items"]) for p in x["places"] or ()], spans)
+    return judged(met, keep_cols, made, lambda: lambda rows: ([last(x) for x in rows],), both), name
 
 
 def contaminated(scan_: str) -> Column:
