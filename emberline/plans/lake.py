@@ -142,12 +142,12 @@ def a24_saved_models(spark, d):
     return lake.load_models(spark, path, "region string, coeffs array<double>, n bigint")
 
 
-@query("SELECT 'guna' AS region, DATE '2024-01-05' AS date_before, DATE '2024-01-20' AS date_after, event_id, value AS trees, value / 2 AS crops FROM events")
+@query("SELECT 'hill' AS region, DATE '2024-01-05' AS date_before, DATE '2024-01-20' AS date_after, event_id, value AS trees, value / 2 AS crops FROM events")
 def a9_a10_window_files(spark, d):
     """A window's pixels with their bands in order, written under a name with region and dates, and scanned with named bands."""
     path, v = _folder(spark), F.col("value")
-    read(spark, d, "events").select("event_id", F.array(v, v / 2).alias("bands")).write.parquet(f"{path}/guna_20240105_20240120.parquet")
-    return lake.named_bands(lake.window_tables(spark, f"{path}/guna_20240105_20240120.parquet"), "bands", ["trees", "crops"])
+    read(spark, d, "events").select("event_id", F.array(v, v / 2).alias("bands")).write.parquet(f"{path}/hill_20240105_20240120.parquet")
+    return lake.named_bands(lake.window_tables(spark, f"{path}/hill_20240105_20240120.parquet"), "bands", ["trees", "crops"])
 
 
 _DAYS = "w AS (SELECT o_orderdate::DATE AS date, min(o_orderkey) AS k FROM orders GROUP BY 1)"

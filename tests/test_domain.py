@@ -259,7 +259,7 @@ def test_classifiers_learn_planted_rules(spark):
     assert (f["predicted"] == f["y"]).mean() > 0.97 and set(f["predicted"]) == {0.0, 1.0, 2.0}
 
 
-def reference_day(codes, t, h, w, r, month):
+def index_day(codes, t, h, w, r, month):
     """One day of the published index in another form: codes, then ISI, BUI and FWI."""
     le = (6.4, 7.5, 9.0, 10.4, 11.4, 11.4, 11.4, 10.2, 9.0, 7.7, 6.8, 6.2)[month - 1]
     lf = (-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6)[month - 1]
@@ -301,7 +301,7 @@ def test_fire_weather_series_equals_a_loop(spark, data):
         for r in g.itertuples():
             codes = codes if year in (None, r.date.year) else tuple(round(c, 1) for c in codes)
             year = r.date.year
-            codes, fwi = reference_day(codes, r.temp_c, r.rh_pct, r.wind_kmh, r.precip_mm, r.date.month)
+            codes, fwi = index_day(codes, r.temp_c, r.rh_pct, r.wind_kmh, r.precip_mm, r.date.month)
             assert abs(got[station, r.date]["fwi"] - fwi) < 1.1e-3 and abs(got[station, r.date]["dmc"] - codes[1]) < 1.1e-3
             peak[station, year] = max(peak.get((station, year), -1), fwi)
             days.setdefault((station, year), []).append(fwi >= 21.3)
