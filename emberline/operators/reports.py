@@ -110,10 +110,10 @@ def average_precision(df: DataFrame, score: str, y: str, buckets: int = 1000) ->
 
 def thresholds(df: DataFrame, score: str, y: str, precision: float = 0.8) -> DataFrame:
     """One row: average precision, the threshold of the best F1 (the highest of equals) with its confusion, precision, recall
-    and balanced accuracy, and the lowest threshold whose precision is at least ``precision`` (null if none) with its recall."""
+    and balanced accuracy, and the lowest threshold whose precision is at least ``precision`` (null if none) with its recall. Without right rows recall is null."""
     r = precision_recall(df, score, y)
-    one = r.agg(F.sum("pos").alias("all_pos"), F.max("k").alias("rows"), (F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos")).alias("average_precision"))
-    r = r.crossJoin(F.broadcast(one)).withColumns({"f1": 2 * F.col("tp") / (F.col("k") + F.col("all_pos")), "p": F.col("tp") / F.col("k"), "r": F.col("tp") / F.col("all_pos")})
+    one = r.agg(F.sum("pos").alias("all_pos"), F.max("k").alias("rows"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("average_precision"))
+    r = r.crossJoin(F.broadcast(one)).withColumns({"f1": 2 * F.col("tp") / (F.col("k") + F.col("all_pos")), "p": F.col("tp") / F.col("k"), "r": F.try_divide(F.col("tp"), F.col("all_pos"))})
     best = F.max(F.struct("f1", F.col("s").alias("threshold"), "tp", "k", "p", "r")).alias("b")
     safe = F.min(F.when(F.col("p") >= precision, F.struct(F.col("s").alias("threshold"), "r"))).alias("q")
     out = r.groupBy("all_pos", "rows", "average_precision").agg(best, safe)
