@@ -87,6 +87,17 @@ def parts(rows: int, per_part: int, least: int = 8) -> int:
     return max(least, -(-rows // per_part))
 
 
+def join_counted(rows: DataFrame, lookup: DataFrame, key: str, n: str, total: int, hot: int = 1_000) -> DataFrame:
+    """``rows`` with the row of ``lookup`` that has their ``key``; ``lookup`` holds each key once and ``n``, how many of the ``total`` rows have it.
+
+    Fewer than ``hot`` keys can each hold more than one in ``hot`` of all rows: they are broadcast. The others meet by a
+    shuffle in which no key holds more than that share. Null keys and keys without a row of ``lookup`` give no row.
+    """
+    often = F.col(n) > F.lit(total / hot)
+    common, rare = F.broadcast(lookup.filter(often).drop(n)), lookup.filter(~often).drop(n)
+    return rows.join(common, key).unionByName(rows.join(common.select(key), key, "left_anti").join(rare, key))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, longer if a column has it already."""
     taken = {c.lower() for c in df.columns}
