@@ -66,6 +66,13 @@ def d37_f4_danger_days(spark, d):
     )
 
 
+@query(INDEX_SQL + " SELECT station, date, fwi, danger_class FROM idx ORDER BY fwi DESC, date DESC, station LIMIT 20")
+def f4_top_index_days(spark, d):
+    """The report of the 20 days with the highest index, of all stations; of equal ones the latest."""
+    x = fire.fire_weather(weather(spark, d)).select("station", "date", F.round("fwi", 3).alias("fwi"), "danger_class")
+    return x.orderBy(F.desc("fwi"), F.desc("date"), "station").limit(20)
+
+
 @query(INDEX_SQL + """ SELECT station, month(date) AS month, count(*) AS days, round(avg(t), 6) AS temp_c, round(avg(humid), 6) AS rh_pct, round(avg(v), 6) AS wind_kmh, round(sum(p) / count(DISTINCT year(date)), 6) AS precip_mm, round(avg(f), 5) AS fwi FROM idx GROUP BY station, month(date)""")
 def d37_monthly_weather(spark, d):
     """A station's climatology: means by month, rain as the mean monthly sum."""

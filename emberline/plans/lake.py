@@ -93,8 +93,21 @@ def a17_a22_regions_and_snapshot(spark, d):
     """Regions filtered by name in any case, published under a date and as the latest."""
     root, k = _folder(spark), F.col("c_custkey") % 11
     r = read(spark, d, "customer").select(F.when(k == 0, "none").otherwise(F.concat(F.lit("range "), k.cast("string"))).alias("region")).groupBy("region").agg(F.count("*").alias("n"))
+    lake.publish(r, root, dt.date(2024, 1, 30))
     lake.publish(lake.regions_named(r, "region", ["NONE", *(f"Range {i}" for i in range(1, 9))]), root, dt.date(2024, 1, 31))
-    return spark.read.parquet(f"{root}/latest")
+    return lake.read_published(spark, root, r.schema)
+
+
+@query("SELECT o_orderstatus AS level, o_orderpriority AS beat, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 7 END AS code, count(*) AS n, round(sum(o_totalprice), 2) AS score, max(o_orderdate)::DATE AS last FROM orders WHERE NOT (o_orderkey % 2 = 1 AND o_orderkey % 11 = 0) GROUP BY ALL")
+def a21_alert_log(spark, d):
+    """Two runs append their alerts to one log of JSON lines, the second with torn lines among them; read back by fields."""
+    path, k = _folder(spark), F.col("o_orderkey")
+    entry = read(spark, d, "orders").select(k, F.col("o_orderstatus").alias("level"), F.col("o_orderpriority").alias("beat"), F.when(k % 5 != 0, k % 7).alias("code"), F.col("o_totalprice").alias("score"), F.to_date("o_orderdate").alias("day"))
+    lake.append_log(entry.filter(k % 2 == 0).drop("o_orderkey"), path)
+    line = F.to_json(F.struct("level", "beat", "code", "score", "day"))
+    entry.filter(k % 2 == 1).select(F.when(k % 11 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.mode("append").text(path)
+    log = lake.read_log(spark, path, "level string, beat string, code bigint, score double, day date")
+    return log.groupBy("level", "beat", "code").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"), F.max("day").alias("last"))
 
 
 @query("SELECT CASE WHEN l_orderkey % 100 < 15 THEN 'test' WHEN l_orderkey % 100 < 30 THEN 'val' ELSE 'train' END AS split, count(DISTINCT 'chip_' || (CASE WHEN l_returnflag = 'R' THEN 'pos' ELSE 'neg' END) || '_' || l_orderkey) AS chips, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS positive FROM lineitem GROUP BY 1")

@@ -9,6 +9,7 @@ from ..functions import evidence as E
 from ..functions import masks as M
 from ..functions import scalars as S
 from ..functions import scorers as K
+from ..operators.grid import persist_table
 from .registry import half_up, query, read
 
 BANDS = {"trees": 37, "crops": 53, "bare": 59, "built": 61, "shrub_scrub": 67, "grass": 71}
@@ -154,7 +155,7 @@ def j9_fused_anomaly(spark, d):
     """Strongest seasonal anomaly over the largest of all, raised or lowered by recovery, or a gradual or cumulative loss."""
     season = M.seasonal_name(F.month("date"))
     top = F.greatest(*(F.abs(E.seasonal_z(_c(f"d_{b}"), season, b)) for b in ("trees", "crops", "built")))
-    z = pixels(spark, d).groupBy("pixel").agg(F.max(top).alias("anomaly"), _n(_c("d_trees") < -0.01, "falls"), F.count("*").alias("n"), F.max(_c("k") % 11).alias("c"))
+    z = persist_table(pixels(spark, d).groupBy("pixel").agg(F.max(top).alias("anomaly"), _n(_c("d_trees") < -0.01, "falls"), F.count("*").alias("n"), F.max(_c("k") % 11).alias("c")), "anomalies")
     most = z.agg(F.max("anomaly").alias("most"))  # one row
     instant = F.least(F.lit(1.0), F.col("anomaly") / F.col("most") * F.when(F.col("falls") * 2 > F.col("n"), 1.2).otherwise(0.6))
     return z.crossJoin(F.broadcast(most)).select("pixel", half_up(F.greatest(instant, F.col("falls") / F.col("n") * 0.5, F.col("c") / 20), "score"))

@@ -198,7 +198,7 @@ def e24_merged_ranges(spark, d):
 s AS (SELECT *, t - least(0, min(t) OVER (PARTITION BY pixel ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS s FROM c), m AS (SELECT pixel, max(s) AS top FROM s GROUP BY pixel)
 SELECT pixel, round(top, 6) AS max_cusum, round(top / max(top) OVER (), 6) AS score FROM m""")
 def j5_cusum(spark, d):
-    m = temporal.cusum(windows(spark, d), "pixel", ["ts", "event_id"], -F.col("delta") - 0.05).groupBy("pixel").agg(F.max("cusum").alias("top"))
+    m = persist_table(temporal.cusum(windows(spark, d), "pixel", ["ts", "event_id"], -F.col("delta") - 0.05).groupBy("pixel").agg(F.max("cusum").alias("top")), "cusum")
     most = m.agg(F.max("top").alias("most"))  # one row
     return m.crossJoin(F.broadcast(most)).select("pixel", r6(F.col("top"), "max_cusum"), r6(F.col("top") / F.col("most"), "score"))
 
@@ -307,7 +307,7 @@ def c27_g2_newer_rows_win(spark, d):
 def harmonic_fit(obs: DataFrame, by: str, doy: str, y: str, least: int = 12) -> DataFrame:
     """Least squares on 1, cos, sin, cos 2, sin 2 of the year's angle, per group: coefficients, n, R squared, residual std.
 
-    Moments are summed natively; a task solves one 5 x 5 system a group.
+    Moments are summed natively; a task solves the 5 x 5 systems of a batch of groups at once.
     """
     w = F.col(doy) * (2 * np.pi / 365.25)
     xs = [F.lit(1.0), F.cos(w), F.sin(w), F.cos(2 * w), F.sin(2 * w)]
@@ -321,7 +321,7 @@ def harmonic_fit(obs: DataFrame, by: str, doy: str, y: str, least: int = 12) ->
                 for j in range(i, 5):
                     a[:, i, j] = a[:, j, i] = p[f"a{i}{j}"]
             b = np.stack([p[f"b{i}"] for i in range(5)], 1)
-            c = np.stack([np.linalg.lstsq(x, v, rcond=None)[0] for x, v in zip(a, b)]) if len(p) else np.zeros((0, 5))
+            c = (np.linalg.pinv(a, rcond=5 * np.finfo(float).eps) @ b[..., None])[..., 0]  # least norm where days are too few
             rss = np.maximum(p["yy"] - (c * b).sum(1), 0)
             tss = p["yy"] - b[:, 0] ** 2 / p["n"]
             ddof = np.minimum(5, p["n"] - 1)

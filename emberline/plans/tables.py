@@ -29,9 +29,9 @@ def f1_alert_page(spark, d):
 
 @query(f"WITH {ALERTS} SELECT change_type, model_version, count(*) AS n, count(*) FILTER (sar_boost_applied) AS n_sar, count(*) FILTER (sar_boost_applied IS NULL) AS n_unknown, grouping(change_type)::INT AS g FROM alerts GROUP BY GROUPING SETS ((change_type), (model_version), ())")
 def d3_d4_stats(spark, d):
-    alerts(spark, d).createOrReplaceTempView("emberline_alerts")
-    return spark.sql("""SELECT change_type, model_version, count(*) AS n, count_if(sar_boost_applied) AS n_sar, count_if(sar_boost_applied IS NULL) AS n_unknown, CAST(grouping(change_type) AS INT) AS g
-        FROM emberline_alerts GROUP BY GROUPING SETS ((change_type), (model_version), ())""")
+    sets = [[F.col("change_type")], [F.col("model_version")], []]
+    counts = [F.count("*").alias("n"), F.count_if("sar_boost_applied").alias("n_sar"), F.count_if(F.col("sar_boost_applied").isNull()).alias("n_unknown"), F.grouping("change_type").cast("int").alias("g")]
+    return alerts(spark, d).groupingSets(sets, F.col("change_type"), F.col("model_version")).agg(*counts)
 
 
 @query(f"WITH {ALERTS} SELECT count(*) AS total, count(DISTINCT beat_name) AS n_beats, count(*) FILTER (confidence >= 0.7) AS n_high, count(*) FILTER (confidence >= 0.45 AND confidence < 0.7) AS n_medium, round(sum(area_ha), 4) AS area, min(detection_date) AS first_day, max(detection_date) AS last_day FROM alerts")

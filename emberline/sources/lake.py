@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import frp_bin
 from ..schemas import DETECTIONS
+from ..streaming.refresh import VersionedTable
+
+SNAPSHOT = "snapshot_day"
 
 
 def read_detections_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -24,9 +28,9 @@ def read_detections_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_detections(df: DataFrame, lake: str) -> None:
-    """Parquet by year, month, day; only the days in the frame are replaced."""
+    """Parquet by year, month, day; only the days in the frame are replaced. A large day is split over several tasks."""
     out = df.withColumns({"year": F.year("acq_date"), "month": F.month("acq_date"), "day": F.dayofmonth("acq_date")})
-    out.repartition("year", "month", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day").parquet(lake)
+    out.hint("rebalance", "year", "month", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day").parquet(lake)
 
 
 def read_range(spark: SparkSession, lake: str, start: dt.date, end: dt.date) -> DataFrame:
@@ -45,8 +49,8 @@ def read_day(spark: SparkSession, lake: str, day: dt.date) -> DataFrame:
 
 
 def compact_years(spark: SparkSession, lake: str, out: str) -> None:
-    """Day partitions to a file set a year."""
-    spark.read.parquet(lake).drop("month", "day").repartition("year").write.mode("overwrite").partitionBy("year").parquet(out)
+    """Day partitions to a file set a year: one file of a small year, several tasks for a large one."""
+    spark.read.parquet(lake).drop("month", "day").hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(out)
 
 
 def plan_chunks(spark: SparkSession, sources: list[tuple[str, dt.date]], start: dt.date, end: dt.date, days: int, done: DataFrame | None = None) -> DataFrame:
@@ -59,12 +63,16 @@ def plan_chunks(spark: SparkSession, sources: list[tuple[str, dt.date]], start:
 
 
 def prefer_first(*frames: DataFrame, by: str) -> DataFrame:
-    """Rows of the first frame that has any for a value of ``by``."""
+    """Rows of the first frame that has any for a value of ``by``.
+
+    The least frame of each value is found by an aggregation, and the rows are held against it, so no task ranks a whole value.
+    """
     tagged = [f.withColumn("__p", F.lit(i)) for i, f in enumerate(frames)]
     out = tagged[0]
     for f in tagged[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out.withColumn("__r", F.rank().over(Window.partitionBy(by).orderBy("__p"))).filter("__r = 1").drop("__p", "__r")
+    least = out.groupBy(F.col(by).alias("__by")).agg(F.min("__p").alias("__least"))
+    return out.join(least, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__p") == F.col("__least")), "left_semi").drop("__p")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -121,10 +129,36 @@ def nearest_grid_weather(grid: DataFrame, stations: DataFrame) -> DataFrame:
     return best.select("station", F.when(t > 100, t - 273.15).otherwise(t).alias("temp_c"), (F.col("v.precip") * 1000).alias("precip_mm"))
 
 
+def _snapshots(spark: SparkSession, root: str, schema: StructType) -> VersionedTable:
+    return VersionedTable(spark, root, StructType([*schema, StructField(SNAPSHOT, StringType())]), SNAPSHOT)
+
+
 def publish(df: DataFrame, root: str, day: dt.date) -> None:
-    """A dated partition, then the same rows as ``latest``."""
-    df.write.mode("overwrite").parquet(f"{root}/date={day}")
-    df.write.mode("overwrite").parquet(f"{root}/latest")
+    """Publish the rows of a day; a day that was there is replaced.
+
+    The rows are written beside the earlier ones and readers turn to them by one rename, so none meets a half-written day.
+    """
+    snapshots = _snapshots(df.sparkSession, root, df.schema)
+    snapshots.replace(snapshots.state()[0] + 1, df.withColumn(SNAPSHOT, F.lit(str(day))), [str(day)])
+
+
+def read_published(spark: SparkSession, root: str, schema: StructType, day: dt.date | None = None) -> DataFrame:
+    """The rows published for ``day``, or for the latest day; none if nothing was."""
+    snapshots = _snapshots(spark, root, schema)
+    days = [str(day)] if day else [max(snapshots.state()[1], default="")]
+    return snapshots.read(days).drop(SNAPSHOT)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Add entries to a log, one JSON object a line; what is there stays, and a null field is left out."""
+    df.write.mode("append").json(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Entries of a log by the fields of ``schema``; a line that is no JSON object gives no entry."""
+    bad = "__bad"
+    entry = F.from_json("value", f"{schema}, {bad} string", {"columnNameOfCorruptRecord": bad})
+    return spark.read.text(path).select(entry.alias("e")).filter(F.col("e").isNotNull() & F.col(f"e.{bad}").isNull()).select("e.*").drop(bad)
 
 
 def parse_log(spark: SparkSession, path: str) -> DataFrame:
