@@ -45,9 +45,11 @@ def remove_tables(*tables: DataFrame) -> None:
 Arrays = dict[str, np.ndarray]
 
 
-def tiled(cells: DataFrame, halo: int, kernel: Callable[[np.ndarray, Arrays], Arrays], columns: list[str], made: str, tile: int | None = None) -> DataFrame:
+def tiled(cells: DataFrame, halo: int, kernel: Callable[[np.ndarray, Arrays], Arrays], columns: list[str], made: str, tile: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``cells`` with the columns ``made`` (DDL) that ``kernel`` computes on square tiles with ``halo`` cells around them.
 
+    Rasters told apart by the columns ``by`` are tiled each on its own.
+
     One exchange deals the cells; a cell near a border goes to two or four tiles. The kernel gets which cells are there and
     the named columns as arrays of (tile + 2 halo) squared cells (nulls and missing cells as 0), so no task holds more at a
     time, and gives arrays of that shape, right for the tile's own cells, which alone are returned.
@@ -58,7 +60,8 @@ def tiled(cells: DataFrame, halo: int, kernel: Callable[[np.ndarray, Arrays], Ar
     dealt = cells.withColumn("__tr", near("row")).withColumn("__tc", near("col"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy() - (key[0] * tile - halo), pdf["col"].to_numpy() - (key[1] * tile - halo)
+        top, left = key[-2] * tile - halo, key[-1] * tile - halo
+        r, c = pdf["row"].to_numpy() - top, pdf["col"].to_numpy() - left
         there, arrays = np.zeros((size, size), bool), {}
         there[r, c] = True
         for name in columns:
@@ -69,7 +72,7 @@ def tiled(cells: DataFrame, halo: int, kernel: Callable[[np.ndarray, Arrays], Ar
         out = pdf[own].drop(columns=["__tr", "__tc"])
         return out.assign(**{f.name: got[f.name][r[own], c[own]] for f in new.fields})
 
-    return dealt.groupBy("__tr", "__tc").applyInPandas(run, StructType([*cells.schema.fields, *new.fields]))
+    return dealt.groupBy(*by, "__tr", "__tc").applyInPandas(run, StructType([*cells.schema.fields, *new.fields]))
 
 
 def moved(a: np.ndarray, down: int, right: int) -> np.ndarray:
@@ -105,7 +108,7 @@ def focal_mean(cells: DataFrame, col: str, k: int, out: str) -> DataFrame:
     return tiled(cells, k // 2, lambda _, x: {out: box(x[col], k // 2) / k**2}, [col], f"{out} double")
 
 
-def focal_table(cells: DataFrame, col: str, alert: str, sizes: tuple[int, ...] = (3, 5, 7)) -> DataFrame:
+def focal_table(cells: DataFrame, col: str, alert: str, sizes: tuple[int, ...] = (3, 5, 7), by: tuple[str, ...] = ()) -> DataFrame:
     """``mean<k>`` and ``std<k>`` for each k, and ``neighbours``, the alert cells beside each cell: one exchange for all."""
 
     def kernel(_, x: Arrays) -> Arrays:
@@ -116,7 +119,7 @@ def focal_table(cells: DataFrame, col: str, alert: str, sizes: tuple[int, ...] =
         return out
 
     made = ", ".join(f"mean{k} double, std{k} double" for k in sizes)
-    return tiled(cells, max(sizes) // 2, kernel, [col, alert], f"{made}, neighbours long")
+    return tiled(cells, max(sizes) // 2, kernel, [col, alert], f"{made}, neighbours long", by=by)
 
 
 def dilate(cells: DataFrame, mask: str, out: str) -> DataFrame:
