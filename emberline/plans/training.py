@@ -155,6 +155,44 @@ def j4_raster_z_scores(spark, d):
     return history(spark, d).select("id", (F.floor(S.clip(z, -10.0, 10.0) * 1e4 + 0.5) / 1e4).alias("z"))
 
 
+def _solved(by: str) -> str:
+    """CTEs from ``obs(<by>, doy, y)`` to ``fit(<by>, n, r2, residual_std, c0 .. c4)``: normal equations by elimination."""
+    basis = ("1e0", "cos(w)", "sin(w)", "cos(2 * w)", "sin(2 * w)")
+    sums = ", ".join([f"sum({a} * {b}) AS a{i}{j}" for i, a in enumerate(basis) for j, b in enumerate(basis)] + [f"sum({a} * y) AS a{i}5" for i, a in enumerate(basis)] + [f"sum({a} * y) AS b{i}" for i, a in enumerate(basis)])
+    steps = [f"e0 AS (SELECT {by}, count(*) AS n, sum(y * y) AS yy, {sums} FROM (SELECT *, doy * 2 * pi() / 365.25e0 AS w FROM obs) GROUP BY {by} HAVING count(*) >= 12)"]
+    for k in range(5):
+        steps.append(f"e{k + 1} AS (SELECT * REPLACE ({', '.join(f'a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}' for i in range(5) if i != k for j in range(k, 6))}) FROM e{k})")
+    c = [f"a{i}5 / a{i}{i}" for i in range(5)]
+    rss = f"greatest(yy - ({' + '.join(f'{x} * b{i}' for i, x in enumerate(c))}), 0)"
+    return ", ".join(steps) + f", fit AS (SELECT {by}, n, 1 - {rss} / (yy - b0 * b0 / n) AS r2, sqrt({rss} / (n - 5)) AS residual_std, {', '.join(f'{x} AS c{i}' for i, x in enumerate(c))} FROM e5)"
+
+
+_LONG = "obs AS (SELECT beat || '|' || range_name AS label, variable, beat || '|' || range_name || '|' || variable AS key, dayofyear(date) AS doy, CASE variable WHEN 'trees' THEN trees ELSE crops END AS y FROM hist, (SELECT unnest(['trees', 'crops']) AS variable))"
+
+
+def _models(spark, d) -> DataFrame:
+    """A model for each label (beat and range) and each of two variables."""
+    h = history(spark, d).withColumn("label", F.concat_ws("|", "beat", "range_name")).withColumn("doy", F.dayofyear("date"))
+    long = h.select("label", "doy", F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("y")) for v in ("trees", "crops")))).alias("s")).select("label", "doy", "s.*")
+    return harmonic_fit(long.withColumn("key", F.concat_ws("|", "label", "variable")), "key", "doy", "y")
+
+
+@query(f"WITH {HISTORY}, {_LONG}, {_solved('key')} SELECT key, n, round(r2, 5) AS r2, round(residual_std, 5) AS residual_std, {', '.join(f'round(c{i}, 5) AS c{i}' for i in range(5))} FROM fit")
+def j3_harmonic_models(spark, d):
+    """The models of all labels and variables with their quality and coefficients; labels with too few observations have none."""
+    return _models(spark, d).select("key", "n", F.round("r2", 5).alias("r2"), F.round("residual_std", 5).alias("residual_std"), *(F.round(F.col("coeffs")[i], 5).alias(f"c{i}") for i in range(5)))
+
+
+@query(f"""WITH {HISTORY}, {_LONG}, {_solved('key')} SELECT id, round(CASE WHEN residual_std > 1e-6 THEN greatest(-10, least(10, (trees - (c0 + c1 * cos(w) + c2 * sin(w) + c3 * cos(2 * w) + c4 * sin(2 * w))) / residual_std)) WHEN residual_std IS NOT NULL THEN 0 END, 5) AS z
+ FROM (SELECT *, dayofyear(date) * 2 * pi() / 365.25e0 AS w FROM hist) LEFT JOIN fit ON key = beat || '|' || range_name || '|trees'""")
+def j4_model_z_scores(spark, d):
+    """Every pixel against the fitted model of its label, held within 10 spreads; null where the label has no model."""
+    h = history(spark, d).withColumn("key", F.concat_ws("|", "beat", "range_name", F.lit("trees")))
+    x = h.join(_models(spark, d).withColumnRenamed("n", "n_fit"), "key", "left")
+    z = F.when(F.col("residual_std") > 1e-6, S.clip((F.col("trees") - S.harmonic(F.col("coeffs"), F.dayofyear("date"))) / F.col("residual_std"), -10.0, 10.0)).when(F.col("residual_std").isNotNull(), 0.0)
+    return x.select("id", F.round(z, 5).alias("z"))
+
+
 @query(f"WITH {HISTORY}, p AS (SELECT id, date - lag(date) OVER w AS gap FROM hist WINDOW w AS (PARTITION BY point_id ORDER BY date, id)) SELECT count(*) AS n, count(gap) AS with_before, count(*) FILTER (gap > 90) AS too_far FROM p")
 def e1_shifted_measures(spark, d):
     """Rows with a row before them at their point, and those too far apart to compare."""
