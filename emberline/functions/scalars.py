@@ -67,6 +67,11 @@ def frp_severity(frp: Column) -> Column:
     return F.when(frp < 5, "minor").when(frp < 15, "moderate").when(frp < 40, "major").otherwise("extreme")
 
 
+def frp_category(frp: Column) -> Column:
+    """Class of a fire's power in megawatts; null counts as none."""
+    return F.when(frp >= 50, "INFERNO").when(frp >= 20, "INTENSE").when(frp >= 5, "ACTIVE").when(frp >= 1, "MINOR").otherwise("TRACE")
+
+
 def fwi_class(fwi: Column) -> Column:
     """Danger class; cuts at 5, 11.2, 21.3 and 38."""
     return F.when(fwi < 5, "Low").when(fwi < 11.2, "Moderate").when(fwi < 21.3, "High").when(fwi < 38, "Very High").otherwise("Extreme")

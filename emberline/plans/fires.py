@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.messages import alert_message, alert_severity
 from ..operators import fire, reports
 from .registry import query, r6, read
 
@@ -140,6 +141,32 @@ def f5_h36_ranked_messages(spark, d):
     return read(spark, d, "events").select("event_id", rank.alias("rank"), F.concat(F.lit("fire "), F.col("event_id").cast("string"), F.lit(" at "), F.floor(v).cast("string"), F.lit(" MW")).alias("message"), v).orderBy(F.desc("rank"), v.desc(), "event_id").limit(50).drop("value")
 
 
+_COVERS = ("'water'", "'crops'", "'unknown'", "NULL", "'bare'")
+_AT_SQL = "' at ' || printf('%.3f', floor(lat * 1000 + 0.5) / 1000) || 'N ' || printf('%.3f', floor(lon * 1000 + 0.5) / 1000) || 'E — FRP=' || printf('%.1f', floor(frp * 10 + 0.5) / 10) || ' MW'"
+_WEATHER_SQL = "', FWI=' || printf('%.1f', floor(fwi * 10 + 0.5) / 10) || ' (' || danger || '). '"
+
+
+@query(f"""WITH e AS (SELECT event_id, value / 10 AS frp, event_id * 7 % 600 / 10e0 AS fwi, 24 + event_id * 13 % 9973 / 9973e0 AS lat, 77 + event_id * 17 % 9967 / 9967e0 AS lon, CASE WHEN hour(ts) BETWEEN 6 AND 17 THEN 'daytime' ELSE 'nighttime' END AS time,
+ CASE WHEN event_id % 11 <> 0 THEN event_id % 3 = 0 END AS forest, CASE WHEN event_id % 13 <> 0 THEN event_id % 5 = 0 END AS near, event_id % 7 = 0 AS agri, CASE event_id % 5 {" ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_COVERS))} END AS cover FROM events),
+k AS (SELECT *, CASE WHEN frp >= 50 THEN 'INFERNO' WHEN frp >= 20 THEN 'INTENSE' WHEN frp >= 5 THEN 'ACTIVE' WHEN frp >= 1 THEN 'MINOR' ELSE 'TRACE' END AS kind, CASE WHEN fwi < 5 THEN 'Low' WHEN fwi < 11.2 THEN 'Moderate' WHEN fwi < 21.3 THEN 'High' WHEN fwi < 38 THEN 'Very High' ELSE 'Extreme' END AS danger,
+ CASE WHEN fwi >= 38 AND frp >= 5 AND NOT coalesce(NOT forest AND NOT near, false) THEN 'CRITICAL' WHEN fwi >= 21.3 OR frp >= 20 THEN 'HIGH' WHEN fwi >= 11.2 OR frp >= 5 THEN 'MODERATE' ELSE 'LOW' END AS severity,
+ CASE WHEN forest THEN '[FOREST FIRE]' WHEN near THEN '[NEAR FOREST]' WHEN agri THEN '[AGRICULTURAL]' WHEN coalesce(cover, 'unknown') <> 'unknown' THEN '[' || upper(cover) || ']' ELSE '' END AS tag FROM e)
+SELECT event_id, severity, severity || ' ' || tag || ': ' || CASE WHEN severity = 'CRITICAL' OR severity = 'HIGH' AND (coalesce(forest, false) OR coalesce(near, false)) THEN kind || ' ' ELSE '' END || time || CASE WHEN severity = 'CRITICAL' THEN ' FOREST fire' ELSE ' fire' END || {_AT_SQL}
+ || CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN {_WEATHER_SQL} ELSE ' (' || coalesce(cover, 'unknown') || '). ' END || CASE WHEN severity = 'CRITICAL' THEN 'Immediate ground response required.' WHEN severity = 'MODERATE' THEN 'Monitor closely.' WHEN severity = 'LOW' THEN 'Routine monitoring.'
+ WHEN coalesce(forest, false) OR coalesce(near, false) THEN 'Deploy rapid response team.' ELSE 'Non-forest — monitor for spread to nearby vegetation.' END AS message FROM k""")
+def h36_alert_messages(spark, d):
+    """The alert of every detection, in words, with its severity after what burns is known."""
+    i = F.col("event_id")
+    cover = F.element_at(F.array(*(F.expr(c).cast("string") for c in _COVERS)), (i % 5).cast("int") + 1)
+    e = read(spark, d, "events").select(
+        "event_id", (F.col("value") / 10).alias("frp"), (i * 7 % 600 / 10).alias("fwi"), (24 + i * 13 % 9973 / 9973).alias("lat"), (77 + i * 17 % 9967 / 9967).alias("lon"), F.when(F.hour("ts").between(6, 17), "D").otherwise("N").alias("daynight"),
+        F.when(i % 11 != 0, i % 3 == 0).alias("forest"), F.when(i % 13 != 0, i % 5 == 0).alias("near"), (i % 7 == 0).alias("agri"), cover.alias("cover"),
+    )
+    c = F.col
+    e = e.withColumn("severity", alert_severity(S.combined_severity(c("fwi"), c("frp")), c("forest"), c("near")))
+    return e.select("event_id", "severity", alert_message(c("severity"), S.frp_category(c("frp")), c("daynight"), c("lat"), c("lon"), c("frp"), c("fwi"), S.fwi_class(c("fwi")), c("forest"), c("near"), c("agri"), c("cover")).alias("message"))
+
+
 @query("SELECT count(*) AS n, round(avg(value), 6) AS mean_frp, round(max(value), 2) AS max_frp, round(sum(value), 2) AS total_frp, count(*) FILTER (hour(ts) BETWEEN 6 AND 17) AS n_day, count(*) FILTER (hour(ts) NOT BETWEEN 6 AND 17) AS n_night, round(100.0 * count(*) FILTER (event_type IN ('error', 'click')) / count(*), 4) AS pct_high FROM events WHERE value BETWEEN 1 AND 200")
 def d1_b3_b4_detection_summary(spark, d):
     e = read(spark, d, "events").filter(F.col("value").between(1, 200))
