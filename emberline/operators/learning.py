@@ -31,6 +31,21 @@ def boosted_filter(df: DataFrame, key: str, features: list[str], label: str, ite
     return model.transform(x).select(key, F.round(vector_to_array("probability")[1], 6).alias("probability"), "split")
 
 
+def importances(df: DataFrame, key: str, features: list[str], label: str, iterations: int = 10, seed: int = 7) -> DataFrame:
+    """feature, importance (shares of 1), place: what the boosted filter's trees gain by each feature, all features listed.
+
+    Fitted with class weights on a hash-chosen 85 %. Rows with a null label are left out; null features count as zero. Equal
+    importances are placed by name. A label of one class has no model and raises an error.
+    """
+    x = class_weights(df.filter(F.col(label).isNotNull()).na.fill(0.0, features), label).filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) >= 15)
+    if x.select(label).distinct().limit(2).count() < 2:
+        raise ValueError(f"{label} has fewer than two classes")
+    x = VectorAssembler(inputCols=features, outputCol="__x").transform(x)
+    model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=iterations, maxDepth=4, seed=seed).fit(x)
+    gained = sorted(zip(features, map(float, model.featureImportances.toArray())), key=lambda v: (-v[1], v[0]))
+    return df.sparkSession.createDataFrame([(name, v, i) for i, (name, v) in enumerate(gained, 1)], "feature string, importance double, place int")
+
+
 def cross_validated(df: DataFrame, key: str, features: list[str], label: str, folds: int = 5, seed: int = 7) -> DataFrame:
     """fold, n, balanced_accuracy: each fold by a hash of the key, scored by boosted trees fitted on the others."""
     x = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(class_weights(df, label).withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import learning, spatial
 from ..operators import reports as R
+from ..operators.features import window_features
 from ..operators.temporal import latest_before
 from .pixels import BANDS, _c, pixels
 from .registry import HISTORY, RASTER, history, query, r6, raster, read, side, windows
+from .stacks import stack
 
 #: Observations of pixels (ten points each), one a pixel and day, with a burn ratio; every tenth row stands for a fire.
 _OBS = f"""{HISTORY}, obs AS (SELECT point_id // 10 AS pixel, date AS seen, arg_min((trees - built) / (trees + built + 1e-6::DOUBLE), id) AS nbr FROM hist GROUP BY ALL),
@@ -82,6 +85,32 @@ def l11_thresholds(spark, d):
     return t.select("rows", "tp", "fp", "fn", "tn", *(r6(F.col(c), c) for c in t.columns if c not in ("rows", "tp", "fp", "fn", "tn")))
 
 
+@query("""WITH w AS (SELECT (label = 0)::INT AS y, ((vec_id * 7919) % 1000 + 700 * (label = 0)::INT) / 1700.0::DOUBLE AS s FROM embeddings), n AS (SELECT s, count(*) AS n, sum(y) AS pos FROM w GROUP BY s),
+c AS (SELECT s, sum(pos) OVER o AS tp, sum(n) OVER o AS k, sum(pos) OVER () AS ap FROM n WINDOW o AS (ORDER BY s DESC)) SELECT round(s, 6) AS threshold, round(tp / k, 6) AS precision, round(tp / ap, 6) AS recall, round(2 * tp / (k + ap), 6) AS f1 FROM c""")
+def l11_precision_recall_curve(spark, d):
+    """A point of the curve for every score."""
+    w = read(spark, d, "embeddings").select((F.col("label") == 0).cast("int").alias("y"), ((F.col("vec_id") * 7919 % 1000 + F.when(F.col("label") == 0, 700).otherwise(0)) / 1700).alias("s"))
+    r = R.precision_recall(w, "s", "y")
+    r = r.crossJoin(F.broadcast(r.agg(F.sum("pos").alias("ap"))))
+    return r.select(r6(F.col("s"), "threshold"), r6(F.col("tp") / F.col("k"), "precision"), r6(F.col("tp") / F.col("ap"), "recall"), r6(2 * F.col("tp") / (F.col("k") + F.col("ap")), "f1"))
+
+
+def best_windows(x, feature_list):
+    """Alerting pixel windows with ``y``: 1 for the steepest of a pixel's windows where the pixel lost by half in sum, else 0."""
+    steepest = F.row_number().over(Window.partitionBy("row", "col").orderBy("delta_trees", "w")) == 1
+    lost = F.sum("delta_trees").over(Window.partitionBy("row", "col")) <= -0.5
+    y = (steepest & lost).cast("double")
+    return x.withColumn("y", y).filter("delta_trees <= -0.1").select(F.concat_ws("-", "w", "row", "col").alias("key"), *feature_list, "y")
+
+
+@query()
+def l11_feature_importances(spark, d):
+    """What the filter of alerts gains by each of the 84 features; tested on a planted rule."""
+    x = window_features(stack(spark, d), "w", "date_before", "enriched", date_after="date_after")
+    names = x.columns[3:]
+    return learning.importances(best_windows(x, names), "key", names, "y")
+
+
 def _windows(spark, d):
     """Windows with a pixel, measures, and whether they were right: a rule of two measures, with every thirteenth row wrong."""
     w = windows(spark, d)

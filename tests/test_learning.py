@@ -91,3 +91,16 @@ def test_the_latest_event_before_a_date_across_years(spark):
     for r in out:
         before = [e for k, e, _ in events if k == r["k"] and r["at"] and e < r["at"]]
         assert r["last"] == (max(before) if before else None)
+
+
+def test_importances_name_the_planted_features(spark):
+    rng = np.random.default_rng(11)
+    v = rng.random((1500, 4))
+    rows = [(i, *map(float, r), None if i % 50 == 0 else float(r[1] > 0.5 and r[3] < 0.6)) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double, y double")
+    df = df.withColumn("c", F.when(F.col("k") % 9 != 0, F.col("c")))
+    got = learning.importances(df, "k", ["a", "b", "c", "d"], "y", iterations=4).collect()
+    assert {r["feature"] for r in got[:2]} == {"b", "d"} and len(got) == 4 and sum(r["importance"] for r in got) == pytest.approx(1)
+    assert got[1]["importance"] > 3 * got[2]["importance"] and [r["place"] for r in got] == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        learning.importances(df.withColumn("y", F.lit(0.0)), "k", ["a"], "y")
