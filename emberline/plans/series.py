@@ -165,7 +165,9 @@ def e17_interpolate(spark, d):
 SELECT pixel, arg_max(date, fall) AS day, round(max(fall), 6) AS fall FROM l GROUP BY pixel HAVING max(fall) >= 2""")
 def e18_largest_drop(spark, d):
     m = windows(spark, d).groupBy("pixel", "date").agg(F.avg("value").alias("v"))
-    x = m.withColumn("fall", F.lag("v").over(Window.partitionBy("pixel").orderBy("date")) - F.col("v")).groupBy("pixel").agg(F.max_by("date", "fall").alias("day"), F.max("fall").alias("fall"))
+    x = m.withColumn("fall", F.lag("v").over(Window.partitionBy("pixel").orderBy("date")) - F.col("v")).filter("fall is not null")
+    first = F.struct("fall", -F.unix_date("date"))  # of equal falls the first day, as arg_max keeps it
+    x = x.groupBy("pixel").agg(F.max_by("date", first).alias("day"), F.max("fall").alias("fall"))
     return x.filter("fall >= 2").withColumn("fall", F.round("fall", 6))
 
 
