@@ -103,6 +103,35 @@ def overlapping_sets(sets: DataFrame, key: str, least: float, among: Column | No
     return shared.withColumn("overlap", F.col("shared") / F.col("n")).filter(F.col("overlap") >= least)
 
 
+def oldest_overlaps(sets: DataFrame, key: str, least: float, among: Column | None = None, block: int = 8) -> DataFrame:
+    """newer, older: for each cell set the smallest smaller key whose set shares ``least`` of the smaller of both.
+
+    Older sets are tried in blocks of rising keys, about ``block`` sets first, each block four times as long as the one before;
+    a set that has found its oldest leaves, so where most sets overlap no round meets all pairs. The result does not
+    depend on the blocks. ``among`` may restrict the pairs by newer and older.
+    """
+    sized = sets.select(key, "row", "col").join(sets.groupBy(key).agg(F.count("*").alias("n")), key)
+    known = persist_table(sized, "sets")
+    low, high, n = known.agg(F.min(key), F.max(key), F.countDistinct(key)).first()
+    left = persist_table(known.select(F.col(key).alias("newer"), "row", "col", "n"), "newer")
+    old = known.select(F.col(key).alias("older"), "row", "col", F.col("n").alias("m"))
+    found, step = [], 0 if low is None else max(1, (high - low + 1) * block // n)
+    while low is not None and low < high:
+        part = old.filter((F.col("older") >= low) & (F.col("older") < low + step))
+        pairs = left.join(part, ["row", "col"]).filter(F.col("newer") > F.col("older"))
+        pairs = pairs.filter(among) if among is not None else pairs
+        shared = pairs.groupBy("newer", "older", "n", "m").agg(F.count("*").alias("shared")).filter(F.col("shared") / F.least("n", "m") >= least)
+        found.append(persist_table(shared.groupBy("newer").agg(F.min("older").alias("older")), "oldest"))
+        low, step = low + step, step * 4
+        rest = persist_table(left.filter(F.col("newer") > low).join(found[-1].select("newer"), "newer", "left_anti").select(*left.columns), "newer")
+        remove_tables(left)
+        left = rest
+        if not left.limit(1).count():
+            break
+    remove_tables(left, known)
+    return reduce(DataFrame.unionByName, found) if found else sets.select(F.col(key).alias("newer"), F.col(key).alias("older")).limit(0)
+
+
 def nearest_within(points: DataFrame, others: DataFrame, key: str, radius: float, same_side: list[str] | None = None) -> DataFrame:
     """Distance of each point to the nearest other (x, y) within ``radius``: three by three cells of that size."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))

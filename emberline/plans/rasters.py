@@ -223,12 +223,16 @@ def g5_unmatched(spark, d):
     return a.select("a_id").distinct().join(spatial.cell_overlaps(a, b, "a_id", "b_id").filter("iou >= 0.24").select("a_id"), "a_id", "left_anti")
 
 
-@query(f"WITH {_SETS_SQL}, x AS (SELECT a1.a_id AS newer, a2.a_id AS older, count(*) AS shared FROM a a1 JOIN a a2 ON a1.row = a2.row AND a1.col = a2.col AND a1.a_id > a2.a_id AND a1.a_id % 2 <> a2.a_id % 2 GROUP BY ALL) SELECT newer, min(older) AS older FROM x JOIN sa s ON newer = s.a_id JOIN sa t ON older = t.a_id WHERE shared / least(s.n, t.n) >= 0.3 GROUP BY newer")
+#: Patches on one small raster, where nearly every pair overlaps.
+_DENSE_SQL = "a AS (SELECT DISTINCT l_suppkey AS a_id, (l_orderkey % 12)::INT AS row, (l_partkey % 12)::INT AS col FROM lineitem WHERE l_quantity < 12), sa AS (SELECT a_id, count(*) AS n FROM a GROUP BY 1)"
+
+
+@query(f"WITH {_DENSE_SQL}, x AS (SELECT a1.a_id AS newer, a2.a_id AS older, count(*) AS shared FROM a a1 JOIN a a2 ON a1.row = a2.row AND a1.col = a2.col AND a1.a_id > a2.a_id AND a1.a_id % 2 <> a2.a_id % 2 GROUP BY ALL) SELECT newer, min(older) AS older FROM x JOIN sa s ON newer = s.a_id JOIN sa t ON older = t.a_id WHERE shared / least(s.n, t.n) >= 0.3 GROUP BY newer")
 def c5_link_overlaps(spark, d):
     """Patches of different versions that share 0.3 of the smaller one: each links to the oldest that it overlaps."""
-    a, _ = _sets(spark, d)
-    pairs = spatial.overlapping_sets(a, "a_id", 0.3, F.expr("small % 2 <> large % 2"))
-    return pairs.groupBy(F.greatest("small", "large").alias("newer")).agg(F.min(F.least("small", "large")).alias("older"))
+    at = [(F.col("l_orderkey") % 12).cast("int").alias("row"), (F.col("l_partkey") % 12).cast("int").alias("col")]
+    a = read(spark, d, "lineitem").filter("l_quantity < 12").select(F.col("l_suppkey").alias("a_id"), *at).distinct()
+    return spatial.oldest_overlaps(a, "a_id", 0.3, F.expr("newer % 2 <> older % 2"))
 
 
 @query(f"""WITH RECURSIVE {_SETS_SQL}, good AS (SELECT a_id, b_id, iou, (a_id * 37 % 101) / 101 AS score FROM pairs WHERE iou >= 0.02), turn AS (SELECT a_id, row_number() OVER (ORDER BY any_value(score) DESC, a_id) AS i FROM good GROUP BY a_id),

@@ -1,7 +1,11 @@
 """Ties, whole jobs and steps that must not grow faster than their input."""
 
 import datetime as dt
+import random
 
+from emberline.operators import spatial
+from emberline.plans import catalog
+from emberline.plans.rasters import c5_link_overlaps
 from emberline.plans.series import e18_largest_drop
 
 
@@ -10,3 +14,28 @@ def test_of_equal_drops_the_first_day_counts(spark, tmp_path):
     rows = [(i, at(d), p, "view", v, "") for i, (p, d, v) in enumerate((p, d, v) for p in range(40) for d, v in enumerate((9.0, 5.0, 9.0, 5.0, 9.0, 5.0), 1))]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert {(r.day, r.fall) for r in e18_largest_drop(spark, str(tmp_path)).collect()} == {(dt.date(2024, 1, 2), 4.0)}
+
+
+def test_oldest_overlaps_against_all_pairs(spark):
+    r = random.Random(5)
+    sets = {k: {(r.randrange(5), r.randrange(5 + k % 3 * 6)) for _ in range(r.randrange(1, 14))} for k in r.sample(range(900), 60)}
+    rows = [(k, *at) for k, cells in sets.items() for at in cells]
+    got = spatial.oldest_overlaps(spark.createDataFrame(rows, "k long, row int, col int"), "k", 0.3, "newer % 2 <> older % 2", block=2)
+    want = {}
+    for new in sets:
+        older = [o for o in sets if o < new and o % 2 != new % 2 and len(sets[o] & sets[new]) / min(len(sets[o]), len(sets[new])) >= 0.3]
+        if older:
+            want[new] = min(older)
+    assert {r.newer: r.older for r in got.collect()} == want
+    assert not spatial.oldest_overlaps(spark.createDataFrame([], "k long, row int, col int"), "k", 0.3).count()
+
+
+def test_c5_meets_patches_on_one_raster(spark, data):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{data}/lineitem.parquet'")
+    sql = catalog.ORACLE_SQL["c5_link_overlaps"]
+    n = c.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_quantity < 12").fetchone()[0]
+    got = {tuple(r) for r in c5_link_overlaps(spark, data).select("newer", "older").collect()}
+    assert got == set(c.execute(sql).fetchall()) and len(got) == n - 1
