@@ -42,6 +42,11 @@ def remove_tables(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not broadcast it: tables that shrink from round to round would pass the driver in every round."""
+    return df.hint("merge")
+
+
 Arrays = dict[str, np.ndarray]
 
 
@@ -155,9 +160,9 @@ def components(cells: DataFrame, connectivity: int = 4, width: int = 1 << 20) ->
     tiles = lambda lo, hi: F.explode(F.sequence(F.floor(lo / TILE), F.floor(hi / TILE)))
     above = spans.select((F.col("row") + 1).alias("row"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("b"), tiles(F.col("lo"), F.col("hi")).alias("tile"))
     below = spans.withColumn("tile", tiles(F.col("lo") - reach, F.col("hi") + reach))
-    edges = below.join(above, ["row", "tile"]).filter((F.col("lo") <= F.col("hi2") + reach) & (F.col("lo2") <= F.col("hi") + reach)).select(F.col("id").alias("a"), "b")
+    edges = below.join(shuffled(above), ["row", "tile"]).filter((F.col("lo") <= F.col("hi2") + reach) & (F.col("lo2") <= F.col("hi") + reach)).select(F.col("id").alias("a"), "b")
     label = min_labels(edges)
-    out = spans.join(label, "id", "left").select("row", F.explode(F.sequence("lo", "hi")).alias("col"), F.coalesce("comp", "id").alias("component"))
+    out = spans.join(shuffled(label), "id", "left").select("row", F.explode(F.sequence("lo", "hi")).alias("col"), F.coalesce("comp", "id").alias("component"))
     return out
 
 
@@ -166,10 +171,10 @@ def min_labels(edges: DataFrame) -> DataFrame:
     both = persist_table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     parent = persist_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "parents")
     while True:
-        near = both.join(parent.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        linked = parent.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("up"))
+        near = both.join(shuffled(parent.withColumnRenamed("id", "b")), "b").groupBy("a").agg(F.min("comp").alias("m"))
+        linked = parent.join(shuffled(near.withColumnRenamed("a", "id")), "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("up"))
         up = parent.select(F.col("id").alias("up"), F.col("comp").alias("upper"))
-        step = persist_table(linked.join(up, "up").select("id", "old", F.least("up", "upper").alias("comp")), "parents")
+        step = persist_table(linked.join(shuffled(up), "up").select("id", "old", F.least("up", "upper").alias("comp")), "parents")
         remove_tables(parent)
         parent = step.select("id", "comp")
         if not step.filter("old <> comp").limit(1).count():
@@ -180,13 +185,13 @@ def min_labels(edges: DataFrame) -> DataFrame:
 def patches(cells: DataFrame, mask: Column, min_pixels: int, aggs: list[Column], connectivity: int = 4) -> DataFrame:
     """Connected patches of the masked cells with at least ``min_pixels`` cells, and their attributes."""
     kept = cells.filter(mask)
-    return kept.join(components(kept, connectivity), ["row", "col"]).groupBy("component").agg(F.count("*").alias("n_pixels"), *aggs).filter(F.col("n_pixels") >= min_pixels)
+    return kept.join(shuffled(components(kept, connectivity)), ["row", "col"]).groupBy("component").agg(F.count("*").alias("n_pixels"), *aggs).filter(F.col("n_pixels") >= min_pixels)
 
 
 def hysteresis(cells: DataFrame, score: str, threshold: float, min_pixels: int = 5) -> DataFrame:
     """Cells at half the threshold, closed, in patches of enough cells that reach the threshold somewhere."""
     seed = closed(cells.withColumn("__s", F.col(score) >= threshold / 2), "__s", "__c").filter("__c")
-    labelled = seed.select("row", "col", score).join(components(seed), ["row", "col"])
+    labelled = seed.select("row", "col", score).join(shuffled(components(seed)), ["row", "col"])
     good = labelled.groupBy("component").agg(F.count("*").alias("n"), F.max(score).alias("top")).filter((F.col("n") >= min_pixels) & (F.col("top") >= threshold))
     return labelled.join(good.select("component"), "component", "left_semi")
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from emberline.operators import grid as G
 from emberline.operators import spatial
 from emberline.plans import catalog
 from emberline.plans.rasters import c5_link_overlaps
@@ -39,3 +40,17 @@ def test_c5_meets_patches_on_one_raster(spark, data):
     n = c.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_quantity < 12").fetchone()[0]
     got = {tuple(r) for r in c5_link_overlaps(spark, data).select("newer", "older").collect()}
     assert got == set(c.execute(sql).fetchall()) and len(got) == n - 1
+
+
+def _plans(monkeypatch) -> list[str]:
+    """Plans of the tables that operators of ``grid`` write from here on."""
+    plans, write = [], G.persist_table
+    monkeypatch.setattr(G, "persist_table", lambda df, name: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), write(df, name))[1])
+    return plans
+
+
+def test_component_rounds_broadcast_nothing(spark, monkeypatch):
+    cells = spark.range(400).selectExpr("cast(id div 20 as int) as row", "cast(id % 20 as int) as col", "cast(id * 7 % 13 as double) as v")
+    plans = _plans(monkeypatch)
+    labels = G.components(cells.filter("v < 8"), 8)
+    assert len(plans) > 3 and not any("Broadcast" in p for p in [*plans, labels._jdf.queryExecution().sparkPlan().toString()])
