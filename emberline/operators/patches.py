@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import range_hits
-
 #: Where the sources of a spectral window stand in its 17 channels; radar, red edge and the 10 m near infrared stay masked.
 CHANNELS = 17
 OPTICAL = {"blue": 2, "green": 3, "red": 4, "nir": 9, "swir1": 10, "swir2": 11}
@@ -66,13 +66,13 @@ def assemble_patches(patches: DataFrame, scenes: DataFrame, cells: DataFrame, st
     return target.join(framed, [scene, "row", "col"], "left").join(statics, ["row", "col"], "left").join(scenes.drop(*frames), scene, "left")
 
 
-def channels(elevation: Column, slope: Column) -> Column:
-    """The channels of one frame (null: masked) from columns blue to swir2 in raw counts, ``temp_c`` and ``precip_mm``."""
-    share = {b: F.col(b) / 10000.0 for b in OPTICAL}
+def channels(elevation: Column, slope: Column, of: Callable[[str], Column] = F.col) -> Column:
+    """The channels of one frame (null: masked) from columns blue to swir2 in raw counts, ``temp_c`` and ``precip_mm``, as ``of`` gives them."""
+    share = {b: of(b) / 10000.0 for b in OPTICAL}
     at = {OPTICAL[b]: c for b, c in share.items()}
-    both = F.col("temp_c").isNotNull() & F.col("precip_mm").isNotNull()
+    both = of("temp_c").isNotNull() & of("precip_mm").isNotNull()
     at[NDVI] = (share["nir"] - share["red"]) / (share["nir"] + share["red"] + 1e-8)
-    at |= {TEMPERATURE: F.when(both, (F.col("temp_c") + 273.15) / 35.0), RAIN: F.when(both, F.col("precip_mm") / 1000.0 / 0.03), ELEVATION: elevation / 2000.0, SLOPE: slope / 50.0}
+    at |= {TEMPERATURE: F.when(both, (of("temp_c") + 273.15) / 35.0), RAIN: F.when(both, of("precip_mm") / 1000.0 / 0.03), ELEVATION: elevation / 2000.0, SLOPE: slope / 50.0}
     return F.array(*(at.get(i, F.lit(None).cast("double")) for i in range(CHANNELS)))
 
 
@@ -83,19 +83,27 @@ def spectral_windows(seen: DataFrame, weather: DataFrame, terrain: DataFrame, ke
     the earlier. Masked channels (1 in ``mask``) are 0 in ``x``: a frame without an observation but for the terrain, the
     channels no source has, weather that is missing for that place and day, null bands. ``seen`` has the bands of ``OPTICAL``,
     ``weather`` temp_c and precip_mm by place and day, ``terrain`` elevation_m and slope_deg by place (missing: 500 and 5).
-    Of repeated observations of a day the greatest counts; rows without place or date have no window. Places meet their
-    observations by buckets of days, so a long series is not crossed with itself.
+    Of repeated observations of a day the greatest counts; rows without place or date have no window. A place finds its
+    observations by windows over days, in one exchange of raw counts; no channels are moved.
     """
-    ground = (F.coalesce("elevation_m", F.lit(500.0)), F.coalesce("slope_deg", F.lit(5.0)))
-    once = seen.filter(F.col(key).isNotNull() & F.col(date).isNotNull()).groupBy(key, date).agg(F.max(F.struct(*OPTICAL)).alias("s")).select(key, date, "s.*")
-    w = weather.select(key, date, "temp_c", "precip_mm")
-    frame = once.join(w, [key, date], "left").join(terrain.select(key, "elevation_m", "slope_deg"), key, "left").select(key, date, channels(*ground).alias("__c"), F.array(*ground).alias("__g"))
-    asked = frame.select(key, date, "__g", F.explode(F.array(*map(F.lit, (0, *back)))).alias("__back")).withColumn("__want", F.expr(f"date_sub({date}, __back)"))
-    found = range_hits(asked, frame.select(key, F.col(date).alias("__seen"), "__c"), [key], "__want", "__seen", tolerance, tolerance)
-    best = lambda n: F.min(F.when(F.col("__back") == n, F.struct(F.abs(F.datediff("__seen", "__want")).alias("off"), "__seen", "__c")))["__c"]
-    bare = F.transform(F.sequence(F.lit(0), F.lit(CHANNELS - 1)), lambda i: F.when(i == ELEVATION, F.col("g")[0] / 2000.0).when(i == SLOPE, F.col("g")[1] / 50.0))
-    got = found.groupBy(key, date).agg(F.first("__g").alias("g"), F.array(*(best(n) for n in (0, *back))).alias("frames"))
-    full = got.withColumn("frames", F.transform("frames", lambda c: F.coalesce(c, bare)))
+    # one row a place and day on every side, so a place's window holds no more rows than its series has days
+    once = seen.filter(F.col(key).isNotNull() & F.col(date).isNotNull()).groupBy(key, date).agg(F.max(F.struct(*OPTICAL)).alias("s"))
+    both = F.col("temp_c").isNotNull() & F.col("precip_mm").isNotNull()
+    w = weather.groupBy(key, date).agg(F.min(F.struct(*(F.when(both, F.col(c)).alias(c) for c in ("temp_c", "precip_mm")))).alias("w"))
+    t = terrain.groupBy(key).agg(F.min(F.struct(F.coalesce("elevation_m", F.lit(500.0)).alias("elevation_m"), F.coalesce("slope_deg", F.lit(5.0)).alias("slope_deg"))).alias("t"))
+    day = once.join(w, [key, date], "left").select(key, date, F.datediff(date, F.lit("1970-01-01").cast("date")).alias("__d"), "s.*", "w.*")
+    day = day.select(key, date, "__d", F.struct("__d", *OPTICAL, "temp_c", "precip_mm").alias("__o")).join(t, key, "left")
+
+    series = Window.partitionBy(key).orderBy("__d")
+    for n in back:
+        want = F.col("__d") - n
+        earlier, later = F.last("__o").over(series.rangeBetween(-n - tolerance, -n)), F.first("__o").over(series.rangeBetween(1 - n, tolerance - n))
+        day = day.withColumns({f"__e{n}": earlier, f"__l{n}": later})
+        closer = F.col(f"__l{n}").isNull() | (want - F.col(f"__e{n}")["__d"] <= F.col(f"__l{n}")["__d"] - want)
+        day = day.withColumn(f"__f{n}", F.when(F.col(f"__e{n}").isNotNull() & closer, F.col(f"__e{n}")).otherwise(F.col(f"__l{n}"))).drop(f"__e{n}", f"__l{n}")
+    ground = (F.coalesce(F.col("t.elevation_m"), F.lit(500.0)), F.coalesce(F.col("t.slope_deg"), F.lit(5.0)))
+    frames = F.transform(F.array("__o", *(f"__f{n}" for n in back)), lambda o: channels(*ground, lambda c: o[c]))
+    full = day.select(key, date, frames.alias("frames"))
     x = F.transform("frames", lambda c: F.transform(c, lambda v: F.coalesce(v, F.lit(0.0))))
     mask = F.transform("frames", lambda c: F.transform(c, lambda v: v.isNull().cast("int")))
     return full.select(key, date, (F.month(date) - 1).alias("month"), x.alias("x"), mask.alias("mask"))

@@ -54,3 +54,13 @@ def test_component_rounds_broadcast_nothing(spark, monkeypatch):
     plans = _plans(monkeypatch)
     labels = G.components(cells.filter("v < 8"), 8)
     assert len(plans) > 3 and not any("Broadcast" in p for p in [*plans, labels._jdf.queryExecution().sparkPlan().toString()])
+
+
+def test_spectral_windows_move_raw_counts_once(spark):
+    from emberline.operators.patches import OPTICAL, spectral_windows
+
+    seen = spark.range(200).selectExpr("id % 3 as place", "date_add(date'2024-01-01', cast(id as int)) as day", *(f"id + {i} as {b}" for i, b in enumerate(OPTICAL)))
+    weather = seen.selectExpr("place", "day", "1.0D as temp_c", "2.0D as precip_mm")
+    x = spectral_windows(seen, weather, spark.createDataFrame([(1, 100.0, 3.0)], "place long, elevation_m double, slope_deg double"), "place", "day")
+    assert "Generate" not in x._jdf.queryExecution().sparkPlan().toString()  # no row a step back, no channels in a join
+    assert x.count() == 200 and x.filter("mask[1][2] = 0 and x[1][2] <> 0").count() > 150
