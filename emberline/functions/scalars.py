@@ -153,9 +153,14 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
 
 def ring_area(ring: Column) -> Column:
     """Shoelace area of an array of structs (x, y), open or closed."""
-    after = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
-    cross = F.zip_with(ring, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.when(F.size(ring) > 0, F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2).otherwise(0.0)
+
+    def area(r: Column) -> Column:
+        after = F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
+        cross = F.zip_with(r, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+        return F.when(F.size(r) > 0, F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2).otherwise(0.0)
+
+    # bound once, so that a ring that is itself an expression is not made for each of its uses
+    return F.element_at(F.transform(F.array(ring), area), 1)
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -222,7 +227,7 @@ def clipped(ring: Column, left: Column, low: Column, right: Column, high: Column
             return F.concat(crossing, F.when(inside(p), F.array(p)).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
 
         out = F.flatten(F.zip_with(before, points, step))
-        return F.when(F.size(points) > 0, out).otherwise(points)
+        return F.when(F.coalesce(F.forall(points, inside), F.lit(False)), points).otherwise(out)  # also where no point is left
 
     def of(*how):
         return lambda r: side(r, *how)

@@ -64,3 +64,15 @@ def test_spectral_windows_move_raw_counts_once(spark):
     x = spectral_windows(seen, weather, spark.createDataFrame([(1, 100.0, 3.0)], "place long, elevation_m double, slope_deg double"), "place", "day")
     assert "Generate" not in x._jdf.queryExecution().sparkPlan().toString()  # no row a step back, no channels in a join
     assert x.count() == 200 and x.filter("mask[1][2] = 0 and x[1][2] <> 0").count() > 150
+
+
+def test_a_clipped_ring_is_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from emberline.functions import scalars as S
+
+    ring = F.array(*(F.struct((F.col("id") + i).cast("double").alias("x"), F.lit(float(j)).alias("y")) for i, j in ((0, 0), (4, 0), (4, 4), (0, 4))))
+    area = S.ring_area(S.clipped(ring, F.lit(2.0), F.lit(1.0), F.lit(9.0), F.lit(9.0)))
+    x = spark.range(12).select("id", area.alias("a"))
+    assert x._jdf.queryExecution().analyzed().toString().count("zip_with") == 5  # four sides and the area
+    assert [r.a for r in x.orderBy("id").collect()] == [3.0 * max(0, min(i + 4, 9) - max(i, 2)) for i in range(12)]
