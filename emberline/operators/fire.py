@@ -94,8 +94,8 @@ def with_indices(codes: DataFrame) -> DataFrame:
     return out.withColumn("fwi", fwi).withColumn("danger_class", fwi_class(F.col("fwi")))
 
 
-def best_causal_fire(candidates: DataFrame, scene: str, hit: str, date: str, frp: str, distance: str) -> DataFrame:
-    """One fire a scene: direct hits by date and falling power, else the nearest."""
+def best_causal_fire(candidates: DataFrame, scene: str | list[str], hit: str, date: str, frp: str, distance: str) -> DataFrame:
+    """One fire a scene (a column or several): direct hits by date and falling power, else the nearest."""
     order = [
         F.col(hit).desc(), F.when(F.col(hit), F.col(date)).asc_nulls_last(), F.when(F.col(hit), F.col(frp)).desc_nulls_last(),
         F.col(distance).asc_nulls_last(), F.col(date), F.col("fire_id"),
