@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import persist_table
+from .grid import persist_table, remove_tables
 from .temporal import temporal_stack
 
 
@@ -21,6 +21,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("__t") / (2 * F.col("__n"))).drop("__n", "__t")
 
 
+def spread(df: DataFrame, keys: list[str], rows: int, most: int = 500_000) -> DataFrame:
+    """``df`` in partitions of about ``most`` rows or fewer, so that a task of a fit holds no share that grows with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)), *keys)
+
+
+def weighted_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for equal ``columns`` with their summed ``weight``: the same to trees that take all rows, and often far fewer."""
+    return df.groupBy(*columns).agg(F.sum("weight").alias("weight"))
+
+
 def boosted_filter(df: DataFrame, key: str, features: list[str], label: str, iterations: int = 10, seed: int = 7) -> DataFrame:
     """Fit on a hash-chosen 70 %, stop early on 15 %, score all rows: key, probability, split."""
     h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100))
@@ -37,11 +47,13 @@ def importances(df: DataFrame, key: str, features: list[str], label: str, iterat
     Fitted with class weights on a hash-chosen 85 %. Rows with a null label are left out; null features count as zero. Equal
     importances are placed by name. A label of one class has no model and raises an error.
     """
+    df = persist_table(df.select(key, *features, label), "features")  # a fit passes over its rows many times
     x = class_weights(df.filter(F.col(label).isNotNull()).na.fill(0.0, features), label).filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) >= 15)
     if x.select(label).distinct().limit(2).count() < 2:
         raise ValueError(f"{label} has fewer than two classes")
     x = VectorAssembler(inputCols=features, outputCol="__x").transform(x)
-    model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=iterations, maxDepth=4, seed=seed).fit(x)
+    model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=iterations, maxDepth=4, seed=seed).fit(spread(x, [key], df.count()))
+    remove_tables(df)
     gained = sorted(zip(features, map(float, model.featureImportances.toArray())), key=lambda v: (-v[1], v[0]))
     return df.sparkSession.createDataFrame([(name, v, i) for i, (name, v) in enumerate(gained, 1)], "feature string, importance double, place int")
 
@@ -64,7 +76,7 @@ def forest_classes(df: DataFrame, key: str, features: list[str], label: str, tre
     x = class_weights(df, label).withColumn("split", F.when(h < 20, "test").otherwise("train"))
     x = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(x)
     forest = RandomForestClassifier(featuresCol="__x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=6, seed=seed)
-    return forest.fit(x.filter("split = 'train'")).transform(x).select(key, label, F.col("prediction").alias("predicted"), "split")
+    return forest.fit(spread(x.filter("split = 'train'"), [key], df.count())).transform(x).select(key, label, F.col("prediction").alias("predicted"), "split")
 
 
 def fold_of(key: str, folds: int, seed: int) -> Column:
@@ -74,18 +86,21 @@ def fold_of(key: str, folds: int, seed: int) -> Column:
 def boosted_classes(df: DataFrame, key: str, features: list[str], label: str, iterations: int = 8, seed: int = 7) -> DataFrame:
     """key, label, predicted, probabilities (by class, summing to 1), split: boosted trees against the rest for each class.
 
-    Fitted with class weights on a hash-chosen 80 %, scored on all rows. The trees' margins pass the logistic function that
+    Fitted with class weights on a hash-chosen 80 % (equal rows as one, with their weights summed), scored on all rows. The trees' margins pass the logistic function that
     they were fitted for, which makes them comparable between classes; of equal classes the smallest is predicted. Classes are
     few: they are listed on the driver.
     """
     x = class_weights(df, label).withColumn("split", F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < 20, "test").otherwise("train"))
-    x = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(x)
-    classes = sorted(r[0] for r in x.filter("split = 'train'").select(label).distinct().collect())
-    out = x.withColumn("__p", F.array().cast("array<double>"))
+    vectors = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
+    train = persist_table(weighted_rows(x.filter("split = 'train'"), [*features, label]), "train")
+    classes = sorted(r[0] for r in train.select(label).distinct().collect())
+    fit_on = vectors.transform(spread(train, features, train.count()))
+    out = vectors.transform(x).withColumn("__p", F.array().cast("array<double>"))
     for c in classes:
-        one = x.filter("split = 'train'").withColumn("__y", (F.col(label) == c).cast("double"))
+        one = fit_on.withColumn("__y", (F.col(label) == c).cast("double"))
         model = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", maxIter=iterations, maxDepth=4, seed=seed).fit(one)
         out = model.transform(out).withColumn("__p", F.concat("__p", F.array(vector_to_array("probability")[1]))).drop("rawPrediction", "probability", "prediction")
+    remove_tables(train)
     total = F.aggregate("__p", F.lit(0.0), lambda a, v: a + v)
     out = out.withColumn("probabilities", F.transform("__p", lambda v: v / total))
     best = F.array_position("__p", F.array_max("__p")).cast("int")
