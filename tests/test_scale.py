@@ -98,3 +98,12 @@ def test_equal_rows_are_fitted_once_and_tasks_stay_small(spark):
     assert {tuple(r) for r in L.weighted_rows(x, ["a", "y"]).collect()} == {(float(a), float(y), 250.0) for a in range(3) for y in range(2)}
     sizes = L.spread(spark.range(3000).coalesce(1), ["id"], 3000, 50).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert sizes < 100
+
+
+def test_wide_rows_do_not_pass_the_tiles(spark):
+    from emberline.operators.features import window_features
+    from emberline.plans.stacks import stack
+
+    plan = window_features(stack(spark, "/root/testdata/sf0.001"), "w", "date_before", "enriched", date_after="date_after")._jdf.queryExecution().sparkPlan().toString()
+    tiles = [line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line]
+    assert tiles and not any("ndvi_before" in line for line in tiles)
