@@ -216,31 +216,79 @@ def horn(cells: DataFrame, z: str, size: float) -> DataFrame:
 #: beyond, and that beyond and ahead: (row, column) steps.
 SIDES = (((-1, 0), (-1, 1)), ((0, 1), (1, 1)), ((1, 0), (1, -1)), ((0, -1), (-1, -1)))
 _START = ((0, 0), (0, 1), (1, 1), (1, 0))
+#: (x, y) steps along the sides.
+_ALONG = ((1, 0), (0, 1), (-1, 0), (0, -1))
 
 
-def outline_edges(cells: DataFrame, labels: DataFrame, connectivity: int = 4, width: int = 1 << 20) -> DataFrame:
-    """Unit edges around labelled cells: component, id, next (the edge that follows), start (x, y) and whether it turns there.
+def outline_paths(cells: DataFrame, connectivity: int = 4, width: int = 1 << 20, tile: int = 2 * TILE) -> DataFrame:
+    """Outlines of set cells (row, col) as far as they run inside a tile: first, next, n_edges, cross, x, y.
 
-    An edge knows its successor from the cells around it. Where two cells touch at a corner only, outlines stay with their
-    own cell (4) or cross over (8). Needs no search: every cell tells its eight neighbours that it is set.
+    An edge's number is (row * width + col) * 4 + side; ``first`` is that of a path's first edge and ``next`` that of the edge
+    that follows its last (null: the path is a whole ring). A whole ring starts with its smallest edge; a path that leaves its
+    tile is cut in two before its smallest, so the smallest edge of every ring is the first of a path. ``cross`` is twice the
+    area beside the path, ``x`` and ``y`` are where it turns. Where two cells touch at a corner only, outlines stay with their
+    own cell (4) or cross over (8). An edge's successor, and whether it turns, follow from the eight cells around its own, so
+    one exchange deals the cells with a halo of one; no task holds more than a tile at a time.
     """
-    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    bit = {at: 1 << n for n, at in enumerate(around)}
-    told = cells.select("row", "col").distinct().select(F.explode(F.array(*(
-        F.struct((F.col("row") - i).alias("row"), (F.col("col") - j).alias("col"), F.lit(bit[i, j]).alias("b")) for i, j in around
-    ))).alias("x")).select("x.*").groupBy("row", "col").agg(F.sum("b").alias("set"))
-    known = labels.join(told, ["row", "col"])
-    is_set = lambda at: F.col("set").bitwiseAND(F.lit(bit[at])) != 0
-    key = lambda at, side: ((F.col("row") + at[0]).cast("long") * width + F.col("col") + at[1]) * 4 + side
-    edges = []
-    for k, (beyond, corner) in enumerate(SIDES):
-        ahead = SIDES[(k + 1) % 4][0]
-        over = is_set(corner) if connectivity == 8 else is_set(corner) & is_set(ahead)
-        follows = F.when(over, key(corner, (k + 3) % 4)).when(is_set(ahead), key(ahead, k)).otherwise(key((0, 0), (k + 1) % 4))
-        at = F.struct((F.col("col") + _START[k][1]).alias("x"), (F.col("row") + _START[k][0]).alias("y"))
-        edges.append(F.when(~is_set(beyond), F.struct(key((0, 0), k).alias("id"), follows.alias("next"), F.lit(k).alias("side"), at.alias("start"))))
-    edges = known.select("component", F.explode(F.array_compact(F.array(*edges))).alias("e"))
-    return edges.select("component", "e.id", "e.next", "e.side", "e.start")
+    size, kinds = tile + 2, {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile)))
+    dealt = cells.select("row", "col").withColumn("__tr", near("row")).withColumn("__tc", near("col"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(key[0]) * tile - 1, int(key[1]) * tile - 1
+        there = np.zeros((size, size), bool)
+        there[pdf["row"].to_numpy() - top, pdf["col"].to_numpy() - left] = True
+        own = np.zeros_like(there)
+        own[1:-1, 1:-1] = there[1:-1, 1:-1]
+        parts = []
+        for k, (beyond, corner) in enumerate(SIDES):
+            ahead, behind = SIDES[(k + 1) % 4][0], SIDES[(k + 3) % 4][0]
+            r, c = np.nonzero(own & ~moved(there, *beyond))
+            is_set = lambda at: there[r + at[0], c + at[1]]  # noqa: B023, E731
+            on = is_set(ahead)
+            over = is_set(corner) if connectivity == 8 else is_set(corner) & on
+            step = lambda i: np.where(over, corner[i], np.where(on, ahead[i], 0))  # noqa: B023, E731
+            side = np.where(over, (k + 3) % 4, np.where(on, k, (k + 1) % 4))
+            straight = is_set(behind) & ~is_set((beyond[0] + behind[0], beyond[1] + behind[1]))
+            x, y = c + left + _START[k][1], r + top + _START[k][0]
+            parts.append((r, c, np.full(len(r), k), r + step(0), c + step(1), side, ~straight, x, y, x * _ALONG[k][1] - y * _ALONG[k][0]))
+        r, c, k, r2, c2, k2, turns, x, y, cross = map(np.concatenate, zip(*parts))
+        number = lambda r, c, k: ((r + top) * width + c + left) * 4 + k
+        ids, after = number(r, c, k), number(r2, c2, k2)
+        place = np.full(size * size * 4, -1)
+        place[(r * size + c) * 4 + k] = np.arange(len(r))
+        follows = place[(r2 * size + c2) * 4 + k2]  # -1: leaves the tile
+        entered = np.ones(len(r), bool)
+        entered[follows[follows >= 0]] = False
+        paths, new, succ = [], np.ones(len(r), bool).tolist(), follows.tolist()
+
+        def walk(e: int) -> list[int]:
+            path = []
+            while e >= 0 and new[e]:
+                new[e] = False
+                path.append(e)
+                e = succ[e]
+            return path
+
+        for e in np.nonzero(entered)[0].tolist():
+            path = walk(e)
+            least = int(np.argmin(ids[path]))
+            paths += [p for p in (path[:least], path[least:]) if p]
+        for e in np.argsort(ids).tolist():  # the rest are rings, met at their smallest edges
+            if new[e]:
+                paths.append(walk(e))
+        n = np.array([len(p) for p in paths], int)
+        order = np.array([e for p in paths for e in p], int)
+        starts = np.cumsum(n) - n
+        last = order[starts + n - 1]
+        whole = follows[last] == order[starts]
+        turned = turns[order]
+        cuts = np.cumsum(np.add.reduceat(turned, starts, dtype=int))[:-1] if len(n) else []
+        at = lambda a: np.split(a[order][turned], cuts) if len(n) else []
+        sums = np.add.reduceat(cross[order], starts) if len(n) else []
+        return pd.DataFrame({"first": ids[order[starts]], "next": pd.Series(after[last], dtype="Int64").mask(whole), "n_edges": n, "cross": sums, "x": pd.Series(at(x), dtype=object), "y": pd.Series(at(y), dtype=object)})
+
+    return dealt.groupBy("__tr", "__tc").applyInPandas(run, f"first long, next long, n_edges long, cross long, x array<{kinds['col']}>, y array<{kinds['row']}>")
 
 
 def ring_places(edges: DataFrame) -> DataFrame:
@@ -254,7 +302,7 @@ def ring_places(edges: DataFrame) -> DataFrame:
     while True:
         ahead = state.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"), (F.col("off") + step).alias("off2"))
         better = F.col("low2") < F.col("low")
-        joined = state.join(ahead, "next").select(
+        joined = state.join(shuffled(ahead), "next").select(
             "id", F.col("next2").alias("next"), F.least("low", "low2").alias("low"), F.when(better, F.col("off2")).otherwise(F.col("off")).alias("off"), better.alias("changed"))
         new = persist_table(joined, "rings")
         remove_tables(state)
@@ -262,33 +310,36 @@ def ring_places(edges: DataFrame) -> DataFrame:
         if not new.filter("changed").limit(1).count():
             # an edge is as many places after the smallest as the ring has edges less the steps to it
             size = state.groupBy("low").agg(F.count("*").alias("__n"))
-            return state.join(size, "low").select("id", F.col("low").alias("ring"), F.pmod(F.col("__n") - F.col("off"), F.col("__n")).alias("place"), F.col("__n").alias("n_edges"))
+            return state.join(shuffled(size), "low").select("id", F.col("low").alias("ring"), F.pmod(F.col("__n") - F.col("off"), F.col("__n")).alias("place"), F.col("__n").alias("n_edges"))
 
 
-def rings(cells: DataFrame, labels: DataFrame, connectivity: int = 4) -> DataFrame:
-    """Closed outlines of labelled cells: component, ring, n_edges, area (below 0 for a hole), corners (array of x, y).
+def rings(cells: DataFrame, connectivity: int = 4, tile: int = 2 * TILE) -> DataFrame:
+    """Closed outlines of set cells: ring (its smallest edge), n_edges, area (below 0 for a hole), corners (array of x, y).
 
-    Areas are exact sums over edges. Only corners are gathered into a row; an outline is one value of the result.
+    Rings inside a tile are closed there; the paths of those that leave it, whose number follows the borders of tiles, are
+    put in order by doubling. Areas are exact sums over edges. Only corners are gathered into a row; an outline is one value.
     """
-    edges = persist_table(outline_edges(cells, labels, connectivity), "edges")
-    placed = edges.join(ring_places(edges), "id")
-    end = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 0), (0, 1), (-1, 0), (0, -1))))[F.col("side")]
-    cross = F.col("start.x") * (F.col("start.y") + end["y"]) - F.col("start.y") * (F.col("start.x") + end["x"])
-    before = edges.select(F.col("next").alias("id"), F.col("side").alias("side_before"))
-    corner = F.when(F.col("side") != F.col("side_before"), F.struct("place", "start"))
-    out = placed.join(before, "id").groupBy("component", "ring").agg(F.first("n_edges").alias("n_edges"), (F.sum(cross) / 2).alias("area"), F.sort_array(F.collect_list(corner)).alias("c"))
-    return out.select("component", "ring", "n_edges", "area", F.transform("c", lambda c: c["start"]).alias("corners"))
+    paths = persist_table(outline_paths(cells, connectivity, tile=tile), "paths")
+    closed = paths.filter("next is null").select(F.col("first").alias("ring"), "n_edges", "cross", "x", "y")
+    crossing = paths.filter("next is not null").withColumnRenamed("first", "id")
+    places = ring_places(crossing.select("id", "next")).select("id", "ring", "place")
+    joined = crossing.join(shuffled(places), "id").groupBy("ring").agg(F.sum("n_edges").alias("n_edges"), F.sum("cross").alias("cross"), F.sort_array(F.collect_list(F.struct("place", "x", "y"))).alias("p"))
+    joined = joined.select("ring", "n_edges", "cross", *(F.flatten(F.transform("p", lambda p: p[c])).alias(c) for c in ("x", "y")))  # noqa: B023
+    return closed.unionByName(joined).select("ring", "n_edges", (F.col("cross") / 2).alias("area"), F.arrays_zip("x", "y").alias("corners"))
 
 
 def polygons(cells: DataFrame, connectivity: int = 4, min_pixels: int = 1) -> DataFrame:
     """Polygons of the components of set cells: component, n_pixels, edges, area, n_corners, outer and holes (arrays of rings)."""
-    labels = persist_table(components(cells.select("row", "col"), connectivity), "labels")
+    cells = persist_table(cells.select("row", "col").distinct(), "cells")
+    labels = persist_table(components(cells, connectivity), "labels")
     size = labels.groupBy("component").agg(F.count("*").alias("n_pixels")).filter(F.col("n_pixels") >= min_pixels)
-    labels = labels.join(size.select("component"), "component", "left_semi")
+    # an outer ring around fewer cells is that of a component that goes; a ring takes the component of its smallest edge's cell
+    around = rings(cells, connectivity).filter((F.col("area") < 0) | (F.col("area") >= min_pixels)).withColumn("cell", F.shiftright("ring", 2))
+    around = around.join(shuffled(labels.select((F.col("row").cast("long") * (1 << 20) + F.col("col")).alias("cell"), "component")), "cell")
     by_ring = F.sort_array(F.collect_list(F.struct("ring", "area", "corners")))
-    out = rings(cells, labels, connectivity).groupBy("component").agg(F.sum("n_edges").alias("edges"), F.sum("area").alias("area"), F.sum(F.size("corners")).alias("n_corners"), by_ring.alias("r"))
+    out = around.groupBy("component").agg(F.sum("n_edges").alias("edges"), F.sum("area").alias("area"), F.sum(F.size("corners")).alias("n_corners"), by_ring.alias("r"))
     part = lambda keep: F.transform(F.filter("r", keep), lambda x: x["corners"])
-    return out.join(size, "component").select("component", "n_pixels", "edges", "area", "n_corners", part(lambda x: x["area"] > 0).alias("outer"), part(lambda x: x["area"] < 0).alias("holes"))
+    return out.join(shuffled(size), "component").select("component", "n_pixels", "edges", "area", "n_corners", part(lambda x: x["area"] > 0).alias("outer"), part(lambda x: x["area"] < 0).alias("holes"))
 
 
 def tile_ids(cells: DataFrame, tile: int, overlap: int) -> DataFrame:

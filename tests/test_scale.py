@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from emberline.operators import grid as G
 from emberline.operators import spatial
 from emberline.plans import catalog
@@ -107,3 +109,21 @@ def test_wide_rows_do_not_pass_the_tiles(spark):
     plan = window_features(stack(spark, "/root/testdata/sf0.001"), "w", "date_before", "enriched", date_after="date_after")._jdf.queryExecution().sparkPlan().toString()
     tiles = [line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line]
     assert tiles and not any("ndvi_before" in line for line in tiles)
+
+
+def test_only_paths_across_tiles_take_rounds(spark, monkeypatch):
+    r = random.Random(3)
+    cells = spark.createDataFrame([(i, j) for i in range(-9, 14) for j in range(-5, 17) if r.random() < 0.6], "row int, col int")
+    rounds, write = [], G.persist_table
+
+    def counted(df, name):
+        out = write(df, name)
+        rounds.extend([out.count()] * (name == "rings"))
+        return out
+
+    monkeypatch.setattr(G, "persist_table", counted)
+    inside = G.polygons(cells.withColumn("row", F.col("row") + 9).withColumn("col", F.col("col") + 5))
+    assert rounds and not any(rounds) and inside.count() > 9
+    for connectivity in (4, 8):
+        whole, cut = (sorted(G.rings(cells, connectivity, tile=n).collect()) for n in (128, 4))
+        assert whole == cut and sum(x["area"] for x in cut) == cells.count()
