@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .learning import spread
+
 #: Where the sources of a spectral window stand in its 17 channels; radar, red edge and the 10 m near infrared stay masked.
 CHANNELS = 17
 OPTICAL = {"blue": 2, "green": 3, "red": 4, "nir": 9, "swir1": 10, "swir2": 11}
@@ -46,24 +48,33 @@ def select_patches(labels: DataFrame, scene: str, value: str, rows: int, cols: i
     return p.filter(F.col("is_fire") | drawn).drop("__nth", "__of")
 
 
-def assemble_patches(patches: DataFrame, scenes: DataFrame, cells: DataFrame, statics: DataFrame, labels: DataFrame, scene: str, frames: list[str], bands: list[str], tile: int = 224, stride: int = 112) -> DataFrame:
+def assemble_patches(patches: DataFrame, scenes: DataFrame, cells: DataFrame, statics: DataFrame, labels: DataFrame, scene: str, frames: list[str], bands: list[str], tile: int = 224, stride: int = 112, rows: int | None = None) -> DataFrame:
     """A row for each cell of each patch: its frames in time, what is fixed there, its label, and what holds for the scene.
 
     ``patches`` come from ``select_patches``. ``scenes`` has a row a scene: ``frames`` name its columns with the scenes that
     serve as its frames (null: none), all others (weather, tier, split) go to every cell. ``cells`` has ``bands`` of (scene,
     row, col), ``statics`` columns of (row, col), ``labels`` those of (scene, row, col); a cell without them gets nulls, as
-    does a frame without a scene. Frames are arrays of structs in the order of ``frames``. A cell belongs to the patches of
-    its block, which it meets in one join on the block; a frame is met on its scene and cell, in one exchange for all.
-    One row a key is expected of each source: repeated ones repeat cells. Cells of no patch are not read into the result.
+    does a frame without a scene. Frames are arrays of structs in the order of ``frames``. A cell meets its frames and what is
+    fixed there once, however many patches hold it, and then the patches of its block in one join on the block. Frames are
+    gathered by the band, without sorting their cells. Tasks take about 500,000 cells each; ``rows`` is the number of labels
+    (counted if not given).
+    One row a key is expected of each source: repeated ones repeat cells, and of repeated ``cells`` each band's greatest counts.
+    Cells of no patch are not read into the result.
     """
-    block = [F.floor(F.col(c) / stride).alias(b) for c, b in (("row", "block_row"), ("col", "block_col"))]
-    wanted = patch_blocks(patches, tile, stride)
-    target = labels.select("*", *block).join(wanted, [scene, "block_row", "block_col"]).drop("block_row", "block_col")
+    rows = labels.count() if rows is None else rows
     served = scenes.select(F.col(scene).alias("__for"), F.posexplode(F.array(*frames)).alias("__i", scene)).filter(F.col(scene).isNotNull())
-    seen = cells.select(scene, "row", "col", F.struct(*bands).alias("__v")).join(served, scene)
-    at = lambda i: F.max(F.when(F.col("__i") == i, F.col("__v")))
-    framed = seen.groupBy(F.col("__for").alias(scene), "row", "col").agg(F.array(*(at(i) for i in range(len(frames)))).alias("frames"))
-    return target.join(framed, [scene, "row", "col"], "left").join(statics, ["row", "col"], "left").join(scenes.drop(*frames), scene, "left")
+    seen = cells.select(scene, "row", "col", *(F.col(b).alias(f"__b{n}") for n, b in enumerate(bands))).join(served, scene)
+    seen = spread(seen.drop(scene).withColumnRenamed("__for", scene), [scene, "row", "col"], rows)
+    at = lambda i, c: F.max(F.when(F.col("__i") == i, c))
+    parts = [at(i, c).alias(f"__{i}{name}") for i in range(len(frames)) for name, c in (("", F.lit(True)), *((f"_{n}", F.col(f"__b{n}")) for n in range(len(bands))))]
+    frame = lambda i: F.when(F.col(f"__{i}"), F.struct(*(F.col(f"__{i}_{n}").alias(b) for n, b in enumerate(bands))))
+    framed = seen.groupBy(scene, "row", "col").agg(*parts).select(scene, "row", "col", F.array(*map(frame, range(len(frames)))).alias("frames"))
+    full = spread(labels, [scene, "row", "col"], rows).join(framed, [scene, "row", "col"], "left")
+    full = spread(full, ["row", "col"], rows).join(statics, ["row", "col"], "left")
+    block = {b: F.floor(F.col(c) / stride) for c, b in (("row", "block_row"), ("col", "block_col"))}
+    at_block = [scene, "block_row", "block_col"]
+    placed = spread(full.withColumns(block), at_block, rows).join(patch_blocks(patches, tile, stride), at_block).drop(*at_block[1:])
+    return placed.join(scenes.drop(*frames), scene, "left")
 
 
 def channels(elevation: Column, slope: Column, of: Callable[[str], Column] = F.col) -> Column:

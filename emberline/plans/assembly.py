@@ -6,6 +6,8 @@ from math import isqrt
 
 from pyspark.sql import functions as F
 
+from ..operators.grid import persist_table
+from ..operators.learning import spread
 from ..operators.patches import CHANNELS, ELEVATION, NDVI, OPTICAL, RAIN, SLOPE, TEMPERATURE, assemble_patches, select_patches, spectral_windows
 from .registry import query, r6, read
 from .stacks import STACK, stack
@@ -20,17 +22,16 @@ q AS (SELECT *, fire_cells >= {LEAST} AS is_fire FROM p WHERE fire_cells >= {LEA
 pa AS (SELECT * FROM q QUALIFY is_fire OR row_number() OVER (PARTITION BY w, is_fire ORDER BY md5(w || '-' || patch_row || '-' || patch_col)) <= greatest(1, floor(0.15e0 * count(*) OVER (PARTITION BY w, is_fire))))"""
 
 
-def _chosen(spark, d):
-    s = stack(spark, d)
+def _chosen(spark, d, s):
     labels = s.select("w", "row", "col", F.expr(_LABEL).alias("dnbr"))
     n = isqrt(read(spark, d, "lineitem").count() // 8)
-    return s, labels, select_patches(labels, "w", "dnbr", n, n, TILE, STRIDE, LEAST)
+    return labels, select_patches(labels, "w", "dnbr", n, n, TILE, STRIDE, LEAST)
 
 
 @query(f"WITH {_PATCHES} SELECT * FROM pa")
 def i19_patch_selection(spark, d):
     """Every patch with enough burned cells, 15 in 100 of the other valid ones, by scene."""
-    return _chosen(spark, d)[2].withColumns({c: F.col(c).cast("long") for c in ("patch_row", "patch_col")})
+    return _chosen(spark, d, stack(spark, d))[1].withColumns({c: F.col(c).cast("long") for c in ("patch_row", "patch_col")})
 
 
 @query(f"""WITH {_PATCHES}, m AS (SELECT max(o_orderdate::DATE) AS last FROM orders), day AS (SELECT o_orderdate::DATE AS date, sum(o_orderkey % 350) AS t, count(*) AS n FROM orders GROUP BY 1),
@@ -42,7 +43,8 @@ SELECT c.w, patch_row, patch_col, any_value(CASE WHEN NOT is_fire THEN 'NEGATIVE
 FROM c JOIN wx ON wx.w = c.w JOIN ground USING (row, col) LEFT JOIN scar ON scar.w = c.w AND scar.row = c.row AND scar.col = c.col {" ".join(f"LEFT JOIN stack f{i} ON f{i}.row = c.row AND f{i}.col = c.col AND f{i}.w = c.w - {i}" for i in range(3))} GROUP BY c.w, patch_row, patch_col""")
 def l18_patch_cells(spark, d):
     """Patches put together from frames, spectra, terrain, cover, burn age, the weather of day and week, labels and tiers; one row a patch for comparison."""
-    s, labels, patches = _chosen(spark, d)
+    s = persist_table(stack(spark, d).select("w", "row", "col", "k", "nir_after", "ndvi_after", "nbr_before", "nbr_after", "cloud_after"), "stack")
+    labels, patches = _chosen(spark, d, s)
     orders = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 350).alias("t"))
     last = orders.agg(F.max("date").alias("last"))
     day = F.expr("date_add(last, cast(w * 75 - 400 as int))")
@@ -53,12 +55,15 @@ def l18_patch_cells(spark, d):
     weather = near.groupBy("w").agg((F.sum(F.when(here, F.col("t"))) / F.sum(F.when(here, F.col("n")))).alias("today"), (F.sum("t") / F.sum("n")).alias("week"))
     back = [F.when(F.col("w") >= i, F.col("w") - i).alias(f"frame_{i}") for i in range(3)]
     scenes = weather.select("*", *back, F.when(F.col("w") % 2 == 0, "GOLD").otherwise("BRONZE").alias("event_tier"), F.element_at(F.array(*map(F.lit, ("train", "train", "val", "test"))), F.col("w").cast("int") + 1).alias("split"))
-    ground = s.groupBy("row", "col").agg((F.min("k") % 60).alias("slope"), (F.min("k") % 9).alias("cover"), F.collect_set(F.when(F.col("nbr_before") - F.col("nbr_after") > 0.3, F.col("w"))).alias("scars"))
-    x = assemble_patches(patches, scenes, s, ground, labels, "w", [f"frame_{i}" for i in range(3)], ["nir_after", "ndvi_after"], TILE, STRIDE)
+    rows = s.count()
+    ground = spread(s, ["row", "col"], rows).groupBy("row", "col").agg((F.min("k") % 60).alias("slope"), (F.min("k") % 9).alias("cover"), F.array(*(F.max(F.when((F.col("w") == i) & (F.col("nbr_before") - F.col("nbr_after") > 0.3), F.col("w"))) for i in range(4))).alias("scars"))
+    x = assemble_patches(patches, scenes, s, ground, labels, "w", [f"frame_{i}" for i in range(3)], ["nir_after", "ndvi_after"], TILE, STRIDE, rows)
     age = (F.col("w") - F.array_max(F.filter("scars", lambda v: v < F.col("w")))) * 75
     frame = lambda i, c: F.col("frames")[i][c]
-    return x.groupBy("w", F.col("patch_row").cast("long").alias("patch_row"), F.col("patch_col").cast("long").alias("patch_col")).agg(
-        F.first(F.when(F.col("is_fire"), F.col("event_tier")).otherwise("NEGATIVE")).alias("tier"), F.first("split").alias("split"), F.count("*").alias("cells"), F.count("dnbr").alias("labelled"), r6(F.sum("dnbr"), "dnbr"),
+    # a patch has one tier and one split: as keys they leave sums and counts, which need no sorted cells
+    tier = F.when(F.col("is_fire"), F.col("event_tier")).otherwise("NEGATIVE").alias("tier")
+    return x.groupBy("w", F.col("patch_row").cast("long").alias("patch_row"), F.col("patch_col").cast("long").alias("patch_col"), tier, "split").agg(
+        F.count("*").alias("cells"), F.count("dnbr").alias("labelled"), r6(F.sum("dnbr"), "dnbr"),
         *(F.count(frame(i, "nir_after")).alias(f"frame_{i}") for i in range(3)), *(F.round(F.sum(frame(i, f"{c}_after")), 5).alias(f"{c}_{i}") for i in range(3) for c in ("nir", "ndvi")),
         F.sum("slope").alias("slope"), F.count_if(F.col("cover") == 4).alias("crops"), F.round(F.avg(F.exp(-age / 180.0)), 5).alias("burn_recency"), *(F.round(F.first(c), 5).alias(c) for c in ("today", "week")),
     )

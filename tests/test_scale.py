@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -127,3 +128,18 @@ def test_only_paths_across_tiles_take_rounds(spark, monkeypatch):
     for connectivity in (4, 8):
         whole, cut = (sorted(G.rings(cells, connectivity, tile=n).collect()) for n in (128, 4))
         assert whole == cut and sum(x["area"] for x in cut) == cells.count()
+
+
+def test_patch_cells_meet_their_sources_in_bounded_tasks(spark, data):
+    from emberline.operators.patches import assemble_patches
+    from emberline.plans.assembly import l18_patch_cells
+
+    plan = l18_patch_cells(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan  # cells are not sorted to be summed
+    patches = spark.createDataFrame([("a", 0, 0, True)], "s string, patch_row long, patch_col long, is_fire boolean")
+    cells = spark.createDataFrame([("a", 0, 0, 1.0)], "s string, row int, col int, v double")
+    scenes = spark.createDataFrame([("a", "a")], "s string, now string")
+    out = assemble_patches(patches, scenes, cells, cells.select("row", "col"), cells, "s", ["now"], ["v"], 4, 2, rows=50_000_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    for keys in ("s#[0-9]+, row#[0-9]+, col#[0-9]+", "row#[0-9]+, col#[0-9]+", "s#[0-9]+, block_row#[0-9]+L, block_col#[0-9]+L"):
+        assert re.search(rf"hashpartitioning\({keys}, 100\), REPARTITION_BY_NUM", plan)
