@@ -126,8 +126,9 @@ def mix_documents(docs: DataFrame, block: int = 64, shard_slots: int = 16_384, s
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / width), F.floor((F.col("at") + F.col("size") - 1) / width)))
     pieces = placed.select("*", F.explode_outer(blocks).alias("block_no"))
     overlap = F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * width) - F.greatest("at", F.col("block_no") * width)
+    # the plan of the mix starts from one row a source, so its size is guessed far too small: it must not be broadcast
     return (
-        pieces.join(times, ["skey", "block_no"], "left")
+        pieces.join(times.hint("merge"), ["skey", "block_no"], "left")
         .groupBy("skey", "bucket", "nth", "doc_id", "size", "source_size", "target")
         .agg(F.sum(F.coalesce(overlap * F.col("times"), F.lit(0))).cast("long").alias("taken"))
         .select("doc_id", "size", "source_size", "target", "taken")

@@ -103,3 +103,10 @@ def test_join_counted_splits_hot_keys_without_losing_rows(spark):
         out = join_counted(rows, lookup, "key", "n", 100, hot)
         assert out.columns == ["key", "v", "d"] and Counter((r["key"], r["v"], r["d"]) for r in out.collect()) == Counter((k, v, len(k)) for k, v in [("hot", i) for i in range(60)] + [(f"k{i % 20}", i) for i in range(40)])
     assert join_counted(rows.limit(0), lookup.limit(0), "key", "n", 0).count() == 0
+
+
+def test_slot_counts_of_blocks_are_not_broadcast(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat('w ', 40) as text", "concat('s', id % 3) as source")
+    plan = mixing.mix_documents(docs, block=8)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "block_no" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
