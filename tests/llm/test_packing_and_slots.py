@@ -110,3 +110,12 @@ def test_slot_counts_of_blocks_are_not_broadcast(spark):
     plan = mixing.mix_documents(docs, block=8)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "block_no" in line]
     assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
+def test_slot_counts_are_not_broadcast_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat('w ', 40) as text", "'en' as lang", "concat('s', id % 3) as source", "80L as n_chars")
+    plan = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "block_no" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
