@@ -30,7 +30,8 @@ _MASKED = f"{RASTER}, r AS (SELECT *, v >= 0.052 AS m FROM rast)"
  v >= 0.06 OR (a.s / 9 >= 0.052 AND b.s / 25 >= 0.05) AS detected, least(8, a.n - m::INT)::BIGINT AS neighbours FROM r JOIN a USING (row, col) JOIN b USING (row, col) JOIN c USING (row, col)""")
 def i1_i2_focal(spark, d):
     g = G.focal_table(raster(spark, d).withColumn("m", F.expr(MASK)), "v", "m")
-    return g.select("row", "col", *(r6(F.col(c), c) for c in ("mean3", "mean5", "mean7", "std3", "std7")), ((F.col("v") >= 0.06) | ((F.col("mean3") >= 0.052) & (F.col("mean5") >= 0.05))).alias("detected"), F.least(F.lit(8), "neighbours").cast("long").alias("neighbours"))
+    mean = lambda k: F.round(f"mean{k}", 12)  # noqa: E731  a mean that is the threshold reaches it, whatever its sum of doubles lost; others are further away
+    return g.select("row", "col", *(r6(F.col(c), c) for c in ("mean3", "mean5", "mean7", "std3", "std7")), ((F.col("v") >= 0.06) | ((mean(3) >= 0.052) & (mean(5) >= 0.05))).alias("detected"), F.least(F.lit(8), "neighbours").cast("long").alias("neighbours"))
 
 
 def _around(source: str, test: str) -> str:

@@ -143,3 +143,21 @@ def test_patch_cells_meet_their_sources_in_bounded_tasks(spark, data):
     plan = out._jdf.queryExecution().executedPlan().toString()
     for keys in ("s#[0-9]+, row#[0-9]+, col#[0-9]+", "row#[0-9]+, col#[0-9]+", "s#[0-9]+, block_row#[0-9]+L, block_col#[0-9]+L"):
         assert re.search(rf"hashpartitioning\({keys}, 100\), REPARTITION_BY_NUM", plan)
+
+
+def test_a_mean_that_is_the_threshold_is_detected(spark, monkeypatch):
+    from fractions import Fraction
+
+    from emberline.plans import rasters
+
+    r, rows, blocks = random.Random(2), [], 60
+    while len(rows) < blocks * 25:
+        cells = {(i, j): (r.randrange(3, 6) if (i, j) == (0, 0) else r.randrange(5, 8) if max(abs(i), abs(j)) == 1 else r.randrange(0, 9), 1 if (i, j) == (0, 0) else r.choice((1, 1, 3, 7))) for i in range(-2, 3) for j in range(-2, 3)}
+        cells = {at: (d if n == 1 else d * n + r.randrange(n), n) for at, (d, n) in cells.items()}
+        rest = 125 - sum(Fraction(*x) for at, x in cells.items() if at != (2, 2))
+        if 0 <= rest <= 10 and sum(Fraction(*cells[i, j]) for i in (-1, 0, 1) for j in (-1, 0, 1)) >= Fraction(468, 10):
+            cells[2, 2] = (rest.numerator, rest.denominator)  # now the mean of the square is 5 hundredths
+            rows += [(i + 2, j + 2 + 10 * (len(rows) // 25), d / n / 100) for (i, j), (d, n) in sorted(cells.items())]
+    monkeypatch.setattr(rasters, "raster", lambda *_: spark.createDataFrame(rows, "row int, col int, v double"))
+    got = {x.col: x.detected for x in rasters.i1_i2_focal(spark, "").filter("row = 2 and col % 10 = 2").collect()}
+    assert got == {2 + 10 * i: True for i in range(blocks)}
