@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, and_
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,12 +67,13 @@ def window_features(stack: DataFrame, window: str, date_before: str, kind: str =
     sides = [f"{c}_{s}" for c in (*BANDS, *SPECTRA, *REFLECTANCES) for s in SIDES] if enriched else []
     ended = F.col(date_after) if date_after else F.lit(None).cast("date")
     x = stack.select(window, "row", "col", *d.values(), "cloud_before", "cloud_after", *sides, F.col(date_before).alias("__from"), ended.alias("__to"), F.coalesce(alert, F.lit(False)).alias("__alert"))
-    # only what neighbours need goes through the tiles; the wide rows meet it by their place
+    # only what neighbours need goes through the tiles; the wide rows meet it in the one exchange by pixel that the past needs too
     place = [window, "row", "col"]
     near = x.groupBy(*place).agg(F.min("delta_trees").alias("delta_trees"), F.max("__alert").alias("__alert"))
     near = focal_table(near, "delta_trees", "__alert", (3,) if kind == "single" else (3, 5, 7), by=(window,)).drop("delta_trees", "__alert")
-    near = near.select(*(F.col(c).alias(f"__{c}") for c in place), *near.columns[3:])
-    x = x.join(near.hint("shuffle_hash"), reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place))).drop(*(f"__{c}" for c in place))
+    both = x.withColumn("__own", F.lit(True)).unionByName(near, allowMissingColumns=True).repartition("row", "col")
+    here = Window.partitionBy("row", "col", window)
+    x = both.withColumns({c: F.max(c).over(here) for c in near.columns if c not in place}).filter("__own").drop("__own")
     if kind != "single":
         x = _past(x, [window], F.col("__alert"), enriched)
 

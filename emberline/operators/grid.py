@@ -26,10 +26,10 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
-def persist_table(df: DataFrame, name: str) -> DataFrame:
+def persist_table(df: DataFrame, name: str, **options) -> DataFrame:
     """Cut the lineage by a table in the folder all executors share."""
     path = f"{shared_folder(df.sparkSession)}/emberline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,18 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grid import persist_table, remove_tables
 from .temporal import temporal_stack
 
 
+#: Spark's settings that remove the shuffles of a query once it has run, and that bound the bytes a task scans.
+CLEANUP, SPLIT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.files.maxPartitionBytes"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that is put back afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+@contextmanager
+def training_table(df: DataFrame, name: str, most: int = 500_000) -> Iterator[DataFrame]:
+    """``df`` as a table that is scanned by tasks of about ``most`` rows or fewer, while the ``with`` block lasts.
+
+    A fit passes over its rows many times, and Spark ML makes them once more to log them: shuffled rows would lie on disk
+    twice, scanned ones not at all. The shuffles that led to the table go once it is written.
+    """
+    spark = df.sparkSession
+    with setting(spark, CLEANUP, "true"):
+        table = persist_table(df, name, maxRecordsPerFile=max(1, most // 10))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of its files
+    try:
+        with setting(spark, SPLIT, f"{max(1, size * most // max(most, table.count()))}b"):
+            yield table
+    finally:
+        remove_tables(table)
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight`` = total / (2 n_class); the classes are few, so their counts are broadcast."""
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
@@ -47,13 +85,12 @@ def importances(df: DataFrame, key: str, features: list[str], label: str, iterat
     Fitted with class weights on a hash-chosen 85 %. Rows with a null label are left out; null features count as zero. Equal
     importances are placed by name. A label of one class has no model and raises an error.
     """
-    df = persist_table(df.select(key, *features, label), "features")  # a fit passes over its rows many times
-    x = class_weights(df.filter(F.col(label).isNotNull()).na.fill(0.0, features), label).filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) >= 15)
-    if x.select(label).distinct().limit(2).count() < 2:
-        raise ValueError(f"{label} has fewer than two classes")
-    x = VectorAssembler(inputCols=features, outputCol="__x").transform(x)
-    model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=iterations, maxDepth=4, seed=seed).fit(spread(x, [key], df.count()))
-    remove_tables(df)
+    with training_table(df.select(key, *features, label), "features") as rows:
+        x = class_weights(rows.filter(F.col(label).isNotNull()).na.fill(0.0, features), label).filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) >= 15)
+        if x.select(label).distinct().limit(2).count() < 2:
+            raise ValueError(f"{label} has fewer than two classes")
+        x = VectorAssembler(inputCols=features, outputCol="__x").transform(x)
+        model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=iterations, maxDepth=4, seed=seed).fit(x)
     gained = sorted(zip(features, map(float, model.featureImportances.toArray())), key=lambda v: (-v[1], v[0]))
     return df.sparkSession.createDataFrame([(name, v, i) for i, (name, v) in enumerate(gained, 1)], "feature string, importance double, place int")
 

@@ -161,3 +161,33 @@ def test_a_mean_that_is_the_threshold_is_detected(spark, monkeypatch):
     monkeypatch.setattr(rasters, "raster", lambda *_: spark.createDataFrame(rows, "row int, col int, v double"))
     got = {x.col: x.detected for x in rasters.i1_i2_focal(spark, "").filter("row = 2 and col % 10 = 2").collect()}
     assert got == {2 + 10 * i: True for i in range(blocks)}
+
+
+def test_importances_are_fitted_on_scanned_rows_in_small_tasks(spark, monkeypatch):
+    from emberline.operators import learning as L
+
+    before, plans = {k: spark.conf.get(k, None) for k in (L.CLEANUP, L.SPLIT)}, []
+
+    class Fit(L.GBTClassifier):
+        def fit(self, x):
+            plans.append(x._jdf.queryExecution().sparkPlan().toString())
+            return super().fit(x)
+
+    monkeypatch.setattr(L, "GBTClassifier", Fit)
+    df = spark.range(2000).selectExpr("cast(id as string) as k", "id % 10 / 10 as a", "cast(id % 10 >= 5 as double) as y")
+    assert [r.importance for r in L.importances(df, "k", ["a"], "y", iterations=2).collect()] == [1.0]
+    assert len(plans) == 1 and not any(x in plans[0] for x in ("Repartition", "Exchange"))  # else its rows lie on disk twice, as Spark ML makes them once more
+    with L.training_table(spark.range(3000).coalesce(1), "train", most=200) as rows:
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3000 and max(sizes) <= 400
+        files = rows.inputFiles()
+    assert before == {k: spark.conf.get(k, None) for k in before} and files
+
+
+def test_wide_rows_are_shuffled_once(spark):
+    from emberline.operators.features import window_features
+    from emberline.plans.stacks import stack
+
+    plan = window_features(stack(spark, "/root/testdata/sf0.001"), "w", "date_before", "enriched", date_after="date_after")._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "Join" not in plan and "hashpartitioning(row" in moves[0] and "REPARTITION_BY_COL" in moves[0]  # by pixel: what lies above needs no other
